@@ -63,19 +63,33 @@ def last_known(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str
     return joined.drop(_SPAN_COL, *[f"_in_{s}" for s in columns])
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, target: str,
-                span: int = SPAN, ties: Sequence[Column | str] = ()) -> DataFrame:
-    """Add ``target`` = cumulative sum of ``value`` including the current row."""
-    marked = df.withColumn("_value", value).withColumn(_SPAN_COL, span_of(order, span))
+def running(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, tuple[str, Column]],
+            span: int = SPAN) -> DataFrame:
+    """Add running aggregates up to the current row: ``values[target] = (how, column)``, ``how`` sum, max or min."""
+    fold = {"sum": F.sum, "max": F.max, "min": F.min}
+    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
+    marked = df.withColumn(_SPAN_COL, span_of(order, span))
+    for target, (_, column) in values.items():
+        marked = marked.withColumn(f"_v_{target}", column)
     inner = [*keys, _SPAN_COL]
-    here = _window(inner, [order, *ties]).rowsBetween(Window.unboundedPreceding, 0)
-    totals = marked.groupBy(*inner).agg(F.sum("_value").alias("_total"))
+    here = _window(inner, [order]).rowsBetween(Window.unboundedPreceding, 0)
+    totals = marked.groupBy(*inner).agg(*[fold[how](f"_v_{t}").alias(f"_t_{t}") for t, (how, _) in values.items()])
     prior = _window(keys, [_SPAN_COL]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*inner, F.coalesce(F.sum("_total").over(prior), F.lit(0)).alias("_offset"))
-    return (marked.withColumn(target, F.sum("_value").over(here))
-            .join(offsets, inner, "left")
-            .withColumn(target, F.col(target) + F.col("_offset"))
-            .drop("_value", "_offset", _SPAN_COL))
+    offsets = totals.select(*inner, *[fold[how](f"_t_{t}").over(prior).alias(f"_o_{t}") for t, (how, _) in values.items()])
+    out = marked.select("*", *[fold[how](f"_v_{t}").over(here).alias(f"_h_{t}") for t, (how, _) in values.items()])
+    out = out.join(offsets, inner, "left")
+    for target, (how, _) in values.items():
+        out = out.withColumn(target, join[how](F.col(f"_h_{target}"), F.col(f"_o_{target}")))
+    return out.drop(_SPAN_COL, *[f"_{p}_{t}" for t in values for p in "vho"])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, target: str, span: int = SPAN) -> DataFrame:
+    return running(df, keys, order, {target: ("sum", value)}, span)
+
+
+def ordinal(df: DataFrame, keys: Sequence[str], order: str, target: str, span: int = SPAN) -> DataFrame:
+    """Number the rows of each key 1, 2, 3 ... by ``order``."""
+    return running_sum(df, keys, order, F.lit(1).cast("long"), target, span)
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], prefix: str = "prev_",

@@ -111,16 +111,16 @@ def field_occupancy(spark, sf_dir):
 @query("convex_hull", "A6", """
 WITH p AS (SELECT DISTINCT sequence_id, frame_index, team_label, CAST(round(x_m * 100) AS BIGINT) AS x, CAST(round(y_m * 100) AS BIGINT) AS y FROM outfield_v),
 n AS (SELECT sequence_id, frame_index, team_label, count(*) AS players FROM outfield_v GROUP BY 1, 2, 3),
-e AS (SELECT a.sequence_id, a.frame_index, a.team_label, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by
+e AS (SELECT a.sequence_id, a.frame_index, a.team_label, a.x AS ux, a.y AS uy, b.x AS wx, b.y AS wy
       FROM p a JOIN p b ON a.sequence_id = b.sequence_id AND a.frame_index = b.frame_index AND a.team_label = b.team_label AND (a.x <> b.x OR a.y <> b.y)),
 bad AS (SELECT DISTINCT e.* FROM e JOIN p c ON e.sequence_id = c.sequence_id AND e.frame_index = c.frame_index AND e.team_label = c.team_label
-   WHERE (c.x <> ax OR c.y <> ay) AND (c.x <> bx OR c.y <> by)
-     AND ((bx - ax) * (c.y - ay) - (by - ay) * (c.x - ax) < 0
-       OR ((bx - ax) * (c.y - ay) - (by - ay) * (c.x - ax) = 0
-           AND NOT ((c.x - ax) * (c.x - bx) <= 0 AND (c.y - ay) * (c.y - by) <= 0)))),
+   WHERE (c.x <> ux OR c.y <> uy) AND (c.x <> wx OR c.y <> wy)
+     AND ((wx - ux) * (c.y - uy) - (wy - uy) * (c.x - ux) < 0
+       OR ((wx - ux) * (c.y - uy) - (wy - uy) * (c.x - ux) = 0
+           AND NOT ((c.x - ux) * (c.x - wx) <= 0 AND (c.y - uy) * (c.y - wy) <= 0)))),
 edge AS (SELECT * FROM e EXCEPT SELECT * FROM bad),
-h AS (SELECT sequence_id, frame_index, team_label, sum(ax * by - bx * ay) / 20000.0::DOUBLE AS area,
-        sum(sqrt(((bx - ax) * (bx - ax) + (by - ay) * (by - ay))::DOUBLE)) / 100.0 AS perimeter, count(*) AS corners FROM edge GROUP BY 1, 2, 3)
+h AS (SELECT sequence_id, frame_index, team_label, sum(ux * wy - wx * uy) / 20000.0::DOUBLE AS area,
+        sum(sqrt(((wx - ux) * (wx - ux) + (wy - uy) * (wy - uy))::DOUBLE)) / 100.0 AS perimeter, count(*) AS corners FROM edge GROUP BY 1, 2, 3)
 SELECT n.sequence_id, n.frame_index, n.team_label, n.players,
    CASE WHEN n.players < 3 THEN NULL ELSE round(coalesce(area, 0.0), 4) END AS hull_area_m2,
    CASE WHEN n.players < 3 THEN NULL ELSE round(coalesce(perimeter, 0.0), 4) END AS hull_perimeter_m,

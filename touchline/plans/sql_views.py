@@ -73,3 +73,39 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 
 VIEWS["player_ratings_v"] = """
 SELECT c_custkey AS player_id, (60 + c_custkey % 40) / 10.0::DOUBLE AS rating FROM customer WHERE c_custkey % 5 <> 0"""
+
+VIEWS["direction_v"] = """
+SELECT o.sequence_id, o.frame_index, o.team_label, CASE WHEN o.frame_index < k.f0 OR k.f0 IS NULL THEN 0 WHEN o.team_label = 'TEAM_0' THEN 1 ELSE -1 END AS direction
+FROM (SELECT DISTINCT sequence_id, frame_index, team_label FROM gated_v) o
+LEFT JOIN (SELECT sequence_id, min(frame_index) AS f0 FROM gated_v WHERE role = 'GOALKEEPER' AND abs(x_m) > 30.5 GROUP BY 1) k USING (sequence_id)"""
+
+VIEWS["oriented_v"] = """
+SELECT o.*, direction, direction * x_m AS xa FROM outfield_v o JOIN direction_v USING (sequence_id, frame_index, team_label)"""
+
+VIEWS["line_players_v"] = """
+SELECT *, sum(CASE WHEN prev IS NULL OR xa - prev < 6.0 THEN 0 ELSE 1 END) OVER (PARTITION BY sequence_id, frame_index, team_label ORDER BY xa, track_id) AS line_id
+FROM (SELECT *, lag(xa) OVER (PARTITION BY sequence_id, frame_index, team_label ORDER BY xa, track_id) AS prev,
+        count(*) OVER (PARTITION BY sequence_id, frame_index, team_label) AS n FROM oriented_v WHERE direction <> 0)
+WHERE n >= 4"""
+
+VIEWS["lines_v"] = """
+SELECT sequence_id, frame_index, team_label, CAST(line_id AS INTEGER) AS line_id, CAST(count(*) AS INTEGER) AS players, avg(xa) AS mean_x_attack, quantile_cont(xa, 0.5) AS median_x_attack,
+  max(y_m) - min(y_m) AS width_m, avg(x_m) AS mean_x, avg(y_m) AS mean_y, avg(team_confidence) AS confidence,
+  row_number() OVER (PARTITION BY sequence_id, frame_index, team_label ORDER BY line_id DESC) AS from_front,
+  count(*) OVER (PARTITION BY sequence_id, frame_index, team_label) AS total
+FROM line_players_v GROUP BY sequence_id, frame_index, team_label, line_id"""
+
+VIEWS["teams_v"] = """
+SELECT sequence_id, frame_index, team_label, any_value(timestamp_s) AS timestamp_s, any_value(direction) AS direction, count(*) AS n, CASE WHEN count(*) >= 8 THEN 'HIGH' WHEN count(*) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS visibility,
+  quantile_cont(xa, 0.5) AS mx, avg(xa) AS ax, max(xa) AS fx, min(xa) AS bx, max(y_m) - min(y_m) AS w, avg(x_m) AS px, avg(y_m) AS py,
+  quantile_cont(xa, 0.9) - quantile_cont(xa, 0.1) AS sx, quantile_cont(y_m, 0.9) - quantile_cont(y_m, 0.1) AS sy, quantile_cont(y_m, 0.5) AS my
+FROM oriented_v GROUP BY 1, 2, 3"""
+
+VIEWS["block_v"] = """
+SELECT *, CASE WHEN direction = 0 OR n < 5 THEN 'UNKNOWN' WHEN h < 35.0 THEN 'LOW_BLOCK' WHEN h < 52.5 THEN 'MID_BLOCK' WHEN h IS NOT NULL THEN 'HIGH_BLOCK'
+     WHEN mx + 52.5 < 42.0 THEN 'LOW_BLOCK' WHEN mx + 52.5 < 58.0 THEN 'MID_BLOCK' ELSE 'HIGH_BLOCK' END AS category
+FROM (SELECT t.*, l.median_x_attack + 52.5 AS h, l.mean_x_attack + 52.5 AS mh, l.players AS line_players, l.mean_x AS lx, l.mean_y AS ly, l.median_x_attack AS lm, l.total AS line_count,
+        o.mean_x AS ox, o.mean_y AS oy, ball_x, ball_y
+      FROM teams_v t LEFT JOIN lines_v l ON t.sequence_id = l.sequence_id AND t.frame_index = l.frame_index AND t.team_label = l.team_label AND l.line_id = 0
+      LEFT JOIN lines_v o ON t.sequence_id = o.sequence_id AND t.frame_index = o.frame_index AND t.team_label <> o.team_label AND o.from_front = 1
+      LEFT JOIN (SELECT sequence_id AS bs, frame_index AS bf, ball_x, ball_y FROM ball_v WHERE ball_valid) b ON bs = t.sequence_id AND bf = t.frame_index)"""
