@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from touchline.functions import frames
 from touchline.functions.hull import hull
+from touchline.functions.scan import CHUNK, scan
 from touchline.operators.geometry import FRAME, TEAM, distance, median_of
 from touchline.operators.lines import HALF_LENGTH, SEQ_TEAM, line_gaps
 
@@ -47,13 +48,13 @@ def block_metrics(teams: DataFrame, ball: DataFrame | None = None) -> DataFrame:
         F.when(has_line, first["median_x_attack"] + HALF_LENGTH).alias("line_height_m"),
         F.when(has_line, first["mean_x_attack"] + HALF_LENGTH).alias("mean_line_height_m"),
         F.when(has_line, first["players"]).alias("line_players"),
-        F.when(has_line, first).alias("_first"), F.when(has_line, last).alias("_last"),
+        F.when(has_line, first).alias("_first"), F.when(has_line, F.struct(last["mean_x"].alias("mean_x"), last["mean_y"].alias("mean_y"))).alias("_last"),
         F.aggregate("gaps", F.lit(0.0), lambda a, v: a + v, lambda a: a / F.size("gaps")).alias("mean_line_gap_m"),
         F.array_max("gaps").alias("max_line_gap_m"), F.get("gaps", F.lit(0)).alias("defence_midfield_m"),
         F.get("gaps", F.lit(1)).alias("midfield_attack_m"))
-    opponent = df.select(*FRAME, F.when(F.col("team_label") == "TEAM_0", "TEAM_1").otherwise("TEAM_0").alias("team_label"),
-                         F.col("_last").alias("_opp"))
-    df = df.join(opponent, TEAM, "left")
+    frame = Window.partitionBy(*FRAME)
+    front = {t: F.max(F.when(F.col("team_label") == t, F.col("_last"))).over(frame) for t in ("TEAM_0", "TEAM_1")}
+    df = df.withColumn("_opp", F.when(F.col("team_label") == "TEAM_0", front["TEAM_1"]).otherwise(front["TEAM_0"]))
     if ball is not None:
         df = df.join(ball.filter("ball_valid").select(*FRAME, "ball_x", "ball_y"), FRAME, "left")
     else:
@@ -97,34 +98,23 @@ def categorise(metrics: DataFrame) -> DataFrame:
                         .when(c.isNotNull(), "FALLBACK_CENTROID_HEIGHT").otherwise("NO_HEIGHT_ESTIMATE")))
 
 
-def hysteresis(categories: DataFrame, span: int = frames.SPAN) -> DataFrame:
-    """Confirmed category: the first needs 3 equal frames, a change needs 10, UNKNOWN drops it at once.
+def _hysteresis_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
+    held, last, run = state.get("held", "UNKNOWN"), state.get("last", ""), state.get("run", 0)
+    confirmed, changed = [], []
+    for category in pdf["category"]:
+        run = min(run + 1, CONFIRM_CHANGE) if category == last else 1
+        last, before = category, held
+        if category == "UNKNOWN" or run >= CONFIRM_CHANGE or (held == "UNKNOWN" and run >= CONFIRM_FIRST):
+            held = category
+        confirmed.append(held)
+        changed.append(held != before)
+    return pdf.assign(confirmed=confirmed, changed=changed), {"held": held, "last": last, "run": run}
 
-    Every run of known categories starts afresh.  A frame sets the category when its last ten agree, or when
-    it is the first of its run whose last three agree; between set points the last one holds.
-    """
-    numbered = frames.ordinal(categories, SEQ_TEAM, "frame_index", "_n", span)
 
-    def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("_n")
-        same = lambda k: (F.min("category").over(w.rowsBetween(1 - k, 0)) == F.max("category").over(w.rowsBetween(1 - k, 0))) & (
-            F.count(F.lit(1)).over(w.rowsBetween(1 - k, 0)) == k)
-        return rows.select("*", same(CONFIRM_FIRST).alias("_three"), same(CONFIRM_CHANGE).alias("_ten"), F.lag("category").over(w).alias("_before"))
-
-    seen = frames.halo(numbered, SEQ_TEAM, "_n", agreement, before=CONFIRM_CHANGE - 1, span=span)
-    unknown = F.col("category") == "UNKNOWN"
-    runs = frames.islands(seen, SEQ_TEAM, "_n", unknown | F.col("_before").isNull() | (F.col("_before") == "UNKNOWN"), "_run", span)
-    started = frames.running(runs, [*SEQ_TEAM, "_run"], "_n", {"_threes": ("sum", F.col("_three").cast("long"))}, span)
-    mark = F.when(~unknown & (F.col("_ten") | (F.col("_three") & (F.col("_threes") == 1))), F.col("category"))
-    held = frames.last_known(started.withColumn("_mark", mark), [*SEQ_TEAM, "_run"], "_n", {"_mark": "_held"}, span)
-    held = held.withColumn("confirmed", F.when(unknown, "UNKNOWN").otherwise(F.coalesce("_held", F.lit("UNKNOWN"))))
-
-    def change(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return rows.withColumn("confirmed_before", F.coalesce(F.lag("confirmed").over(Window.partitionBy(*keys).orderBy("_n")), F.lit("UNKNOWN")))
-
-    out = frames.halo(held, SEQ_TEAM, "_n", change, before=1, span=span)
-    return (out.withColumn("changed", F.col("confirmed") != F.col("confirmed_before"))
-            .drop("_n", "_three", "_ten", "_before", "_run", "_threes", "_mark", "_held"))
+def hysteresis(categories: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Confirmed category: the first needs 3 equal frames, a change needs 10, UNKNOWN drops it at once."""
+    return scan(categories.select(*TEAM, "category"), SEQ_TEAM, "frame_index", _hysteresis_step,
+                "sequence_id string, frame_index bigint, team_label string, category string, confirmed string, changed boolean", chunk)
 
 
 def probable_defender(possession: DataFrame) -> DataFrame:

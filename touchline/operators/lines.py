@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
-from touchline.functions import frames
+from touchline.functions.scan import CHUNK, scan
 from touchline.operators.geometry import FRAME, TEAM, median_of, mean_of
 
 HALF_LENGTH = 52.5
@@ -22,83 +24,67 @@ def visibility(outfield_count: Column) -> Column:
     return F.when(outfield_count >= 8, "HIGH").when(outfield_count >= 5, "MEDIUM").otherwise("LOW")
 
 
-def direction_evidence(players: DataFrame, span: int = frames.SPAN) -> DataFrame:
-    """What each frame says about a team's attack: +1, -1 or null, with confidence and source.
+DIRECTION_SCHEMA = ("sequence_id string, frame_index bigint, team_label string, direction int, direction_conf double, "
+                    "direction_source string, switches bigint")
 
-    A goalkeeper near a goal decides; else the order of the teams' centroid medians over the last 60
-    centroids of each team, once both have 30.
-    """
+
+def direction_inputs(players: DataFrame) -> DataFrame:
+    """One row per frame: mean x and goalkeeper x of each team."""
     keeper = F.upper(F.col("role")).contains("GOALKEEPER")
-    seen = players.groupBy(*TEAM).agg(
-        F.avg("x_m").alias("cx"),
-        F.min_by("x_m", F.when(keeper, F.col("track_id"))).alias("keeper_x"))
-    counted = frames.ordinal(seen, SEQ_TEAM, "frame_index", "n", span)
-
-    def medians(rows: DataFrame, keys: list[str]) -> DataFrame:
-        recent = Window.partitionBy(*keys).orderBy("n").rowsBetween(1 - 2 * ORDERING_MIN_FRAMES, 0)
-        return rows.withColumn("median_cx", F.percentile("cx", 0.5).over(recent))
-
-    own = frames.halo(counted, SEQ_TEAM, "n", medians, before=2 * ORDERING_MIN_FRAMES - 1, span=span)
-    wide = own.groupBy(*FRAME).agg(*[F.max(F.when(F.col("team_label") == t, F.struct("n", "median_cx", "keeper_x"))).alias(t)
-                                     for t in ("TEAM_0", "TEAM_1")])
-    # a team that is not seen in a frame keeps its last history
-    known = frames.last_known(wide, ["sequence_id"], "frame_index", {"TEAM_0": "h0", "TEAM_1": "h1"}, span)
-    gap = F.col("h0.median_cx") - F.col("h1.median_cx")
-    enough = (F.col("h0.n") >= ORDERING_MIN_FRAMES) & (F.col("h1.n") >= ORDERING_MIN_FRAMES) & (F.abs(gap) >= ORDERING_MIN_GAP_M)
-    parts = []
-    for team, sign in (("TEAM_0", 1), ("TEAM_1", -1)):
-        x = F.col(f"{team}.keeper_x")
-        anchor = F.when(x < -KEEPER_X, 1).when(x > KEEPER_X, -1)
-        ordering = F.when(F.col(team).isNotNull() & enough, F.when(gap * sign < 0, 1).otherwise(-1))
-        parts.append(known.select(
-            *FRAME, F.lit(team).alias("team_label"), F.coalesce(anchor, ordering).alias("evidence"),
-            F.when(anchor.isNotNull(), 0.95).when(ordering.isNotNull(), 0.70).alias("evidence_conf"),
-            F.when(anchor.isNotNull(), "GOALKEEPER_ANCHOR").when(ordering.isNotNull(), "TEAM_SPATIAL_ORDERING").alias("evidence_source")))
-    return parts[0].unionByName(parts[1])
-
-
-def attack_direction(evidence: DataFrame, span: int = frames.SPAN) -> DataFrame:
-    """Held direction per team and frame; it turns only after 15 contradicting pieces of evidence in a row.
-
-    Written as set points: the first evidence of a team sets it, and so does any evidence whose last 15
-    agree; in between the last set point holds.  A team without evidence takes the opposite of the other.
+    columns = []
+    for n, team in enumerate(("TEAM_0", "TEAM_1")):
+        mine = F.col("team_label") == team
+        columns += [F.avg(F.when(mine, F.col("x_m"))).alias(f"cx{n}"),
+                    F.min_by("x_m", F.when(mine & keeper, F.col("track_id"))).alias(f"gk{n}")]
+    return players.groupBy(*FRAME).agg(*columns)
+
+
+def _evidence(keeper_x: float | None, seen: bool, gap: float | None, sign: int) -> tuple[int, float, str] | None:
+    """Direction a team's own signs point to: a goalkeeper near a goal first, then the order of the teams."""
+    if keeper_x is not None and abs(keeper_x) > KEEPER_X:
+        return (1 if keeper_x < 0 else -1), 0.95, "GOALKEEPER_ANCHOR"
+    if seen and gap is not None and abs(gap) >= ORDERING_MIN_GAP_M:
+        return (1 if gap * sign < 0 else -1), 0.70, "TEAM_SPATIAL_ORDERING"
+    return None
+
+
+def _direction_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
+    history = state.get("history", [[], []])
+    teams = state.get("teams", [{"dir": 0, "conf": 0.0, "source": "UNKNOWN", "against": 0, "switches": 0} for _ in range(2)])
+    out = []
+    for row in pdf.itertuples(index=False):
+        centres = [None if pd.isna(v) else v for v in (row.cx0, row.cx1)]
+        keepers = [None if pd.isna(v) else v for v in (row.gk0, row.gk1)]
+        for n in range(2):
+            if centres[n] is not None:
+                history[n] = [*history[n], float(centres[n])][-2 * ORDERING_MIN_FRAMES:]
+        full = all(len(h) >= ORDERING_MIN_FRAMES for h in history)
+        gap = float(np.median(history[0]) - np.median(history[1])) if full else None
+        for n, held in enumerate(teams):
+            found = _evidence(keepers[n], centres[n] is not None, gap, 1 - 2 * n)
+            if found is None:
+                continue
+            way, conf, source = found
+            if held["dir"] in (0, way):
+                held.update(dir=way, conf=max(held["conf"], conf), source=source, against=0)
+            else:
+                held["against"] += 1
+                if held["against"] >= SWITCH_AFTER:
+                    held.update(dir=way, conf=conf, source=source, against=0, switches=held["switches"] + 1)
+        for mine, other in (teams, teams[::-1]):
+            if mine["dir"] == 0 and other["dir"] != 0:
+                mine.update(dir=-other["dir"], conf=other["conf"] * 0.90, source="COMPLEMENTARY_INFERENCE")
+        out += [(row.sequence_id, row.frame_index, f"TEAM_{n}", t["dir"], t["conf"], t["source"], t["switches"]) for n, t in enumerate(teams)]
+    names = ["sequence_id", "frame_index", "team_label", "direction", "direction_conf", "direction_source", "switches"]
+    return pd.DataFrame(out, columns=names), {"history": history, "teams": teams}
+
+
+def attack_direction(players: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Held attack direction (+1, -1, 0 unknown) per team and frame; it turns after 15 contradictions in a row.
+
+    A team without evidence of its own takes the opposite of the other at 0.9 of its confidence.
     """
-    known = evidence.filter("evidence IS NOT NULL")
-    numbered = frames.ordinal(known, SEQ_TEAM, "frame_index", "n", span)
-
-    def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
-        recent = Window.partitionBy(*keys).orderBy("n").rowsBetween(1 - SWITCH_AFTER, 0)
-        return (rows.withColumn("same", (F.min("evidence").over(recent) == F.max("evidence").over(recent))
-                                & (F.count(F.lit(1)).over(recent) == SWITCH_AFTER)))
-
-    runs = frames.halo(numbered, SEQ_TEAM, "n", agreement, before=SWITCH_AFTER - 1, span=span)
-    first = known.groupBy(*SEQ_TEAM).agg(F.min(F.struct("frame_index", "evidence", "evidence_conf")).alias("f"))
-    other = first.select("sequence_id", F.when(F.col("team_label") == "TEAM_0", "TEAM_1").otherwise("TEAM_0").alias("team_label"),
-                         F.col("f").alias("o"))
-    opening = (first.join(other, SEQ_TEAM, "full_outer")
-               .withColumn("own_first", F.col("f").isNotNull() & (F.col("o").isNull() | (F.col("f.frame_index") <= F.col("o.frame_index"))))
-               .select(*SEQ_TEAM,
-                       F.when(F.col("own_first"), F.col("f.frame_index")).otherwise(F.col("o.frame_index")).alias("opens_at"),
-                       F.when(F.col("own_first"), F.col("f.evidence")).otherwise(-F.col("o.evidence")).alias("opens_as"),
-                       F.when(F.col("own_first"), F.col("f.evidence_conf")).otherwise(F.col("o.evidence_conf") * 0.90).alias("opens_conf"),
-                       F.when(F.col("own_first"), F.lit(None)).otherwise("COMPLEMENTARY_INFERENCE").alias("opens_source")))
-    marks = evidence.join(runs.filter("same").select(*TEAM, F.col("evidence").alias("turn")), TEAM, "left").join(opening, SEQ_TEAM, "left")
-    at_open = F.col("frame_index") == F.col("opens_at")
-    after = F.col("frame_index") >= F.col("opens_at")
-    marks = marks.withColumn("_set", F.when(at_open, F.col("opens_as")).when(after, F.col("turn")))
-    held = frames.last_known(marks, SEQ_TEAM, "frame_index", {"_set": "direction"}, span)
-    before = frames.last_known(held, SEQ_TEAM, "frame_index", {"direction": "_was"}, span, strict=True)
-    turned = before.withColumn("_turned", F.col("_was").isNotNull() & (F.col("_was") != F.col("direction")))
-    stints = frames.islands(turned, SEQ_TEAM, "frame_index", F.col("_turned"), "stint", span)
-    agrees = F.col("evidence") == F.col("direction")
-    conf = F.greatest(F.when(F.col("frame_index") == F.col("opens_at"), F.col("opens_conf")), F.when(agrees, F.col("evidence_conf")))
-    source = F.coalesce(F.when(agrees, F.col("evidence_source")), F.when(F.col("frame_index") == F.col("opens_at"), F.col("opens_source")))
-    stints = stints.withColumn("_source", source)
-    best = frames.running(stints, [*SEQ_TEAM, "stint"], "frame_index", {"direction_conf": ("max", conf)}, span)
-    named = frames.last_known(best, SEQ_TEAM, "frame_index", {"_source": "direction_source"}, span)
-    return named.select(*TEAM, F.coalesce("direction", F.lit(0)).cast("int").alias("direction"),
-                        F.coalesce(F.when(F.col("direction").isNotNull(), F.col("direction_conf")), F.lit(0.0)).alias("direction_conf"),
-                        F.coalesce("direction_source", F.lit("UNKNOWN")).alias("direction_source"), F.col("stint").alias("switches"))
+    return scan(direction_inputs(players), ["sequence_id"], "frame_index", _direction_step, DIRECTION_SCHEMA, chunk)
 
 
 def oriented_players(outfield: DataFrame, directions: DataFrame) -> DataFrame:
@@ -161,27 +147,25 @@ def line_gaps(teams: DataFrame, position: str = "mean_x_attack") -> DataFrame:
         .withColumn("total_span_m", F.when(F.size("lines") >= 2, F.element_at(at, -1) - F.element_at(at, 1))))
 
 
-def line_persistence(teams: DataFrame, chunk: int | None = None) -> DataFrame:
+def _persistence_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
+    previous, out = state.get("lines", []), []
+    for row in pdf.itertuples(index=False):
+        taken, current = set(), []
+        for line_id, mean in zip(row.ids, row.means):
+            free = [(abs(mean - m), i, age) for i, m, age in previous if i not in taken and abs(mean - m) <= LINE_DRIFT_M]
+            age = 1
+            if free:
+                _, found, before = min(free, key=lambda f: f[0])
+                taken.add(found)
+                age = before + 1
+            current.append([int(line_id), float(mean), age])
+            out.append((row.sequence_id, row.frame_index, row.team_label, int(line_id), age))
+        previous = current
+    return pd.DataFrame(out, columns=["sequence_id", "frame_index", "team_label", "line_id", "persistence"]), {"lines": previous}
+
+
+def line_persistence(teams: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """How many frames in a row each line was found again, matching the nearest free earlier line within 4.5 m."""
-    from touchline.functions.scan import CHUNK, scan
-
-    def step(state, pdf):
-        previous, out = state.get("lines", []), []
-        for seq, frame, team, ids, means in zip(pdf.sequence_id, pdf.frame_index, pdf.team_label, pdf.ids, pdf.means):
-            taken, current = set(), []
-            for line_id, mean in zip(ids, means):
-                free = [(abs(mean - m), i, age) for i, m, age in previous if i not in taken and abs(mean - m) <= LINE_DRIFT_M]
-                age = 1
-                if free:
-                    gap, found, before = min(free, key=lambda f: f[0])
-                    taken.add(found)
-                    age = before + 1
-                current.append([int(line_id), float(mean), age])
-                out.append((seq, frame, team, int(line_id), age))
-            previous = current
-        import pandas as pd
-        return pd.DataFrame(out, columns=["sequence_id", "frame_index", "team_label", "line_id", "persistence"]), {"lines": previous}
-
     flat = teams.select(*TEAM, F.col("lines.line_id").alias("ids"), F.col("lines.mean_x_attack").alias("means"))
-    return scan(flat, SEQ_TEAM, "frame_index", step,
-                "sequence_id string, frame_index bigint, team_label string, line_id int, persistence bigint", chunk or CHUNK)
+    return scan(flat, SEQ_TEAM, "frame_index", _persistence_step,
+                "sequence_id string, frame_index bigint, team_label string, line_id int, persistence bigint", chunk)

@@ -15,7 +15,7 @@ def players(spark, sf_dir):
 
 
 def directions(gated):
-    return lines.attack_direction(lines.direction_evidence(gated))
+    return lines.attack_direction(gated)
 
 
 def oriented(spark, sf_dir):
