@@ -109,3 +109,67 @@ FROM (SELECT t.*, l.median_x_attack + 52.5 AS h, l.mean_x_attack + 52.5 AS mh, l
       FROM teams_v t LEFT JOIN lines_v l ON t.sequence_id = l.sequence_id AND t.frame_index = l.frame_index AND t.team_label = l.team_label AND l.line_id = 0
       LEFT JOIN lines_v o ON t.sequence_id = o.sequence_id AND t.frame_index = o.frame_index AND t.team_label <> o.team_label AND o.from_front = 1
       LEFT JOIN (SELECT sequence_id AS bs, frame_index AS bf, ball_x, ball_y FROM ball_v WHERE ball_valid) b ON bs = t.sequence_id AND bf = t.frame_index)"""
+
+VIEWS["moving_v"] = """
+SELECT *, sqrt(vx * vx + vy * vy) AS speed FROM (
+ SELECT *, CASE WHEN position_valid AND t1 - t0 > 1e-4 THEN (xb - xa) / (t1 - t0) END AS vx, CASE WHEN position_valid AND t1 - t0 > 1e-4 THEN (yb - ya) / (t1 - t0) END AS vy FROM (
+  SELECT *, CASE WHEN pok THEN px ELSE x_m END AS xa, CASE WHEN pok THEN py ELSE y_m END AS ya, CASE WHEN pok THEN pt ELSE timestamp_s END AS t0,
+            CASE WHEN nok THEN nx ELSE x_m END AS xb, CASE WHEN nok THEN ny ELSE y_m END AS yb, CASE WHEN nok THEN nt ELSE timestamp_s END AS t1 FROM (
+   SELECT *, coalesce(lag(position_valid) OVER w AND frame_index - lag(frame_index) OVER w <= 3, false) AS pok, lag(x_m) OVER w AS px, lag(y_m) OVER w AS py, lag(timestamp_s) OVER w AS pt,
+             coalesce(lead(position_valid) OVER w AND lead(frame_index) OVER w - frame_index <= 3, false) AS nok, lead(x_m) OVER w AS nx, lead(y_m) OVER w AS ny, lead(timestamp_s) OVER w AS nt
+   FROM tracking_v WINDOW w AS (PARTITION BY sequence_id, track_id ORDER BY frame_index))))"""
+
+VIEWS["held_v"] = """
+SELECT sequence_id, frame_index, CASE WHEN d < 2.8 THEN tm ELSE 'CONTESTED' END AS possession_team, CASE WHEN d < 2.8 THEN tr END AS carrier_id, CASE WHEN d < 2.8 THEN 0.85::DOUBLE ELSE 0.35::DOUBLE END AS possession_conf
+FROM (SELECT sequence_id, frame_index, team_label AS tm, track_id AS tr, sqrt((ball_x - x_m) * (ball_x - x_m) + (ball_y - y_m) * (ball_y - y_m)) AS d,
+        row_number() OVER (PARTITION BY sequence_id, frame_index ORDER BY sqrt((ball_x - x_m) * (ball_x - x_m) + (ball_y - y_m) * (ball_y - y_m)), team_label, track_id) AS rn
+      FROM gated_v JOIN (SELECT sequence_id, frame_index, ball_x, ball_y FROM ball_v WHERE ball_valid) USING (sequence_id, frame_index)) WHERE rn = 1"""
+
+VIEWS["men_v"] = """
+SELECT g.sequence_id, g.frame_index, g.timestamp_s, g.track_id, g.team_label, g.role, g.x_m, g.y_m, coalesce(m.vx, 0.0) AS vx, coalesce(m.vy, 0.0) AS vy, coalesce(m.speed, 0.0) AS speed
+FROM gated_v g JOIN moving_v m ON g.sequence_id = m.sequence_id AND g.frame_index = m.frame_index AND g.track_id = m.track_id"""
+
+VIEWS["target_v"] = """
+SELECT b.sequence_id, b.frame_index, b.timestamp_s, CASE WHEN c.track_id IS NOT NULL THEN 'CARRIER' WHEN ball_valid THEN 'BALL' ELSE 'UNKNOWN' END AS target_type, c.track_id AS target_id,
+  CASE WHEN h.possession_team IN ('TEAM_0', 'TEAM_1') AND (c.track_id IS NOT NULL OR ball_valid) THEN h.possession_team ELSE 'UNKNOWN' END AS target_team,
+  CASE WHEN c.track_id IS NOT NULL THEN h.possession_conf WHEN ball_valid THEN ball_conf * 0.8::DOUBLE ELSE 0.0::DOUBLE END AS target_conf,
+  coalesce(c.x_m, ball_x) AS tx, coalesce(c.y_m, ball_y) AS ty, coalesce(c.vx, 0.0) AS tvx, coalesce(c.vy, 0.0) AS tvy,
+  CASE h.possession_team WHEN 'TEAM_0' THEN 'TEAM_1' WHEN 'TEAM_1' THEN 'TEAM_0' ELSE 'UNKNOWN' END AS defending_team
+FROM ball_v b LEFT JOIN held_v h ON b.sequence_id = h.sequence_id AND b.frame_index = h.frame_index
+LEFT JOIN men_v c ON c.sequence_id = b.sequence_id AND c.frame_index = b.frame_index AND c.track_id = h.carrier_id"""
+
+VIEWS["defenders_v"] = """
+SELECT *, CASE WHEN d > 1e-3 THEN ((tx - x_m) * (vx - tvx) + (ty - y_m) * (vy - tvy)) / d ELSE 0.0 END AS closing,
+  atan2(y_m - ty, x_m - tx) AS angle
+FROM (SELECT t.*, m.track_id, m.x_m, m.y_m, m.vx, m.vy, m.speed, sqrt((tx - x_m) * (tx - x_m) + (ty - y_m) * (ty - y_m)) AS d
+      FROM target_v t JOIN men_v m ON m.sequence_id = t.sequence_id AND m.frame_index = t.frame_index AND m.team_label = t.defending_team WHERE target_type <> 'UNKNOWN')"""
+
+VIEWS["compression_v"] = """
+SELECT *, line_rate > 0.4 AND depth_rate < -0.4 AND centroid_rate < -0.4 AS compressing FROM (
+ SELECT sequence_id, frame_index, defending_team, CASE WHEN n > n0 THEN coalesce((h - h0) / dt, 0.0) ELSE 0.0 END AS line_rate, CASE WHEN n > n0 THEN coalesce((dp - d0) / dt, 0.0) ELSE 0.0 END AS depth_rate,
+   CASE WHEN n > n0 THEN coalesce((w - w0) / dt, 0.0) ELSE 0.0 END AS width_rate, CASE WHEN n > n0 THEN coalesce((c - c0) / dt, 0.0) ELSE 0.0 END AS centroid_rate
+ FROM (SELECT *, greatest(1e-3, ts - t0) AS dt FROM (
+   SELECT *, first_value(n) OVER r AS n0, first_value(ts) OVER r AS t0, first_value(h) OVER r AS h0, first_value(dp) OVER r AS d0, first_value(w) OVER r AS w0, first_value(c) OVER r AS c0
+   FROM (SELECT t.sequence_id, t.frame_index, t.defending_team, b.timestamp_s AS ts, b.h, CASE WHEN b.direction <> 0 THEN b.fx - b.bx END AS dp, CASE WHEN b.direction <> 0 AND b.n >= 2 THEN b.w END AS w,
+           CASE WHEN b.direction <> 0 THEN sqrt((b.px - b.ball_x) * (b.px - b.ball_x) + (b.py - b.ball_y) * (b.py - b.ball_y)) END AS c,
+           row_number() OVER (PARTITION BY t.sequence_id ORDER BY t.frame_index) AS n
+         FROM target_v t JOIN block_v b ON b.sequence_id = t.sequence_id AND b.frame_index = t.frame_index AND b.team_label = t.defending_team)
+   WINDOW r AS (PARTITION BY sequence_id ORDER BY n ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))))"""
+
+VIEWS["pressure_v"] = """
+WITH q AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, frame_index ORDER BY d, track_id) AS rn FROM defenders_v),
+a AS (SELECT *, lead(angle) OVER (PARTITION BY sequence_id, frame_index ORDER BY angle) AS nxt, min(angle) OVER (PARTITION BY sequence_id, frame_index) AS lo FROM defenders_v WHERE d <= 8.0),
+g AS (SELECT sequence_id, frame_index, coalesce(nxt - angle, 2 * pi() - (angle - lo)) AS gap FROM a),
+cov AS (SELECT sequence_id, frame_index, count(DISTINCT least(7, floor((angle + pi()) % (2 * pi()) / (2 * pi() / 8)))) AS sectors FROM a GROUP BY 1, 2),
+gm AS (SELECT sequence_id, frame_index, degrees(max(gap)) AS free_gap FROM g GROUP BY 1, 2),
+r AS (SELECT sequence_id, frame_index, max(d) FILTER (rn = 1) AS d1, max(closing) FILTER (rn = 1) AS v1, max(track_id) FILTER (rn = 1) AS nearest_id, max(d) FILTER (rn = 2) AS d2, max(d) FILTER (rn = 3) AS d3,
+  count(*) FILTER (d <= 2.0) AS r2, count(*) FILTER (d <= 3.0) AS r3, count(*) FILTER (d <= 5.0) AS r5, count(*) FILTER (d <= 8.0) AS r8, avg(closing) FILTER (d <= 8.0) AS mean_close,
+  max(closing) FILTER (d <= 8.0) AS max_close, count(*) FILTER (d <= 8.0 AND closing > 0) AS pos, count(*) FILTER (d <= 8.0 AND closing >= 1.5) AS fast FROM q GROUP BY 1, 2),
+j AS (SELECT t.*, d1, v1, nearest_id, d2, d3, coalesce(r2, 0) AS r2, coalesce(r3, 0) AS r3, coalesce(r5, 0) AS r5, coalesce(r8, 0) AS r8, coalesce(mean_close, 0.0) AS mean_close, coalesce(max_close, 0.0) AS max_close,
+   coalesce(pos, 0) AS pos, coalesce(fast, 0) AS fast, coalesce(sectors, 0) AS sectors, coalesce(free_gap, 360.0) AS free_gap, coalesce(c.compressing, false) AS compressing
+  FROM target_v t LEFT JOIN r USING (sequence_id, frame_index) LEFT JOIN cov USING (sequence_id, frame_index) LEFT JOIN gm USING (sequence_id, frame_index)
+  LEFT JOIN (SELECT sequence_id, frame_index, compressing FROM compression_v) c USING (sequence_id, frame_index))
+SELECT *, CASE WHEN target_type = 'UNKNOWN' OR d1 IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0,
+   (0.40 * exp(-d1 / 2.8) * (CASE WHEN v1 > 0 THEN 1.0 + least(0.8, v1 / 4.0) WHEN v1 < -1.0 THEN greatest(0.4, 1.0 + (v1 + 1.0) / 4.0) ELSE 1.0 END)
+    + 0.075 * exp(-coalesce(d2, 15.0) / 4.5) + 0.25 * least(1.0, 0.40 * r2 + 0.25 * r3 + 0.15 * r5) + 0.15 * sectors / 8.0 + CASE WHEN compressing THEN 0.08 ELSE 0.0 END)
+   * (1.0 + 0.15 * greatest(0, r2 - 1) + 0.10 * greatest(0, r3 - 2)))) END::DOUBLE AS p FROM j"""

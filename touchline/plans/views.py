@@ -125,3 +125,8 @@ def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
          (f % 40 + 600) / F.lit(10000.0), F.lit(-32.0), (f % 3) / F.lit(100000.0), (f % 4) / F.lit(100000.0), F.lit(1.0)]
     return ball(spark, sf_dir).select("sequence_id", "frame_index", (f % 10 == 0).alias("keyframe"),
                                       (f % 23 != 0).alias("cal_valid"), F.array(*h).alias("h"))
+
+
+def ball_pixels(ball_rows: DataFrame) -> DataFrame:
+    return (ball_rows.withColumn("ball_u", (F.col("ball_x") + 52.5) / 105.0 * 1920.0)
+            .withColumn("ball_v", (F.col("ball_y") + 34.0) / 68.0 * 1080.0))
