@@ -25,11 +25,19 @@ def possession(spark, sf_dir):
 
 
 def targets(spark, sf_dir):
+    return views.shared("targets", spark, sf_dir, _targets)
+
+
+def _targets(spark, sf_dir):
     ball = views.ball(spark, sf_dir)
     return pressure.targets(ball, men(spark, sf_dir), ball, possession(spark, sf_dir))
 
 
 def frame_pressure(spark, sf_dir):
+    return views.shared("pressure", spark, sf_dir, _frame_pressure)
+
+
+def _frame_pressure(spark, sf_dir):
     target = targets(spark, sf_dir)
     squeeze = pressure.compression(block_table(spark, sf_dir), target)
     return pressure.frame_pressure(target, pressure.defenders(target, men(spark, sf_dir)), squeeze)

@@ -173,3 +173,69 @@ SELECT *, CASE WHEN target_type = 'UNKNOWN' OR d1 IS NULL THEN 0.0 ELSE greatest
    (0.40 * exp(-d1 / 2.8) * (CASE WHEN v1 > 0 THEN 1.0 + least(0.8, v1 / 4.0) WHEN v1 < -1.0 THEN greatest(0.4, 1.0 + (v1 + 1.0) / 4.0) ELSE 1.0 END)
     + 0.075 * exp(-coalesce(d2, 15.0) / 4.5) + 0.25 * least(1.0, 0.40 * r2 + 0.25 * r3 + 0.15 * r5) + 0.15 * sectors / 8.0 + CASE WHEN compressing THEN 0.08 ELSE 0.0 END)
    * (1.0 + 0.15 * greatest(0, r2 - 1) + 0.10 * greatest(0, r3 - 2)))) END::DOUBLE AS p FROM j"""
+
+VIEWS["turnovers_v"] = """
+SELECT sequence_id, frame_index AS loss_frame, (frame_index - 1) / 25.0::DOUBLE AS loss_ts, prev AS losing_team, possession_team AS gaining_team, 0.82::DOUBLE AS change_conf
+FROM (SELECT *, lag(possession_team) OVER (PARTITION BY sequence_id ORDER BY frame_index) AS prev FROM held_v WHERE possession_team IN ('TEAM_0', 'TEAM_1')) WHERE prev <> possession_team"""
+
+VIEWS["visible_v"] = "SELECT sequence_id, frame_index, any_value(timestamp_s) AS timestamp_s, count(*) AS visible FROM gated_v GROUP BY 1, 2"
+
+VIEWS["team_visible_v"] = "SELECT sequence_id, frame_index, team_label, count(*) AS players FROM gated_v GROUP BY 1, 2, 3"
+
+VIEWS["ends_v"] = "SELECT sequence_id, max(frame_index) AS last_frame, max(timestamp_s) AS last_ts FROM ball_v GROUP BY 1"
+
+VIEWS["transitions_v"] = """
+WITH sides AS (SELECT sequence_id, frame_index, team_label, direction, h, CASE WHEN direction <> 0 THEN fx - bx END AS dp, CASE WHEN direction <> 0 AND n >= 2 THEN w END AS w,
+    CASE WHEN direction <> 0 THEN sqrt((px - ball_x) * (px - ball_x) + (py - ball_y) * (py - ball_y)) END AS cb FROM block_v),
+j AS (SELECT t.*, v.frame_index AS fr, v.timestamp_s AS ts, v.visible, p.p, p.d1, p.v1, p.r3, p.r5, p.sectors / 8.0 AS cov, s.h, s.dp, s.w, s.cb, g.direction AS gd, b.ball_x AS bxx, v.frame_index >= t.loss_frame AS post
+  FROM turnovers_v t JOIN visible_v v ON v.sequence_id = t.sequence_id AND v.frame_index BETWEEN t.loss_frame - 25 AND t.loss_frame + 25
+  LEFT JOIN pressure_v p ON p.sequence_id = t.sequence_id AND p.frame_index = v.frame_index
+  LEFT JOIN sides s ON s.sequence_id = t.sequence_id AND s.frame_index = v.frame_index AND s.team_label = t.losing_team
+  LEFT JOIN sides g ON g.sequence_id = t.sequence_id AND g.frame_index = v.frame_index AND g.team_label = t.gaining_team
+  LEFT JOIN (SELECT sequence_id, frame_index, ball_x FROM ball_v WHERE ball_valid) b ON b.sequence_id = t.sequence_id AND b.frame_index = v.frame_index),
+a AS (SELECT sequence_id, loss_frame, loss_ts, losing_team, gaining_team, change_conf, avg(visible) FILTER (post) AS mean_visible,
+   coalesce(avg(p) FILTER (NOT post), 0.05) AS pp, coalesce(avg(p) FILTER (post), 0.05) AS pa, coalesce(avg(d1) FILTER (NOT post), 12.0) AS dpre, coalesce(avg(d1) FILTER (post), 12.0) AS dpost,
+   avg(v1) FILTER (post) AS cs, coalesce(avg(r3) FILTER (post), 0.0) AS r3, coalesce(avg(r5) FILTER (post), 0.0) AS r5, coalesce(avg(cb) FILTER (post), 20.0) - coalesce(avg(cb) FILTER (NOT post), 20.0) AS cd,
+   CASE WHEN count(h) FILTER (post) >= 2 THEN (arg_max(h, fr) FILTER (post AND h IS NOT NULL) - arg_min(h, fr) FILTER (post AND h IS NOT NULL)) / greatest(1e-3, max(ts) FILTER (post) - min(ts) FILTER (post)) ELSE 0.0 END AS lv,
+   coalesce((arg_max_null(bxx, fr) FILTER (post) - arg_min_null(bxx, fr) FILTER (post)) * CASE WHEN arg_min_null(gd, fr) FILTER (post) = -1 THEN -1.0 ELSE 1.0 END, 0.0) AS prog
+  FROM j GROUP BY 1, 2, 3, 4, 5, 6),
+s AS (SELECT *, least(1.0, greatest(0.0, 0.35 * (0.5 * least(1.0, greatest(0.0, pa)) + 0.5 * least(1.0, greatest(0.0, (pa - pp + 0.2) / 0.5)))
+     + 0.25 * CASE WHEN cs IS NOT NULL THEN 0.45 * least(1.0, greatest(0.0, (8.0 - dpost) / 8.0)) + 0.55 * least(1.0, greatest(0.0, (cs + 1.0) / 5.0)) ELSE least(1.0, greatest(0.0, (8.0 - dpost) / 8.0)) END
+     + 0.20 * (0.5 * least(1.0, r3 / 2.0) + 0.5 * least(1.0, r5 / 3.0)) + 0.20 * (0.5 * least(1.0, greatest(0.0, (1.5 - cd) / 3.0)) + 0.5 * least(1.0, greatest(0.0, (lv + 1.0) / 2.5))))) AS cp,
+   least(1.0, greatest(0.0, 0.30 * least(1.0, greatest(0.0, (0.25 - pa) / 0.25)) + 0.30 * (0.5 * least(1.0, greatest(0.0, (cd + 1.0) / 3.0)) + 0.5 * least(1.0, greatest(0.0, (1.0 - lv) / 2.5)))
+     + 0.25 * CASE WHEN cs IS NOT NULL THEN 0.5 * least(1.0, greatest(0.0, (dpost - dpre + 1.0) / 4.0)) + 0.5 * least(1.0, greatest(0.0, (1.0 - cs) / 4.0)) ELSE least(1.0, greatest(0.0, (dpost - dpre + 1.0) / 4.0)) END
+     + 0.15 * greatest(0.0, 1.0 - (r3 + r5) / 3.0))) AS rec FROM a)
+SELECT s.sequence_id, loss_frame, loss_ts, losing_team, gaining_team, change_conf, mean_visible, pp, pa, dpre, dpost, cs, r3, r5, cd, lv, prog,
+   CASE WHEN mean_visible < 6 THEN 0.0 ELSE cp END AS cp, CASE WHEN mean_visible < 6 THEN 0.0 ELSE rec END AS rec, CASE WHEN mean_visible < 6 THEN 'NOT_VISIBLE' WHEN change_conf < 0.45 THEN 'AMBIGUOUS' WHEN cp >= 0.52 AND cp > rec + 0.10 THEN 'COUNTERPRESS_CANDIDATE'
+     WHEN rec >= 0.48 AND rec > cp + 0.08 THEN 'DEFENSIVE_RECOVERY_CANDIDATE' ELSE 'NEUTRAL_TRANSITION' END AS candidate_label,
+   CASE WHEN mean_visible < 6 THEN 'AMBIGUOUS' WHEN prog >= 5.0 THEN 'FAST_ATTACK' WHEN prog <= 2.0 THEN 'SLOW_BUILDUP' ELSE 'AMBIGUOUS' END AS response, loss_frame + 25 AS confirm_frame
+FROM s JOIN (SELECT sequence_id, max(frame_index) AS mf FROM visible_v GROUP BY 1) e ON e.sequence_id = s.sequence_id AND mf >= loss_frame + 25"""
+
+VIEWS["press_marks_v"] = """
+SELECT *, sum(CASE WHEN member AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY sequence_id, defending_team ORDER BY frame_index) AS island FROM (
+ SELECT *, was OR p >= 0.45 AS member FROM (
+  SELECT *, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY sequence_id, defending_team ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS was
+  FROM (SELECT *, CASE WHEN p >= 0.45 THEN 1 WHEN p < 0.25 THEN 0 END AS flag FROM pressure_v WHERE defending_team IN ('TEAM_0', 'TEAM_1'))))"""
+
+VIEWS["press_episodes_v"] = """
+SELECT *, 'press_' || start_frame || '_' || end_frame || '_' || defending_team AS event_id, greatest(0.0, least(least(1.0, greatest(0.0, mean_p * CASE WHEN vis >= 8 THEN 1.0 WHEN vis >= 6 THEN 0.85 WHEN vis >= 4 THEN 0.65 ELSE 0.30 END)), 0.90::DOUBLE)) AS confidence,
+  CASE WHEN vis < 4 THEN 'INVALID' WHEN vis < 6 THEN 'LOW' WHEN vis <= 7 THEN 'MEDIUM' ELSE 'HIGH' END AS quality
+FROM (SELECT m.sequence_id, m.defending_team, min(m.frame_index) AS start_frame, min(m.timestamp_s) AS start_ts, CASE WHEN arg_max(m.p, m.frame_index) < 0.25 THEN max(m.frame_index) ELSE any_value(last_frame) END AS end_frame,
+   CASE WHEN arg_max(m.p, m.frame_index) < 0.25 THEN max(m.timestamp_s) ELSE any_value(last_ts) END AS end_ts, arg_min(m.target_team, m.frame_index) AS opponent_team, avg(m.p) AS mean_p, max(m.p) AS peak_p,
+   coalesce(min(d1), 0.0) AS nearest_m, CAST(floor(avg(coalesce(players, 1))) AS INTEGER) AS vis
+  FROM press_marks_v m JOIN ends_v e ON e.sequence_id = m.sequence_id LEFT JOIN team_visible_v t ON t.sequence_id = m.sequence_id AND t.frame_index = m.frame_index AND t.team_label = m.defending_team
+  WHERE member GROUP BY m.sequence_id, m.defending_team, island) WHERE end_frame - start_frame + 1 >= 8"""
+
+VIEWS["evidence_v"] = """
+SELECT sequence_id, 'poss_change_' || loss_frame || '_' || losing_team || '_to_' || gaining_team AS event_id, loss_frame AS start_frame, loss_frame AS end_frame, loss_ts AS start_ts, loss_ts AS end_ts, 'POSSESSION_CHANGE' AS family,
+  'LEVEL_1_PHYSICAL_FACT' AS level, losing_team AS subject_team, gaining_team AS opponent_team, change_conf AS confidence, 'HIGH' AS quality FROM turnovers_v
+UNION ALL SELECT sequence_id, 'trans_' || loss_frame || '_' || confirm_frame || '_' || losing_team || '_' || candidate_label, loss_frame, confirm_frame, loss_ts, confirm_frame / 25.0::DOUBLE,
+  CASE WHEN candidate_label = 'DEFENSIVE_RECOVERY_CANDIDATE' THEN 'DEFENSIVE_RECOVERY' ELSE 'POST_LOSS_ENGAGEMENT' END, 'LEVEL_3_TACTICAL_CANDIDATE', losing_team, gaining_team,
+  least(CASE candidate_label WHEN 'COUNTERPRESS_CANDIDATE' THEN cp WHEN 'DEFENSIVE_RECOVERY_CANDIDATE' THEN rec ELSE greatest(cp, rec, 0.40) END, change_conf, 0.85::DOUBLE), 'HIGH' FROM transitions_v
+UNION ALL SELECT sequence_id, event_id, start_frame, end_frame, start_ts, end_ts, 'PRESSURE_EPISODE', 'LEVEL_1_PHYSICAL_FACT', defending_team, opponent_team, confidence, quality FROM press_episodes_v"""
+
+VIEWS["links_v"] = """
+SELECT DISTINCT a.sequence_id, a.event_id AS source_id, b.event_id AS target_id, CASE a.family WHEN 'POSSESSION_CHANGE' THEN 'CAUSES' ELSE 'SUPPORTS' END AS relation
+FROM evidence_v a JOIN evidence_v b ON a.sequence_id = b.sequence_id AND b.family IN ('POST_LOSS_ENGAGEMENT', 'DEFENSIVE_RECOVERY')
+WHERE (a.family = 'POSSESSION_CHANGE' AND abs(a.start_frame - b.start_frame) <= 25 AND (a.subject_team = b.subject_team OR a.opponent_team = b.opponent_team))
+   OR (a.family = 'PRESSURE_EPISODE' AND a.start_frame <= b.end_frame AND a.end_frame >= b.start_frame AND a.subject_team = b.subject_team)"""

@@ -18,15 +18,23 @@ def directions(gated):
     return lines.attack_direction(gated)
 
 
-def oriented(spark, sf_dir):
+def _oriented(spark, sf_dir):
     gated = players(spark, sf_dir)
     return lines.oriented_teams(lines.oriented_players(geo.outfield(gated), directions(gated)))
 
 
-def block_table(spark, sf_dir):
+def oriented(spark, sf_dir):
+    return views.shared("oriented", spark, sf_dir, _oriented)
+
+
+def _block_table(spark, sf_dir):
     return block.categorise(block.block_metrics(oriented(spark, sf_dir), views.ball(spark, sf_dir)))
 
 
+def block_table(spark, sf_dir):
+    return views.shared("blocks", spark, sf_dir, _block_table)
+
+
 EVIDENCE_SQL = """
 flip AS (SELECT sequence_id, frame_index, team_label, role, track_id, CASE WHEN frame_index > 75 AND substr(sequence_id, 7, 1) IN ('1', '3', '5', '7', '9') THEN -x_m ELSE x_m END AS x FROM gated_v),
 cent AS (SELECT sequence_id AS sq, frame_index AS fr, team_label AS tm, avg(x) AS cx, max(x) FILTER (role = 'GOALKEEPER') AS gk FROM flip GROUP BY 1, 2, 3),

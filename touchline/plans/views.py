@@ -130,3 +130,14 @@ def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ball_pixels(ball_rows: DataFrame) -> DataFrame:
     return (ball_rows.withColumn("ball_u", (F.col("ball_x") + 52.5) / 105.0 * 1920.0)
             .withColumn("ball_v", (F.col("ball_y") + 34.0) / 68.0 * 1080.0))
+
+
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """A frame table several queries read, computed once per session and kept in memory and on disk."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SHARED:
+        _SHARED[key] = build(spark, sf_dir).persist()
+    return _SHARED[key]
