@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.functions import frames
+from touchline.functions.boxes import let
 from touchline.operators.geometry import TEAM
 from touchline.operators.lines import SEQ_TEAM
 
@@ -24,12 +25,14 @@ def formation_distance(lines: Column, prototype: tuple[int, ...]) -> Column:
     m = len(prototype)
     start = F.array(*[F.lit(float(sum(prototype[:j]))) for j in range(m + 1)])
 
+    def cell(row: Column, seen: Column, j: int):
+        want = float(prototype[j - 1])
+        return lambda done: F.concat(done, F.array(F.least(row[j - 1] + F.abs(seen - want), row[j] + seen, done[j - 1] + want)))
+
     def next_row(row: Column, seen: Column) -> Column:
         cells = F.array(row[0] + seen)
         for j in range(1, m + 1):
-            want = float(prototype[j - 1])
-            cells = F.transform(F.array(cells), lambda done, j=j, want=want: F.concat(done, F.array(F.least(
-                row[j - 1] + F.abs(seen - want), row[j] + seen, done[j - 1] + want))))[0]
+            cells = let(cells, cell(row, seen, j))
         return cells
 
     cost = F.aggregate(F.transform(lines, lambda v: v.cast("double")), start, next_row, lambda row: row[m])
