@@ -239,3 +239,38 @@ SELECT DISTINCT a.sequence_id, a.event_id AS source_id, b.event_id AS target_id,
 FROM evidence_v a JOIN evidence_v b ON a.sequence_id = b.sequence_id AND b.family IN ('POST_LOSS_ENGAGEMENT', 'DEFENSIVE_RECOVERY')
 WHERE (a.family = 'POSSESSION_CHANGE' AND abs(a.start_frame - b.start_frame) <= 25 AND (a.subject_team = b.subject_team OR a.opponent_team = b.opponent_team))
    OR (a.family = 'PRESSURE_EPISODE' AND a.start_frame <= b.end_frame AND a.end_frame >= b.start_frame AND a.subject_team = b.subject_team)"""
+
+VIEWS["markdown_v"] = """
+SELECT doc_id, source || '_' || doc_id || '.md' AS source, CASE WHEN doc_id % 3 = 0 THEN '# Doc ' || doc_id || chr(10) ELSE '' END
+  || array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) % 17 = 5 THEN '## ' || l WHEN length(l) % 19 = 5 THEN '### ' || l ELSE l END), chr(10)) AS text FROM documents"""
+
+VIEWS["search_v"] = "SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS query FROM benchmark"
+
+VIEWS["questions_v"] = """
+SELECT conv_id * 1000 + turn AS query_id, CASE conv_id % 12 WHEN 0 THEN 'Pourquoi le bloc est bas entre 2.5s et 6 secondes' WHEN 1 THEN 'Que se passe-t-il a 12.4s avec team 0' WHEN 2 THEN 'bonjour' WHEN 3 THEN 'une pizza' WHEN 4 THEN 'le score final du match'
+  WHEN 5 THEN 'comment fonctionne le pressing en 4-3-3' WHEN 6 THEN 'qui a le ballon frame 145' WHEN 7 THEN 'pressing PSG en premiere mi-temps' WHEN 8 THEN 'fin de match, transition a la 72e minute' WHEN 9 THEN 'plus compact, team 1'
+  WHEN 10 THEN 'faire un exercice pour eviter la perte de balle 442' ELSE 'attaquer le bloc bas de inter en ligue 1 avec vitinha' END || ' ' || text AS query, conv_id % 12 AS slot FROM conversations WHERE role = 'user'"""
+
+VIEWS["doc_tokens_v"] = """
+SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s-]', ' ', 'g'), '[\\s\\p{Z}]+'), lambda w: length(w) > 1) AS toks FROM documents"""
+
+VIEWS["query_tokens_v"] = """
+SELECT query_id, list_filter(regexp_split_to_array(regexp_replace(lower(query), '[^\\p{L}\\p{N}_\\s-]', ' ', 'g'), '[\\s\\p{Z}]+'), lambda w: length(w) > 1) AS toks FROM search_v"""
+
+VIEWS["bm25_v"] = """
+WITH p AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS token FROM doc_tokens_v), tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM p GROUP BY 1, 2, 3),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(toks)) AS ml FROM doc_tokens_v), q AS (SELECT query_id, unnest(toks) AS token FROM query_tokens_v)
+SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / ml))) AS score FROM q JOIN tf USING (token) JOIN df USING (token), st GROUP BY 1, 2"""
+
+VIEWS["tfidf_v"] = """
+WITH p AS (SELECT doc_id, unnest(flatten(list_transform(toks, lambda w: CASE WHEN regexp_full_match(w, '\\d+(-\\d+)+') THEN [w, replace(w, '-', '')] WHEN regexp_full_match(w, '\\d{3,4}') THEN [w, array_to_string(string_split(w, ''), '-')] ELSE [w] END))) AS token FROM doc_tokens_v),
+dl AS (SELECT doc_id, count(*) AS dl FROM p GROUP BY 1), tf AS (SELECT doc_id, token, count(*) AS tf FROM p GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM doc_tokens_v),
+w AS (SELECT doc_id, token, tf / dl * (ln(1 + n / (1 + df)) + 1.0) AS w FROM tf JOIN dl USING (doc_id) JOIN df USING (token), n)
+SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w"""
+
+VIEWS["tfidf_scores_v"] = """
+WITH q0 AS (SELECT query_id, unnest(flatten(list_transform(toks, lambda w: CASE WHEN regexp_full_match(w, '\\d+(-\\d+)+') THEN [w, replace(w, '-', '')] WHEN regexp_full_match(w, '\\d{3,4}') THEN [w, array_to_string(string_split(w, ''), '-')] ELSE [w] END))) AS token FROM query_tokens_v),
+ql AS (SELECT query_id, count(*) AS ql FROM q0 GROUP BY 1), qt AS (SELECT query_id, token, count(*) AS qtf FROM q0 GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tfidf_v GROUP BY 1), n AS (SELECT count(*) AS n FROM doc_tokens_v),
+w AS (SELECT query_id, token, qtf / ql * (ln(1 + n / (1 + df)) + 1.0) AS w FROM qt JOIN ql USING (query_id) JOIN df USING (token), n),
+u AS (SELECT query_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS qw FROM w)
+SELECT query_id, doc_id, sum(weight * qw) AS score FROM u JOIN tfidf_v USING (token) GROUP BY 1, 2"""

@@ -141,3 +141,43 @@ def shared(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
     if key not in _SHARED:
         _SHARED[key] = build(spark, sf_dir).persist()
     return _SHARED[key]
+
+
+def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a title line, and with some of their lines turned into headers."""
+    mark = lambda line: (F.when(F.length(line) % 17 == 5, F.concat(F.lit("## "), line)).when(F.length(line) % 19 == 5, F.concat(F.lit("### "), line)).otherwise(line))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"),
+        F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(""),
+                 F.array_join(F.transform(F.split("text", "\n"), mark), "\n")).alias("text"))
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First eight words of every benchmark text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+
+
+PHRASES = ["Pourquoi le bloc est bas entre 2.5s et 6 secondes", "Que se passe-t-il a 12.4s avec team 0", "bonjour", "une pizza", "le score final du match",
+           "comment fonctionne le pressing en 4-3-3", "qui a le ballon frame 145", "pressing PSG en premiere mi-temps", "fin de match, transition a la 72e minute",
+           "plus compact, team 1", "faire un exercice pour eviter la perte de balle 442", "attaquer le bloc bas de inter en ligue 1 avec vitinha"]
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with one of a dozen football phrases put in front."""
+    slot = (F.col("conv_id") % len(PHRASES)).cast("int")
+    phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), slot)
+    return (table(spark, sf_dir, "conversations").filter("role = 'user'")
+            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(phrase, F.lit(" "), "text").alias("query")))
+
+
+def match_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One match report text per order."""
+    k = F.col("o_orderkey")
+    line = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    team = lambda salt: line("Team", ((k * salt) % 20).cast("string"))
+    n = lambda expr: expr.cast("string")
+    text = F.concat_ws("\n", line("Match: ", team(7), " vs ", line("Side", n(k * 3 % 20))), line("Score: ", n(k % 5), "-", n(k % 3)),
+                       F.when(k % 4 != 0, line("Date: ", F.date_format("o_orderdate", "yyyy-MM-dd"))), F.when(k % 5 == 0, line("Competition: Coupe")),
+                       line(team(7), ": Possession ", n(k % 100), "%, Passes ", n(k % 700), ", Tirs ", n(k % 20), ", xG ", n(k % 4), ".", n(k % 10), ", Bloc style low-block"),
+                       line("- ", n(k % 95 + 1), "e minute: (Home) But de la tete"), F.when(k % 2 == 0, line("- ", n(k % 60 + 1), "e minute: (Away) Transition rapide")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), text.alias("text"))
