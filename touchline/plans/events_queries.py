@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import formation, fusion, geometry as geo, passes, possession as poss, smoothing, transitions
 from touchline.plans import views
-from touchline.plans.motion_queries import frame_pressure, moving, possession as quick
+from touchline.plans.motion_queries import frame_pressure, possession as quick
 from touchline.plans.registry import query, rounded
 from touchline.plans.stats_queries import tidy
 from touchline.plans.tactics_queries import block_table, directions, oriented, players
@@ -19,7 +19,7 @@ def ball_motion(spark, sf_dir):
 def boxed_players(spark, sf_dir):
     """Gated players with their pixel boxes and speed."""
     u, v = (F.col("x_m") + 52.5) / 105.0 * 1920.0, (F.col("y_m") + 34.0) / 68.0 * 1080.0
-    return (geo.gate(moving(spark, sf_dir)).withColumn("x1", u - 15.0).withColumn("y1", v - 90.0).withColumn("x2", u + 15.0).withColumn("y2", v))
+    return (players(spark, sf_dir).withColumn("x1", u - 15.0).withColumn("y1", v - 90.0).withColumn("x2", u + 15.0).withColumn("y2", v))
 
 
 def frame_list(spark, sf_dir):

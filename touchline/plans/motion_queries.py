@@ -15,13 +15,11 @@ def moving(spark, sf_dir):
     return smoothing.velocity(views.tracking(spark, sf_dir))
 
 
-def men(spark, sf_dir):
-    """Gated players with their velocity."""
-    return geo.gate(moving(spark, sf_dir))
+men = players
 
 
 def possession(spark, sf_dir):
-    return pressure.quick_possession(players(spark, sf_dir), views.ball(spark, sf_dir))
+    return views.shared("held", spark, sf_dir, lambda s, d: pressure.quick_possession(players(s, d), views.ball(s, d)))
 
 
 def targets(spark, sf_dir):

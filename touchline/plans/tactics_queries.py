@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import block, geometry as geo, lines
+from touchline.operators import block, geometry as geo, lines, smoothing
 from touchline.plans import views
 from touchline.plans.registry import query, rounded
 from touchline.plans.stats_queries import tidy
 
 
 def players(spark, sf_dir):
-    return geo.gate(views.tracking(spark, sf_dir))
+    """Gated players with their velocity: the table every later step starts from."""
+    return views.shared("players", spark, sf_dir, lambda s, d: geo.gate(smoothing.velocity(views.tracking(s, d))))
 
 
 def directions(gated):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from touchline.session import cut_lineage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -136,10 +138,10 @@ _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """A frame table several queries read, computed once per session and kept in memory and on disk."""
+    """A frame table several queries read, computed once per session and kept as files in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _SHARED:
-        _SHARED[key] = build(spark, sf_dir).persist()
+        _SHARED[key] = cut_lineage(build(spark, sf_dir))
     return _SHARED[key]
 
 
