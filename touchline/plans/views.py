@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per player and frame: 22 players, 150 frames per sequence, 25 frames a second."""
+    return tracking_of(table(spark, sf_dir, "events"))
+
+
+def tracking_of(events: DataFrame) -> DataFrame:
+    """The tracking view over any frame of events, batch or stream."""
     f, slot, k, fi, sgn = F.col("f"), F.col("slot"), F.col("k"), F.col("fi"), F.col("sgn")
     base_x = F.when(k == 0, -4800).when(k <= 4, -3000).when(k <= 8, -1000).otherwise(1200)
     base_y = (F.when(k == 0, 0).when(k <= 4, (2 * k - 5) * 600).when(k <= 8, (2 * k - 13) * 600)
@@ -23,7 +28,7 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.expr("f div 150")
     label = F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))
     return (
-        table(spark, sf_dir, "events")
+        events
         .selectExpr("event_id", "event_id div 22 AS f", "event_id % 22 AS slot", "(event_id % 22) % 11 AS k",
                     "(event_id div 22) % 150 + 1 AS fi", "CASE WHEN event_id % 22 < 11 THEN 1 ELSE -1 END AS sgn")
         .select(
@@ -183,3 +188,8 @@ def match_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
                        line(team(7), ": Possession ", n(k % 100), "%, Passes ", n(k % 700), ", Tirs ", n(k % 20), ", xG ", n(k % 4), ".", n(k % 10), ", Bloc style low-block"),
                        line("- ", n(k % 95 + 1), "e minute: (Home) But de la tete"), F.when(k % 2 == 0, line("- ", n(k % 60 + 1), "e minute: (Away) Transition rapide")))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), text.alias("text"))
+
+
+def written(df: DataFrame) -> str:
+    """Write ``df`` to the shared folder and give the path, as the input of a file stream."""
+    return cut_lineage(df).inputFiles()[0].rsplit("/", 1)[0]
