@@ -280,6 +280,11 @@ def classify(questions: DataFrame, in_video: bool = False) -> DataFrame:
 
 # ---- match reports and tables -------------------------------------------------------------------------------
 
+def _default_stats() -> Column:
+    return F.struct(F.lit(50).alias("possession_pct"), F.lit(400).alias("passes_completed"), F.lit(30).alias("passes_progressive"), F.lit(10).alias("shots"),
+                    F.lit(4).alias("shots_on_target"), F.lit(1.0).alias("xg"), F.lit(10.0).alias("ppda"), F.lit("medium-block").alias("bloc_style"))
+
+
 def parse_match_report(reports: DataFrame) -> DataFrame:
     """Semi-structured report lines into meta fields, a map of team statistics and an array of events."""
     lines = F.transform(F.split("text", "\n"), strip)
@@ -307,11 +312,11 @@ def parse_match_report(reports: DataFrame) -> DataFrame:
 
     is_meta = lambda l: l.rlike("^(Match:|Score:|Date:|Competition:|Saison:)")
     stat_lines = F.filter("_lines", lambda l: ~is_meta(l) & l.contains(":") & l.rlike("Possession|Passes"))
-    named = F.transform(stat_lines, lambda l: F.struct(strip(F.substring_index(l, ":", 1)).alias("key"), stats(F.regexp_extract(l, r"(?s)^[^:]*:(.*)$", 1)).alias("value")))
+    df = df.withColumn("_named", F.transform(stat_lines, lambda l: F.struct(
+        strip(F.substring_index(l, ":", 1)).alias("key"), stats(F.regexp_extract(l, r"(?s)^[^:]*:(.*)$", 1)).alias("value"))))
     # the last line of a team wins; teams without a line take the defaults
-    present = F.transform(named, lambda e: e["key"])
-    missing = F.transform(F.array_except(F.array("home", "away"), present), lambda t: F.struct(t.alias("key"), stats(F.lit("")).alias("value")))
-    last_of = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
+    missing = F.transform(F.array_except(F.array("home", "away"), F.col("_named.key")), lambda t: F.struct(t.alias("key"), _default_stats().alias("value")))
+    last_of = F.filter("_named", lambda e, i: ~F.exists(F.slice("_named", i + 2, F.size("_named")), lambda later: later["key"] == e["key"]))
     event = r"-\s*(\d+)(?:ème|e)?\s*minute:\s*\((\w+)\)\s*(.*)"
     event_lines = F.filter("_lines", lambda l: l.startswith("-") & l.contains("minute") & l.rlike(event) & ~(l.contains(":") & l.rlike("Possession|Passes")))
 
@@ -322,7 +327,7 @@ def parse_match_report(reports: DataFrame) -> DataFrame:
 
     slug = lambda c: F.regexp_replace(F.lower(c), " ", "_")
     df = df.withColumn("match_id", F.concat(F.regexp_replace("date", "-", "_"), F.lit("_"), slug(F.col("home")), F.lit("_"), slug(F.col("away")), F.lit("_01")))
-    return df.withColumn("team_stats", F.map_from_entries(F.concat(last_of, missing))).withColumn("events", F.transform(event_lines, as_event)).drop("_lines", "text")
+    return df.withColumn("team_stats", F.map_from_entries(F.concat(last_of, missing))).withColumn("events", F.transform(event_lines, as_event)).drop("_lines", "_named", "text")
 
 
 def render_match(matches: DataFrame) -> DataFrame:

@@ -119,4 +119,4 @@ def control_model(spark, sf_dir):
     names = [c for c in poss.STATELESS if c not in ("track_conf", "ball_state", "calibrated")]
     rows = feats.join(best, ["sequence_id", "frame_index"]).withColumn("y", (F.col("track_id") == F.col("nearest")).cast("double"))
     scored = models.control_probability(models.fit_control(rows, names), rows)
-    return tidy(evaluation.calibration_error(scored), 2).select("rows")
+    return tidy(evaluation.calibration_error(scored), 2)

@@ -12,7 +12,7 @@ from touchline.plans.stats_queries import tidy
 
 
 def docs(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents")
+    return views.spread(views.table(spark, sf_dir, "documents"))
 
 
 @query("html_strip", "T1", """

@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a table is fewer files than cores; a large table is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per player and frame: 22 players, 150 frames per sequence, 25 frames a second."""
     return tracking_of(table(spark, sf_dir, "events"))
@@ -153,7 +159,7 @@ def shared(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a title line, and with some of their lines turned into headers."""
     mark = lambda line: (F.when(F.length(line) % 17 == 5, F.concat(F.lit("## "), line)).when(F.length(line) % 19 == 5, F.concat(F.lit("### "), line)).otherwise(line))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"),
         F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(""),
                  F.array_join(F.transform(F.split("text", "\n"), mark), "\n")).alias("text"))
@@ -187,7 +193,7 @@ def match_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(k % 4 != 0, line("Date: ", F.date_format("o_orderdate", "yyyy-MM-dd"))), F.when(k % 5 == 0, line("Competition: Coupe")),
                        line(team(7), ": Possession ", n(k % 100), "%, Passes ", n(k % 700), ", Tirs ", n(k % 20), ", xG ", n(k % 4), ".", n(k % 10), ", Bloc style low-block"),
                        line("- ", n(k % 95 + 1), "e minute: (Home) But de la tete"), F.when(k % 2 == 0, line("- ", n(k % 60 + 1), "e minute: (Away) Transition rapide")))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), text.alias("text"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("report_id"), text.alias("text"))
 
 
 def written(df: DataFrame) -> str:
