@@ -285,15 +285,12 @@ def ranking_areas(rows: DataFrame, places: int = 4) -> DataFrame:
 
 def near_changes(labels: DataFrame, reach: int = 10, span: int = frames.SPAN) -> DataFrame:
     """Flag the frames within ten frames of a change of the label."""
-    def changed(rows: DataFrame, keys: list[str]) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("frame_index")
-        return rows.withColumn("_c", F.coalesce(F.col("label") != F.lag("label").over(w), F.lit(False)).cast("int"))
-
     def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy("frame_index").rangeBetween(-reach, reach)
         return rows.withColumn("near_change", F.max("_c").over(w) == 1)
 
-    marked = frames.halo(labels, ["sequence_id"], "frame_index", changed, before=1, span=span)
+    pairs = frames.previous_row(labels, ["sequence_id"], "frame_index", ["label"], span=span)
+    marked = pairs.withColumn("_c", F.coalesce(F.col("label") != F.col("prev_label"), F.lit(False)).cast("int")).drop("prev_label")
     return frames.halo(marked, ["sequence_id"], "frame_index", spread, before=reach, after=reach, span=span).drop("_c")
 
 

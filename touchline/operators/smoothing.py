@@ -157,13 +157,10 @@ def movement_summary(moving: DataFrame, span: int = frames.SPAN) -> DataFrame:
 
 def steps_by_calibration_age(observations: DataFrame, ages: DataFrame, span: int = frames.SPAN) -> DataFrame:
     """Step length between neighbouring rows of a track, by the age of the calibration of the later frame."""
-    def apply(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return rows.withColumn("_p", F.lag(F.struct("position_valid", "x_m", "y_m")).over(_at(keys)))
-
-    pairs = frames.halo(observations, TRACK, "frame_index", apply, before=1, span=span).filter("position_valid AND _p.position_valid")
+    pairs = frames.previous_row(observations, TRACK, "frame_index", ["position_valid", "x_m", "y_m"], span=span).filter("position_valid AND prev_position_valid")
     age = F.col("age")
     bucket = (F.when(age == 0, "age_0").when(age <= 2, "age_1_2").when(age <= 5, "age_3_5").when(age <= 10, "age_6_10"))
-    step = F.sqrt(F.pow(F.col("x_m") - F.col("_p.x_m"), 2) + F.pow(F.col("y_m") - F.col("_p.y_m"), 2))
+    step = F.sqrt(F.pow(F.col("x_m") - F.col("prev_x_m"), 2) + F.pow(F.col("y_m") - F.col("prev_y_m"), 2))
     joined = pairs.join(ages.filter("cal_valid").select("sequence_id", "frame_index", "age"), ["sequence_id", "frame_index"])
     return (joined.withColumn("bucket", bucket).filter("bucket IS NOT NULL").groupBy("bucket")
             .agg(F.avg(step).alias("mean_step_m"), F.percentile(step, 0.5).alias("median_step_m"), F.percentile(step, 0.95).alias("p95_step_m"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import formation, fusion, geometry as geo, passes, possession as poss, smoothing, transitions
+from touchline.operators import formation, fusion, geometry as geo, lines, passes, possession as poss, smoothing, transitions
 from touchline.plans import views
 from touchline.plans.motion_queries import frame_pressure, possession as quick
 from touchline.plans.registry import query, rounded
@@ -317,6 +317,18 @@ lab AS (SELECT st.*, n1, d1, CASE WHEN n >= 9 THEN 'FULL_EVIDENCE' WHEN n >= 7 T
   FROM st LEFT JOIN best ON best.structure = st.structure)"""
 
 
+def shifting_teams(spark, sf_dir):
+    """All players, whatever their team confidence; one midfielder of each side joins the attack after frame 75."""
+    moved = (F.col("track_id") % 11 == 5) & (F.col("frame_index") > 75)
+    way = F.when(F.col("team_label") == "TEAM_0", 22.0).otherwise(-22.0)
+
+    def build(s, d):
+        rows = views.tracking(s, d).withColumn("x_m", F.when(moved, F.col("x_m") + way).otherwise(F.col("x_m")))
+        gated = geo.gate(rows, min_confidence=0.0)
+        return lines.oriented_teams(lines.oriented_players(geo.outfield(gated), directions(gated)))
+    return views.shared("shifting", spark, sf_dir, build)
+
+
 @query("formation_signatures", "P36", f"""
 WITH RECURSIVE {STRUCT_SQL}
 SELECT sequence_id, frame_index, team_label, evidence, label, CASE WHEN label NOT IN ('UNKNOWN', 'SET_PIECE_DEFORMATION') THEN n1 END AS prototype, CASE WHEN label NOT IN ('UNKNOWN', 'SET_PIECE_DEFORMATION') THEN round(d1, 6) END AS distance FROM lab""")
@@ -338,7 +350,7 @@ def formation_vote(spark, sf_dir):
 
 @query("formation_changes", "W17")
 def formation_changes(spark, sf_dir):
-    return formation.formation_changes(formation.stable_formation(formation.signatures(oriented(spark, sf_dir))))
+    return formation.formation_changes(formation.stable_formation(formation.signatures(shifting_teams(spark, sf_dir))))
 
 
 @query("top_line_structures", "A14", """
@@ -352,7 +364,7 @@ def top_line_structures(spark, sf_dir):
 
 @query("formation_consensus", "A15")
 def formation_consensus(spark, sf_dir):
-    return fusion.formation_consensus(formation.stable_formation(formation.signatures(oriented(spark, sf_dir))))
+    return fusion.formation_consensus(formation.stable_formation(formation.signatures(shifting_teams(spark, sf_dir))))
 
 
 @query("team_aggregates", "A12 A13", """

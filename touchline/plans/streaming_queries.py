@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import fusion, smoothing
+from touchline.operators import fusion, possession as poss, smoothing
 from touchline.plans import views
+from touchline.plans.events_queries import control_v1
 from touchline.plans.motion_queries import KALMAN_SQL, frame_pressure
-from touchline.plans.registry import query
+from touchline.plans.registry import ORACLE, query
 from touchline.plans.stats_queries import tidy
 from touchline.streaming import jobs
 
@@ -62,6 +63,20 @@ def stream_kalman(spark, sf_dir):
     return tidy(clean, 5)
 
 
+@query("stream_possession", "R5 R7 E5")
+def stream_possession(spark, sf_dir):
+    """The possession machine over a stream of control states."""
+    control = control_v1(spark, sf_dir).select("sequence_id", "frame_index", "timestamp_s", "control_state", "player_id", "player_team", "score",
+                                               jobs.frame_time(F.col("frame_index")).alias("ts"))
+    stream = jobs.file_stream(spark, views.written(control), control.schema)
+    out = jobs.run_available(jobs.stream_scan(stream, ["sequence_id"], "frame_index", poss._machine_step, poss.POSSESSION_SCHEMA))
+    return tidy(out.select("sequence_id", "frame_index", "control_state", "possession_team", "status", "possession_conf", "carrier_id", "from_team", "to_team"))
+
+
+# the batch and the stream answer the same question
+ORACLE["stream_possession"] = ORACLE["possession_machine"]
+
+
 @query("stream_pressure_marks", "R4 E14", """
 SELECT sequence_id, frame_index, defending_team FROM press_marks_v WHERE member""")
 def stream_pressure_marks(spark, sf_dir):
