@@ -34,4 +34,3 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_sql_text_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
-    assert all("op" != n[:2] or not n[2:3].isdigit() for n in entry_module.queries())

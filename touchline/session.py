@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -29,20 +33,46 @@ def build_session(app: str = "touchline", master: str | None = None, shuffle_par
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """Folder of this application under ``spark.checkpoint.dir``, which every executor can reach.
+
+    Where that setting is absent a local session makes a folder of its own; any other master must name one.
+    The folder is deleted when the driver's Python process ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    folder = f"{base.rstrip('/')}/touchline-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(remove_path, spark, folder)
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession, label: str = "step") -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path through Hadoop's file system; a session that has ended already leaves it in place."""
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except (Py4JError, AttributeError, ConnectionError):
+        return
+
+
+def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The plan restarts from files: later steps neither re-plan nor recompute what came before, and a lost
     executor costs only the tasks it ran.
     """
-    path = f"{shared_folder(df.sparkSession)}/touchline-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
