@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import simhash
+from touchline.llm import decontaminate, quality, secret_scan, simhash, substring_dups, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,7 +26,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+@query("op6_substring_dedup", rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS t FROM places),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM windows GROUP BY t),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (t) WHERE first_id < doc_id),
+marks AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  list_transform(list_filter(range(1, len(w) + 1), x -> NOT list_contains(coalesce(gone, []), x)), x -> w[x]) AS k FROM words LEFT JOIN marks USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dups.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 @query("op7_simhash_near_dups")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), where=~toxicity.held_out())
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"), F.to_json("passages").alias("passages"))
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))

@@ -47,3 +47,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """The UTF-8 bytes of a text column, without decoding."""
     return batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
+
+
+def labelled_sample(labels: DataFrame, value: str, most: int, id_col: str = "doc_id", where=None) -> DataFrame:
+    """``doc_id, label`` of at most ``most`` labelled documents, chosen by a hash of the id; the same on every run.
+
+    Rows without id or label are left out. Of several labels of one id the greatest holds. The share of ids that pass the
+    hash is set from their count, so that the whole table takes part at every size.
+    """
+    known = pick(labels, doc_id=id_col, label=value).filter("doc_id is not null and label is not null")
+    if where is not None:
+        known = known.filter(where)
+    once = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    share = min(1.0, most / max(1, once.count()))
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    return once.filter(rank < int(share * (1 << 40))).limit(most)
