@@ -50,7 +50,7 @@ def test_held_out_accuracy(spark, model):
 
 
 def test_odd_rows(spark, model):
-    word = max(model.weights, key=model.weights.get)
+    word = max((w for w in model.weights if w[0] != X.STEM_MARK), key=model.weights.get)
     rows = [(1, f"all good here, then {word} {word.upper()} {word}! and more"), (2, None), (3, ""), (None, word), (1, "twice"), (4, "plain " * 30000)]
     df = spark.createDataFrame([(t, i, 0.5) for i, t in rows], "text string, doc_id long, score double")
     got = X.score(df, model).collect()
@@ -61,6 +61,11 @@ def test_odd_rows(spark, model):
     assert X.score(df.limit(0), model).count() == 0
 
 
+def test_stems_know_unseen_forms(model):
+    stem = max((w for w in model.weights if w[0] == X.STEM_MARK), key=model.weights.get)
+    assert model.word_score(stem[1:] + "zzzz") == model.weights[stem] > 0
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = X.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -1,10 +1,12 @@
 """Toxic passages as maximum-scoring segments of word log-odds.
 
-Each word has the log-odds of standing in toxic rather than clean documents, smoothed by a Dirichlet prior in proportion to
-how many documents of the whole corpus hold it, and drawn towards zero by its standard error. All other words cost a
-little. One linear scan finds all maximal segments of a text. Scores of best segments of clean texts follow an extreme-value
-law in the text's length; its two parameters, fitted on the training sample, turn scores into significance, and a logistic
-curve on the sample turns that into a probability.
+Each word, and each stem (its first letters), has the log-odds of standing in toxic rather than clean documents, smoothed by
+a Dirichlet prior in proportion to how many documents of the whole corpus hold it, and drawn towards zero by its standard
+error. A word scores as the most telling of itself and its stems, so unseen forms of a stem are known too; its k-th use in a text
+scores a k-th of that. All others cost a little. One linear scan finds all maximal segments of a text. Best segments of
+clean texts follow an extreme-value law in the text's length; its two parameters, fitted on the training sample, say how
+many segments of a score chance would make, so the best one and the r best ones together each have a significance. A
+logistic curve on the sample turns these into a probability.
 
 Labels are learned from a bounded sample; corpus counts cover all documents.
 """
@@ -15,7 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +29,36 @@ from touchline.llm.rows import labelled_sample, pick, slices
 SAMPLE = 20_000
 LEAST_DOCS = 3
 PRIOR = 500.0
-ERRORS = 1.5
+ERRORS = 2.0
 DRIFT = 0.1
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
+#: Beyond this significance more of it means nothing to the curve.
+CLEAR = 50.0
 FLUSH_WORDS = 200_000
 WORD = re.compile(r"\w+")
+#: Letters of the stems of a longer word; a stem is written with this mark, which no word holds.
+STEMS = (4, 5, 6)
+STEM_MARK = "^"
+MEMO = 200_000
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def forms(token: str) -> list[str]:
+    """A word and its stems."""
+    return [token, *(STEM_MARK + token[:n] for n in STEMS if len(token) > n)]
+
+
+def all_forms(text: str | None) -> set[str]:
+    out: set[str] = set()
+    for w in set(words(text)):
+        out.update(forms(w))
+    return out
+
+
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``start, stop, score``, in order (Ruzzo and Tompa, one pass)."""
     total, kept = 0.0, []  # kept: start, stop, total before, total after
@@ -84,10 +104,26 @@ class Model:
     rate: float
     size: float
     curve: tuple[float, float, float]
+    memo: dict[str, float | None] = field(default_factory=dict, repr=False, compare=False)
+
+    def word_score(self, token: str) -> float | None:
+        """The score that is farthest from nothing among a word and its stems; none where none has a score."""
+        return max((x for x in map(self.weights.get, forms(token)) if x is not None), key=abs, default=None)
 
     def hits(self, tokens: list[str]) -> list[tuple[int, float]]:
-        get = self.weights.get
-        return [(i, s) for i, s in enumerate(map(get, tokens)) if s is not None]
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        for w in set(tokens):
+            if w not in memo:
+                memo[w] = self.word_score(w)
+        uses: Counter = Counter()
+        out = []
+        for i, s in enumerate(map(memo.get, tokens)):
+            if s is not None:
+                uses[tokens[i]] += 1
+                out.append((i, s / uses[tokens[i]] if s > 0 else s))
+        return out
 
     def bits(self, score: float, n: int) -> float:
         """Normalised score of a segment in a text of ``n`` words: minus the log of its expected number by chance."""
@@ -102,11 +138,24 @@ class Model:
         found = sparse_segments(self.hits(tokens), self.drift)
         marked = [(a, b, s, self.chance(s, len(tokens))) for a, b, s in found]
         marked = [m for m in marked if m[3] <= SIGNIFICANT]
-        return self.probability(max((s for _, _, s in found), default=0.0), len(tokens), len(marked)), marked
-
-    def probability(self, best: float, n: int, passages: int) -> float:
-        a, b, c = self.curve
-        z = a + b * self.bits(best, n) + c * math.log1p(passages)
+        return self.probability([s for _, _, s in found], len(tokens)), marked
+
+    def evidence(self, scores: list[float], n: int) -> tuple[float, float]:
+        """Of all segments of a text: the normalised score of the best, and the significance of the most telling ``r`` best.
+
+        Chance makes a Poisson number of segments as good as the r-th, with mean ``exp(-bits)``; the tail is bounded after
+        Chernoff and pays for the choice of ``r``.
+        """
+        best, most = self.bits(max(scores, default=0.0), n), 0.0
+        for r, s in enumerate(sorted(scores, reverse=True), 1):
+            b = self.bits(s, n)
+            if math.log(r) > -b:
+                most = max(most, r * (math.log(r) + b - 1 - math.log(2)) + math.exp(-b))
+        return best, most
+
+    def probability(self, scores: list[float], n: int) -> float:
+        best, most = self.evidence(scores, n)
+        z = self.curve[0] + self.curve[1] * best + self.curve[2] * min(most, CLEAR)
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
@@ -130,7 +179,7 @@ def _count_words(pairs: DataFrame) -> DataFrame:
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(all_ := held[0].keys() | held[1].keys()), pa.string()), pa.array([held[1][w] for w in all_], pa.int64()), pa.array([held[0][w] for w in all_], pa.int64())], ["word", "toxic", "clean"])
         for part in slices(batches, "text"):
             for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                held[int(label)].update(set(words(text)))
+                held[int(label)].update(all_forms(text))
             if len(held[0]) + len(held[1]) > FLUSH_WORDS:
                 yield out()
                 held = (Counter(), Counter())
@@ -147,7 +196,7 @@ def _corpus_counts(docs: DataFrame, vocabulary) -> np.ndarray:
         total = np.zeros(len(place), np.int64)
         for part in slices(batches, "text"):
             for text in part.column(0).to_pylist():
-                found = [place[w] for w in set(words(text)) if w in place]
+                found = [place[w] for w in all_forms(text) if w in place]
                 total[found] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "n"])
@@ -193,7 +242,7 @@ def _rate(weights: np.ndarray, clean: np.ndarray, rest: float, drift: float) ->
 def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from at most ``sample`` labelled documents (``where``: a condition on their ``doc_id``).
 
-    The words scored are those of at least ``LEAST_DOCS`` sampled documents, so their number is bounded by the sample's
+    The words and stems scored are those of at least ``LEAST_DOCS`` sampled documents, so their number is bounded by the sample's
     size; they and their counts come to the driver and are broadcast. A model without toxic or without clean documents
     scores no words.
     """
@@ -220,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE,
             for text in part.column(1).to_pylist():
                 tokens = words(text)
                 found = [s for _, _, s in sparse_segments(model.hits(tokens), model.drift)]
-                out.append((len(tokens), sorted(found, reverse=True)[:64]))
+                out.append((len(tokens), sorted(found, reverse=True)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.float64()))], ["label", "n", "s"])
 
     seen = pairs.mapInArrow(best, "label int, n long, s array<double>").collect()  # one row for each sampled document
@@ -228,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE,
     chance = sum(max(r.n, 1) * math.exp(-rate * max(r.s, default=0.0)) for r in seen if not r.label)
     size = max(n_clean, 1) / max(chance, 1e-12) if n_clean else 1.0
     model = Model(scored, DRIFT, rate, size, (0.0, 1.0, 0.0))
-    x = np.array([(model.bits(max(r.s, default=0.0), r.n), math.log1p(sum(model.chance(s, r.n) <= SIGNIFICANT for s in r.s))) for r in seen]).reshape(-1, 2)
+    x = np.array([(best, min(most, CLEAR)) for best, most in (model.evidence(r.s, r.n) for r in seen)]).reshape(-1, 2)
     return Model(scored, DRIFT, rate, size, _curve(x, np.array([r.label for r in seen], float)))
 
 
