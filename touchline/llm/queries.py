@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import decontaminate, embedding_dups, quality, secret_scan, simhash, substring_dups, token_counts, toxicity
+from touchline.llm import decontaminate, embedding_dups, piece_sampling, quality, secret_scan, simhash, substring_dups, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,6 +87,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Public model of the sampled segmentations.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op8_piece_sampling")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_sampling.decode(piece_sampling.sample(table(spark, sf_dir, "documents"), MODEL_FILE), MODEL_FILE)
+    return found.select("doc_id", "rank", F.size("pieces").cast("long").alias("n_pieces"), "log_prob", "perturbed", "inclusion", F.xxhash64("pieces").alias("pieces_hash"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
