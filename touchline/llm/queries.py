@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import decontaminate, embedding_dups, piece_sampling, quality, secret_scan, simhash, substring_dups, token_counts, toxicity
+from touchline.llm import decontaminate, embedding_dups, piece_sampling, quality, secret_scan, simhash, substring_dups, token_counts, toxicity, warc
+from touchline.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_warc", """
+WITH given AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+hashed AS (SELECT page_id, t, octet_length(encode(t)) AS n, sha1(t) AS h FROM given),
+firsts AS (SELECT t, min(page_id) AS first_id FROM given GROUP BY t)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM hashed JOIN firsts USING (t)""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), folder)
+    read = warc.read_archives(spark, folder).filter(F.col("record_type").isin("response", "revisit"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op2_decontaminate")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
