@@ -35,9 +35,3 @@ def near_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
                                                    _bucket(F.col(left_at) + F.lit(reach), size))))
     b = right.withColumn("_b", _bucket(F.col(right_at), size))
     return a.join(b, [*keys, "_b"]).filter(F.abs(F.col(left_at) - F.col(right_at)) <= F.lit(reach)).drop("_b")
-
-
-def small_enough(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
-    """True when the optimizer's own size estimate for ``df`` stays under ``limit_bytes``."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit_bytes

@@ -10,37 +10,35 @@ from touchline.functions import frames
 from touchline.functions.bands import near_join
 from touchline.functions.boxes import iou
 from touchline.operators.geometry import FRAME
+from touchline.session import cut_lineage
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Least-cost assignment of a small rectangular matrix (shortest augmenting paths)."""
-    flipped = cost.shape[0] > cost.shape[1]
-    a = cost.T if flipped else cost
-    n, m = a.shape
-    if n == 0:
-        return []
-    row_price, col_price, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        low, used, back = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool), np.zeros(m + 1, dtype=int)
-        while owner[j0]:
-            used[j0] = True
-            i0 = owner[j0]
-            rest = ~used[1:]
-            slack = a[i0 - 1] - row_price[i0] - col_price[1:]
-            better = rest & (slack < low[1:])
-            low[1:][better], back[1:][better] = slack[better], j0
-            j1 = int(np.argmin(np.where(rest, low[1:], np.inf))) + 1
-            step = low[j1]
-            row_price[owner[used]] += step
-            col_price[used] -= step
-            low[~used] -= step
-            j0 = j1
-        while j0:
-            owner[j0] = owner[back[j0]]
-            j0 = back[j0]
-    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return sorted((j, i) for i, j in pairs) if flipped else sorted(pairs)
+    """Least-cost assignment of a small rectangular matrix: every row (or column, if there are fewer) gets a partner.
+
+    Rows enter one by one. A new row reaches a column at its cost, and through a taken column the row that holds it, less
+    the cost of that hold; relaxing these reaches until none falls gives the cheapest way to a free column, along which
+    the holds are exchanged. No such exchange can then be improved, so there are no negative cycles to relax.
+    """
+    if cost.shape[0] > cost.shape[1]:
+        return sorted((i, j) for j, i in assign(cost.T))
+    holds, held_by = np.full(cost.shape[0], -1), np.full(cost.shape[1], -1)
+    for new in range(cost.shape[0]):
+        reach, through = cost[new].astype(float), np.full(cost.shape[1], new)
+        while len(taken := np.flatnonzero(held_by >= 0)):
+            rows = held_by[taken]
+            ways = (reach[taken] - cost[rows, taken])[:, None] + cost[rows]
+            best = ways.argmin(axis=0)
+            shorter = np.flatnonzero(ways[best, np.arange(len(reach))] < reach - 1e-12)
+            if not len(shorter):
+                break
+            reach[shorter], through[shorter] = ways[best[shorter], shorter], rows[best[shorter]]
+        column = int(np.where(held_by < 0, reach, np.inf).argmin())
+        while column >= 0:
+            row = through[column]
+            held_by[column] = row
+            holds[row], column = column, holds[row]
+    return [(i, int(j)) for i, j in enumerate(holds)]
 
 
 def overlaps(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
@@ -83,21 +81,40 @@ def detection_hits(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -
     return near.select(*FRAME, "event_id", "conf", "track_id", "iou").groupBy(*FRAME).applyInPandas(take, "event_id bigint, conf double, hit int")
 
 
+def _ranked(rows: DataFrame, score: str, *counts: Column) -> DataFrame:
+    """Counts per exact score with ``part``: the scores in falling ranges, one task each, numbered in order.
+
+    Equal scores are one row; everything cumulative is then a window inside a range plus one row per range.
+    """
+    per = rows.groupBy(F.col(score).alias("_s")).agg(*counts)
+    dealt = per.repartitionByRange(F.desc("_s")).withColumn("part", F.spark_partition_id())
+    return cut_lineage(dealt)
+
+
+def _cumulative(ranked: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add ``columns[source]``: the sum of ``source`` over all scores down to this one, in two levels."""
+    inside = Window.partitionBy("part").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    totals = ranked.groupBy("part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    before = totals.select("part", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    return ranked.join(before, "part").select("*", *[(F.sum(c).over(inside) + F.col(f"_{c}")).alias(t) for c, t in columns.items()]).drop(*[f"_{c}" for c in columns])
+
+
 def average_precision(hits: DataFrame, truths: DataFrame) -> DataFrame:
     """AP as the area under the envelope of the precision-recall curve; ``truths`` is one row with the truth count.
 
-    Hits are summed per confidence (three decimals) first, so the ordered pass runs over at most a thousand
-    rows whatever the number of predictions.
+    Only predictions of equal confidence count as one step of the curve.
     """
-    per_conf = hits.groupBy(F.round("conf", 3).alias("conf")).agg(F.sum("hit").alias("tp"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("conf"))
-    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    curve = (per_conf.crossJoin(F.broadcast(truths.select(F.col(truths.columns[0]).alias("truths"))))
-             .select("conf", F.sum("tp").over(so_far).alias("tp"), F.sum("n").over(so_far).alias("n"), "truths"))
-    curve = curve.select("conf", (F.col("tp") / F.col("truths")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
-    env = curve.select("*", F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing)).alias("envelope"), F.lag("recall", 1, 0.0).over(down).alias("before"))
+    ranked = _ranked(hits, "conf", F.sum("hit").alias("hit"), F.count(F.lit(1)).alias("one"))
+    curve = _cumulative(ranked, {"hit": "tp", "one": "n"}).crossJoin(F.broadcast(truths.select(F.col(truths.columns[0]).alias("truths"))))
+    curve = cut_lineage(curve.select("part", "_s", (F.col("tp") / F.col("truths")).alias("recall"), ((F.col("tp") - F.col("hit")) / F.col("truths")).alias("before"), (F.col("tp") / F.col("n")).alias("precision")))
+    onward = Window.partitionBy("part").orderBy(F.desc("_s")).rowsBetween(0, Window.unboundedFollowing)
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    best = curve.groupBy("part").agg(F.max("precision").alias("_m"))
+    ahead = best.select("part", F.max("_m").over(later).alias("_ahead"))
+    env = curve.join(ahead, "part").withColumn("envelope", F.greatest(F.max("precision").over(onward), F.coalesce("_ahead", F.lit(0.0))))
     return env.agg(F.sum((F.col("recall") - F.col("before")) * F.col("envelope")).alias("ap"), F.max("recall").alias("recall"),
-                   F.max_by("precision", -F.col("conf")).alias("precision"))
+                   F.max_by("precision", -F.col("_s")).alias("precision"))
 
 
 def hota_at(matches: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -200,8 +217,6 @@ def greedy_pairs(pairs: DataFrame, keys: list[str], cost: Column) -> DataFrame:
     Each round keeps the pairs that are the cheapest of both their ends and drops what they touch, which gives
     the result of the serial rule without a serial pass: the cheapest pair left always qualifies.
     """
-    from touchline.session import cut_lineage
-
     left = cut_lineage(pairs.withColumn("_cost", F.struct(cost.alias("c"), F.col("pred_id").alias("p"), F.col("truth_id").alias("t"))))
     chosen = None
     while True:
@@ -272,13 +287,11 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     return total.crossJoin(parts).select("rows", "brier", (F.col("_e") / F.col("rows")).alias("ece"))
 
 
-def ranking_areas(rows: DataFrame, places: int = 4) -> DataFrame:
-    """ROC-AUC and PR-AUC; scores are summed to ``places`` decimals first, so the ordered pass is short."""
-    per = rows.groupBy(F.round("p", places).alias("p")).agg(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("p", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
-    total = per.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    df = run.crossJoin(F.broadcast(total))
+def ranking_areas(rows: DataFrame) -> DataFrame:
+    """ROC-AUC and PR-AUC over exact scores; equal scores are one step."""
+    ranked = _ranked(rows, "p", F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg"))
+    run = _cumulative(ranked, {"pos": "tp", "neg": "fp"})
+    df = run.crossJoin(F.broadcast(ranked.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))))
     return df.agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0) / (F.col("_p") * F.col("_n"))).alias("roc_auc"),
                   F.sum(F.col("pos") / F.col("_p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("pr_auc"))
 

@@ -247,6 +247,9 @@ def possession_machine_v1(control: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return scan(rows, ["sequence_id"], "frame_index", _machine_v1_step, POSSESSION_SCHEMA, chunk)
 
 
+PERSIST_FRAMES, LAST_FRAMES = 25, 50
+
+
 def _control_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
     """History features, fallback score, control decision and possession, frame by frame.
 
@@ -270,11 +273,11 @@ def _control_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
                     mem["dist"][tid] = float(metric)
                 if c["raw_norm_foot"] > MAX_NORM_DISTANCE and (metric is None or metric > MAX_METRIC_M):
                     continue
-                mem["persist"][tid] = mem["persist"].get(tid, 0) + 1
-                history = {"closing": max(-15.0, min(15.0, closing)), "persistence": min(1.0, mem["persist"][tid] / 25.0),
+                mem["persist"][tid] = min(PERSIST_FRAMES, mem["persist"].get(tid, 0) + 1)
+                history = {"closing": max(-15.0, min(15.0, closing)), "persistence": mem["persist"][tid] / PERSIST_FRAMES,
                            "was_carrier": 1.0 if tid == mem["carrier"] else 0.0,
-                           "since_control": min(1.0, (int(r.frame_index) - mem["last"].get(tid, -999)) / 50.0),
-                           "streak": min(1.0, mem["streak"].get(tid, 0) / 25.0)}
+                           "since_control": min(1.0, (int(r.frame_index) - mem["last"].get(tid, -999)) / LAST_FRAMES),
+                           "streak": mem["streak"].get(tid, 0) / PERSIST_FRAMES}
                 logit = CONTROL_BIAS + sum(w * c["features"][i] for i, w in fixed) + sum(CONTROL_WEIGHTS[k] * v for k, v in history.items())
                 ranked.append((1.0 / (1.0 + math.exp(-max(-8.0, min(8.0, logit)))), int(c["track_id"]), c["team_label"]))
             for tid in [t for t in mem["persist"] if t not in active]:
@@ -294,8 +297,9 @@ def _control_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
                 if carrier is None:
                     mem["streak"] = {}
                 else:
-                    mem["last"][carrier] = int(r.frame_index)
-                    mem["streak"] = {t: 0 for t in mem["streak"]} | {carrier: mem["streak"].get(carrier, 0) + 1}
+                    # no feature sees beyond these spans, so the state forgets there and chunks agree soon
+                    mem["last"] = {t: f for t, f in mem["last"].items() if r.frame_index - f < LAST_FRAMES} | {carrier: int(r.frame_index)}
+                    mem["streak"] = {carrier: min(PERSIST_FRAMES, mem["streak"].get(carrier, 0) + 1)}
         machine, turnover = advance(machine, r.frame_index, control, player, team, score)
         rows.append(_row(r.sequence_id, r.frame_index, r.timestamp_s, control, machine, turnover))
     return _table(rows, _NAMES), {"memory": mem, "machine": machine}

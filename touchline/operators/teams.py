@@ -6,18 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.session import cut_lineage
 
-MIN_CROPS, MAX_CROPS, MIN_TRACKS = 3, 25, 4
+MIN_CROPS, MIN_TRACKS = 3, 4
 OUTLIER_QUANTILE, WEAK = 0.88, 0.35
 TRACK = ["sequence_id", "track_id"]
 
 
-def track_features(observations: DataFrame, max_crops: int = MAX_CROPS, how: str = "median") -> DataFrame:
-    """One unit vector per track: the coordinate-wise median (or mean) of at most 25 observations.
-
-    The cap is repeatable: the first observations by number.
-    """
-    w = Window.partitionBy(*TRACK).orderBy("obs_no")
-    kept = observations.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_crops)
+def track_features(observations: DataFrame, how: str = "median") -> DataFrame:
+    """One unit vector per track: the coordinate-wise median (or mean) of all its observations."""
+    kept = observations
     long = kept.select(*TRACK, F.posexplode("feature").alias("dim", "value"))
     middle = F.percentile("value", 0.5) if how == "median" else F.avg("value")
     by_dim = long.groupBy(*TRACK, "dim").agg(middle.alias("m"), F.count(F.lit(1)).alias("crops"))
@@ -42,8 +38,8 @@ def _assign(features: DataFrame, centres: DataFrame) -> DataFrame:
     return df.withColumn("side", F.when(F.col("d0") <= F.col("d1"), 0).otherwise(1)).drop("c0", "c1")
 
 
-def split_teams(features: DataFrame, rounds: int = 10) -> DataFrame:
-    """Two groups per sequence, all sequences advancing together; roles from outliers.
+def split_teams(features: DataFrame) -> DataFrame:
+    """Two groups per sequence, all sequences advancing together until no centre moves; roles from outliers.
 
     The first centre is the track with the lowest id, the second the track farthest from it.  A sequence with
     fewer than four tracks of three crops stays UNKNOWN, and so does a track with fewer crops.
@@ -54,7 +50,7 @@ def split_teams(features: DataFrame, rounds: int = 10) -> DataFrame:
     first = points.groupBy("sequence_id").agg(F.min_by("feature", "track_id").alias("c0"))
     away = points.join(first, "sequence_id").withColumn("_d", _gap(F.col("feature"), F.col("c0")))
     centres = away.groupBy("sequence_id").agg(F.first("c0").alias("c0"), F.max_by("feature", F.struct("_d", (-F.col("track_id")).alias("t"))).alias("c1"))
-    for _ in range(rounds):
+    while True:  # each round lowers the sum of distances or changes nothing
         new = cut_lineage(_means(_assign(points, centres)))
         still = new.join(centres.withColumnsRenamed({"c0": "p0", "c1": "p1"}), "sequence_id").filter("c0 <> p0 OR c1 <> p1").isEmpty()
         centres = new

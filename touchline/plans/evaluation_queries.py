@@ -49,13 +49,13 @@ def detection_ap(spark, sf_dir):
 
 @query("precision_recall_curve", "W18", """
 WITH h AS (SELECT (event_id * 37 % 1000) / 1000.0::DOUBLE AS conf, CASE WHEN event_id % 7 < 5 THEN 1 ELSE 0 END AS hit FROM events), g AS (SELECT conf, sum(hit) AS tp, count(*) AS n FROM h GROUP BY 1),
-c AS (SELECT conf, sum(tp) OVER (ORDER BY conf DESC) AS tp, sum(n) OVER (ORDER BY conf DESC) AS n FROM g), p AS (SELECT conf, tp / 1000.0 AS recall, tp / n AS prec FROM c),
+c AS (SELECT conf, sum(tp) OVER (ORDER BY conf DESC) AS tp, sum(n) OVER (ORDER BY conf DESC) AS n FROM g), p AS (SELECT conf, tp / (SELECT count(*) FROM events WHERE event_id % 7 < 6) AS recall, tp / n AS prec FROM c),
 e AS (SELECT recall, max(prec) OVER (ORDER BY conf DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env, lag(recall, 1, 0.0) OVER (ORDER BY conf DESC) AS b FROM p)
 SELECT round(sum((recall - b) * env), 6) AS ap, round(max(recall), 6) AS recall FROM e""")
 def precision_recall_curve(spark, sf_dir):
     e = F.col("event_id")
-    hits = views.table(spark, sf_dir, "events").select((e * 37 % 1000 / F.lit(1000.0)).alias("conf"), F.when(e % 7 < 5, 1).otherwise(0).alias("hit"))
-    return tidy(evl.average_precision(hits, hits.select(F.lit(1000).alias('truths')).limit(1)).select("ap", "recall"))
+    hits = views.table(spark, sf_dir, "events").select((e * 37 % 1000 / F.lit(1000.0)).alias("conf"), F.when(e % 7 < 5, 1).otherwise(0).alias("hit"), (e % 7 < 6).alias("known"))
+    return tidy(evl.average_precision(hits, hits.filter(F.col('known')).agg(F.count(F.lit(1)).alias('truths'))).select("ap", "recall"))
 
 
 @query("track_switches", "W19 W20 W23", f"""
@@ -124,7 +124,7 @@ def calibration_error(spark, sf_dir):
 
 
 @query("ranking_areas", "V9", f"""
-WITH {LABELS_SQL}, g AS (SELECT round(p, 4) AS p, sum(y) AS pos, count(*) - sum(y) AS neg FROM lb GROUP BY 1), r AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM g), t AS (SELECT sum(pos) AS np, sum(neg) AS nn FROM g)
+WITH {LABELS_SQL}, g AS (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM lb GROUP BY 1), r AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM g), t AS (SELECT sum(pos) AS np, sum(neg) AS nn FROM g)
 SELECT round(sum(neg * (tp - pos / 2.0) / (np * nn)), 6) AS roc_auc, round(sum(pos / np * tp / (tp + fp)), 6) AS pr_auc FROM r, t""")
 def ranking_areas(spark, sf_dir):
     return tidy(evl.ranking_areas(labelled(spark, sf_dir)))
@@ -417,8 +417,8 @@ def appearance_prototypes(spark, sf_dir):
 
 
 @query("track_features", "A16", """
-WITH o AS (SELECT label::BIGINT AS s, vec_id // 50 AS t, vec_id, embedding, row_number() OVER (PARTITION BY label, vec_id // 50 ORDER BY vec_id) AS rn FROM embeddings),
-l AS (SELECT s, t, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM o WHERE rn <= 25), m AS (SELECT s, t, d, quantile_cont(v, 0.5) AS m, count(*) AS crops FROM l GROUP BY 1, 2, 3)
+WITH o AS (SELECT label::BIGINT AS s, vec_id // 50 AS t, vec_id, embedding FROM embeddings),
+l AS (SELECT s, t, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM o), m AS (SELECT s, t, d, quantile_cont(v, 0.5) AS m, count(*) AS crops FROM l GROUP BY 1, 2, 3)
 SELECT s AS sequence_id, t AS track_id, max(crops) AS crops, round(max(m) FILTER (d = 1) / sqrt(sum(m * m)), 6) AS first, round(max(m) FILTER (d = 2) / sqrt(sum(m * m)), 6) AS second FROM m GROUP BY 1, 2""")
 def track_features(spark, sf_dir):
     f = tm.track_features(appearance(spark, sf_dir))

@@ -16,18 +16,18 @@ def links(spark, sf_dir):
 
 
 def sequence_windows(spark, sf_dir):
-    base = evidence(spark, sf_dir).select("sequence_id").distinct()
-    return (base.withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("from_s", F.col("window_id") * 2.0 - 0.5).withColumn("to_s", F.col("window_id") * 2.0 + 0.5))
+    base = evidence(spark, sf_dir).groupBy("sequence_id").agg(F.floor(F.max("end_ts") / 2.0).alias("_last"))
+    return (base.withColumn("window_id", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int")))).drop("_last").withColumn("from_s", F.col("window_id") * 2.0 - 0.5).withColumn("to_s", F.col("window_id") * 2.0 + 0.5))
 
 
 @query("events_in_range", "J9", """
-SELECT e.sequence_id, w AS window_id, event_id FROM evidence_v e, (VALUES (0), (1), (2)) t(w) WHERE start_ts <= w * 2.0 + 0.5 AND end_ts >= w * 2.0 - 0.5""")
+SELECT e.sequence_id, w AS window_id, event_id FROM evidence_v e JOIN (SELECT sequence_id, unnest(generate_series(0, CAST(floor(max(end_ts) / 2.0) AS INTEGER))) AS w FROM evidence_v GROUP BY 1) t ON t.sequence_id = e.sequence_id WHERE start_ts <= w * 2.0 + 0.5 AND end_ts >= w * 2.0 - 0.5""")
 def events_in_range(spark, sf_dir):
     return ev.in_range(evidence(spark, sf_dir), sequence_windows(spark, sf_dir)).select("sequence_id", "window_id", "event_id")
 
 
 @query("events_at_time", "G4", """
-SELECT e.sequence_id, w AS window_id, event_id FROM evidence_v e, (VALUES (0), (1), (2)) t(w) WHERE start_ts <= w * 2.0 + 0.6 AND end_ts >= w * 2.0 - 0.6""")
+SELECT e.sequence_id, w AS window_id, event_id FROM evidence_v e JOIN (SELECT sequence_id, unnest(generate_series(0, CAST(floor(max(end_ts) / 2.0) AS INTEGER))) AS w FROM evidence_v GROUP BY 1) t ON t.sequence_id = e.sequence_id WHERE start_ts <= w * 2.0 + 0.6 AND end_ts >= w * 2.0 - 0.6""")
 def events_at_time(spark, sf_dir):
     points = sequence_windows(spark, sf_dir).select("sequence_id", "window_id", (F.col("window_id") * 2.0).alias("at_s"))
     return ev.at_time(evidence(spark, sf_dir), points).select("sequence_id", "window_id", "event_id")

@@ -244,7 +244,7 @@ VIEWS["markdown_v"] = """
 SELECT doc_id, source || '_' || doc_id || '.md' AS source, CASE WHEN doc_id % 3 = 0 THEN '# Doc ' || doc_id || chr(10) ELSE '' END
   || array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) % 17 = 5 THEN '## ' || l WHEN length(l) % 19 = 5 THEN '### ' || l ELSE l END), chr(10)) AS text FROM documents"""
 
-VIEWS["search_v"] = "SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS query FROM benchmark"
+VIEWS["search_v"] = "SELECT item_id AS query_id, text AS query FROM benchmark"
 
 VIEWS["questions_v"] = """
 SELECT conv_id * 1000 + turn AS query_id, CASE conv_id % 12 WHEN 0 THEN 'Pourquoi le bloc est bas entre 2.5s et 6 secondes' WHEN 1 THEN 'Que se passe-t-il a 12.4s avec team 0' WHEN 2 THEN 'bonjour' WHEN 3 THEN 'une pizza' WHEN 4 THEN 'le score final du match'
