@@ -48,19 +48,23 @@ def overlaps(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> Data
             .filter(F.col("iou") >= least))
 
 
-def frame_matches(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
-    """One-to-one matches of each frame with the largest total IoU; the group is one frame."""
+def frame_matches(pairs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One-to-one matches of each frame with the largest total IoU; the group is one frame.
+
+    ``pairs`` are overlaps (``track_id, pred_track_id, iou``); of several boxes with one pair of ids the best one counts,
+    and gives the ``extra`` columns.
+    """
+    schema = pairs.select(*FRAME, "track_id", "pred_track_id", "iou", *extra).schema
+
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(pdf["track_id"].unique()), sorted(pdf["pred_track_id"].unique())
-        gain = np.zeros((len(rows), len(cols)))
-        gain[[rows.index(t) for t in pdf["track_id"]], [cols.index(p) for p in pdf["pred_track_id"]]] = pdf["iou"]
-        keep = [(rows[i], cols[j], gain[i, j]) for i, j in assign(-gain) if gain[i, j] > 0]
-        out = pd.DataFrame(keep, columns=["track_id", "pred_track_id", "iou"])
-        return out.assign(sequence_id=pdf["sequence_id"].iloc[0], frame_index=pdf["frame_index"].iloc[0])
+        rows, cols = np.unique(pdf["track_id"]), np.unique(pdf["pred_track_id"])
+        at = np.full((len(rows), len(cols)), -1)
+        at[np.searchsorted(rows, pdf["track_id"]), np.searchsorted(cols, pdf["pred_track_id"])] = np.arange(len(pdf))
+        gain = np.where(at >= 0, pdf["iou"].to_numpy()[at], 0.0)
+        return pdf.iloc[[at[i, j] for i, j in assign(-gain) if at[i, j] >= 0]]
 
-    pairs = overlaps(truth, predicted, least).select(*FRAME, "track_id", "pred_track_id", "iou")
-    return pairs.groupBy(*FRAME).applyInPandas(best, "track_id bigint, pred_track_id bigint, iou double, sequence_id string, frame_index bigint").select(
-        *FRAME, "track_id", "pred_track_id", "iou")
+    one = pairs.groupBy(*FRAME, "track_id", "pred_track_id").agg(F.max("iou").alias("iou"), *[F.max_by(c, "iou").alias(c) for c in extra])
+    return one.groupBy(*FRAME).applyInPandas(best, schema)
 
 
 def detection_hits(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
@@ -323,6 +327,17 @@ def distribution(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(column).alias("mean"), q[0].alias("median"), q[1].alias("p90"), q[2].alias("p95"), F.min(column).alias("min"), F.max(column).alias("max"))
 
 
+def centre_errors(track: DataFrame, truth: DataFrame, side: float) -> DataFrame:
+    """Distance of a tracked centre (u, v) from the true one, plain and in box sides, and overlap of the boxes, by state."""
+    both = track.join(truth, FRAME)
+    du, dv = F.abs(F.col("u") - F.col("true_u")), F.abs(F.col("v") - F.col("true_v"))
+    gap = F.sqrt(du * du + dv * dv)
+    common = F.greatest(F.lit(0.0), side - du) * F.greatest(F.lit(0.0), side - dv)
+    return both.groupBy("sequence_id", "state").agg(
+        F.count(F.lit(1)).alias("frames"), F.avg(gap).alias("mean_distance"), F.max(gap).alias("max_distance"), F.avg(gap / side).alias("mean_normalised"),
+        F.avg(common / (2 * side * side - common)).alias("mean_iou"))
+
+
 def macro(rows: DataFrame, by: list[str], sequence: str, value: str) -> DataFrame:
     """Mean over sequences of the mean within each."""
     return rows.groupBy(*by, sequence).agg(F.avg(value).alias("_m")).groupBy(*by).agg(F.avg("_m").alias("macro_mean"), F.count(F.lit(1)).alias("sequences"))

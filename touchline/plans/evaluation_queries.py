@@ -14,8 +14,20 @@ from touchline.plans.tactics_queries import block_table, oriented, players
 
 PAIRS_SQL = """
 pr AS (SELECT t.sequence_id, t.frame_index, t.track_id, p.pred_track_id, p.pred_team, t.team_label, p.event_id AS pe, p.conf, i / u AS iou FROM boxes_v t JOIN pred_boxes_v p ON t.sequence_id = p.sequence_id AND t.frame_index = p.frame_index,
-  LATERAL (SELECT greatest(0.0, least(x2, px2) - greatest(x1, px1)) * greatest(0.0, least(y2, py2) - greatest(y1, py1)) AS i) a, LATERAL (SELECT (x2 - x1) * (y2 - y1) + (px2 - px1) * (py2 - py1) - i AS u) b WHERE u > 0 AND i / u >= 0.5),
-mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sequence_id, frame_index, track_id ORDER BY iou DESC, pred_track_id) AS rn FROM pr) WHERE rn = 1)"""
+  LATERAL (SELECT greatest(0.0, least(x2, px2) - greatest(x1, px1)) * greatest(0.0, least(y2, py2) - greatest(y1, py1)) AS i) a, LATERAL (SELECT (x2 - x1) * (y2 - y1) + (px2 - px1) * (py2 - py1) - i AS u) b WHERE u > 0 AND i / u >= 0.5)"""
+
+# one-to-one matches: pairs without a rival stand, the others of a frame are tried in all ways
+MATCH_SQL = PAIRS_SQL + """,
+gp AS (SELECT sequence_id, frame_index, track_id, pred_track_id, max(iou) AS iou, arg_max(pred_team, iou) AS pred_team, any_value(team_label) AS team_label FROM pr GROUP BY 1, 2, 3, 4),
+rv AS (SELECT *, count(*) OVER (PARTITION BY sequence_id, frame_index, track_id) = 1 AND count(*) OVER (PARTITION BY sequence_id, frame_index, pred_track_id) = 1 AS alone FROM gp),
+kn AS (SELECT *, dense_rank() OVER (PARTITION BY sequence_id, frame_index ORDER BY track_id) AS n FROM rv WHERE NOT alone),
+op AS (SELECT sequence_id, frame_index, n, track_id, pred_track_id, iou FROM kn UNION ALL SELECT DISTINCT sequence_id, frame_index, n, NULL, NULL, NULL FROM kn),
+wk AS (SELECT DISTINCT sequence_id, frame_index, CAST(0 AS BIGINT) AS n, []::BIGINT[] AS ts, []::BIGINT[] AS ps, CAST(0 AS DOUBLE) AS total FROM kn
+  UNION ALL SELECT w.sequence_id, w.frame_index, w.n + 1, CASE WHEN o.track_id IS NULL THEN ts ELSE list_append(ts, o.track_id) END, CASE WHEN o.track_id IS NULL THEN ps ELSE list_append(ps, o.pred_track_id) END, total + coalesce(o.iou, 0.0)
+  FROM wk w JOIN op o ON o.sequence_id = w.sequence_id AND o.frame_index = w.frame_index AND o.n = w.n + 1 WHERE o.track_id IS NULL OR NOT list_contains(ps, o.pred_track_id)),
+bw AS (SELECT sequence_id, frame_index, arg_max(ts, total) AS ts, arg_max(ps, total) AS ps FROM wk GROUP BY 1, 2),
+um AS (SELECT sequence_id, frame_index, unnest(ts) AS track_id, unnest(ps) AS pred_track_id FROM bw),
+mt AS (SELECT * FROM rv WHERE alone UNION ALL SELECT rv.* FROM rv JOIN um ON um.sequence_id = rv.sequence_id AND um.frame_index = rv.frame_index AND um.track_id = rv.track_id AND um.pred_track_id = rv.pred_track_id)"""
 
 
 def pairs(spark, sf_dir):
@@ -23,9 +35,8 @@ def pairs(spark, sf_dir):
 
 
 def best_pairs(spark, sf_dir):
-    best = pairs(spark, sf_dir).groupBy(*geo.FRAME, "track_id", "team_label").agg(
-        F.max(F.struct("iou", (-F.col("pred_track_id")).alias("_p"), "pred_team")).alias("b"))
-    return best.select(*geo.FRAME, "track_id", "team_label", (-F.col("b._p")).alias("pred_track_id"), F.col("b.pred_team").alias("pred_team"), F.col("b.iou").alias("iou"))
+    """One-to-one matches of truth and predicted boxes, with both teams."""
+    return views.shared("matches", spark, sf_dir, lambda s, d: evl.frame_matches(pairs(s, d), ("team_label", "pred_team")))
 
 
 @query("best_truth_track", "J8", f"""
@@ -35,9 +46,9 @@ def best_truth_track(spark, sf_dir):
     return evl.best_truth_track(pairs(spark, sf_dir))
 
 
-@query("optimal_matches", "V2")
+@query("optimal_matches", "V2", f"WITH RECURSIVE {MATCH_SQL} SELECT sequence_id, frame_index, track_id, pred_track_id, round(iou, 6) AS iou FROM mt")
 def optimal_matches(spark, sf_dir):
-    return tidy(evl.frame_matches(views.boxes(spark, sf_dir), views.predicted_boxes(spark, sf_dir).drop("event_id")))
+    return tidy(best_pairs(spark, sf_dir).select(*geo.FRAME, "track_id", "pred_track_id", "iou"))
 
 
 @query("detection_ap", "V1 W18")
@@ -59,7 +70,7 @@ def precision_recall_curve(spark, sf_dir):
 
 
 @query("track_switches", "W19 W20 W23", f"""
-WITH {PAIRS_SQL}, l AS (SELECT *, lag(pred_track_id) OVER w AS lp, frame_index - lag(frame_index) OVER w AS gap FROM mt WINDOW w AS (PARTITION BY sequence_id, track_id ORDER BY frame_index)),
+WITH RECURSIVE {MATCH_SQL}, l AS (SELECT *, lag(pred_track_id) OVER w AS lp, frame_index - lag(frame_index) OVER w AS gap FROM mt WINDOW w AS (PARTITION BY sequence_id, track_id ORDER BY frame_index)),
 k AS (SELECT sequence_id, track_id, count(*) AS found, count(*) FILTER (lp <> pred_track_id) AS sw, count(*) FILTER (gap > 1) AS fr, count(*) FILTER (lp <> pred_track_id AND gap <= 2) AS s1, count(*) FILTER (lp <> pred_track_id AND gap BETWEEN 3 AND 10) AS s2, count(*) FILTER (lp <> pred_track_id AND gap > 10) AS s3 FROM l GROUP BY 1, 2),
 n AS (SELECT sequence_id, track_id, count(*) AS len FROM boxes_v GROUP BY 1, 2)
 SELECT n.sequence_id, count(*) AS tracks, sum(coalesce(sw, 0))::BIGINT AS switches, sum(coalesce(fr, 0))::BIGINT AS fragments, count(*) FILTER (coalesce(found, 0) / len >= 0.8) AS mostly_tracked, count(*) FILTER (coalesce(found, 0) / len <= 0.2) AS mostly_lost,
@@ -69,7 +80,7 @@ def track_switches(spark, sf_dir):
 
 
 @query("hota", "V3", f"""
-WITH {PAIRS_SQL}, h AS (SELECT sequence_id, track_id, pred_track_id, count(*) AS tpa FROM mt GROUP BY 1, 2, 3), t AS (SELECT sequence_id, track_id, count(*) AS tl FROM boxes_v GROUP BY 1, 2), p AS (SELECT sequence_id, pred_track_id, count(*) AS pl FROM pred_boxes_v GROUP BY 1, 2),
+WITH RECURSIVE {MATCH_SQL}, h AS (SELECT sequence_id, track_id, pred_track_id, count(*) AS tpa FROM mt GROUP BY 1, 2, 3), t AS (SELECT sequence_id, track_id, count(*) AS tl FROM boxes_v GROUP BY 1, 2), p AS (SELECT sequence_id, pred_track_id, count(*) AS pl FROM pred_boxes_v GROUP BY 1, 2),
 a AS (SELECT h.sequence_id, sum(tpa) AS tp, sum(tpa * tpa / (tl + pl - tpa)) / sum(tpa) AS ass FROM h JOIN t ON t.sequence_id = h.sequence_id AND t.track_id = h.track_id JOIN p ON p.sequence_id = h.sequence_id AND p.pred_track_id = h.pred_track_id GROUP BY 1),
 s AS (SELECT t.sequence_id, sum(tl) AS nt, (SELECT sum(pl) FROM p WHERE p.sequence_id = t.sequence_id) AS np FROM t GROUP BY 1)
 SELECT a.sequence_id, round(tp / (nt + np - tp), 6) AS det_a, round(ass, 6) AS ass_a, round(sqrt(tp / (nt + np - tp) * ass), 6) AS hota FROM a JOIN s ON s.sequence_id = a.sequence_id""")
@@ -83,7 +94,7 @@ def idf1(spark, sf_dir):
 
 
 @query("team_accuracy", "V4", f"""
-WITH {PAIRS_SQL}, c AS (SELECT sequence_id, count(*) AS n, count(*) FILTER (team_label = pred_team) AS d, count(*) FILTER (team_label <> pred_team) AS s FROM mt GROUP BY 1)
+WITH RECURSIVE {MATCH_SQL}, c AS (SELECT sequence_id, count(*) AS n, count(*) FILTER (team_label = pred_team) AS d, count(*) FILTER (team_label <> pred_team) AS s FROM mt GROUP BY 1)
 SELECT sequence_id, n AS rows, round(greatest(d, s) / n, 6) AS accuracy, s > d AS swapped FROM c""")
 def team_accuracy(spark, sf_dir):
     return tidy(evl.team_accuracy(best_pairs(spark, sf_dir)))
@@ -268,10 +279,21 @@ def shape_noise(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.avg(F.abs(F.col("w1") - F.col("w0"))).alias("mean_width_error_m")))
 
 
-@query("spatial_error", "V14", f"""
-WITH {PAIRS_SQL} SELECT sequence_id, count(*) AS rows, round(avg(1.0 - iou), 6) AS mean_error FROM mt GROUP BY 1""")
+@query("spatial_error", "V14", """
+WITH d AS (SELECT sequence_id, frame_index, ball_x + (frame_index % 5 - 2) / 10.0::DOUBLE AS u, ball_y AS v FROM ball_v WHERE ball_valid AND frame_index % 4 <> 0),
+l AS (SELECT *, lag(frame_index) OVER w AS pf, lag(u) OVER w AS pu, lag(v) OVER w AS pv FROM d WINDOW w AS (PARTITION BY sequence_id ORDER BY frame_index)),
+g AS (SELECT *, frame_index - pf AS n, sqrt(pow(u - pu, 2) + pow(v - pv, 2)) AS dist FROM l WHERE frame_index - pf > 1),
+fl AS (SELECT sequence_id, unnest(generate_series(pf + 1, frame_index - 1)) AS frame_index, pf, n, u, v, pu, pv FROM g WHERE (n - 1 <= 3 AND dist / n <= 60.0) OR (dist / n <= 30.0 AND dist <= 150.0)),
+tr AS (SELECT sequence_id, frame_index, 'DETECTED' AS state, u, v FROM d UNION ALL SELECT sequence_id, frame_index, 'INTERPOLATED', pu + (u - pu) * (frame_index - pf) / n, pv + (v - pv) * (frame_index - pf) / n FROM fl),
+e AS (SELECT t.sequence_id, state, abs(u - ball_x) AS du, abs(v - ball_y) AS dv, greatest(0.0, 0.6 - abs(u - ball_x)) * greatest(0.0, 0.6 - abs(v - ball_y)) AS i FROM tr t JOIN ball_v b ON b.sequence_id = t.sequence_id AND b.frame_index = t.frame_index)
+SELECT sequence_id, state, count(*) AS frames, round(avg(sqrt(du * du + dv * dv)), 5) AS mean_distance, round(max(sqrt(du * du + dv * dv)), 5) AS max_distance, round(avg(sqrt(du * du + dv * dv) / 0.6), 5) AS mean_normalised, round(avg(i / (0.72 - i)), 5) AS mean_iou FROM e GROUP BY 1, 2""")
 def spatial_error(spark, sf_dir):
-    return tidy(best_pairs(spark, sf_dir).groupBy("sequence_id").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.lit(1.0) - F.col("iou")).alias("mean_error")))
+    """Centre error of the ball, in metres and ball boxes of 0.6 m, by the state that its position comes from."""
+    ball = views.ball(spark, sf_dir)
+    seen = ball.filter("ball_valid AND frame_index % 4 <> 0").select(
+        *geo.FRAME, F.lit("DETECTED").alias("state"), F.lit(1).alias("born_frame"), (F.col("ball_x") + (F.col("frame_index") % 5 - 2) / F.lit(10.0)).alias("u"), F.col("ball_y").alias("v"))
+    track = seen.select(*geo.FRAME, "state", "u", "v").unionByName(trk.fill_gaps(seen).select(*geo.FRAME, F.lit("INTERPOLATED").alias("state"), "u", "v"))
+    return tidy(evl.centre_errors(track, ball.select(*geo.FRAME, F.col("ball_x").alias("true_u"), F.col("ball_y").alias("true_v")), 0.6), 5)
 
 
 def inventory(spark, sf_dir):
