@@ -186,6 +186,11 @@ def grounding_counters(answer_rows: DataFrame, events: DataFrame, expected: Data
         F.count_if(F.col("should_abstain") == F.col("abstains")).alias("passed"))
 
 
+def latency_rollup(rows: DataFrame) -> DataFrame:
+    """Mean, greatest and least latency of each stage over the questions that ran it (stage, latency)."""
+    return rows.groupBy("stage").agg(F.count("latency").alias("questions"), F.avg("latency").alias("mean_ms"), F.max("latency").alias("max_ms"), F.min("latency").alias("min_ms"))
+
+
 def height_word(height: Column) -> Column:
     return F.when(height < 35.0, "bas").when(height < 55.0, "médian").otherwise("haut")
 

@@ -279,12 +279,11 @@ def evidence_links(spark, sf_dir):
 
 
 @query("event_summaries", "P18 P19", """
-SELECT sequence_id, event_id, CASE family WHEN 'POSSESSION_CHANGE' THEN printf('%s lost possession to %s at %.2fs (frame %d). Possession confidence: %.2f [%s].', subject_team, opponent_team, start_ts, start_frame, confidence, quality) END AS summary_text,
- printf('[event:%s | t=%.2f–%.2fs | conf=%.2f | %s]', event_id, start_ts, end_ts, confidence, quality) AS citation FROM evidence_v WHERE family = 'POSSESSION_CHANGE'""")
+SELECT e.sequence_id, e.event_id, summary_text, printf('[event:%s | t=%.2f–%.2fs | conf=%.2f | %s]', e.event_id, start_ts, end_ts, confidence, quality) AS citation
+FROM evidence_v e JOIN summaries_v s ON s.sequence_id = e.sequence_id AND s.event_id = e.event_id""")
 def event_summaries(spark, sf_dir):
-    e = fusion.summaries(evidence(spark, sf_dir)).filter("family = 'POSSESSION_CHANGE'")
-    return e.select("sequence_id", "event_id", "summary_text",
-                    fusion.citation(*[F.col(c) for c in ("event_id", "start_ts", "end_ts", "confidence", "quality")]).alias("citation"))
+    return fusion.summaries(evidence(spark, sf_dir)).select("sequence_id", "event_id", "summary_text",
+                                                            fusion.citation(*[F.col(c) for c in ("event_id", "start_ts", "end_ts", "confidence", "quality")]).alias("citation"))
 
 
 @query("quality_and_confidence", "P14 P15", """

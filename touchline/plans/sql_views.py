@@ -274,3 +274,43 @@ ql AS (SELECT query_id, count(*) AS ql FROM q0 GROUP BY 1), qt AS (SELECT query_
 w AS (SELECT query_id, token, qtf / ql * (ln(1 + n / (1 + df)) + 1.0) AS w FROM qt JOIN ql USING (query_id) JOIN df USING (token), n),
 u AS (SELECT query_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS qw FROM w)
 SELECT query_id, doc_id, sum(weight * qw) AS score FROM u JOIN tfidf_v USING (token) GROUP BY 1, 2"""
+
+def _places(value: str, first: int, last: int) -> str:
+    """A number rounded half away from zero, first to the places it is stored with, then to those it is shown with."""
+    return f"CAST(round(CAST(round({value}, {first}) AS DECIMAL(18, {first})), {last}) AS DECIMAL(18, {last}))::VARCHAR"
+
+
+VIEWS["summaries_v"] = f"""
+SELECT sequence_id, 'poss_change_' || loss_frame || '_' || losing_team || '_to_' || gaining_team AS event_id,
+  printf('%s lost possession to %s at %.2fs (frame %d). Possession confidence: %.2f [%s].', losing_team, gaining_team, loss_ts, loss_frame, change_conf, 'HIGH') AS summary_text FROM turnovers_v
+UNION ALL SELECT sequence_id, 'trans_' || loss_frame || '_' || confirm_frame || '_' || losing_team || '_' || candidate_label,
+  CASE WHEN candidate_label = 'DEFENSIVE_RECOVERY_CANDIDATE' THEN printf('%s initiated defensive recovery after possession loss (%.2f–%.2fs). Backline retreated at ', losing_team, loss_ts, confirm_frame / 25.0::DOUBLE)
+     || {_places("lv", 2, 1)} || 'm/s; centroid-ball distance shifted by ' || CASE WHEN round(cd, 2) >= 0 THEN '+' ELSE '' END || {_places("cd", 2, 1)} || 'm. RecoveryScore: ' || {_places("rec", 3, 2)}
+   ELSE printf('%s engaged in post-loss pressing against %s (%.2f–%.2fs, Δt=%.2fs). Nearest defender closed from ', losing_team, gaining_team, loss_ts, confirm_frame / 25.0::DOUBLE, confirm_frame / 25.0::DOUBLE - loss_ts)
+     || {_places("dpre", 2, 1)} || 'm to ' || {_places("dpost", 2, 1)} || 'm; PressureIndex changed from ' || {_places("pp", 3, 2)} || ' to ' || {_places("pa", 3, 2)} || '. CounterpressScore: ' || {_places("cp", 3, 2)} END
+   || printf(' [Confidence: %.2f].', least(CASE candidate_label WHEN 'COUNTERPRESS_CANDIDATE' THEN cp WHEN 'DEFENSIVE_RECOVERY_CANDIDATE' THEN rec ELSE greatest(cp, rec, 0.40) END, change_conf, 0.85::DOUBLE)) FROM transitions_v
+UNION ALL SELECT sequence_id, event_id, printf('%s applied continuous defensive pressure on %s (%.2f–%.2fs, dur: %.2fs). Mean PressureIndex: ', defending_team, coalesce(opponent_team, 'UNKNOWN'), start_ts, end_ts, end_ts - start_ts)
+   || {_places("mean_p", 3, 2)} || ' (peak: ' || {_places("peak_p", 3, 2)} || '), min defender proximity: ' || {_places("nearest_m", 2, 1)} || 'm.' FROM press_episodes_v"""
+
+VIEWS["asked_v"] = """
+SELECT query_id, slot, CASE WHEN (query_id // 1000) % n < 1000 THEN 'SEQ-' || lpad(CAST((query_id // 1000) % n AS VARCHAR), 3, '0') ELSE 'SEQ-' || (query_id // 1000) % n END AS sequence_id,
+  CASE slot WHEN 0 THEN 'MATCH_EXPLANATION' WHEN 1 THEN 'MATCH_TIMELINE' WHEN 3 THEN 'UNSUPPORTED' WHEN 4 THEN 'UNSUPPORTED' WHEN 5 THEN 'GENERAL_FOOTBALL' WHEN 9 THEN 'MATCH_COMPARISON' ELSE 'MATCH_FACT' END AS scope
+FROM questions_v, (SELECT max(CAST(substr(sequence_id, 5) AS BIGINT)) + 1 AS n FROM tracking_v)"""
+
+VIEWS["qa_plan_v"] = """
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY start_ts, end_ts, start_frame, event_id) AS place FROM evidence_v),
+hit AS (SELECT query_id, slot, q.sequence_id, scope, event_id, place FROM asked_v q JOIN p ON p.sequence_id = q.sequence_id AND CASE slot WHEN 0 THEN start_ts <= 6.0 AND end_ts >= 2.5 WHEN 1 THEN start_ts <= 13.0 AND end_ts >= 11.8 WHEN 9 THEN subject_team = 'TEAM_1' ELSE place <= 8 END),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rn FROM hit) WHERE rn <= 8),
+s AS (SELECT sequence_id, source_id AS a, target_id AS b FROM links_v UNION SELECT sequence_id, target_id, source_id FROM links_v),
+r AS (SELECT query_id, sequence_id, scope, event_id AS root FROM f WHERE slot = 0 AND rn = 1),
+h1 AS (SELECT r.*, b AS node FROM r JOIN s ON s.sequence_id = r.sequence_id AND a = root), h2 AS (SELECT h1.query_id, h1.sequence_id, h1.scope, root, s.b AS node FROM h1 JOIN s ON s.sequence_id = h1.sequence_id AND s.a = h1.node),
+x AS (SELECT DISTINCT query_id, sequence_id, scope, node AS event_id FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHERE node <> root AND (query_id, node) NOT IN (SELECT (query_id, event_id) FROM f)),
+u AS (SELECT query_id, sequence_id, scope, event_id, rn FROM f UNION ALL SELECT query_id, x.sequence_id, scope, x.event_id, place + 1000000 FROM x JOIN p ON p.sequence_id = x.sequence_id AND p.event_id = x.event_id)
+SELECT query_id, sequence_id, scope, event_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn) AS rank FROM u) WHERE rank <= 8"""
+
+VIEWS["answers_v"] = """
+WITH r AS (SELECT p.query_id, p.sequence_id, p.event_id, rank, confidence, level, start_ts, quality, family, CASE level WHEN 'LEVEL_1_PHYSICAL_FACT' THEN 'Fait mesuré : ' WHEN 'LEVEL_2_TACTICAL_TENDENCY' THEN 'Tendance observée : ' ELSE 'Signal compatible (candidat) : ' END || summary_text AS claim
+  FROM qa_plan_v p JOIN evidence_v e ON e.sequence_id = p.sequence_id AND e.event_id = p.event_id JOIN summaries_v t ON t.sequence_id = p.sequence_id AND t.event_id = p.event_id),
+g AS (SELECT query_id, count(*) AS n, avg(confidence) AS c, max(level) AS level, list(claim ORDER BY rank) AS claims, list(event_id ORDER BY rank) AS cited FROM r GROUP BY 1)
+SELECT a.query_id, a.slot, a.sequence_id, a.scope, coalesce(n, 0) AS n_events, scope = 'UNSUPPORTED' OR (n IS NULL AND scope IN ('MATCH_FACT', 'MATCH_TIMELINE')) AS abstains, c, coalesce(level, 'LEVEL_1_PHYSICAL_FACT') AS level, coalesce(claims, []) AS claims, coalesce(cited, []) AS cited
+FROM asked_v a LEFT JOIN g ON g.query_id = a.query_id"""

@@ -9,6 +9,7 @@ from touchline.operators import retrieval as ret, text as txt
 from touchline.plans import views
 from touchline.plans.registry import query, rounded
 from touchline.plans.stats_queries import tidy
+from touchline.session import cut_lineage
 
 
 def docs(spark, sf_dir):
@@ -329,17 +330,20 @@ def parent_replacement(spark, sf_dir):
     return ret.replace_parents(stored, fresh.unionByName(again))
 
 
-@query("query_relaxation", "O10", """
-WITH q AS (SELECT query_id, slot FROM questions_v), c AS (SELECT doc_id, lang, source FROM documents),
-near AS (SELECT query_id, doc_id, lang FROM q JOIN c ON doc_id % 12 = slot AND doc_id < 100), want AS (SELECT query_id, doc_id, 1 AS stage FROM near WHERE lang = 'fr'),
-all_hits AS (SELECT query_id, doc_id, 2 AS stage FROM q JOIN c ON doc_id % 12 = slot AND lang = 'fr' WHERE query_id NOT IN (SELECT query_id FROM want)),
-loose AS (SELECT query_id, doc_id, 3 AS stage FROM near WHERE query_id NOT IN (SELECT query_id FROM want UNION SELECT query_id FROM all_hits))
-SELECT * FROM want UNION ALL SELECT * FROM all_hits UNION ALL SELECT * FROM loose""")
+@query("query_relaxation", "O10", TOP_SQL.format(view="tfidf_scores_v") + """,
+pool AS (SELECT query_id, doc_id FROM r WHERE rank <= 150), k AS (SELECT query_id, doc_id, query_id % 40 = doc_id % 40 AND lang = 'fr' AS wanted FROM search_v JOIN documents ON true),
+want AS (SELECT query_id, doc_id, 1 AS stage FROM pool JOIN k USING (query_id, doc_id) WHERE wanted),
+wide AS (SELECT query_id, doc_id, 2 AS stage FROM k WHERE wanted AND query_id NOT IN (SELECT query_id FROM want)),
+loose AS (SELECT query_id, doc_id, 3 AS stage FROM pool WHERE query_id NOT IN (SELECT query_id FROM want UNION SELECT query_id FROM wide))
+SELECT * FROM want UNION ALL SELECT * FROM wide UNION ALL SELECT * FROM loose""")
 def query_relaxation(spark, sf_dir):
-    q = views.questions(spark, sf_dir).select("query_id", (F.expr("query_id div 1000") % 12).alias("slot"))
-    c = docs(spark, sf_dir).select("doc_id", "lang", (F.col("doc_id") % 12).alias("slot"))
-    near, wide = q.join(c.filter("doc_id < 100"), "slot"), q.join(c, "slot").filter("lang = 'fr'")
-    return ret.staged_fallback(near, F.col("lang") == "fr", wide, near).select("query_id", "doc_id", "stage")
+    """The target filter over the 150 best hits of a question, else over the whole corpus, else all 150 hits."""
+    d, q = docs(spark, sf_dir), views.search_queries(spark, sf_dir)
+    pool = cut_lineage(ret.top_per_query(ret.tfidf_scores(d, q).withColumn("score", F.round("score", 9)), d, q, 150).select("query_id", "doc_id"))
+    target = d.select("doc_id", "lang", (F.col("doc_id") % 40).alias("slot"))
+    near = pool.join(target, "doc_id").withColumn("wanted", (F.col("lang") == "fr") & (F.col("slot") == F.col("query_id") % 40))
+    wide = q.select("query_id", (F.col("query_id") % 40).alias("slot")).join(target.filter("lang = 'fr'"), "slot").select("query_id", "doc_id")
+    return ret.staged_fallback(near.select("query_id", "doc_id", "wanted"), F.col("wanted"), wide.withColumn("wanted", F.lit(True)), near.select("query_id", "doc_id", "wanted")).select("query_id", "doc_id", "stage")
 
 
 @query("html_stat_rows", "S9", """
