@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -33,3 +38,29 @@ def write_session(events: DataFrame, edges: DataFrame, aggregates: DataFrame, ro
 def write_stats(stats: DataFrame, path: str) -> None:
     """Player statistics by match id; only the match ids in ``stats`` are replaced."""
     stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(path)
+
+
+def write_texts(texts: DataFrame, folder: str) -> int:
+    """One file per row of ``name, text`` under ``folder`` (names may hold subfolders); returns how many.
+
+    Each file is written under a name of its own and then renamed, so a task that runs twice leaves whole files only.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{base}/{name}"
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                draft = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as f:
+                    f.write((text or "").encode())
+                store.move(draft, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return texts.select("name", "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_lines(lines: DataFrame, folder: str) -> int:
+    """Text files of ``name, value`` rows, the rows of one name in the order of ``line_no``; a file is one group."""
+    files = lines.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "value"))), lambda r: r["value"]), "\n").alias("text"))
+    return write_texts(files, folder)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from touchline.functions.scan import Step
-from touchline.session import shared_folder
+from touchline.session import new_path
 
 DELAY = "2 seconds"
 
@@ -81,7 +80,7 @@ def run_available(stream: DataFrame, finish: Callable[[DataFrame], DataFrame] =
     The file sink and its checkpoint give each row once, also after a restart.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
     job = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     job.awaitTermination()
