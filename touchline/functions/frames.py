@@ -92,6 +92,18 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: str, target: str, span: i
     return running_sum(df, keys, order, F.lit(1).cast("long"), target, span)
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: str, target: str, span: int = SPAN) -> DataFrame:
+    """Number the rows of each key by ``order``, which must agree with the integer ``frame``: spans of it are numbered
+    apart and moved on by what the spans before them hold."""
+    marked = df.withColumn(_SPAN_COL, F.coalesce(span_of(frame, span), F.lit(-1).cast("long")))
+    inner = [*keys, _SPAN_COL]
+    prior = _window(keys, [_SPAN_COL]).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy(*inner).agg(F.count(F.lit(1)).alias("_rows_in_span"))
+    before = sizes.select(*inner, F.coalesce(F.sum("_rows_in_span").over(prior), F.lit(0)).alias("_rows_before"))
+    placed = marked.withColumn("_row_in_span", F.row_number().over(_window(inner, order)))
+    return placed.join(before, inner).withColumn(target, (F.col("_row_in_span") + F.col("_rows_before")).cast("long")).drop(_SPAN_COL, "_row_in_span", "_rows_before")
+
+
 def previous_row(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], prefix: str = "prev_",
                  span: int = SPAN) -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` on the previous row of the key, whatever the gap."""

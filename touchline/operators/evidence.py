@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from touchline.functions import frames
 from touchline.functions.bands import overlap_join
 from touchline.operators.fusion import LEVEL_1, LEVEL_2, LEVEL_3, citation
 from touchline.session import cut_lineage
@@ -108,8 +109,7 @@ def plan_retrieval(questions: DataFrame, events: DataFrame, edges: DataFrame, ca
     An explanation also reads the neighbourhood of its first event; at most ``cap`` events are kept.
     ``questions`` has query_id, sequence_id, scope, at_s, from_s, to_s, team.
     """
-    w = Window.partitionBy("sequence_id").orderBy("start_ts", "end_ts", "start_frame", "event_id")
-    placed = events.withColumn("_place", F.row_number().over(w))
+    placed = frames.numbered(events, ["sequence_id"], ["start_ts", "end_ts", "start_frame", "event_id"], "start_frame", "_place")
     ranged = questions.filter("from_s IS NOT NULL")
     timed = questions.filter("from_s IS NULL AND at_s IS NOT NULL")
     teamed = questions.filter("from_s IS NULL AND at_s IS NULL AND team IS NOT NULL")

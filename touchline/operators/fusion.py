@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from touchline.functions import frames
 from touchline.functions.bands import near_join, overlap_join
 from touchline.functions.scan import CHUNK, scan
 from touchline.operators.geometry import FRAME
@@ -262,7 +263,7 @@ def ordered(events: DataFrame) -> DataFrame:
 def positions(events: DataFrame, by_time: bool = False) -> DataFrame:
     """Place of each event in its sequence: by frames and level, or by times as the evidence store sorts."""
     order = ["start_ts", "end_ts", "start_frame", "event_id"] if by_time else ["start_frame", "end_frame", "level", "event_id"]
-    return events.withColumn("position", F.row_number().over(Window.partitionBy("sequence_id").orderBy(*order)).cast("long"))
+    return frames.numbered(events, ["sequence_id"], order, "start_frame", "position")
 
 
 def links(events: DataFrame, reach: int = 25) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from touchline.functions import frames
 from touchline.functions.scan import CHUNK, scan
 from touchline.operators.geometry import FRAME
 from touchline.operators.possession import _none
@@ -152,9 +153,8 @@ def detect_passes(possession: DataFrame, players: DataFrame, ball: DataFrame, di
     rows = (possession.select(*FRAME, "timestamp_s", "possession_team", "status", "carrier_id", "carrier_team")
             .join(men, FRAME, "left").join(ball.filter("ball_valid").select(*FRAME, "ball_u", "ball_v", "ball_x", "ball_y"), FRAME, "left"))
     events = scan(rows, ["sequence_id"], "frame_index", _pass_step, PASS_SCHEMA, chunk)
-    number = F.row_number().over(Window.partitionBy("sequence_id").orderBy("end_frame"))
-    events = (events.withColumn("event_id", F.format_string("PEVT_%s_%04d", "sequence_id", number))
-              .filter("event_type <> 'SELF_TOUCH'"))
+    events = (frames.numbered(events, ["sequence_id"], ["end_frame"], "end_frame", "_number")
+              .withColumn("event_id", F.format_string("PEVT_%s_%04d", "sequence_id", "_number")).drop("_number").filter("event_type <> 'SELF_TOUCH'"))
     if directions is None:
         return events.withColumn("forward_m", F.lit(None).cast("double"))
     way = directions.select("sequence_id", F.col("team_label").alias("sender_team"), F.col("frame_index").alias("end_frame"), "direction")

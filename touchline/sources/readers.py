@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from touchline import schemas
 from touchline.operators.text import drop_front_matter
+from touchline.session import cut_lineage
 
 
 # ---- boxes --------------------------------------------------------------------------------------------------
@@ -31,13 +32,22 @@ def read_mot(spark: SparkSession, path: str) -> DataFrame:
     return parse_mot(spark.read.text(path).select(name.alias("sequence_id"), "value"))
 
 
+def _path_ranks(paths: DataFrame) -> DataFrame:
+    """Rank of each distinct path: numbered inside ranges of paths, and moved on by the sizes of the ranges before."""
+    dealt = cut_lineage(paths.repartitionByRange("path").withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("path"))
+    return dealt.withColumn("_place", inside).join(before, "_part").select("path", (F.col("_place") + F.col("_before")).cast("bigint").alias("frame_index"))
+
+
 def parse_yolo(labels: DataFrame, classes: list[str], width: int, height: int) -> DataFrame:
     """Normalised centre boxes to clamped corners; class ``ignored`` goes; the frame is the rank of the sorted path.
 
     ``labels`` has path and value.  The rank is taken over the distinct paths, not over the rows.
     """
     names = F.array(*[F.lit(c) for c in classes])
-    order = labels.select("path").distinct().withColumn("frame_index", F.row_number().over(Window.orderBy("path")).cast("bigint"))
+    order = _path_ranks(labels.select("path").distinct())
     p = F.split(F.trim("value"), r"\s+")
     num = lambda i: F.get(p, F.lit(i)).try_cast("double")
     df = labels.filter(F.size(p) >= 5).select("path", F.get(names, num(0).cast("int")).alias("class"), num(1).alias("cx"), num(2).alias("cy"), num(3).alias("w"), num(4).alias("h"))
