@@ -368,7 +368,11 @@ def recent_requests(spark, sf_dir):
             .select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("request_id"), "place"))
 
 
-@query("admission_limit", "E25")
+@query("admission_limit", "E25", """
+WITH RECURSIVE rq AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) / 1000000.0::DOUBLE AS tm FROM events),
+wk AS (SELECT key, n, tm, [tm] AS recent, true AS ok FROM rq WHERE n = 1
+  UNION ALL SELECT key, n, tm, CASE WHEN len(k) < 5 THEN list_append(k, tm) ELSE k END, len(k) < 5 FROM (SELECT r.key, r.n, r.tm, list_filter(w.recent, lambda t: t > r.tm - 600.0) AS k FROM wk w JOIN rq r ON r.key = w.key AND r.n = w.n + 1))
+SELECT key, n AS request_no, tm AS at_s, ok AS admitted FROM wk""")
 def admission_limit(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -392,7 +396,15 @@ def ball_track(spark, sf_dir):
     return trk.track_ball(b.select(*geo.FRAME, F.coalesce(one, none).alias("candidates")))
 
 
-@query("ball_track", "E19 M2")
+@query("ball_track", "E19", """
+WITH RECURSIVE c AS (SELECT sequence_id, frame_index, row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index) AS n, CASE WHEN ball_valid AND ball_conf >= 0.25 THEN (ball_x + 52.5) / 105.0 * 1920.0 END AS cu, CASE WHEN ball_valid AND ball_conf >= 0.25 THEN (ball_y + 34.0) / 68.0 * 1080.0 END AS cv, ball_conf AS cc FROM ball_v),
+wk AS (SELECT sequence_id, frame_index, CAST(0 AS BIGINT) AS n, false AS hit, CAST(NULL AS DOUBLE) AS au, CAST(NULL AS DOUBLE) AS av, CAST(NULL AS BIGINT) AS af, CAST(0 AS BIGINT) AS misses, CAST(NULL AS BIGINT) AS born, CAST(NULL AS DOUBLE) AS vx, CAST(NULL AS DOUBLE) AS vy, CAST(NULL AS DOUBLE) AS conf FROM c WHERE n = 1
+  UNION ALL SELECT sequence_id, f, n, take, CASE WHEN take THEN cu ELSE au END, CASE WHEN take THEN cv ELSE av END, CASE WHEN take THEN f ELSE af END, CASE WHEN take THEN 0 ELSE misses + 1 END, CASE WHEN NOT take THEN born WHEN fresh THEN f ELSE born END,
+     CASE WHEN take AND NOT fresh THEN (cu - au) / gone END, CASE WHEN take AND NOT fresh THEN (cv - av) / gone END, CASE WHEN take THEN cc END
+   FROM (SELECT *, cu IS NOT NULL AND (au IS NULL OR (moved <= least(150.0 + 35.0 * (gone - 1), 500.0) AND moved / gone <= 120.0) OR (misses >= 25 AND cc >= 0.30)) AS take, born IS NULL OR misses >= 25 OR (misses >= 10 AND moved > 300.0) AS fresh
+     FROM (SELECT c.sequence_id, c.frame_index AS f, c.n, cu, cv, cc, au, av, af, misses, born, greatest(1, c.frame_index - af) AS gone, sqrt((cu - au) * (cu - au) + (cv - av) * (cv - av)) AS moved FROM wk w JOIN c ON c.sequence_id = w.sequence_id AND c.n = w.n + 1)))
+SELECT sequence_id, frame_index, CASE WHEN hit THEN 'DETECTED' ELSE 'LOST' END AS state, CASE WHEN hit THEN 'ACTIVE' WHEN misses > 25 THEN 'TERMINATED' ELSE 'LOST' END AS lifecycle, CASE WHEN hit THEN born END AS born_frame, CASE WHEN hit THEN round(au, 6) END AS u, CASE WHEN hit THEN round(av, 6) END AS v,
+ round(vx, 6) AS vx, round(vy, 6) AS vy, round(conf, 6) AS conf, misses AS gap FROM wk WHERE n > 0""")
 def ball_track_query(spark, sf_dir):
     return tidy(ball_track(spark, sf_dir))
 
@@ -432,7 +444,13 @@ def appearance(spark, sf_dir):
                     F.transform("embedding", lambda v: v.cast("double")).alias("feature"))
 
 
-@query("appearance_prototypes", "E22")
+@query("appearance_prototypes", "E22", """
+WITH RECURSIVE o AS (SELECT label::BIGINT AS s, vec_id // 50 AS t, vec_id AS f, row_number() OVER (PARTITION BY label, vec_id // 50 ORDER BY vec_id) AS n, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
+un AS (SELECT s, t, f, n, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS e FROM o),
+wk AS (SELECT s, t, f, n, e, CAST(1 AS BIGINT) AS hits FROM un WHERE n = 1
+  UNION ALL SELECT s, t, f, n, list_transform(m, lambda v: v / sqrt(list_dot_product(m, m))), hits FROM (SELECT u.s, u.t, u.f, u.n, CASE WHEN u.f - w.f <= 30 THEN list_transform(list_zip(w.e, u.e), lambda z: 0.9 * z[1] + (1.0 - 0.9) * z[2]) ELSE u.e END AS m, CASE WHEN u.f - w.f <= 30 THEN w.hits + 1 ELSE 1 END AS hits
+    FROM wk w JOIN un u ON u.s = w.s AND u.t = w.t AND u.n = w.n + 1))
+SELECT s AS sequence_id, t AS track_id, f AS frame_index, hits, round(e[1], 6) AS first FROM wk""")
 def appearance_prototypes(spark, sf_dir):
     p = trk.prototypes(appearance(spark, sf_dir))
     return p.select("sequence_id", "track_id", "frame_index", "hits", rounded(F.get("prototype", F.lit(0))).alias("first"))

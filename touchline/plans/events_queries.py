@@ -366,18 +366,7 @@ def formation_consensus(spark, sf_dir):
     return fusion.formation_consensus(formation.stable_formation(formation.signatures(shifting_teams(spark, sf_dir))))
 
 
-@query("team_aggregates", "A12 A13", """
-WITH tf AS (SELECT b.sequence_id, b.team_label, b.h, CASE WHEN direction <> 0 THEN fx - bx END AS dp, CASE WHEN direction <> 0 AND n >= 2 THEN w END AS w, n, possession_conf AS pc FROM block_v b JOIN held_v p ON p.sequence_id = b.sequence_id AND p.frame_index = b.frame_index),
-q AS (SELECT *, CASE WHEN n < 4 THEN 'INVALID' WHEN n < 6 THEN 'LOW' WHEN n <= 7 THEN 'MEDIUM' ELSE 'HIGH' END AS g, least(pc, 0.85 * CASE WHEN n >= 8 THEN 1.0 WHEN n >= 6 THEN 0.85 WHEN n >= 4 THEN 0.65 ELSE 0.3 END) AS cf FROM tf),
-b AS (SELECT sequence_id, team_label, count(*) AS vf, avg(h) AS h, avg(dp) AS dp, avg(w) AS w, avg(cf) AS cm, quantile_cont(cf, 0.1) AS c10, count(*) FILTER (g = 'HIGH') AS gh, count(*) FILTER (g = 'MEDIUM') AS gm, count(*) FILTER (g = 'LOW') AS gl, count(*) FILTER (g = 'INVALID') AS gi FROM q GROUP BY 1, 2),
-tot AS (SELECT sequence_id, count(*) AS tf FROM held_v GROUP BY 1), hf AS (SELECT sequence_id, possession_team AS team_label, count(*) AS hf FROM held_v WHERE possession_team LIKE 'TEAM%' GROUP BY 1, 2),
-pr AS (SELECT sequence_id, defending_team AS team_label, avg(p) AS pm, max(p) AS pk FROM pressure_v WHERE defending_team LIKE 'TEAM%' GROUP BY 1, 2),
-ev AS (SELECT sequence_id, subject_team AS team_label, count(*) FILTER (family = 'POSSESSION_CHANGE') AS pch, count(*) FILTER (family = 'PRESSURE_EPISODE' AND quality IN ('HIGH', 'MEDIUM')) AS pe FROM evidence_v GROUP BY 1, 2),
-tr AS (SELECT sequence_id, losing_team AS team_label, avg(round(cp, 3)) AS cpm, avg(round(rec, 3)) AS rcm FROM transitions_v GROUP BY 1, 2)
-SELECT b.sequence_id, b.team_label, round(coalesce(hf, 0) / 25.0, 2) AS possession_s, round(100.0 * coalesce(hf, 0) / tf, 1) AS possession_pct, coalesce(pch, 0) AS possession_changes, round(h, 2) AS line_height_m, round(dp, 2) AS depth_m, round(w, 2) AS width_m,
- round(coalesce(pm, 0.0), 3) AS pressure_mean, round(coalesce(pk, 0.0), 3) AS pressure_peak, coalesce(pe, 0) AS pressure_episodes, round(coalesce(cpm, 0.0), 3) AS counterpress_mean, round(coalesce(rcm, 0.0), 3) AS recovery_mean, 0.0::DOUBLE AS progression_m, 0::BIGINT AS completed_passes, round(100.0 * vf / tf, 1) AS coverage_pct, vf AS valid_frames, tf AS total_frames, round(cm, 3) AS conf_mean, round(c10, 3) AS conf_p10,
- gh AS frames_high, gm AS frames_medium, gl AS frames_low, gi AS frames_invalid
-FROM b LEFT JOIN tot USING (sequence_id) LEFT JOIN hf USING (sequence_id, team_label) LEFT JOIN pr USING (sequence_id, team_label) LEFT JOIN ev USING (sequence_id, team_label) LEFT JOIN tr USING (sequence_id, team_label)""")
+@query("team_aggregates", "A12 A13", "SELECT * FROM team_aggregates_v")
 def team_aggregates(spark, sf_dir):
     held = quick(spark, sf_dir)
     rows = block_table(spark, sf_dir).withColumn("players", F.col("outfield_count")).join(held.select(*geo.FRAME), geo.FRAME, "left_semi")

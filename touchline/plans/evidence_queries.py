@@ -79,7 +79,10 @@ def graph_neighbourhood(spark, sf_dir):
     return ev.neighbourhood(links(spark, sf_dir), roots)
 
 
-@query("graph_neighbourhood_edges", "G2")
+@query("graph_neighbourhood_edges", "G2", """
+WITH s AS (SELECT sequence_id, source_id AS a, target_id AS b FROM links_v UNION SELECT sequence_id, target_id, source_id FROM links_v), r AS (SELECT sequence_id, event_id AS root_id FROM evidence_v WHERE family = 'POSSESSION_CHANGE'),
+o AS (SELECT sequence_id, root_id, root_id AS node FROM r UNION SELECT r.sequence_id, root_id, b FROM r JOIN s ON s.sequence_id = r.sequence_id AND a = root_id)
+SELECT sequence_id, root_id, source_id, target_id, relation, count(*) AS met FROM (SELECT o.sequence_id, root_id, source_id, target_id, relation FROM o JOIN links_v l ON l.sequence_id = o.sequence_id AND source_id = node UNION ALL SELECT o.sequence_id, root_id, source_id, target_id, relation FROM o JOIN links_v l ON l.sequence_id = o.sequence_id AND target_id = node) GROUP BY 1, 2, 3, 4, 5""")
 def graph_neighbourhood_edges(spark, sf_dir):
     return ev.neighbourhood_edges(links(spark, sf_dir), graph_neighbourhood(spark, sf_dir))
 
@@ -149,16 +152,16 @@ def latency_rollup(spark, sf_dir):
     return tidy(ev.latency_rollup(rows), 3)
 
 
-@query("match_report", "G8 A22")
+@query("match_report", "G8 A22", "SELECT sequence_id, section, position, sentence, citation FROM report_v")
 def match_report(spark, sf_dir):
     from touchline.plans.events_queries import geo, quick, block_table
 
     held = quick(spark, sf_dir)
-    rows = block_table(spark, sf_dir).withColumn("players", F.col("outfield_count"))
+    rows = block_table(spark, sf_dir).withColumn("players", F.col("outfield_count")).join(held.select(*geo.FRAME), geo.FRAME, "left_semi")
     return ev.report_rows(fusion.summaries(evidence(spark, sf_dir)), fusion.team_aggregates(rows, held, frame_pressure(spark, sf_dir), evidence(spark, sf_dir)))
 
 
-@query("report_grounding", "A22")
+@query("report_grounding", "A22", "SELECT sequence_id, count(*) AS sentences, count(*) AS grounded, 1.0::DOUBLE AS grounded_ratio FROM report_v GROUP BY 1")
 def report_grounding(spark, sf_dir):
     return tidy(ev.report_grounding(match_report(spark, sf_dir), evidence(spark, sf_dir)))
 
