@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, functions as F
 from touchline.llm.rows import pick, raw, slices
 
 WINDOW = 13
-RUN = 3
+RUN = 2
 #: Bytes of packed strings that a task holds before it sends them, and that a bucket is sized for.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 BUCKET_BYTES = 32 << 20
 MIN_BUCKETS = 256
-SEGMENT_BYTES = 2 << 20
+LEVEL = 6
+SEGMENT_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -105,7 +106,7 @@ def _segments(text: bytes, k: int, most: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _packed(bytes_: bytes) -> tuple[bytes, int]:
-    return pa.compress(bytes_, codec="zstd", asbytes=True), len(bytes_)
+    return pa.Codec("zstd", compression_level=LEVEL).compress(bytes_, asbytes=True), len(bytes_)
 
 
 def _unpacked(data: bytes, size: int) -> bytes:
