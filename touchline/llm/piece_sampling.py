@@ -25,10 +25,12 @@ from touchline.llm.rows import pick, slices
 SAMPLES = 3
 SEED = 7
 #: Text bytes whose lattices are held at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 BLANK = "▁"
 RANK_SHIFT = 10.0
 NONE = -np.inf
+#: Log-mass below which siblings are looked at only if need be, and the most that a drawn value can lie above it.
+FAR, GAIN = -100.0, 37.0
 #: A character that no piece holds.
 OTHER = "\U000f0000"
 
@@ -127,25 +129,28 @@ class Lattices:
             maybe = np.flatnonzero(vocab.whole[slot])
             found = np.minimum(np.searchsorted(vocab.hashes, h[maybe]), len(vocab.hashes) - 1)
             good = vocab.hashes[found] == h[maybe]
-            at.append(place[maybe[good]])
-            length.append(np.full(good.sum(), width))
-            number.append(found[good])
+            at.append(place[maybe[good]].astype(np.int32))
+            length.append(np.full(good.sum(), width, np.int8))
+            number.append(found[good].astype(np.int32))
             if width == 1:
                 single[at[0]] = True
             go = vocab.begun[slot] & (rest[place] > width)
             place, h = place[go], h[go]
         spelled = np.flatnonzero(~single & (rest > 0))
-        at.append(spelled)
-        length.append(np.ones(len(spelled), np.int64))
-        number.append(np.full(len(spelled), -1))
+        at.append(spelled.astype(np.int32))
+        length.append(np.ones(len(spelled), np.int8))
+        number.append(np.full(len(spelled), -1, np.int32))
+        del place, h, chars, single
         # the longest first: they are the likeliest, and choose() tries them in order
         at, length, number = (np.concatenate(x[::-1]) for x in (at, length, number))
         order = np.argsort(at, kind="stable")
-        self.at, self.length, number = at[order].astype(np.int32), length[order].astype(np.int8), number[order]
+        self.at, self.length, number = at[order], length[order], number[order]
+        del at, length, order
         weight = np.where(number >= 0, vocab.weights[number], 0.0)
         self.piece = np.where(number >= 0, vocab.ids[number], -1).astype(np.int32)
         self._spell(np.flatnonzero(number < 0), words, size, weight, vocab)
-        self.first = np.searchsorted(self.at, np.arange(n + 1))  # edges of a place
+        del number
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.at, minlength=n))])  # edges of a place
         mass = np.full(n, NONE)
         mass[self.stop] = 0.0
         by_rest = np.argsort(rest[self.at], kind="stable")
@@ -159,14 +164,19 @@ class Lattices:
             run = np.diff(np.append(head, len(e)))
             mass[self.at[e][head]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, run)), head))
         self.log_share = weight + mass[self.at + self.length] - mass[self.at]
+        del weight, mass, by_rest, levels
         share = np.exp(self.log_share)
         total = np.cumsum(share)
-        self.through = total - np.concatenate([[0.0], total])[self.first[self.at]]  # shares of a place up to and with an edge
+        total -= (total - share)[self.first[self.at]]
+        self.through = total  # shares of a place up to and with an edge
         self.last = self.first[1:] - 1
-        self.share = share
+
+    def left_beside(self, edges: np.ndarray) -> np.ndarray:
+        """Log-share of all other edges of each edge's place, exactly nothing where there are none."""
+        place = self.at[edges]
+        some = self.first[place + 1] - self.first[place] > 1
         with np.errstate(divide="ignore"):
-            # what all other edges of the place have, exactly nothing where there are none
-            self.rest_share = np.log(np.where(np.diff(self.first)[self.at] > 1, np.maximum(1 - share, 0.0), 0.0))
+            return np.log(np.where(some, np.maximum(-np.expm1(self.log_share[edges]), 0.0), 0.0))
 
     def _spell(self, edges: np.ndarray, words: list[str], size: np.ndarray, weight: np.ndarray, vocab: Vocabulary) -> None:
         """Edges over characters without a piece: their bytes, one after the other in ``spelled``."""
@@ -217,9 +227,23 @@ class _Path:
         self.step = np.zeros(n, np.int64)
 
 
-def _walk(lat: Lattices, occ: np.ndarray, node: np.ndarray, word: np.ndarray, offset: np.ndarray, key: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sample from given places to the ends of their words: ``occurrence, place, edge`` in reading order."""
+def _sure(path: _Path, texts: np.ndarray, k: int) -> bool:
+    """Whether the ``k`` greatest values of each text are beyond all that steps below ``FAR`` could have."""
+    for d in texts.tolist():
+        value = path.value[path.head[d]:path.head[d + 1]]
+        if len(value) < k or np.partition(value, -k)[-k] <= FAR + GAIN:
+            return False
+    return True
+
+
+def _walk(lat: Lattices, occ: np.ndarray, node: np.ndarray, word: np.ndarray, offset: np.ndarray, key: np.ndarray, rank: int, given: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sample from given places to the ends of their words: ``occurrence, place, edge`` in reading order.
+
+    ``given``: occurrences and edges that come before the sampled ones of these occurrences.
+    """
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if given is not None:
+        parts.append((given[0], lat.at[given[1]].astype(np.int64), given[1]))
     live = node < lat.stop[word[occ]]
     occ, node = occ[live], node[live]
     while len(occ):
@@ -229,11 +253,19 @@ def _walk(lat: Lattices, occ: np.ndarray, node: np.ndarray, word: np.ndarray, of
         node = node + lat.length[e]
         live = node < lat.stop[word[occ]]
         occ, node = occ[live], node[live]
-    if not parts:
-        return (np.zeros(0, np.int64),) * 3
-    o, p, e = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(o, kind="stable")
-    return o[order], p[order], e[order]
+    count = np.zeros(len(word), np.int64)
+    for o, _, _ in parts:
+        count[o] += 1
+    first = np.cumsum(count) - count
+    total = int(count.sum())
+    out = tuple(np.empty(total, np.int64) for _ in range(3))
+    done = np.zeros(len(word), np.int64)
+    for o, p, e in parts:
+        at = first[o] + done[o]
+        for column, values in zip(out, (o, p, e), strict=True):
+            column[at] = values
+        done[o] += 1
+    return out
 
 
 def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
@@ -287,7 +319,7 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int)
                 place, occ = int(parent.place[s]), int(parent.occ[s])
                 lo, hi = int(lat.first[place]), int(lat.first[place + 1])
                 gone = [int(parent.edge[s])] + (excluded.get((i, d), []) if s == a and parent.parent[d] >= 0 else [])
-                share = lat.share[lo:hi].copy()
+                share = np.exp(lat.log_share[lo:hi])
                 share[[e - lo for e in gone]] = 0.0
                 sums = np.cumsum(share)
                 e = lo + min(int(np.searchsorted(sums, u * sums[-1], side="right")), hi - lo - 1)
@@ -312,11 +344,8 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int)
             if not forced:
                 threshold = np.full(n, NONE)
                 break
-            o, p, e = _walk(lat, np.concatenate(occs), np.concatenate(nodes), word, offset, key, rank)
-            fd, fo, fe = (np.array([f[j] for f in forced], np.int64) for j in range(3))
-            o, p, e = np.concatenate([fo, o]), np.concatenate([lat.at[fe], p]), np.concatenate([fe, e])
-            order = np.lexsort((p, o))
-            o, p, e = o[order], p[order], e[order]
+            given = np.array([f[1] for f in forced], np.int64), np.array([f[2] for f in forced], np.int64)
+            o, p, e = _walk(lat, np.concatenate(occs), np.concatenate(nodes), word, offset, key, rank, given)
         else:
             path = _Path(n)
             o, p, e = _walk(lat, np.arange(len(word)), lat.start[word], word, offset, key, 0)
@@ -327,13 +356,21 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int)
         run = np.cumsum(share)
         base = np.concatenate([[0.0], run])[path.head[:-1]]
         path.before = run - share - base[owner] + start_before[owner]
-        left = lat.rest_share[e].copy()
-        for f in forced:
-            left[path.head[f[0]]] = f[3]
-        mass = path.before + left
-        spread = -np.log(uniforms(key[o], 2 * rank + 1, offset[o] + p - lat.start[word[o]]))
-        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            path.value = np.where(mass > NONE, mass - np.log(np.exp(np.minimum(mass - bound[owner], 700)) + spread), NONE)
+        # siblings far down have next to no mass: their values need not be drawn where greater ones are there
+        for cut in (FAR, NONE):
+            some = np.flatnonzero(path.before >= cut)
+            path.value = np.full(len(e), NONE)
+            left = lat.left_beside(e[some])
+            for f in forced:
+                left[np.searchsorted(some, path.head[f[0]])] = f[3]
+            mass = path.before[some] + left
+            spread = -np.log(uniforms(key[o[some]], 2 * rank + 1, offset[o[some]] + p[some] - lat.start[word[o[some]]]))
+            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                path.value[some] = np.where(mass > NONE, mass - np.log(np.exp(np.minimum(mass - bound[owner[some]], 700)) + spread), NONE)
+            if len(some) == len(e):
+                break
+            if _sure(path, np.unique(owner[path.before < cut]), k):
+                break
         filled = np.flatnonzero(path.head[1:] > path.head[:-1])
         tops = np.maximum.reduceat(path.value, path.head[filled]) if len(filled) else np.zeros(0)
         best[rank, filled] = tops
