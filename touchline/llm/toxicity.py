@@ -21,15 +21,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.llm.rows import labelled_sample, pick, slices
+from touchline.session import cut_lineage
 
 #: Most labelled documents learned from, and the least number of them that a word must stand in to get a score of its own.
 SAMPLE = 20_000
 LEAST_DOCS = 3
+#: Passes that thin out near copies in the sample, and words of a shingle.
+THINNINGS = 4
+SHINGLE = 5
 PRIOR = 500.0
-ERRORS = 2.0
+ERRORS = 2.5
 DRIFT = 0.1
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
@@ -40,7 +45,9 @@ WORD = re.compile(r"\w+")
 #: Letters of the stems of a longer word; a stem is written with this mark, which no word holds.
 STEMS = (4, 5, 6)
 STEM_MARK = "^"
-MEMO = 200_000
+STEM_TYPES = 3
+#: Words whose scores a task remembers.
+MEMO = 300_000
 
 
 def words(text: str | None) -> list[str]:
@@ -52,6 +59,22 @@ def forms(token: str) -> list[str]:
     return [token, *(STEM_MARK + token[:n] for n in STEMS if len(token) > n)]
 
 
+class Memo(dict):
+    """Remembers what ``make`` gives for a key; starts anew when it holds very many keys."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > MEMO:
+            self.clear()
+
+
 def all_forms(text: str | None) -> set[str]:
     out: set[str] = set()
     for w in set(words(text)):
@@ -104,22 +127,19 @@ class Model:
     rate: float
     size: float
     curve: tuple[float, float, float]
-    memo: dict[str, float | None] = field(default_factory=dict, repr=False, compare=False)
+    known: Memo | None = field(default=None, repr=False, compare=False)
 
     def word_score(self, token: str) -> float | None:
         """The score that is farthest from nothing among a word and its stems; none where none has a score."""
         return max((x for x in map(self.weights.get, forms(token)) if x is not None), key=abs, default=None)
 
     def hits(self, tokens: list[str]) -> list[tuple[int, float]]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(tokens):
-            if w not in memo:
-                memo[w] = self.word_score(w)
+        if self.known is None:
+            object.__setattr__(self, "known", Memo(self.word_score))
+        self.known.trim()
         uses: Counter = Counter()
         out = []
-        for i, s in enumerate(map(memo.get, tokens)):
+        for i, s in enumerate(map(self.known.__getitem__, tokens)):
             if s is not None:
                 uses[tokens[i]] += 1
                 out.append((i, s / uses[tokens[i]] if s > 0 else s))
@@ -127,7 +147,7 @@ class Model:
 
     def bits(self, score: float, n: int) -> float:
         """Normalised score of a segment in a text of ``n`` words: minus the log of its expected number by chance."""
-        return self.rate * score - math.log(self.size * max(n, 1))
+        return self.rate * score - max(math.log(self.size * max(n, 1)), 0.0)
 
     def chance(self, score: float, n: int) -> float:
         return -math.expm1(-math.exp(min(-self.bits(score, n), 50.0)))
@@ -155,7 +175,7 @@ class Model:
 
     def probability(self, scores: list[float], n: int) -> float:
         best, most = self.evidence(scores, n)
-        z = self.curve[0] + self.curve[1] * best + self.curve[2] * min(most, CLEAR)
+        z = self.curve[0] + self.curve[1] * min(best, CLEAR) + self.curve[2] * min(most, CLEAR)
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
@@ -188,16 +208,51 @@ def _count_words(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _least_shingles(text: str | None) -> list[int]:
+    """Least hash of the word shingles of a text under each of several orders."""
+    tokens = words(text)
+    h = np.array([xxhash.xxh64_intdigest(w) for w in tokens] or [0], np.uint64)
+    width = min(SHINGLE, len(h))
+    mixed = h[:len(h) - width + 1].copy()
+    for j in range(1, width):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[j:len(h) - width + 1 + j]
+    out = []
+    for i in range(THINNINGS):
+        x = (mixed ^ np.uint64(0xA24BAED4963EE407 * (i + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out.append(int((x ^ (x >> np.uint64(32))).min().view(np.int64)))
+    return out
+
+
+def _thinned(pairs: DataFrame) -> DataFrame:
+    """``label, text`` with near copies thinned out: of texts of one label that agree in a least shingle one stays, in
+    several passes, so that a copied document does not count as many."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            rows = [_least_shingles(t) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(THINNINGS))], ["doc_id", "label", *(f"m{i}" for i in range(THINNINGS))])
+
+    kind = pairs.schema["doc_id"].dataType.simpleString()
+    left = pairs.mapInArrow(sketch, f"doc_id {kind}, label int, " + ", ".join(f"m{i} long" for i in range(THINNINGS)))
+    for i in range(THINNINGS):
+        left = left.groupBy(f"m{i}", "label").agg(F.min(F.struct("doc_id", *[f"m{j}" for j in range(i + 1, THINNINGS)])).alias("x")).select("label", "x.*")
+    return cut_lineage(pairs.join(left.select("doc_id"), "doc_id", "left_semi").select("label", "text"), "sample")
+
+
 def _corpus_counts(docs: DataFrame, vocabulary) -> np.ndarray:
     """In how many of all documents each word of the broadcast vocabulary stands."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(vocabulary.value)}
+        places = Memo(lambda w: tuple(place[f] for f in forms(w) if f in place))
         total = np.zeros(len(place), np.int64)
         for part in slices(batches, "text"):
+            places.trim()
             for text in part.column(0).to_pylist():
-                found = [place[w] for w in all_forms(text) if w in place]
-                total[found] += 1
+                found = {i for some in map(places.__getitem__, set(words(text))) if some for i in some}
+                if found:
+                    total[list(found)] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "n"])
 
@@ -209,34 +264,39 @@ def _corpus_counts(docs: DataFrame, vocabulary) -> np.ndarray:
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Ridge logistic curve on two inputs (Newton steps)."""
+    """Ridge logistic curve on two inputs (Newton steps, halved until the loss falls); slopes below zero are left out."""
     share = (y.sum() + 0.5) / (len(y) + 1)
-    w = np.array([math.log(share / (1 - share)), 0.0, 0.0])
-    if 0 < y.sum() < len(y):
-        a = np.column_stack([np.ones(len(x)), x])
-        penalty = np.array([0.0, 1e-2, 1e-2])
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            step = np.linalg.solve((a.T * (p * (1 - p) + 1e-9)) @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
-            w += np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-9:
+    a, penalty = np.column_stack([np.ones(len(x)), x / CLEAR]), np.array([1e-6, 0.05, 0.05])
+    w, used = np.array([math.log(share / (1 - share)), 0.0, 0.0]), np.ones(3, bool)
+    loss = lambda w: float(np.logaddexp(0, -(2 * y - 1) * (a @ w)).sum() + (penalty * w * w).sum() / 2)
+    while 0 < y.sum() < len(y):
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+            hessian = (a.T * (p * (1 - p))) @ a + np.diag(penalty)
+            step = np.zeros(3)
+            step[used] = np.linalg.solve(hessian[np.ix_(used, used)], (a.T @ (y - p) - penalty * w)[used])
+            size = 1.0
+            while size > 1e-9 and loss(w + size * step) > loss(w):
+                size /= 2
+            w = w + size * step
+            if size * np.abs(step).max() < 1e-7:
                 break
-    return float(w[0]), float(max(w[1], 0.0)), float(max(w[2], 0.0))
+        wrong = used & (np.arange(3) > 0) & (w < 0)
+        if not wrong.any():
+            break
+        used, w = used & ~wrong, np.where(wrong, 0.0, w)
+    return float(w[0]), float(w[1] / CLEAR), float(w[2] / CLEAR)
 
 
-def _rate(weights: np.ndarray, clean: np.ndarray, rest: float, drift: float) -> float:
-    """The positive ``rate`` at which the mean of ``exp(rate * score)`` over words of clean texts is one."""
-    share = clean / (clean.sum() + rest) if len(clean) else np.zeros(0)
-    mean = lambda r: float(share @ np.exp(np.minimum(r * weights, 700)) + (1 - share.sum()) * math.exp(-r * drift))
-    if not (weights > 0).any():
-        return 1.0
-    low, high = 1e-6, 1.0
-    while mean(high) < 1 and high < 64:
-        low, high = high, high * 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if mean(mid) < 1 else (low, mid)
-    return high
+def extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """``rate`` and ``size`` of the law ``P(best > x) = 1 - exp(-size * n * exp(-rate * x))``, by maximum likelihood."""
+    if not len(best):
+        return 1.0, 1.0
+    sizes = lambda r: len(best) / float((n * np.exp(-r * best)).sum())
+    rates = np.geomspace(0.25, 8.0, 400)
+    likelihood = [math.log(r) + math.log(sizes(r)) - r * float(best.mean()) for r in rates]
+    rate = float(rates[int(np.argmax(likelihood))])
+    return rate, sizes(rate)
 
 
 def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -248,19 +308,25 @@ def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE,
     """
     source = pick(docs, doc_id=id_col, text=text_col)
     chosen = labelled_sample(labels, label_col, sample, where=where)
-    pairs = source.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct((F.col("label") > 0).cast("int").alias("label"), "text")).alias("x")).select("x.*")
-    rows = _count_words(pairs).filter(F.col("toxic") + F.col("clean") >= LEAST_DOCS).orderBy("word").collect()
-    vocabulary = [r.word for r in rows]
-    toxic, clean = np.array([r.toxic for r in rows], float), np.array([r.clean for r in rows], float)
+    pairs = source.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct((F.col("label") > 0).cast("int").alias("label"), "text")).alias("x")).select("doc_id", "x.*")
+    pairs = _thinned(cut_lineage(pairs, "sample"))  # bounded by the sample
     n = {bool(r.label): r["count"] for r in pairs.groupBy("label").count().collect()}
     n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
+    rows = _count_words(pairs).filter(F.col("toxic") + F.col("clean") >= LEAST_DOCS)
+    # forms that cannot be told from even are left out before the corpus is counted
+    skew = F.col("toxic") / F.lit(max(n_toxic, 1)) - F.col("clean") / F.lit(max(n_clean, 1))
+    noise = F.sqrt((F.col("toxic") + F.col("clean")) * (1.0 / max(n_toxic, 1)) * (1.0 / max(n_clean, 1)))
+    rows = rows.filter(F.abs(skew) > (ERRORS - 1) * noise).orderBy("word").collect()
+    vocabulary = [r.word for r in rows]
+    toxic, clean = np.array([r.toxic for r in rows], float), np.array([r.clean for r in rows], float)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     corpus = _corpus_counts(source, shared)
     weights = log_odds(toxic, clean, corpus, (n_toxic, n_clean, source.count())) if n_toxic and n_clean else np.zeros(len(rows))
-    smooth = clean + PRIOR * np.maximum(corpus, 1) / max(1, int(corpus.max(initial=1)))
     scored = {w: float(x) - DRIFT for w, x in zip(vocabulary, weights.tolist(), strict=True) if x != 0}
-    rate = _rate(weights[weights != 0] - DRIFT, smooth[weights != 0], float(smooth[weights == 0].sum()), DRIFT)
-    draft = docs.sparkSession.sparkContext.broadcast(Model(scored, DRIFT, rate, 1.0, (0.0, 1.0, 0.0)))
+    # a stem speaks for its forms only where several of them are toxic themselves
+    types = Counter(f for w, x in scored.items() if x > 0 and w[0] != STEM_MARK for f in forms(w)[1:])
+    scored = {w: x for w, x in scored.items() if w[0] != STEM_MARK or x < 0 or types[w] >= STEM_TYPES}
+    draft = docs.sparkSession.sparkContext.broadcast(Model(scored, DRIFT, 1.0, 1.0, (0.0, 1.0, 0.0)))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = draft.value
@@ -274,10 +340,10 @@ def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE,
 
     seen = pairs.mapInArrow(best, "label int, n long, s array<double>").collect()  # one row for each sampled document
     seen.sort(key=lambda r: (r.label, r.n, r.s))
-    chance = sum(max(r.n, 1) * math.exp(-rate * max(r.s, default=0.0)) for r in seen if not r.label)
-    size = max(n_clean, 1) / max(chance, 1e-12) if n_clean else 1.0
+    clean_rows = [r for r in seen if not r.label]
+    rate, size = extreme_value(np.array([max(r.s, default=0.0) for r in clean_rows]), np.array([max(r.n, 1) for r in clean_rows], float))
     model = Model(scored, DRIFT, rate, size, (0.0, 1.0, 0.0))
-    x = np.array([(best, min(most, CLEAR)) for best, most in (model.evidence(r.s, r.n) for r in seen)]).reshape(-1, 2)
+    x = np.array([(min(best, CLEAR), min(most, CLEAR)) for best, most in (model.evidence(r.s, r.n) for r in seen)]).reshape(-1, 2)
     return Model(scored, DRIFT, rate, size, _curve(x, np.array([r.label for r in seen], float)))
 
 
