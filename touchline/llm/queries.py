@@ -32,7 +32,7 @@ WITH given AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
 hashed AS (SELECT page_id, t, octet_length(encode(t)) AS n, sha1(t) AS h FROM given),
 firsts AS (SELECT t, min(page_id) AS first_id FROM given GROUP BY t)
 SELECT page_id, n::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM hashed JOIN firsts USING (t)""")
@@ -49,9 +49,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op3_embedding_near_dups", """
-WITH RECURSIVE given AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings),
-good AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS n FROM given
-  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+WITH RECURSIVE given AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+good AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM given
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 unit AS (SELECT vec_id, v, n FROM good WHERE n > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
@@ -92,7 +92,7 @@ firsts AS (SELECT t, min(doc_id) AS first_id FROM windows GROUP BY t),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (t) WHERE first_id < doc_id),
 marks AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
 kept AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
-  list_transform(list_filter(range(1, len(w) + 1), x -> NOT list_contains(coalesce(gone, []), x)), x -> w[x]) AS k FROM words LEFT JOIN marks USING (doc_id))
+  list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(coalesce(gone, []), x)), lambda x: w[x]) AS k FROM words LEFT JOIN marks USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dups.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
