@@ -75,3 +75,25 @@ def test_empty(spark):
 def test_passes_grow_with_the_table():
     few, many = E.passes_for(10_000, 64)[0], E.passes_for(10_000_000_000, 64)[0]
     assert 2 <= few < many
+
+
+def test_recall_in_a_dense_region(spark):
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    topic = unit(rng.standard_normal(64))
+    across = lambda n: unit((d := rng.standard_normal((n, 64))) - (d @ topic)[:, None] * topic)
+    c, pairs = 0.9, 300  # a third of the rows lie in one topic, about 0.9 from each other
+    side = across(2000 - pairs)
+    turn = rng.standard_normal((pairs, 64))
+    turn -= (turn @ topic)[:, None] * topic + (turn * side[:pairs]).sum(axis=1)[:, None] * side[:pairs]
+    s = (0.955 - c) / (1 - c)
+    twin = s * side[:pairs] + np.sqrt(1 - s * s) * unit(turn)  # cosine 0.955 to the first rows of the topic
+    hot = np.sqrt(c) * topic + np.sqrt(1 - c) * np.concatenate([side, twin])
+    x = np.concatenate([hot, rng.standard_normal((4000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    links = x[:2000] @ x[:2000].T >= 0.95
+    np.fill_diagonal(links, False)
+    got = {r.vec_id: r.component_id for r in E.near_duplicates(df, window=48).collect()}
+    assert links[np.arange(pairs), np.arange(pairs) + 2000 - pairs].all()
+    met = sum(got[i] == got[i + 2000 - pairs] for i in range(pairs))
+    assert met / pairs > 0.95, met

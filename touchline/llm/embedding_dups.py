@@ -1,30 +1,38 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by projection passes over runs of equal keys.
 
 Equal vectors are one class. In each pass every class gets a key of concatenated random hashes (after a random rotation, the
-axis nearest to the vector, several times over), classes are sorted by it, and each is compared with its next neighbours in a
-window. Pairs verified in double precision are united over all passes. The number of passes follows from the number of
-vectors, so that the chance to miss a pair at the threshold does not grow with the table. At last, links are counted inside
-each component by blocks: all links of a vector lie in its component, so the counts are exact for it.
+axis nearest to the vector, several times over). A run is what shares the first hashes of a key; runs are made longer or
+shorter where the data need it: a run of more than a window of classes is split by its next hash, unless that saves less than
+it loses, and the runs left are compared whole, in blocks across tasks where they are long. In each pass a class is tried with
+random partners at the threshold: how many of them fall into its run tells how likely its links were found. A class takes
+part in passes until that is likely enough, so classes in dense regions take part in more. At last, links are counted inside each component by blocks: all links of a vector lie in its component, so
+the counts are exact for it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from touchline.llm.components import connected_components, local_forest
+from touchline.llm.components import connected_components, unite
 from touchline.llm.rows import pick
 from touchline.session import cut_lineage
 
 COSINE = 0.95
-WINDOW = 48
-#: Chance to miss a pair at the threshold that the number of passes is chosen for.
+#: Classes of a run that one task compares whole.
+WINDOW = 1024
+#: Chance to miss a pair at the threshold down to which a class takes part in passes.
 MISS = 0.02
 MOST_HASHES = 8
+#: Passes over the classes at a time.
+MOST_PASSES = 16
+#: Random partners of a class in each pass.
+TRIALS = 4
 SEED = 20_01
 BLOCK = 1024
 CHUNK = 8192
@@ -56,120 +64,207 @@ def _usable(kind: str):
     return walk
 
 
+@lru_cache(maxsize=2)
 def rotations(size: int, hashes: int, pass_: int, seed: int = SEED) -> np.ndarray:
     """Random rotation-like matrices of one pass, ``hashes`` of them side by side."""
     rng = np.random.default_rng([seed, size, pass_])
     return rng.standard_normal((size, hashes * size))
 
 
-def keys(vectors: np.ndarray, pass_: int, hashes: int) -> np.ndarray:
-    """Concatenated hashes of each row: two bytes each, axis and sign of the largest rotated coordinate."""
+def keys(vectors: np.ndarray, pass_: int, hashes: int, first: int | None = None) -> np.ndarray:
+    """Concatenated hashes of each row, or the ``first`` of them: two bytes each, axis and sign of the largest rotated coordinate."""
     n, size = vectors.shape
-    turned = (vectors @ rotations(size, hashes, pass_)).reshape(n, hashes, size)
+    first = hashes if first is None else first
+    turned = (vectors @ rotations(size, hashes, pass_)[:, :first * size]).reshape(n, first, size)
     axis = np.abs(turned).argmax(axis=2)
     sign = np.take_along_axis(turned, axis[:, :, None], axis=2)[:, :, 0] < 0
     return (axis * 2 + sign).astype(">u2")
 
 
-def passes_for(n: int, size: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS, seed: int = SEED) -> tuple[int, int]:
-    """Number of passes, and of hashes in a key, for ``n`` vectors of ``size`` values.
+def _partners(x: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """A random unit vector for each row of ``x``, at ``cosine`` to it."""
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(axis=1)[:, None] * x
+    norm = np.linalg.norm(y, axis=1)[:, None]
+    return cosine * x + math.sqrt(1 - cosine * cosine) * y / np.where(norm > 0, norm, 1)
 
-    A pass finds a pair if its keys agree on as many hashes as leave about a window of vectors together. How often two
-    vectors at the threshold agree on one hash, and how many values a hash takes, is measured on random pairs.
-    """
+
+def agreement(size: int, cosine: float = COSINE, seed: int = SEED) -> float:
+    """How often two vectors at the threshold agree on one hash, measured on random pairs."""
     rng = np.random.default_rng([seed, size])
     a = rng.standard_normal((256, size))
     a /= np.linalg.norm(a, axis=1)[:, None]
-    b = rng.standard_normal((256, size))
-    b -= (a * b).sum(axis=1)[:, None] * a
-    norm = np.linalg.norm(b, axis=1)[:, None]
-    b = cosine * a + math.sqrt(1 - cosine * cosine) * b / np.where(norm > 0, norm, 1)
-    same = float((keys(a, 0, 4) == keys(b, 0, 4)).mean())
-    values = max(2, 2 * size)
-    depth = max(0.0, math.log(max(n, 1) / window) / math.log(values))
-    hashes = min(MOST_HASHES, max(1, math.ceil(depth) + 1))
-    found = min(max(same ** depth, 1e-4), 1 - 1e-9)
-    return max(2, math.ceil(math.log(miss) / math.log(1 - found))), hashes
-
-
-def _near(x: np.ndarray, window: int, cosine: float, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows at most ``window`` apart with the cosine or more, the later one at row ``first`` or after."""
-    left, right = [], []
-    for step in range(1, min(window, len(x) - 1) + 1):
-        at = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine)
-        at = at[at + step >= first]
-        left.append(at)
-        right.append(at + step)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
-
-
-def _windows(size: int, kind: str, window: int, cosine: float):
-    """Compare neighbours inside a sorted partition: forest edges, and the first and last rows for its neighbours."""
-
-    def rows(what: int, a, b, vec, place: int, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([what] * n, pa.int32()), pa.array([place] * n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), vec], ["kind", "place", "a", "b", "vec"])
-
-    def edges(ids: np.ndarray, left: np.ndarray, right: np.ndarray, place: int) -> pa.RecordBatch:
-        label = local_forest(left, right, len(ids))
-        hung = np.flatnonzero(label != np.arange(len(ids)))
-        return rows(0, ids[hung], ids[label[hung]], pa.nulls(len(hung), pa.binary()), place, len(hung))
+    b = _partners(a, cosine, rng)
+    return min(max(float((keys(a, 0, 4) == keys(b, 0, 4)).mean()), 0.01), 1 - 1e-9)
+
+
+def passes_for(n: int, size: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS, seed: int = SEED) -> tuple[int, int]:
+    """Number of passes, and of hashes to split by, for ``n`` vectors of ``size`` values that are spread evenly.
+
+    Only the first passes are planned so; more follow for the classes that need them.
+    """
+    depth = min(MOST_HASHES, max(0, math.ceil(math.log(max(n, 1) / window) / math.log(max(2, 2 * size)))))
+    found = min(max(agreement(size, cosine, seed) ** depth, 1e-4), 1 - 1e-9)
+    return max(2, math.ceil(-math.log(miss) / found)), depth
+
+
+def _keyed(classes: DataFrame, size: int, kind: str, passes: range) -> DataFrame:
+    """``cls, vec, found`` and ``keys``: the keys of all ``passes``, one after the other."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, x, packed, head = None, np.zeros(0, np.int64), np.zeros((0, size)), [], 0
+        most = max(1, min(CHUNK, (4 << 20) // (MOST_HASHES * size)))
         for batch in batches:
             for part in (batch.slice(i, CHUNK) for i in range(0, batch.num_rows, CHUNK)):
-                place = part.column(0)[0].as_py() if place is None else place
-                new_ids, new = part.column(1).to_numpy(), _matrix(part.column(2), size, kind)
-                old = len(ids)
-                ids, x = np.concatenate([ids, new_ids]), np.concatenate([x, new])
-                yield edges(ids, *_near(x, window, cosine, first=old), place)
-                if head < window:
-                    more = min(window - head, len(new))
-                    yield rows(1, new_ids[:more], range(head, head + more), part.column(2).slice(0, more), place, more)
-                    head += more
-                ids, x, packed = ids[-window:], x[-window:], (packed + part.column(2).slice(max(0, len(new) - window)).to_pylist())[-window:]
-        if packed:
-            yield rows(2, ids, range(len(ids)), pa.array(packed, pa.binary()), place, len(ids))
-
-    return walk
+                x = _matrix(part.column(1), size, kind)
+                found = [np.concatenate([keys(x[i:i + most], p, MOST_HASHES) for i in range(0, len(x), most)]) for p in passes]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k.tobytes() for k in np.concatenate(found, axis=1).astype(">u2")], pa.binary())], ["cls", "vec", "found", "keys"])
 
+    return cut_lineage(classes.select("cls", "vec", "found").mapInArrow(walk, "cls long, vec binary, found double, keys binary"), "keyed")
 
-def _seams(size: int, kind: str, window: int, cosine: float):
-    """Compare the last rows of a partition with the first rows of the next."""
 
-    def seam(group: pa.Table) -> pa.Table:
-        table = group.select(["kind", "a", "b", "vec"]).sort_by([("kind", "descending"), ("b", "ascending")])
-        side, ids = table.column("kind").to_numpy(), table.column("a").to_numpy()
-        x = _matrix(table.column("vec"), size, kind)
-        left, right = _near(x, window, cosine)
-        across = side[left] != side[right]
-        label = local_forest(left[across], right[across], len(ids))
-        hung = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"a": ids[hung], "b": ids[label[hung]]})
-
-    return seam
+def _split(keyed: DataFrame, passes: int, window: int, same: float) -> tuple[set[tuple[int, bytes]], dict[tuple[int, bytes], int]]:
+    """The runs ``(pass, first hashes)`` to split by their next hash, and the size of the longer ones that stay whole.
 
+    A run of ``m`` classes costs ``m * m`` products. Split, it costs what its parts do, but a pair stays together only as
+    often as vectors ``same``, so the parts have to come again the more often. The cheaper of both holds. The driver sees
+    runs of more than ``window`` classes only, at most ``n / window`` for each hash and pass.
+    """
 
-def _one_pass(classes: DataFrame, size: int, kind: str, pass_: int, hashes: int, window: int, cosine: float) -> DataFrame:
-    """Edges found in one pass over ``classes`` (``cls, vec``)."""
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple[int, bytes], int] = {}
+            for k in batch.column(0).to_pylist():
+                for p in range(passes):
+                    at = 2 * MOST_HASHES * p
+                    for h in range(MOST_HASHES + 1):
+                        run = (p, k[at:at + 2 * h])
+                        seen[run] = seen.get(run, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.int32()), pa.array([r for _, r in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["pass", "run", "m"])
+
+    runs = keyed.select("keys").mapInArrow(prefixes, "pass int, run binary, m long").groupBy("pass", "run").agg(F.sum("m").alias("m"))
+    long_ = F.col("m") > window
+    above = F.expr("substring(run, 1, length(run) - 2)")
+    told = runs.select("pass", F.when(long_, F.col("run")).otherwise(above).alias("run"), F.when(long_, F.col("m")).otherwise(0).alias("m"), F.when(long_, 0.0).otherwise(F.col("m").cast("double") * F.col("m")).alias("rest"))
+    rows = told.groupBy("pass", "run").agg(F.sum("m").alias("m"), F.sum("rest").alias("rest")).filter("m > 0").collect()
+    rest = {(r["pass"], bytes(r["run"])): r["rest"] for r in rows}
+    split, whole = set(), {}
+    for r in sorted(rows, key=lambda r: -len(r["run"])):
+        run = (r["pass"], bytes(r["run"]))
+        cost = float(r["m"]) ** 2
+        if len(run[1]) < 2 * MOST_HASHES and rest[run] / same < cost:
+            split.add(run)
+            cost = rest[run] / same
+        else:
+            whole[run] = r["m"]
+        if run[1]:
+            rest[run[0], run[1][:-2]] += cost
+    return split, whole
+
+
+def _run_of(key: bytes, p: int, split: set[tuple[int, bytes]]) -> bytes:
+    at, h = 2 * MOST_HASHES * p, 0
+    while (p, key[at:at + 2 * h]) in split:
+        h += 1
+    return key[at:at + 2 * h]
+
+
+def _compare(size: int, kind: str, cosine: float):
+    """Forest edges of the links in a run, or between two parts of it."""
 
-    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def product(group: pa.Table) -> pa.Table:
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        cls, part = group.column("cls").to_numpy(), group.column("part").to_numpy()
+        x = _matrix(group.column("vec"), size, kind)
+        a = np.flatnonzero(part == low)
+        b = a if low == high else np.flatnonzero(part == high)
+        label = np.arange(len(cls))
+        for i in range(0, len(a), BLOCK):
+            for j in range(i if low == high else 0, len(b), BLOCK):
+                left, right = np.nonzero(x[a[i:i + BLOCK]] @ x[b[j:j + BLOCK]].T >= cosine)
+                unite(label, a[i:i + BLOCK][left], b[j:j + BLOCK][right])
+        hung = np.flatnonzero(label != np.arange(len(cls)))
+        return pa.table({"a": cls[hung], "b": cls[label[hung]]})
+
+    return product
+
+
+def _passes(classes: DataFrame, size: int, kind: str, passes: range, window: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """Edges found in ``passes`` over ``classes`` (``cls, vec, found``), and the classes with ``found`` raised by the passes
+    in which a partner at the threshold is expected to have met them."""
+    same = agreement(size, cosine)
+    keyed = _keyed(classes, size, kind, passes)
+    n = len(passes)
+    split, whole = _split(keyed, n, window, same)
+    held = classes.sparkSession.sparkContext.broadcast((split, {run: -(-m // window) for run, m in whole.items()}))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, parts = held.value
         for batch in batches:
-            for part in (batch.slice(i, CHUNK) for i in range(0, batch.num_rows, CHUNK)):
-                key = [k.tobytes() for k in keys(_matrix(part.column(1), size, kind), pass_, hashes)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key, pa.binary())], ["cls", "vec", "key"])
-
-    keyed = classes.select("cls", "vec").mapInArrow(key_rows, "cls long, vec binary, key binary")
-    dealt = keyed.repartitionByRange("key", "cls").sortWithinPartitions("key", "cls").select(F.spark_partition_id().cast("long").alias("place"), "cls", "vec")
-    found = cut_lineage(dealt.mapInArrow(_windows(size, kind, window, cosine), "kind int, place long, a long, b long, vec binary"), "pass")
-    inside = found.filter("kind = 0").select("a", "b")
-    # partitions without rows leave gaps in the numbers: seams go by rank among those in use
-    # (one row for each partition that has rows)
-    rank = found.filter("kind = 2").select("place").distinct().select("place", F.row_number().over(Window.orderBy("place")).alias("rank"))
-    edge_rows = found.filter("kind > 0").join(rank, "place")
-    seams = edge_rows.select((F.col("rank") + F.when(F.col("kind") == 2, 0).otherwise(-1)).alias("seam"), "kind", "a", "b", "vec")
-    across = seams.groupBy("seam").applyInArrow(_seams(size, kind, window, cosine), "a long, b long")
-    return inside.unionByName(across)
+            for piece in (batch.slice(i, CHUNK) for i in range(0, batch.num_rows, CHUNK)):
+                ids = piece.column(0).to_pylist()
+                all_keys = piece.column(2).to_pylist()
+                for p in range(n):
+                    rows = []
+                    for i, key in enumerate(all_keys):
+                        run = _run_of(key, p, split)
+                        many = parts.get((p, run), 1)
+                        part = (ids[i] * 0x9E3779B97F4A7C15 >> 20) % many
+                        rows += [(i, run, min(part, o), max(part, o), part) for o in range(many)]
+                        if len(rows) >= CHUNK:
+                            yield sent(piece, p, rows)
+                            rows = []
+                    if rows:
+                        yield sent(piece, p, rows)
+
+    def sent(piece: pa.RecordBatch, p: int, rows: list) -> pa.RecordBatch:
+        at, run, low, high, part = zip(*rows, strict=True)
+        at = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.int32()), pa.array(run, pa.binary()), *(pa.array(c, pa.int64()) for c in (low, high, part)), piece.column(0).take(at), piece.column(1).take(at)], ["pass", "run", "low", "high", "part", "cls", "vec"])
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, _ = held.value
+        most = max(1, min(CHUNK, (4 << 20) // (MOST_HASHES * size)))
+        for batch in batches:
+            for piece in (batch.slice(i, most) for i in range(0, batch.num_rows, most)):
+                x, all_keys = _matrix(piece.column(1), size, kind), piece.column(3).to_pylist()
+                own = np.frombuffer(b"".join(all_keys), ">u2").reshape(len(x), n, MOST_HASHES)
+                met = piece.column(2).to_numpy().copy()
+                for p in range(n):
+                    depth = np.array([len(_run_of(key, p, split)) // 2 for key in all_keys])
+                    met[depth == 0] = np.inf
+                    rng = np.random.default_rng([SEED, passes[p], abs(piece.column(0)[0].as_py())])
+                    for d in np.unique(depth[depth > 0]).tolist():
+                        at = np.flatnonzero(depth == d)
+                        for _ in range(TRIALS):
+                            y = _partners(x[at], cosine, rng)
+                            met[at] += (keys(y, passes[p], MOST_HASHES, d) == own[at, p, :d]).all(axis=1) / TRIALS
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(met)], ["cls", "vec", "found"])
+
+    rows = keyed.select("cls", "vec", "keys").mapInArrow(dealt, "pass int, run binary, low long, high long, part long, cls long, vec binary")
+    edges = cut_lineage(rows.groupBy("pass", "run", "low", "high").applyInArrow(_compare(size, kind, cosine), "a long, b long"), "pass")
+    return edges, keyed.mapInArrow(tried, "cls long, vec binary, found double")
+
+
+def _edges(classes: DataFrame, n: int, size: int, kind: str, passes: int | None, window: int, cosine: float) -> DataFrame:
+    """Edges of passes over ``classes`` until the chance to miss a pair at the threshold is about ``MISS`` for each class.
+
+    A class that met its partners in ``t`` passes on average has missed one of them in all with a chance of ``exp(-t)`` at most.
+    """
+    todo, need = classes.select("cls", "vec", F.lit(0.0).alias("found")), -math.log(MISS)
+    edges, done = None, 0
+    more = passes or (1 if n <= window else passes_for(n, size, cosine, window)[0])
+    while more:
+        now = min(more, MOST_PASSES)
+        found, after = _passes(todo, size, kind, range(done, done + now), window, cosine)
+        edges = found if edges is None else edges.unionByName(found)
+        done += now
+        if passes or n <= window:
+            more -= now
+            continue
+        todo = cut_lineage(after.filter(F.col("found") < need), "left")
+        worst = todo.agg(F.min("found")).first()[0]
+        more = 0 if worst is None else max(1, math.ceil(done * need / max(worst, 0.1)) - done)
+    return edges
 
 
 def _counts(members: DataFrame, size: int, kind: str, cosine: float) -> DataFrame:
@@ -228,12 +323,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         raise ArithmeticError("two vectors share a class number; repeat with another hash")
     named = unit.filter("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     for r in sorted(shape, key=lambda r: r["size"]):
-        rounds, hashes = passes_for(r.n, r["size"], cosine, window)
         own = classes.filter(F.col("size") == r["size"])
-        edges = None
-        for p in range(passes or rounds):
-            found = _one_pass(own, r["size"], kind, p, hashes, window, cosine)
-            edges = found if edges is None else edges.unionByName(found)
+        edges = _edges(own, r.n, r["size"], kind, passes, window, cosine)
         parts = connected_components(edges).withColumnRenamed("node", "cls")
         members = cut_lineage(own.join(parts, "cls").select("cls", "vec", "first_id", "copies", "component"), "members")
         smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
