@@ -71,3 +71,21 @@ def test_equal_hashes_are_compared(monkeypatch):
     strings = [b" ".join(b"%d" % (i + j) for i in range(14)) for j in (0, 0, 1, 7)]
     string, word = S.repeated_windows(strings, np.array([5, 9, 9, 1]), 13)
     assert list(zip(string.tolist(), word.tolist())) == [(1, 0), (1, 1), (2, 0)]
+
+
+def test_hot_minimisers_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_WINDOWS", 200)
+    rnd = random.Random(4)
+    text = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    phrase = text(S.RUN + 1)
+    rows = [(d, " ".join(text(15) + phrase + text(15))) for d in range(400)]
+    rows += [(1000 + d, t) for d, t in rows[:50]] + fixture()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in S.remove_repeats(df).collect()), key=repr) == brute(rows)
+    hot = S.hot_minimisers(df, 13, sum(len((t or "").encode()) for _, t in rows))
+    joined = "\n".join(t for _, t in rows[:400]).encode()
+    words, _, _, doc = S._places(joined)
+    windows = lambda found: np.concatenate([np.repeat(np.uint64(m), b - a - 11) for a, b, m in zip(*found)])
+    before, after = windows(S.super_runs(words, doc)), windows(S.super_runs(words, doc, hot=hot))
+    assert len(before) == len(after) and np.unique(before, return_counts=True)[1].max() > 200
+    assert np.unique(after, return_counts=True)[1].max() < 200

@@ -3,7 +3,8 @@
 A window is ``k`` consecutive words. Consecutive windows with the same minimiser (the least hash among their short word
 runs) travel as one packed string to the bucket of that minimiser, so all copies of a window meet in one bucket. There
 they are sorted by hash, equal neighbours are compared byte by byte, and every window with a copy in a document of smaller
-id is marked. Before the shuffle a task keeps each packed string once, for its smallest document: larger documents in the
+id is marked. Minimisers of very many windows are counted first; their windows travel one by one, by a hash of their own, so
+that no minimiser makes a large task. Before the shuffle a task keeps each packed string once, for its smallest document: larger documents in the
 same task are marked at once. So a passage that a third of all documents share sends one string per flush of a task.
 """
 
@@ -19,11 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 from touchline.llm.rows import pick, raw, slices
 
 WINDOW = 13
-RUN = 2
+RUN = 3
 #: Bytes of packed strings that a task holds before it sends them, and that a bucket is sized for.
 FLUSH_BYTES = 12 << 20
 BUCKET_BYTES = 32 << 20
+#: Bytes of text whose minimisers a task counts before it tells them.
+COUNT_BYTES = 64 << 20
 MIN_BUCKETS = 256
+#: Windows from which a minimiser is hot: a small part of what a bucket is sized for.
+HOT_WINDOWS = 1 << 18
 LEVEL = 6
 SEGMENT_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
@@ -66,16 +71,24 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:len(out) - rest], out[rest:]) if rest else out
 
 
-def super_runs(words: np.ndarray, doc: np.ndarray, k: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``first, last, minimiser`` of each super-k-mer: the word positions of its ends and its least run hash."""
+def _window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each ``k`` consecutive word hashes."""
+    out = words[:len(words) - k + 1].copy()
+    for j in range(1, k):
+        out = out * _ODD + words[j:len(out) + j]
+    return out
+
+
+def super_runs(words: np.ndarray, doc: np.ndarray, k: int = WINDOW, run: int | None = None, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first, last, minimiser`` of each super-k-mer: the word positions of its ends and its least run hash.
+
+    Windows whose minimiser is among ``hot`` (sorted) come one by one, each with the hash of its words instead.
+    """
     n = len(words)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    run = min(run, k)
-    mixed = words[:n - run + 1].copy()
-    for j in range(1, run):
-        mixed = mixed * _ODD + words[j:n - run + 1 + j]
-    least = _least(_mix(mixed), k - run + 1)
+    run = min(run or RUN, k)
+    least = _least(_mix(_window_hashes(words, run)), k - run + 1)
     whole = doc[:n - k + 1] == doc[k - 1:]
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (doc[1:n - k + 1] != doc[:n - k]) | ~whole[:-1]
@@ -83,6 +96,16 @@ def super_runs(words: np.ndarray, doc: np.ndarray, k: int = WINDOW, run: int = R
     last = np.append(first[1:], len(least)) - 1
     keep = whole[first]
     first, last = first[keep], last[keep]
+    if hot is not None and len(hot):
+        alone = hot[np.minimum(np.searchsorted(hot, least[first]), len(hot) - 1)] == least[first]
+        # of a run of windows of one document only the first ones are whole
+        stop = np.minimum(last, np.searchsorted(doc, doc[first], "right") - k)
+        size = np.where(alone, stop - first + 1, 1)
+        offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        single = np.repeat(alone, size)
+        first = np.repeat(first, size) + offset
+        last = np.where(single, first, np.repeat(last, size))
+        least[first[single]] = _mix(_window_hashes(words, k)[first[single]])
     # a run of windows of one document can end in windows that reach into the next; they are not whole
     ends = np.minimum(last + k - 1, np.searchsorted(doc, doc[first], "right") - 1)
     return first, ends, least[first]
@@ -155,9 +178,10 @@ class _Sender:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 64], strict=True), _SENT, strict=True)], schema=_SENT)
 
 
-def _send(k: int, buckets: int):
+def _send(k: int, buckets: int, known=None):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(buckets)
+        hot = known.value if known is not None else None
         for part in slices(batches, "text", SEGMENT_BYTES):
             ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
             parts, held = [], 0
@@ -167,32 +191,87 @@ def _send(k: int, buckets: int):
                         parts.append((i, at, words))
                         held += len(words)
                     if held > SEGMENT_BYTES:
-                        _gather(sender, parts, ids, keys, k)
+                        _gather(sender, parts, ids, keys, k, hot)
                         parts, held = [], 0
                     if sender.size > FLUSH_BYTES:
                         yield from sender.flush()
-            _gather(sender, parts, ids, keys, k)
+            _gather(sender, parts, ids, keys, k, hot)
         yield from sender.flush()
 
     return walk
 
 
-def _gather(sender: _Sender, parts: list, ids: list, keys: list, k: int) -> None:
-    if not parts:
-        return
-    joined = b"\n".join(p[2] for p in parts)
+def _places(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start, end and line of each word of ``joined``."""
     data = np.frombuffer(joined, np.uint8)
     gaps = np.flatnonzero((data == 32) | (data == 10))
     starts, ends = np.append(0, gaps + 1), np.append(gaps, len(data))
-    doc = np.concatenate([[0], np.cumsum(data[gaps] == 10)])
+    return word_hashes(data, starts, ends), starts, ends, np.concatenate([[0], np.cumsum(data[gaps] == 10)])
+
+
+def _gather(sender: _Sender, parts: list, ids: list, keys: list, k: int, hot: np.ndarray | None = None) -> None:
+    if not parts:
+        return
+    joined = b"\n".join(p[2] for p in parts)
+    words, starts, ends, doc = _places(joined)
     head = np.searchsorted(doc, np.arange(len(parts)))
-    first, last, least = super_runs(word_hashes(data, starts, ends), doc, k)
+    first, last, least = super_runs(words, doc, k, hot=hot)
     for a, b, start, stop, d, m in zip(first.tolist(), last.tolist(), starts[first].tolist(), ends[last].tolist(), doc[first].tolist(), least.tolist(), strict=True):
         i, at, _ = parts[d]
         base = at - int(head[d])
         sender.add(joined[start:stop], m, (ids[i], keys[i]), a + base, b + base)
 
 
+def _count(k: int, total: int, hot: int):
+    """``minimiser, n``: windows of each minimiser in about ``COUNT_BYTES`` of text, without the rare ones.
+
+    What is left out is in proportion to the bytes counted, half of ``hot`` for each minimiser over the whole table at most.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, parts, length = [], 0, [], 0
+
+        def add() -> None:
+            words, _, _, doc = _places(b"\n".join(parts))
+            first, last, least = super_runs(words, doc, k)
+            held.append((least, last - first - k + 2))
+
+        def told() -> pa.RecordBatch:
+            least, at = np.unique(np.concatenate([m for m, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in held]), len(least)).astype(np.int64)
+            often = n > hot * size / (2 * total)
+            return pa.RecordBatch.from_arrays([pa.array(least[often].view(np.int64)), pa.array(n[often])], ["minimiser", "n"])
+
+        for part in slices(batches, "text", SEGMENT_BYTES):
+            for text in raw(part, "text"):
+                size += len(text or b"")
+                for _, words in _segments(text or b"", k, SEGMENT_BYTES):
+                    if words:
+                        parts.append(words)
+                        length += len(words)
+                    if length > SEGMENT_BYTES:
+                        add()
+                        parts, length = [], 0
+                if size > COUNT_BYTES and held:
+                    if parts:
+                        add()
+                    yield told()
+                    held, size, parts, length = [], 0, [], 0
+        if parts:
+            add()
+        if held:
+            yield told()
+
+    return walk
+
+
+def hot_minimisers(source: DataFrame, k: int, total: int) -> np.ndarray:
+    """Sorted minimisers: all that have ``HOT_WINDOWS`` windows in ``source``, none that has less than half as many."""
+    counted = source.select("text").mapInArrow(_count(k, total, HOT_WINDOWS), "minimiser long, n long")
+    often = counted.groupBy("minimiser").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_WINDOWS / 2).select("minimiser")
+    return np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
+
+
 def repeated_windows(strings: list[bytes], doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """``string, word`` of each window (its first word) that also stands in a string of a smaller ``doc``."""
     hashes, starts, ends, owner = [], [], [], []
@@ -209,9 +288,7 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, k: int) -> tuple[np.
         h = word_hashes(data, s, e)
         n = len(h) - k + 1
         if n > 0:
-            w = h[:n].copy()
-            for j in range(1, k):
-                w = w * _ODD + h[j:n + j]
+            w = _window_hashes(h, k)
             whole = own[:n] == own[k - 1:]
             at = np.flatnonzero(whole)
             hashes.append(w[at])
@@ -283,7 +360,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"), F.xxhash64("text").alias("key"), "text")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, 3 * total // BUCKET_BYTES)
-    sent = source.mapInArrow(_send(k, buckets), _SENT_SQL)
+    # fewer bytes than two for each window hold no hot minimiser
+    hot = hot_minimisers(source, k, total) if total >= 2 * HOT_WINDOWS else np.zeros(0, np.uint64)
+    known = source.sparkSession.sparkContext.broadcast(hot) if len(hot) else None
+    sent = source.mapInArrow(_send(k, buckets, known), _SENT_SQL)
     return sent.groupBy("bucket").applyInArrow(_sort_bucket(k), "ord long, key long, start long, stop long")
 
 
