@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import decontaminate, embedding_dups, html_text, merkle, piece_sampling, quality, secret_scan, simhash, substring_dups, token_counts, toxicity, warc
+from touchline.llm import decontaminate, embedding_dups, html_text, merkle, piece_sampling, quality, secret_scan, simhash, substring_dups, token_counts, toxicity, warc, whitening
 from touchline.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +133,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _sql_field(name: str) -> str:
     return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
 
