@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -58,7 +59,10 @@ def test_equals_brute_force(spark, data):
         for i, t in docs:
             t = D.normalised(t or "")
             for k, p in {(k, D.normalised(p or "")) for k, p in items}:
-                if len(p) >= D.LEAST_CHARS and len(t) < 20000 and (e := edit_search(p, t)) <= int(D.RATE * len(p)):
+                if len(p) < D.SHORT_CHARS:
+                    if p and len(t) < 20000 and re.search(rf"(?<!\w){re.escape(p)}(?!\w)", t):
+                        want.append((i, k, 0))
+                elif len(t) < 20000 and (e := edit_search(p, t)) <= int(D.RATE * len(p)):
                     want.append((i, k, e))
         want.append((202, 0, 0))
         assert got == sorted(want, key=repr)
@@ -84,3 +88,18 @@ def test_empty_inputs(spark):
     assert D.find_items(d.limit(0), b).count() == 0
     assert D.find_items(d, b.limit(0)).count() == 0
     assert D.drop_contaminated(d, b.limit(0)).count() == 1 and D.drop_contaminated(d, b).count() == 0
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    b = spark.createDataFrame([(1, "Two Words"), (2, "x"), (3, "   "), (4, "+1")], "item_id long, text string")
+    rows = [(1, "here are two  words."), (2, "atwo words"), (3, "two wordsmiths, then two words"), (4, "x"), (5, "ax"), (6, "a+1 b"), (7, "tow words")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.start) for r in D.find_items(d, b).collect())
+    assert got == [(1, 1, 0, 9), (3, 1, 0, 21), (4, 2, 0, 0), (6, 4, 0, 1)]
+    assert sorted(r.doc_id for r in D.drop_contaminated(d, b).collect()) == [2, 5, 7]
+
+
+def test_clashing_column_names(spark):
+    d = spark.createDataFrame([("two words", "clean", 1)], "TEXT string, text string, doc_id long")
+    b = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    assert D.drop_contaminated(d, b).count() == 1 and D.drop_contaminated(d.toDF("TEXT", "Text", "doc_id"), b).count() == 0

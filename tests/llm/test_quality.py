@@ -77,4 +77,40 @@ def test_sample_is_bounded(spark):
 
     labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
     ids = [r.doc_id for r in labelled_sample(labels, "quality", 500).collect()]
-    assert 400 < len(ids) <= 500 and len(set(ids)) == len(ids) and max(ids) > 4000
+    assert len(ids) == 500 and len(set(ids)) == len(ids) and max(ids) > 4000
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    from touchline.llm.rows import labelled_sample
+
+    labels = spark.range(1_000_000, 1_060_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions in (2, 3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found.append({r.doc_id for r in labelled_sample(labels.repartition(partitions), "quality", 5000).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found[0]) == 5000 and found[0] == found[1] == found[2]
+
+
+def test_clashing_column_names(spark):
+    rng = np.random.default_rng(0)
+    shapes = [Q.features(b"clean words go here. ok " * int(n)) for n in rng.integers(1, 50, 60)] + [Q.features(b"BUY!! NOW!! ###$$$ | x | " * int(n)) for n in rng.integers(1, 50, 60)]
+    model = Q.fit(shapes, [1] * 60 + [0] * 60, ridge=50.0)
+    rows = [("BUY!! NOW!! ###$$$ | x |" if i % 2 else "clean words go here. ok", f"{i}.org", "en", i) for i in range(6)]
+    df = spark.createDataFrame([("#", "same.com", *r) for r in rows], "TEXT string, Source string, text string, source string, lang string, doc_id long")
+    kept = Q.keep_good(df, model)
+    want = Q.keep_good(spark.createDataFrame(rows, "text string, source string, lang string, doc_id long"), model)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in want.collect())
+
+
+def test_hosts_and_paths_of_addresses(spark):
+    """Sites of real addresses: good ones keep their weak pages, bad ones lose theirs."""
+    rng = np.random.default_rng(0)
+    shapes = [Q.features(b"clean words go here. ok " * int(n)) for n in rng.integers(1, 50, 60)] + [Q.features(b"BUY!! NOW!! ###$$$ | x | " * int(n)) for n in rng.integers(1, 50, 60)]
+    model = Q.fit(shapes, [1] * 60 + [0] * 60, ridge=50.0)
+    pages = [r.url for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()]
+    rows = [(i, "BUY!! NOW!! ###$$$ | x |" if "casino" in u or "pills" in u else "clean words go here. ok", u.split("://")[1], None) for i, u in enumerate(pages)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = {r.doc_id: r.score for r in Q.judge(df, model).collect()}
+    want = dict(brute(rows, model))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)

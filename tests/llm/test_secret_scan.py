@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -93,3 +94,25 @@ def test_scan_and_redact(spark):
             assert r.n_chars == len(r.text) and "[secret]" in r.text
             assert not re.search(r"[0-9a-f]{32}|AKIA[A-Z0-9]{12}", r.text)
     assert S.scan(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_long_chains_take_time_in_proportion():
+    chain = lambda n: 'a0 = "Zx9!kqPw27Lm"\n' + "".join(f"a{i} = a{i - 1}\nsecret_{i} = a{n}\n" for i in range(1, n))
+    began = time.perf_counter()
+    assert values(chain(200)) == [] and len(chain(6000)) > 200_000
+    text = chain(6000) + "a6000 = a5999\n"
+    found = [s for s in S.named_spans(text) if text[s.start:s.end] == "Zx9!kqPw27Lm"]
+    assert len(found) == 1 and time.perf_counter() - began < 20
+
+
+def test_bytes_that_are_no_text(spark):
+    data = b"\xff\xfe password=abcdefgh12 \xc3"
+    assert [(s.kind, s.start, s.end) for s in S.spans(data) if s.kind == "assign"] == [("assign", 3, 22)]
+    df = spark.createDataFrame([(1, bytearray(data))], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text", "length(b) as n_chars")
+    assert S.scan(df).first().spans[0].start == 3 and "abcdefgh12" not in S.redact(df).first().text
+
+
+def test_clashing_column_names(spark):
+    df = spark.createDataFrame([("none", "password=abcdefgh1234", 9, 21)], "TEXT string, text string, N_chars long, n_chars long")
+    got = S.redact(df)
+    assert got.columns == df.columns and tuple(got.first()) == ("none", "password=[secret]", 9, 17)

@@ -111,3 +111,9 @@ def test_one_of_each_group_stays(spark, rows):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_column_names_keep_rows(spark):
+    df = spark.createDataFrame([(9, "a b c d", 1, "x"), (9, "a b c d", 2, "y"), (9, "other words stand here now", 3, "z")], "Doc_ID long, text string, doc_id long, TEXT string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(r[2] for r in got.collect()) == [1, 3]

@@ -80,3 +80,10 @@ def test_held_out_is_the_checksum(spark):
 
     got = {r.doc_id: r.h for r in spark.range(100).select(F.col("id").alias("doc_id")).select("doc_id", X.held_out().alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(100)}
+
+
+def test_places_hold_where_lower_case_is_longer(spark, model):
+    word = max((w for w in model.weights if w[0] != X.STEM_MARK), key=model.weights.get)
+    text = "\u0130" * 5 + f" and {word} {word} {word} here"
+    one = X.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert text[one.passages[0].start:one.passages[0].end] == f"{word} {word} {word}"

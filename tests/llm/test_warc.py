@@ -84,3 +84,12 @@ def test_empty_table_and_small_files(spark, tmp_path):
     assert len(list((tmp_path / "many").glob("*.warc"))) > 10
     back = spark.read.format("warc").option("partitionbytes", 20000).load(f"file://{tmp_path}/many")
     assert back.count() == 50 and back.rdd.getNumPartitions() > 4
+
+
+def test_smallest_and_largest_ids(spark, tmp_path):
+    ids = [-(1 << 63), (1 << 63) - 1, 10 ** 18, -(10 ** 18), 0]
+    df = spark.createDataFrame([(i, "u", "same") for i in ids], "page_id long, url string, html string")
+    W.write_pages(df, str(tmp_path / "wide"))
+    got = {r.page_id: r.refers_to for r in W.read_archives(spark, str(tmp_path / "wide")).filter("record_type in ('response', 'revisit')").collect()}
+    assert got == {i: None if i == min(ids) else min(ids) for i in ids}
+    assert W.read_archives(spark, str(tmp_path / "wide")).filter(f"page_id = {10 ** 18}").count() == 1

@@ -14,11 +14,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from touchline.llm.rows import pick, slices
+from touchline.llm.rows import pick, place, slices
 
 RATE = 0.05
-#: Items shorter than this (normalised characters) say nothing about where a text comes from and are left out.
-LEAST_CHARS = 30
+#: Items shorter than this (normalised characters) must stand unchanged, as whole words: an edit would make other words of them.
+SHORT_CHARS = 30
 #: Characters of items in a block; pieces of a block are held in memory by each task.
 BLOCK_CHARS = 1 << 20
 
@@ -60,12 +60,18 @@ def distances(pattern: str, bits: dict[str, int], text: str, anchored: bool = Fa
         yield score
 
 
+def _whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit goes on beyond either end of a place."""
+    left = start and text[start - 1].isalnum() and text[start].isalnum()
+    return not (left or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum()))
+
+
 class Items:
     """The pieces of one block of items, ready to be searched for."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float):
         self.items, self.forward, self.back = items, {}, {}
-        self.budget = [int(rate * len(p)) for _, p in items]
+        self.budget = [int(rate * len(p)) if len(p) >= SHORT_CHARS else 0 for _, p in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, (_, p) in enumerate(items):
             parts = self.budget[i] + 1
@@ -82,8 +88,10 @@ class Items:
         """``distance, start, end`` of the item's best place that ends in a stretch of text, the leftmost of equals."""
         pattern, budget = self.items[i][1], self.budget[i]
         at = text.find(pattern, low, high)
-        if at >= 0:
-            return 0, at, at + len(pattern)
+        while at >= 0:
+            if len(pattern) >= SHORT_CHARS or _whole_words(text, at, at + len(pattern)):
+                return 0, at, at + len(pattern)
+            at = text.find(pattern, at + 1, high)
         if budget == 0:
             return None
         if i not in self.forward:
@@ -129,14 +137,14 @@ class Items:
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
-    """Normalised items by blocks of about ``block_chars`` characters, dealt by hash; equal rows once, short items left out."""
+    """Normalised items by blocks of about ``block_chars`` characters, dealt by hash; equal rows once, blank items left out."""
     items = pick(benchmark, item_id=id_col, text=text_col).filter("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-total // block_chars)
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(count, 1))))
     for b in range(count):
         rows = [(r.item_id, normalised(r.text)) for r in dealt.filter(F.col("block") == b).orderBy("item_id", "text").collect()]
-        rows = [r for r in rows if len(r[1]) >= LEAST_CHARS]
+        rows = [r for r in rows if r[1]]
         if rows:
             yield rows
 
@@ -158,7 +166,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
     """One row per document row and item found in it: ``doc_id, item_id, distance, start, end``.
 
     Places count in the normalised text, ends exclusive; of several places of one item the nearest, then leftmost. Null and
-    empty texts hold nothing, null and short items are not searched for, a null id stays null. Repeated document rows each
+    empty texts hold nothing, null and blank items are not searched for, short ones only as whole words, a null id stays null. Repeated document rows each
     come back; repeated item rows count once. Without documents or items the result is empty.
     """
     source = pick(docs, doc_id=id_col, text=text_col)
@@ -189,9 +197,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item within its budget; all columns and other rows unchanged."""
+    """``docs`` without the rows that hold a benchmark item within its budget; all columns and other rows unchanged.
+
+    Null and empty texts stay, repeated rows stay or go alike, an empty table or benchmark takes nothing away.
+    """
     names = docs.columns
-    text = next(i for i, n in enumerate(names) if n.lower() == text_col.lower())
+    text = place(names, text_col)
     out = docs.toDF(*[f"c{i}" for i in range(len(names))])
     for block in blocks(benchmark, item_col, item_text_col, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 
-from touchline.llm.rows import labelled_sample, pick, raw, slices
+from touchline.llm.rows import labelled_sample, pick, place, raw, slices
 from touchline.session import cut_lineage
 
 #: Most labelled documents the classifier is fitted on.
@@ -182,8 +182,8 @@ def judge(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, model: Classifier, text_col: str = "text", source_col: str = "source", section_col: str | None = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, all columns unchanged."""
+    """The rows of ``docs`` whose score reaches the threshold, all columns unchanged; nulls and repeats are judged as by ``judge``."""
     names = docs.columns
-    place = lambda c: f"c{next(i for i, n in enumerate(names) if n.lower() == c.lower())}"
-    out = _judged(docs.toDF(*[f"c{i}" for i in range(len(names))]), model, place(text_col), place(source_col), place(section_col) if section_col else None, threshold)
+    at = lambda c: f"c{place(names, c)}"
+    out = _judged(docs.toDF(*[f"c{i}" for i in range(len(names))]), model, at(text_col), at(source_col), at(section_col) if section_col else None, threshold)
     return out.filter("keep").select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,14 +19,23 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     match goes before one in another case, the first of several before the others.
     """
     by_place = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    found = []
-    for new, old in columns.items():
-        exact = [i for i, c in enumerate(df.columns) if c == old]
-        other = [i for i, c in enumerate(df.columns) if c.lower() == old.lower()]
-        if not other:
-            raise ValueError(f"no column {old!r} among {df.columns}")
-        found.append(F.col(f"c{(exact or other)[0]}").alias(new))
-    return by_place.select(*found)
+    return by_place.select(*[F.col(f"c{place(df.columns, old)}").alias(new) for new, old in columns.items()])
+
+
+def place(names: list[str], wanted: str) -> int:
+    """Position of a column: the first of that name, or else the first of that name in another case."""
+    exact = [i for i, c in enumerate(names) if c == wanted]
+    other = [i for i, c in enumerate(names) if c.lower() == wanted.lower()]
+    if not other:
+        raise ValueError(f"no column {wanted!r} among {names}")
+    return (exact or other)[0]
+
+
+def qualified(spark, path: str) -> str:
+    """``path`` with the scheme that Spark itself would give it: its own, or that of the default file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -52,13 +62,13 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 def labelled_sample(labels: DataFrame, value: str, most: int, id_col: str = "doc_id", where=None) -> DataFrame:
     """``doc_id, label`` of at most ``most`` labelled documents, chosen by a hash of the id; the same on every run.
 
-    Rows without id or label are left out. Of several labels of one id the greatest holds. The share of ids that pass the
-    hash is set from their count, so that the whole table takes part at every size.
+    Rows without id or label are left out. Of several labels of one id the greatest holds. The ids with the least hashes are
+    taken: a share that holds them all but surely is cut out first, so that few rows meet, and ``most`` of those by rank.
     """
     known = pick(labels, doc_id=id_col, label=value).filter("doc_id is not null and label is not null")
     if where is not None:
         known = known.filter(where)
     once = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    share = min(1.0, most / max(1, once.count()))
+    share = min(1.0, (most + 10 * most ** 0.5 + 10) / max(1, once.count()))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    return once.filter(rank < int(share * (1 << 40))).limit(most)
+    return once.filter(rank < int(share * (1 << 40))).orderBy(rank, "doc_id").limit(most)

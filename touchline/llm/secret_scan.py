@@ -18,7 +18,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from touchline.llm.rows import pick, raw, slices
+from touchline.llm.rows import pick, place, raw, slices
 
 # The base patterns, in their order, with the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -124,18 +124,18 @@ def named_spans(text: str, least: float = NAMED_SCORE) -> list[Span]:
     for i, (name, _, _) in enumerate(found):
         places.setdefault(name, []).append(i)
     scores: dict[tuple[int, int], float] = {}
-    for i, (name, _, _) in enumerate(found):
-        weight = name_score(name)
-        if weight <= 0:
-            continue
-        todo, seen = [i], {i}
+    weights = {i: weight for i, (name, _, _) in enumerate(found) if (weight := name_score(name)) > 0}
+    seen: set[int] = set()  # what a more sensitive name has reached needs no second visit
+    for i in sorted(weights, key=lambda i: -weights[i]):
+        weight, todo = weights[i], [i] if i not in seen else []
+        seen.add(i)
         while todo:
             k = todo.pop()
             for kind, what in found[k][2]:
                 if kind == "name":
                     defs = places.get(what, [])
-                    at = bisect.bisect_left(defs, k)
-                    source = defs[at - 1] if at else next((d for d in defs if d > k), None)
+                    at, after = bisect.bisect_left(defs, k), bisect.bisect_right(defs, k)
+                    source = defs[at - 1] if at else defs[after] if after < len(defs) else None
                     if source is not None and source not in seen:
                         seen.add(source)
                         todo.append(source)
@@ -143,7 +143,7 @@ def named_spans(text: str, least: float = NAMED_SCORE) -> list[Span]:
                     score = weight * literal_score(text[slice(*what)])
                     if score >= least and score > scores.get(what, 0.0):
                         scores[what] = score
-    return [Span("named", *place, *place, round(score, 4)) for place, score in sorted(scores.items())]
+    return [Span("named", *where, *where, round(score, 4)) for where, score in sorted(scores.items())]
 
 
 def spans(data: bytes | None) -> list[Span]:
@@ -155,7 +155,7 @@ def spans(data: bytes | None) -> list[Span]:
     named = any(s in low for s in STEMS) and (b"=" in data or b":" in data)
     if not (base or named):
         return []
-    text = data.decode("utf-8")
+    text = data.decode("utf-8", "replace")
     found = (base_spans(text) if base else []) + (named_spans(text) if named else [])
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
@@ -167,6 +167,8 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id and ``spans`` in code points, ends exclusive.
 
+    Bytes that are not UTF-8 count as replacement characters; very long texts take time in proportion to their length.
+
     Null and empty texts have no spans; repeated rows each come back; a null id stays null; an empty table gives an
     empty result. Other columns of ``docs`` play no part, whatever their names.
     """
@@ -182,7 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redacted(data: bytes, mark: str) -> str:
     """The text with the values of its spans replaced; overlapping ones are replaced together."""
-    text, out, at = data.decode("utf-8"), [], 0
+    text, out, at = data.decode("utf-8", "replace"), [], 0
     joined: list[list[int]] = []
     for a, b in sorted((s.value_start, s.value_end) for s in spans(data)):
         if joined and a < joined[-1][1]:
@@ -198,11 +200,11 @@ def redacted(data: bytes, mark: str) -> str:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret value replaced by ``mark``; ``length_col``, where present, is set to the new length.
 
-    Null texts, and rows without secrets, come back unchanged.
+    Null texts, and rows without secrets, come back unchanged; so do repeats, each on its own, and an empty table.
     """
     names = docs.columns
-    text = next(i for i, n in enumerate(names) if n.lower() == text_col.lower())
-    length = next((i for i, n in enumerate(names) if length_col and n.lower() == length_col.lower()), None)
+    text = place(names, text_col)
+    length = place(names, length_col) if length_col and length_col.lower() in [n.lower() for n in names] else None
     placed = docs.toDF(*[f"c{i}" for i in range(len(names))])
     schema = T.StructType([*placed.schema.fields, T.StructField("clean", T.StringType())])
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.llm.components import connected_components, unite
-from touchline.llm.rows import pick, raw, slices
+from touchline.llm.rows import pick, place, raw, slices
 from touchline.session import cut_lineage
 
 BITS = 64
@@ -178,14 +178,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("fp").alias("fp"))
     ids = cut_lineage(chosen, "kept")
     names = docs.columns
-    place = lambda c: next(i for i, n in enumerate(names) if n.lower() == c.lower())
-    held = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("id", F.col(f"c{place(id_col)}"))
+    held = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("id", F.col(f"c{place(names, id_col)}"))
     known = held.filter("id is not null")  # both joins below read one shuffle of it
     once = known.join(ids.filter("copies = 1 and doc_id is not null").select(F.col("doc_id").alias("id")), "id").drop("id")
     again = known.join(ids.filter("copies > 1 and doc_id is not null").select(F.col("doc_id").alias("id"), "fp"), "id")
-    nameless = _with_fingerprint(held.filter("id is null"), f"c{place(text_col)}", width)
+    nameless = _with_fingerprint(held.filter("id is null"), f"c{place(names, text_col)}", width)
     nameless = nameless.join(ids.filter("doc_id is null").select("fp"), nameless.own_fp == F.col("fp"), "left_semi").withColumnRenamed("own_fp", "fp")
-    same = _with_fingerprint(again, f"c{place(text_col)}", width).filter("fp = own_fp").drop("own_fp")
+    same = _with_fingerprint(again, f"c{place(names, text_col)}", width).filter("fp = own_fp").drop("own_fp")
     firsts = same.unionByName(nameless).groupBy("fp", "id").agg(*[F.first(f"c{i}").alias(f"c{i}") for i in range(len(names))]).drop("fp", "id")
     return once.unionByName(firsts).toDF(*names)
 

@@ -16,10 +16,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from touchline.functions.frames import last_known, running_sum
-from touchline.llm.rows import pick, slices
+from touchline.llm.rows import pick, qualified, slices
 from touchline.session import cut_lineage, new_path
 
 BLOCK_BYTES = 8 << 20
@@ -57,7 +56,7 @@ def write_flat(docs: DataFrame, folder: str, ranks_file: str, end: int, kind: st
     only those named in the returned table count. Null texts are documents without tokens.
     """
     source = pick(docs, doc_id=id_col, text=text_col)
-    folder = folder.rstrip("/")
+    folder = qualified(docs.sparkSession, folder).rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_file).encode_ordinary
@@ -125,8 +124,10 @@ def count_tokens(spark: SparkSession, files: DataFrame, end: int, kind: str = "<
     blocks = blocks.select("file", "block", (F.col("block") * block_bytes).alias("start"), F.least(F.lit(block_bytes).cast("long"), F.col("bytes") - F.col("block") * block_bytes).alias("size"))
     found = cut_lineage(blocks.repartition("file", "block").mapInArrow(_scan(kind, end), "file string, block long, stop long, n long, last long, spans array<struct<start:long,stop:long>>"), "blocks")
     summary = found.select("file", "block", "stop", "n", "last")
-    scanned = running_sum(summary, ["file"], "block", F.col("n"), "through")
-    scanned = last_known(scanned, ["file"], "block", {"last": "before"}, strict=True)
+    # the scan over blocks: a row of a few numbers for each 8 MB of a file
+    so_far = Window.partitionBy("file").orderBy("block")
+    scanned = summary.select("*", F.sum("n").over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("through"),
+                             F.last("last", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     carried = scanned.select("file", "block", (F.col("through") - F.col("n")).alias("done"), F.coalesce(F.col("before") + 1, F.lit(0).cast("long")).alias("open"))
     inside = found.join(carried, ["file", "block"]).select("file", "done", "open", F.posexplode("spans").alias("i", "doc"))
     ended = inside.select("file", (F.col("done") + F.col("i")).alias("ordinal"), F.coalesce("doc.start", "open").alias("start"), "doc.stop")
@@ -150,7 +151,11 @@ def file_sizes(order: DataFrame) -> DataFrame:
 
 
 def document_tokens(docs: DataFrame, ranks_file: str, end: int, kind: str = "<u2", id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_tokens, file, ordinal, start``, by way of flat files in the shared folder."""
+    """One row per row of ``docs``: ``doc_id, n_tokens, file, ordinal, start``, by way of flat files in the shared folder.
+
+    Null and empty texts have no tokens. Null ids stay null, repeated rows are documents of their own, very long texts are
+    encoded whole, an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     order = write_flat(docs, new_path(spark, "flat"), ranks_file, end, kind, id_col, text_col, file_bytes)
     counts = count_tokens(spark, file_sizes(order), end, kind, block_bytes)

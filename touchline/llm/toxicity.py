@@ -50,8 +50,14 @@ STEM_TYPES = 3
 MEMO = 300_000
 
 
+def lowered(text: str) -> str:
+    """Lower case, place by place: a letter whose lower case is longer stays, so that places hold in the text itself."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return WORD.findall(lowered(text)) if text else []
 
 
 def forms(token: str) -> list[str]:
@@ -366,7 +372,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores, passages = [], []
             for text in part.column(1).to_pylist():
                 p, marked = model.read(text)
-                places = [m.span() for m in WORD.finditer(text.lower())] if marked else []
+                places = [m.span() for m in WORD.finditer(lowered(text))] if marked else []
                 scores.append(p)
                 passages.append([{"start": places[a][0], "end": places[b - 1][1], "score": s, "chance": c} for a, b, s, c in marked])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array([int(p >= threshold) for p in scores], pa.int32()), pa.array(passages, _ARROW_PASSAGES)],

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from touchline.llm.rows import pick
+from touchline.llm.rows import pick, qualified
 
 SCHEMA = ("record_id string, record_type string, page_id long, target_uri string, warc_date string, content_type string, payload_digest string, payload_bytes long, "
           "refers_to long, refers_to_record string, payload binary")
@@ -179,7 +179,9 @@ def _headers(data: bytes) -> dict[str, str]:
 
 
 def _number(value: str | None) -> int | None:
-    return int(value) if value is not None and re.fullmatch(r"-?\d{1,18}", value) else None
+    """A signed 64-bit number, or none."""
+    number = int(value) if value is not None and re.fullmatch(r"-?[0-9]{1,19}", value) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
 def _fields(head: dict[str, str]) -> dict:
@@ -385,10 +387,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def with_scheme(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-
 def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", text_col: str = "html") -> None:
     """A record per row of ``pages``: of equal payloads the row with the smallest id is a response, the others revisit it.
 
@@ -403,11 +401,11 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col:
     firsts = keyed.groupBy("sha", "size").agg(F.min("page_id").alias("first_id"))
     joined = keyed.join(firsts, ["sha", "size"])  # a hot payload is a hot key with one row on one side: adaptive execution splits it
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    joined.select("page_id", "target_uri", refers.alias("refers_to"), "payload").write.format("warc").mode("append").option("path", with_scheme(folder)).save()
+    joined.select("page_id", "target_uri", refers.alias("refers_to"), "payload").write.format("warc").mode("append").option("path", qualified(pages.sparkSession, folder)).save()
 
 
 def read_archives(spark: SparkSession, folder: str, columns: str | None = None) -> DataFrame:
     """The records of a folder of archives; ``columns``: a schema with some of the columns only."""
     register(spark)
     reader = spark.read.format("warc")
-    return (reader.schema(columns) if columns else reader).load(with_scheme(folder))
+    return (reader.schema(columns) if columns else reader).load(qualified(spark, folder))
