@@ -104,10 +104,15 @@ def pressure_episodes(pressure: DataFrame, visible: DataFrame, ends: DataFrame,
     df = rolled.join(ends, "sequence_id")
     closed = F.col("_last.closes")
     df = (df.withColumn("end_frame", F.when(closed, F.col("_last.frame_index")).otherwise(F.col("last_frame")))
-          .withColumn("end_ts", F.when(closed, F.col("_last.timestamp_s")).otherwise(F.col("last_ts")))
-          .withColumn("duration", F.col("end_frame") - F.col("start_frame") + 1).filter(F.col("duration") >= MIN_PRESSURE_FRAMES))
+          .withColumn("end_ts", F.when(closed, F.col("_last.timestamp_s")).otherwise(F.col("last_ts"))))
+    return pressure_evidence(df.select("*", closed.alias("closed"), F.col("_last.possession_team").alias("holder"), F.col("_last.target_team").alias("target")))
+
+
+def pressure_evidence(df: DataFrame) -> DataFrame:
+    """Evidence events of rolled-up pressure episodes that last long enough."""
+    df = df.withColumn("duration", F.col("end_frame") - F.col("start_frame") + 1).filter(F.col("duration") >= MIN_PRESSURE_FRAMES)
     yes = F.lit(True)
-    holder, target = F.col("_last.possession_team"), F.col("_last.target_team")
+    closed, holder, target = F.col("closed"), F.col("holder"), F.col("target")
     clash = F.coalesce(closed & (holder != "UNKNOWN") & (target != "UNKNOWN") & holder.isin("TEAM_0", "TEAM_1") & (holder != target), F.lit(False))
     df = (df.withColumn("conflict", clash).withColumn("confidence", propagate(F.col("mean_pressure"), F.lit(0.90), LEVEL_1, yes, F.col("visible")))
           .withColumn("quality", quality(F.lit("VALID"), F.col("visible"))))
@@ -124,6 +129,49 @@ def pressure_episodes(pressure: DataFrame, visible: DataFrame, ends: DataFrame,
         .otherwise(F.array().cast("array<string>")).alias("limitations"), "conflict")
 
 
+EPISODE_SCHEMA = ("sequence_id string, defending_team string, start_frame bigint, end_frame bigint, start_ts double, end_ts double, closed boolean, holder string, target string, "
+                  "opponent_team string, mean_pressure double, peak_pressure double, nearest_m double, closing_mps double, visible int")
+
+
+def _episode(e: dict, frame: int, ts: float, closed: bool) -> dict:
+    known = lambda v: v is not None and v == v
+    near, closing = [v for v in e["d1"] if known(v)], [v for v in e["closing"] if known(v)]
+    return {"sequence_id": e["sequence_id"], "defending_team": e["defending_team"], "start_frame": e["start"], "end_frame": frame, "start_ts": e["start_ts"], "end_ts": ts, "closed": closed,
+            "holder": e["holder"], "target": e["target"], "opponent_team": e["opponent"], "mean_pressure": e["sum"] / e["n"], "peak_pressure": e["peak"],
+            "nearest_m": min(near, default=0.0), "closing_mps": max(closing, default=0.0), "visible": int(e["seen"] // e["n"])}
+
+
+def episode_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
+    """Pressure episodes as they close. Rows are all frames of a sequence for a team; pressure is null where it does not defend."""
+    e, last, out = state.get("open"), state.get("last"), []
+    text = lambda v: v if isinstance(v, str) else None
+    for r in pdf.itertuples(index=False):
+        frame, ts, p = int(r.frame_index), float(r.timestamp_s), r.pressure_index
+        last = [frame, ts]
+        if p is None or p != p or (e is None and p < ENTER):
+            continue
+        if e is None:
+            e = {"sequence_id": r.sequence_id, "defending_team": r.defending_team, "start": frame, "start_ts": ts, "opponent": text(r.target_team), "sum": 0.0, "n": 0, "peak": 0.0, "seen": 0,
+                 "d1": [], "closing": []}
+            fresh = True
+        else:
+            fresh = False
+        seen = 1 if r.players is None or r.players != r.players else int(r.players)
+        low = [v for v in [*e["d1"], r.d1] if v is not None and v == v]
+        high = [v for v in [*e["closing"], r.max_closing] if v is not None and v == v]
+        e.update(sum=e["sum"] + p, n=e["n"] + 1, peak=max(e["peak"], p) if e["n"] else p, seen=e["seen"] + seen, d1=[min(low)] if low else [], closing=[max(high)] if high else [],
+                 holder=text(r.possession_team), target=text(r.target_team))
+        if not fresh and p < EXIT:
+            out.append(_episode(e, frame, ts, True))
+            e = None
+    return pd.DataFrame(out, columns=[c.split()[0] for c in EPISODE_SCHEMA.split(", ")]), {"open": e, "last": last}
+
+
+def episode_finish(state: dict, key: tuple) -> pd.DataFrame | None:
+    """The end of the sequence closes what is open."""
+    return pd.DataFrame([_episode(state["open"], *state["last"], False)]) if state.get("open") else None
+
+
 def audit(events: DataFrame, possession_team: str, target_team: str) -> DataFrame:
     """Flag events whose possession and pressure target disagree: confidence x 0.6, HIGH becomes MEDIUM."""
     a, b = F.col(possession_team), F.col(target_team)
@@ -352,15 +400,17 @@ def team_aggregates(frame_teams: DataFrame, possession: DataFrame, pressure: Dat
         F.sum(F.when(fam == "BALL_TRANSFER", F.greatest(F.lit(0.0), score("forward_displacement_m")))).alias("progression_m"))
     df = base.join(total, "sequence_id", "left").join(held, teams, "left").join(press, teams, "left").join(counts, teams, "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    r = lambda c, p: F.round(F.coalesce(F.col(c), F.lit(0.0)), p)
+    # means of values with few places often lie on a tie: it goes up whatever the order of summing
+    even = lambda c, p: F.round(F.col(c) + 1e-9, p)
+    r = lambda c, p: F.round(F.coalesce(F.col(c), F.lit(0.0)) + 1e-9, p)
     return df.select(
         *teams, F.round(n("held_frames") / FPS, 2).alias("possession_s"), F.round(F.lit(100.0) * n("held_frames") / F.col("total_frames"), 1).alias("possession_pct"),
-        n("possession_changes").alias("possession_changes"), F.round("line_height_m", 2).alias("line_height_m"), F.round("depth_m", 2).alias("depth_m"),
-        F.round("width_m", 2).alias("width_m"), r("pressure_mean", 3).alias("pressure_mean"), r("pressure_peak", 3).alias("pressure_peak"),
+        n("possession_changes").alias("possession_changes"), even("line_height_m", 2).alias("line_height_m"), even("depth_m", 2).alias("depth_m"),
+        even("width_m", 2).alias("width_m"), r("pressure_mean", 3).alias("pressure_mean"), r("pressure_peak", 3).alias("pressure_peak"),
         n("pressure_episodes").alias("pressure_episodes"), r("counterpress_mean", 3).alias("counterpress_mean"), r("recovery_mean", 3).alias("recovery_mean"),
         r("progression_m", 2).alias("progression_m"), n("completed_passes").alias("completed_passes"),
         F.round(F.lit(100.0) * F.col("valid_frames") / F.col("total_frames"), 1).alias("coverage_pct"), "valid_frames", "total_frames",
-        F.round("conf_mean", 3).alias("conf_mean"), F.round("conf_p10", 3).alias("conf_p10"), "frames_high", "frames_medium", "frames_low", "frames_invalid")
+        even("conf_mean", 3).alias("conf_mean"), even("conf_p10", 3).alias("conf_p10"), "frames_high", "frames_medium", "frames_low", "frames_invalid")
 
 
 def top_structures(signs: DataFrame, limit: int = 3) -> DataFrame:

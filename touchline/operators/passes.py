@@ -146,12 +146,29 @@ def _pass_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
     return out, s
 
 
-def detect_passes(possession: DataFrame, players: DataFrame, ball: DataFrame, directions: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Pass events per sequence; ``players`` has boxes and pitch positions, ``ball`` pixel and pitch positions."""
+def pass_rows(possession: DataFrame, players: DataFrame, ball: DataFrame) -> DataFrame:
+    """One row per frame with all that the pass machine reads; ``players`` has boxes and pitch positions, ``ball`` pixel and pitch positions."""
     men = players.filter(~F.upper("role").contains("REFEREE")).groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(
         "track_id", "team_label", ((F.col("x1") + F.col("x2")) / 2.0).alias("foot_u"), F.col("y2").alias("foot_v"), "x_m", "y_m"))).alias("men"))
-    rows = (possession.select(*FRAME, "timestamp_s", "possession_team", "status", "carrier_id", "carrier_team")
+    return (possession.select(*FRAME, "timestamp_s", "possession_team", "status", "carrier_id", "carrier_team")
             .join(men, FRAME, "left").join(ball.filter("ball_valid").select(*FRAME, "ball_u", "ball_v", "ball_x", "ball_y"), FRAME, "left"))
+
+
+def numbered_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
+    """The pass machine with running numbers and the direction of play: its rows also carry ``way_0`` and ``way_1``."""
+    out, after = _pass_step(state.get("machine", {}), pdf)
+    first = state.get("number", 0)
+    out["event_id"] = [f"PEVT_{s}_{first + 1 + i:04d}" for i, s in enumerate(out["sequence_id"])]
+    ways = {int(f): (a, b) for f, a, b in zip(pdf["frame_index"], pdf["way_0"], pdf["way_1"])}
+    way = [ways[int(f)][0 if t == "TEAM_0" else 1] if t in ("TEAM_0", "TEAM_1") else None for f, t in zip(out["end_frame"], out["sender_team"])]
+    out["forward_m"] = [w * d if w and w == w and d is not None and d == d else None for w, d in zip(way, out["delta_x"])]
+    out["forward_m"] = out["forward_m"].astype(float)
+    return out[out["event_type"] != "SELF_TOUCH"], {"machine": after, "number": first + len(out)}
+
+
+def detect_passes(possession: DataFrame, players: DataFrame, ball: DataFrame, directions: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Pass events per sequence; ``players`` has boxes and pitch positions, ``ball`` pixel and pitch positions."""
+    rows = pass_rows(possession, players, ball)
     events = scan(rows, ["sequence_id"], "frame_index", _pass_step, PASS_SCHEMA, chunk)
     events = (frames.numbered(events, ["sequence_id"], ["end_frame"], "end_frame", "_number")
               .withColumn("event_id", F.format_string("PEVT_%s_%04d", "sequence_id", "_number")).drop("_number").filter("event_type <> 'SELF_TOUCH'"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -158,24 +159,25 @@ def ambiguous(detections: DataFrame, active: DataFrame, lost: DataFrame) -> Data
     return df.select(*detections.columns, reason.alias("reason"))
 
 
+def prototype_step(state: dict, pdf: pd.DataFrame, keep: float = PROTOTYPE_KEEP, max_age: int = 30) -> tuple[pd.DataFrame, dict]:
+    s, out = dict(state), []
+    for r in pdf.itertuples(index=False):
+        v = np.asarray(r.feature, dtype=float)
+        v = v / (np.linalg.norm(v) or 1.0)
+        if s and r.frame_index - s["frame"] <= max_age:
+            v = keep * np.asarray(s["v"]) + (1.0 - keep) * v
+            v = v / (np.linalg.norm(v) or 1.0)
+            hits = s["hits"] + 1
+        else:
+            hits = 1
+        s = {"v": v.tolist(), "frame": int(r.frame_index), "hits": hits}
+        out.append((r.sequence_id, r.track_id, int(r.frame_index), hits, v.tolist()))
+    return pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_index", "hits", "prototype"]), s
+
+
 def prototypes(features: DataFrame, keep: float = PROTOTYPE_KEEP, max_age: int = 30, chunk: int = CHUNK) -> DataFrame:
     """Running appearance prototype of each track, L2-normalised; one that was not seen for ``max_age`` frames starts anew."""
-    def step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
-        s, out = dict(state), []
-        for r in pdf.itertuples(index=False):
-            v = np.asarray(r.feature, dtype=float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            if s and r.frame_index - s["frame"] <= max_age:
-                v = keep * np.asarray(s["v"]) + (1.0 - keep) * v
-                v = v / (np.linalg.norm(v) or 1.0)
-                hits = s["hits"] + 1
-            else:
-                hits = 1
-            s = {"v": v.tolist(), "frame": int(r.frame_index), "hits": hits}
-            out.append((r.sequence_id, r.track_id, int(r.frame_index), hits, v.tolist()))
-        return pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_index", "hits", "prototype"]), s
-
-    return scan(features, ["sequence_id", "track_id"], "frame_index", step,
+    return scan(features, ["sequence_id", "track_id"], "frame_index", partial(prototype_step, keep=keep, max_age=max_age),
                 "sequence_id bigint, track_id bigint, frame_index bigint, hits bigint, prototype array<double>", chunk)
 
 
@@ -192,18 +194,20 @@ def coverage(track: DataFrame, expected: DataFrame, span: int = frames.SPAN) ->
             ("gaps_short", F.col("length") <= 2), ("gaps_medium", F.col("length").between(3, 10)), ("gaps_long", F.col("length") > 10))])
 
 
+def admission_step(state: dict, pdf: pd.DataFrame, limit: int = 5, window_s: float = 600.0) -> tuple[pd.DataFrame, dict]:
+    """Adds ``admitted``; the state is the times of the requests admitted within the window."""
+    recent, ok = state.get("recent", []), []
+    for at in pdf["at_s"]:
+        recent = [t for t in recent if t > at - window_s]
+        ok.append(len(recent) < limit)
+        if ok[-1]:
+            recent.append(float(at))
+    return pdf.assign(admitted=ok), {"recent": recent}
+
+
 def admissions(requests: DataFrame, limit: int = 5, window_s: float = 600.0) -> DataFrame:
     """Sliding admission: at most five admitted requests of a key in 600 s; refused ones do not count.
 
     ``requests`` has key, request_no (its order within the key) and at_s.
     """
-    def step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
-        recent, ok = state.get("recent", []), []
-        for at in pdf["at_s"]:
-            recent = [t for t in recent if t > at - window_s]
-            ok.append(len(recent) < limit)
-            if ok[-1]:
-                recent.append(float(at))
-        return pdf[["key", "request_no", "at_s"]].assign(admitted=ok), {"recent": recent}
-
-    return scan(requests.select("key", "request_no", "at_s"), ["key"], "request_no", step, "key bigint, request_no bigint, at_s double, admitted boolean")
+    return scan(requests.select("key", "request_no", "at_s"), ["key"], "request_no", partial(admission_step, limit=limit, window_s=window_s), "key bigint, request_no bigint, at_s double, admitted boolean")

@@ -323,8 +323,8 @@ tot AS (SELECT sequence_id, count(*) AS tf FROM held_v GROUP BY 1), hf AS (SELEC
 pr AS (SELECT sequence_id, defending_team AS team_label, avg(p) AS pm, max(p) AS pk FROM pressure_v WHERE defending_team LIKE 'TEAM%' GROUP BY 1, 2),
 ev AS (SELECT sequence_id, subject_team AS team_label, count(*) FILTER (family = 'POSSESSION_CHANGE') AS pch, count(*) FILTER (family = 'PRESSURE_EPISODE' AND quality IN ('HIGH', 'MEDIUM')) AS pe FROM evidence_v GROUP BY 1, 2),
 tr AS (SELECT sequence_id, losing_team AS team_label, avg(round(cp, 3)) AS cpm, avg(round(rec, 3)) AS rcm FROM transitions_v GROUP BY 1, 2)
-SELECT b.sequence_id, b.team_label, round(coalesce(hf, 0) / 25.0, 2) AS possession_s, round(100.0 * coalesce(hf, 0) / tf, 1) AS possession_pct, coalesce(pch, 0) AS possession_changes, round(h, 2) AS line_height_m, round(dp, 2) AS depth_m, round(w, 2) AS width_m,
- round(coalesce(pm, 0.0), 3) AS pressure_mean, round(coalesce(pk, 0.0), 3) AS pressure_peak, coalesce(pe, 0) AS pressure_episodes, round(coalesce(cpm, 0.0), 3) AS counterpress_mean, round(coalesce(rcm, 0.0), 3) AS recovery_mean, 0.0::DOUBLE AS progression_m, 0::BIGINT AS completed_passes, round(100.0 * vf / tf, 1) AS coverage_pct, vf AS valid_frames, tf AS total_frames, round(cm, 3) AS conf_mean, round(c10, 3) AS conf_p10,
+SELECT b.sequence_id, b.team_label, round(coalesce(hf, 0) / 25.0, 2) AS possession_s, round(100.0 * coalesce(hf, 0) / tf, 1) AS possession_pct, coalesce(pch, 0) AS possession_changes, round(h + 1e-9, 2) AS line_height_m, round(dp + 1e-9, 2) AS depth_m, round(w + 1e-9, 2) AS width_m,
+ round(coalesce(pm, 0.0) + 1e-9, 3) AS pressure_mean, round(coalesce(pk, 0.0) + 1e-9, 3) AS pressure_peak, coalesce(pe, 0) AS pressure_episodes, round(coalesce(cpm, 0.0) + 1e-9, 3) AS counterpress_mean, round(coalesce(rcm, 0.0) + 1e-9, 3) AS recovery_mean, 0.0::DOUBLE AS progression_m, 0::BIGINT AS completed_passes, round(100.0 * vf / tf, 1) AS coverage_pct, vf AS valid_frames, tf AS total_frames, round(cm + 1e-9, 3) AS conf_mean, round(c10 + 1e-9, 3) AS conf_p10,
  gh AS frames_high, gm AS frames_medium, gl AS frames_low, gi AS frames_invalid
 FROM b LEFT JOIN tot USING (sequence_id) LEFT JOIN hf USING (sequence_id, team_label) LEFT JOIN pr USING (sequence_id, team_label) LEFT JOIN ev USING (sequence_id, team_label) LEFT JOIN tr USING (sequence_id, team_label)"""
 

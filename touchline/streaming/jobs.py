@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from touchline.functions.scan import Step
-from touchline.session import new_path
+from touchline.session import cut_lineage, new_path
 
 DELAY = "2 seconds"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Seconds of the end mark's time, the year 2200.
+END_OF_TIME = 7258118400
 
 
 def watermarked(stream: DataFrame, ts: str = "ts", delay: str = DELAY) -> DataFrame:
@@ -52,39 +51,56 @@ def around_events(events: DataFrame, frames: DataFrame, before: str = "1 second"
     return a.join(b, near, "inner").drop("_seq")
 
 
-def stream_scan(stream: DataFrame, keys: list[str], order: str, step: Step, schema: str, idle_ms: int = 60000) -> DataFrame:
-    """``touchline.functions.scan`` over a stream: one JSON state per key, rows of a batch in ``order``.
+def run_available(stream: DataFrame, root: str | None = None) -> DataFrame:
+    """Run a stream over what has arrived, into a file sink in the shared folder, and read the result.
 
-    A key that is idle past the watermark by ``idle_ms`` forgets its state, so finished sequences cost nothing.
+    The file sink and its checkpoint give each row once, also after a restart. State is kept in RocksDB, in one part for each core.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
+    spark = stream.sparkSession
+    root = root or new_path(spark, "stream")
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        job = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
+               .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    job.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(chunks)).sort_values(order, kind="stable").reset_index(drop=True)
-        before = json.loads(state.get[0]) if state.exists else {}
-        out, after = step(before, rows)
-        state.update((json.dumps(after),))
-        mark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(mark, 0) + idle_ms)
-        yield out[names]
 
-    return watermarked(stream).groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+def run_to_the_end(rows: DataFrame, build: Callable[[DataFrame], DataFrame], event_time: str = "ts") -> DataFrame:
+    """Run ``build`` over the stream ``rows`` and close it, so that nothing stays open.
+
+    A second source holds the end mark: one row of nulls with a time beyond all others. It is written when the data have
+    been read; the run that finds it moves the watermark past every window, session and timer. Its own window never closes.
+    """
+    spark = rows.sparkSession
+    root = new_path(spark, "stream")
+    marks = f"{root}/end"
+    spark.createDataFrame([], rows.schema).write.parquet(marks)
+    both = rows.unionByName(spark.readStream.schema(rows.schema).parquet(marks))
+    stream = build(both)
+    run_available(stream, root)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != event_time else F.timestamp_seconds(F.lit(END_OF_TIME)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    spark.range(1).select(*nothing).write.mode("append").parquet(marks)
+    return run_available(stream, root)
 
 
-def run_available(stream: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Run a stream over what has arrived, into a file sink in the shared folder, and read the result.
+def in_pieces(table: DataFrame, frame: str, frames_each: int, disorder: int = 0) -> str:
+    """Write a table as files that arrive one after the other, for a stream to read; gives the folder.
 
-    The file sink and its checkpoint give each row once, also after a restart.
+    Rows go by spans of ``frames_each`` frames, and half of them ``disorder`` frames later than they should; inside a file they are shuffled.
     """
-    spark = stream.sparkSession
-    root = new_path(spark, "stream")
-    job = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
-           .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
-    job.awaitTermination()
-    return finish(spark.read.schema(stream.schema).parquet(f"{root}/out"))
+    folder = new_path(table.sparkSession, "pieces")
+    mixed = cut_lineage(table.withColumn("_mix", F.xxhash64(*table.columns)).withColumn("_piece", F.floor((F.col(frame) + F.when(F.col("_mix") % 2 == 0, disorder).otherwise(0)) / frames_each)))
+    low, high = mixed.agg(F.min("_piece"), F.max("_piece")).first()
+    for piece in range(low or 0, (high or 0) + 1):
+        mixed.filter(F.col("_piece") == piece).orderBy("_mix").drop("_mix", "_piece").coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
