@@ -42,7 +42,7 @@ def segmentations(text, vocab, model):
 @pytest.mark.parametrize("text", ["the", "abc d", "né\n", "zx你"])
 def test_all_segmentations_come_once(text, vocab):
     want = segmentations(text, vocab, sentencepiece.SentencePieceProcessor(model_file=MODEL))
-    found = P.sample_slice([text], np.array([9], np.uint64), vocab, len(want) + 5)[0]
+    found = P.sample_slice([text], np.array([9], np.uint64), P.WordStore(vocab), len(want) + 5)[0]
     got = {tuple(s[3].tolist()): s[0] for s in found}
     assert len(found) == len(got) == len(want) and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want) and abs(sum(map(math.exp, got.values())) - 1) < 1e-9
@@ -53,7 +53,7 @@ def test_all_segmentations_come_once(text, vocab):
 def test_frequencies_and_inclusion(vocab):
     text, n = "there on", 6000
     want = segmentations(text, vocab, sentencepiece.SentencePieceProcessor(model_file=MODEL))
-    found = P.sample_slice([text] * n, np.arange(n, dtype=np.uint64), vocab, 2)
+    found = P.sample_slice([text] * n, np.arange(n, dtype=np.uint64), P.WordStore(vocab), 2)
     first = {}
     for s in found:
         first[tuple(s[0][3].tolist())] = first.get(tuple(s[0][3].tolist()), 0) + 1
@@ -89,3 +89,20 @@ def test_rows_decode_to_their_text(spark):
     again = {(r.doc_id, r.rank): r.pieces for r in P.sample(df.repartition(1), MODEL, k=4).collect()}
     assert all(again[r.doc_id, r.rank] == r.pieces for r in out)
     assert P.sample(df.limit(0), MODEL).count() == 0
+
+
+def test_kept_words_change_no_sample(vocab):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["of", "the", "singing", "Straßenbahn", "▁odd", "日本語", "x" * 60], 40)) for _ in range(12)]
+    keys = np.arange(12, dtype=np.uint64)
+    whole = P.sample_slice(texts, keys, P.WordStore(vocab), 3)
+    kept = P.WordStore(vocab)
+    parts = [s for i in range(0, 12, 3) for s in P.sample_slice(texts[i:i + 3], keys[i:i + 3], kept, 3)]
+    for a, b in zip(whole, parts, strict=True):
+        assert [x[3].tolist() for x in a] == [x[3].tolist() for x in b] and np.allclose([x[:3] for x in a], [x[:3] for x in b], rtol=1e-9)
+
+
+def test_decoded_where_they_are_made(spark):
+    texts = ["two words", "", None, " lead", "日本 ▁ x", "tab\tand\nline"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.text == (texts[r.doc_id] or "") for r in P.sample(df, MODEL, decoded=True).collect())

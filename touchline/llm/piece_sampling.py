@@ -1,7 +1,7 @@
 """Sampled segmentations of a text into SentencePiece pieces: the Gumbel top-k without replacement over its lattice.
 
 A text is cut at blanks into words (a blank mark before each); no piece crosses a word, so the lattice of a text is the chain
-of its words' lattices. Each distinct word of a slice gets its lattice once, with the exact log-mass of everything behind each
+of its words' lattices. Each distinct word that a task meets gets its lattice once, with the exact log-mass of everything behind each
 place. With exact masses the perturbed A* search is a walk from the top: the best perturbed path is an exact sample, the
 siblings left aside at each step wait in the queue with a truncated Gumbel value for their best path, and the greatest one is
 opened next. So ``k`` pops give the ``k`` best of all perturbed paths: distinct samples without replacement. The next value in
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ SAMPLES = 3
 SEED = 7
 #: Text bytes whose lattices are held at once.
 SLICE_BYTES = 1 << 19
+#: Characters of the words whose lattices a task keeps from slice to slice.
+MOST_PLACES = 1 << 20
 BLANK = "▁"
 RANK_SHIFT = 10.0
 NONE = -np.inf
@@ -153,8 +156,9 @@ class Lattices:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.at, minlength=n))])  # edges of a place
         mass = np.full(n, NONE)
         mass[self.stop] = 0.0
-        by_rest = np.argsort(rest[self.at], kind="stable")
-        levels = rest[self.at][by_rest]
+        levels = rest[self.at].astype(np.uint16 if len(rest) < 1 << 16 or rest.max() < 1 << 16 else np.int64)  # few values: a radix sort
+        by_rest = np.argsort(levels, kind="stable")
+        levels = levels[by_rest]
         cuts = np.append(np.flatnonzero(np.r_[True, levels[1:] != levels[:-1]]), len(levels)) if len(levels) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             e = by_rest[a:b]
@@ -169,14 +173,6 @@ class Lattices:
         total = np.cumsum(share)
         total -= (total - share)[self.first[self.at]]
         self.through = total  # shares of a place up to and with an edge
-        self.last = self.first[1:] - 1
-
-    def left_beside(self, edges: np.ndarray) -> np.ndarray:
-        """Log-share of all other edges of each edge's place, exactly nothing where there are none."""
-        place = self.at[edges]
-        some = self.first[place + 1] - self.first[place] > 1
-        with np.errstate(divide="ignore"):
-            return np.log(np.where(some, np.maximum(-np.expm1(self.log_share[edges]), 0.0), 0.0))
 
     def _spell(self, edges: np.ndarray, words: list[str], size: np.ndarray, weight: np.ndarray, vocab: Vocabulary) -> None:
         """Edges over characters without a piece: their bytes, one after the other in ``spelled``."""
@@ -194,6 +190,76 @@ class Lattices:
             weight[e] = vocab.byte_weight * len(ids)
         self.spelled = np.array(flat, np.int32)
 
+
+class WordStore:
+    """Lattices of words, end to end: those that came again stay from slice to slice, those met once are laid out anew.
+
+    At most ``MOST_PLACES`` characters of words stay; what a word's lattice is does not depend on it.
+    """
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.index: dict[str, int] = {}
+        self.met: set[str] = set()  # words seen once
+        self.passing: list[str] = []  # words of the last slice that do not stay
+        self.size = self.stay = (0, 0, 0, 0)  # words, places, edges, spelled bytes: in all, and of what stays
+        self._held: dict[str, np.ndarray] = {}
+
+    def numbers_of(self, words: list[str]) -> np.ndarray:
+        """The number of each word, good until the next call; new ones are laid out."""
+        for w in self.passing:
+            del self.index[w]
+        self.size, self.passing = self.stay, []
+        found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(found < 0).tolist()
+        if lacking:
+            unknown = [words[i] for i in lacking]
+            new = list(dict.fromkeys(unknown))
+            again = list(filter(self.met.__contains__, new)) if self.stay[1] < MOST_PLACES else []
+            if again:
+                self._append(again)
+                self.stay = self.size
+                self.met.difference_update(again)
+            self.passing = [w for w in new if w not in self.index] if again else new
+            if self.passing:
+                self._append(self.passing)
+                if len(self.met) > MOST_PLACES // 4:
+                    self.met.clear()
+                self.met.update(self.passing)
+            found[lacking] = list(map(self.index.__getitem__, unknown))
+        return found
+
+    def _put(self, name: str, at: int, data: np.ndarray) -> None:
+        held = self._held.get(name)
+        if held is None or at + len(data) > len(held):
+            grown = np.empty((at + len(data)) * 5 // 4, data.dtype)
+            if held is not None:
+                grown[:at] = held[:at]
+            self._held[name] = held = grown
+        held[at:at + len(data)] = data
+        setattr(self, name, held[:at + len(data)])
+
+    def _append(self, new: list[str]) -> None:
+        part, (words, places, edges, spells) = Lattices(new, self.vocab), self.size
+        self.index.update(zip(new, range(words, words + len(new)), strict=True))
+        self._put("start", words, part.start + places)
+        self._put("stop", words, part.stop + places)
+        self._put("at", edges, (part.at + places).astype(np.int32))
+        self._put("first", places, part.first + edges)
+        self._put("last", places, part.first[1:] + (edges - 1))
+        self._put("spell_first", edges, part.spell_first + np.int32(spells))
+        for name in ("length", "piece", "spell_count", "log_share", "through"):
+            self._put(name, edges, getattr(part, name))
+        self._put("spelled", spells, part.spelled)
+        self.size = (words + len(new), places + len(part.first) - 1, edges + len(part.at), spells + len(part.spelled))
+
+    def left_beside(self, edges: np.ndarray) -> np.ndarray:
+        """Log-share of all other edges of each edge's place, exactly nothing where there are none."""
+        place = self.at[edges]
+        some = self.last[place] > self.first[place]
+        with np.errstate(divide="ignore"):
+            return np.log(np.where(some, np.maximum(-np.expm1(self.log_share[edges]), 0.0), 0.0))
+
     def numbers(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of a row of edges, and how many each edge has."""
         ids, counts = self.piece[edges], self.spell_count[edges].astype(np.int64)
@@ -216,6 +282,11 @@ class Lattices:
         return e
 
 
+@lru_cache(maxsize=1)
+def store(model_file: str) -> WordStore:
+    return WordStore(vocabulary(model_file))
+
+
 class _Path:
     """Sampled steps of all texts of a slice for one rank, by text: from the step where a path leaves its parent."""
 
@@ -236,7 +307,39 @@ def _sure(path: _Path, texts: np.ndarray, k: int) -> bool:
     return True
 
 
-def _walk(lat: Lattices, occ: np.ndarray, node: np.ndarray, word: np.ndarray, offset: np.ndarray, key: np.ndarray, rank: int, given: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _greatest(path: _Path, best: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest value in the queue of each text that the path goes through, and the first step that has it."""
+    filled = np.flatnonzero(path.head[1:] > path.head[:-1])
+    if not len(filled):
+        return best, where
+    heads = path.head[filled]
+    tops = np.maximum.reduceat(path.value, heads)
+    having = np.flatnonzero(path.value == np.repeat(tops, path.head[filled + 1] - heads))
+    best, where = best.copy(), where.copy()
+    best[filled], where[filled] = tops, having[np.searchsorted(having, heads)]
+    return best, where
+
+
+def _sibling(lat: WordStore, place: np.ndarray, barred: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge of each place by its share, barred ones left out, and the log-share of all others that are not barred."""
+    lo, count = lat.first[place], lat.last[place] - lat.first[place] + 1
+    beyond = np.arange(int(count.max()))
+    edges = np.minimum(lo[:, None] + beyond, len(lat.at) - 1)
+    share = np.where(beyond < count[:, None], np.exp(lat.log_share[edges]), 0.0)
+    shut = (edges[:, :, None] == barred[:, None, :]).any(axis=2)
+    share[shut] = 0.0
+    sums = np.cumsum(share, axis=1)
+    e = np.minimum((sums <= (u * sums[:, -1])[:, None]).sum(axis=1), count - 1)
+    row = np.arange(len(e))
+    while (wrong := shut[row, e] & (e > 0)).any():
+        e[wrong] -= 1
+    share[row, e] = 0.0
+    rest = np.where(count > (barred >= 0).sum(axis=1) + 1, share.sum(axis=1), 0.0)
+    with np.errstate(divide="ignore"):
+        return lo + e, np.log(rest)
+
+
+def _walk(lat: WordStore, occ: np.ndarray, node: np.ndarray, word: np.ndarray, offset: np.ndarray, key: np.ndarray, rank: int, given: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sample from given places to the ends of their words: ``occurrence, place, edge`` in reading order.
 
     ``given``: occurrences and edges that come before the sampled ones of these occurrences.
@@ -268,19 +371,22 @@ def _walk(lat: Lattices, occ: np.ndarray, node: np.ndarray, word: np.ndarray, of
     return out
 
 
-def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
+def sample_slice(texts: list[str], keys: np.ndarray, lat: WordStore, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """For each text its samples ``log-probability, perturbed value, inclusion probability, piece numbers``, best first.
 
     A text with fewer than ``k`` segmentations gives them all, with inclusion probability 1.
     """
     n = len(texts)
-    index: dict[str, int] = {}
-    word_lists = [t.split(" ") if t else [] for t in texts]
-    word = np.array([index.setdefault(w, len(index)) for ws in word_lists for w in ws], np.int64)
-    if not len(word):
+    words: list[str] = []
+    counts = np.zeros(n, np.int64)
+    for i, t in enumerate(texts):
+        if t:
+            before = len(words)
+            words += t.split(" ")
+            counts[i] = len(words) - before
+    if not words:
         return [[(0.0, 0.0, 1.0, np.zeros(0, np.int64))] for _ in texts]
-    lat = Lattices(list(index), vocab)
-    counts = np.array([len(ws) for ws in word_lists])
+    word = lat.numbers_of(words)
     doc = np.repeat(np.arange(n), counts)
     doc_first = np.concatenate([[0], np.cumsum(counts)])
     width = (lat.stop - lat.start)[word]
@@ -294,9 +400,10 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int)
     where = np.zeros((k, n), np.int64)
     value = np.full((k, n), NONE)
     value[0] = np.where(counts > 0, top, NONE)
-    forced: list[tuple[int, int, int, float, float]] = []  # text, occurrence, edge, log-share left at the step, log-share of the edge
+    going = np.zeros(0, np.int64)  # texts whose next path starts with a sibling, and the log-mass left beside it
+    beside = np.zeros(0)
     log_prob = np.zeros((k, n))
-    excluded: dict[tuple[int, int], list[int]] = {}
+    gone = np.full((k, n, k), -1, np.int64)  # edges that the first step of a path could not take
     threshold = np.full(n, NONE)
     for rank in range(k + 1):
         if rank:
@@ -305,47 +412,33 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int)
             if rank == k:
                 threshold = high
                 break
-            path, forced = _Path(n), []
-            occs, nodes = [], []
+            path = _Path(n)
             going = np.flatnonzero(high > NONE)
-            steps = [(paths[int(source[d])], int(where[source[d], d])) for d in going.tolist()]
-            spots = np.array([int(offset[q.occ[s]] + q.place[s] - lat.start[word[q.occ[s]]]) for q, s in steps], np.int64)
-            chosen = uniforms(keys[going], 2 * rank, spots).tolist()
-            for d, u in zip(going.tolist(), chosen, strict=True):
-                i = int(source[d])
-                s = int(where[i, d])
-                parent = paths[i]
-                a, b = int(parent.head[d]), int(parent.head[d + 1])
-                place, occ = int(parent.place[s]), int(parent.occ[s])
-                lo, hi = int(lat.first[place]), int(lat.first[place + 1])
-                gone = [int(parent.edge[s])] + (excluded.get((i, d), []) if s == a and parent.parent[d] >= 0 else [])
-                share = np.exp(lat.log_share[lo:hi])
-                share[[e - lo for e in gone]] = 0.0
-                sums = np.cumsum(share)
-                e = lo + min(int(np.searchsorted(sums, u * sums[-1], side="right")), hi - lo - 1)
-                while e in gone:
-                    e -= 1
-                left = share.copy()
-                left[e - lo] = 0.0
-                rest = float(left.sum()) if hi - lo > len(gone) + 1 else 0.0
-                forced.append((d, occ, e, np.log(rest) if rest > 0 else NONE, float(lat.log_share[e])))
-                excluded[(rank, d)] = gone
-                path.parent[d], path.step[d] = i, s
-                value[rank, d], bound[d], start_before[d] = high[d], high[d], parent.before[s]
-                # the opened step leaves the queue of its path
-                parent.value[s] = NONE
-                seg = parent.value[a:b]
-                where[i, d] = a + int(seg.argmax())
-                best[i, d] = seg.max()
-                occs.append(np.arange(occ, doc_first[d + 1]))
-                fresh = lat.start[word[occs[-1]]].copy()
-                fresh[0] = place + int(lat.length[e])
-                nodes.append(fresh)
-            if not forced:
-                threshold = np.full(n, NONE)
+            if not len(going):
                 break
-            given = np.array([f[1] for f in forced], np.int64), np.array([f[2] for f in forced], np.int64)
-            o, p, e = _walk(lat, np.concatenate(occs), np.concatenate(nodes), word, offset, key, rank, given)
+            from_, step = source[going], where[source[going], going]
+            place, occ, edge, before, barred = (np.zeros(len(going), np.int64 if j != 3 else float) if j < 4 else np.full((len(going), k), -1, np.int64) for j in range(5))
+            for i in range(rank):
+                mine = np.flatnonzero(from_ == i)
+                if not len(mine):
+                    continue
+                q, at, d = paths[i], step[mine], going[mine]
+                place[mine], occ[mine], edge[mine], before[mine] = q.place[at], q.occ[at], q.edge[at], q.before[at]
+                barred[mine] = np.where(((at == q.head[d]) & (q.parent[d] >= 0))[:, None], gone[i, d], -1)
+                q.value[at] = NONE  # the opened step leaves the queue of its path
+                best[i], where[i] = _greatest(q, best[i], where[i])
+            barred[:, rank - 1] = edge
+            u = uniforms(keys[going], 2 * rank, offset[occ] + place - lat.start[word[occ]])
+            e, beside = _sibling(lat, place, barred, u)
+            gone[rank, going] = barred
+            path.parent[going], path.step[going] = from_, step
+            value[rank, going], bound[going], start_before[going] = high[going], high[going], before
+            stay = doc_first[going + 1] - occ
+            first = np.cumsum(stay) - stay
+            occs = np.arange(int(stay.sum())) + np.repeat(occ - first, stay)
+            nodes = lat.start[word[occs]]
+            nodes[first] = place + lat.length[e]
+            o, p, e = _walk(lat, occs, nodes, word, offset, key, rank, (occ, e))
         else:
             path = _Path(n)
             o, p, e = _walk(lat, np.arange(len(word)), lat.start[word], word, offset, key, 0)
@@ -361,8 +454,11 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int)
             some = np.flatnonzero(path.before >= cut)
             path.value = np.full(len(e), NONE)
             left = lat.left_beside(e[some])
-            for f in forced:
-                left[np.searchsorted(some, path.head[f[0]])] = f[3]
+            if rank:
+                at = np.searchsorted(some, path.head[going])
+                there = at < len(some)
+                there[there] = some[at[there]] == path.head[going][there]
+                left[at[there]] = beside[there]
             mass = path.before[some] + left
             spread = -np.log(uniforms(key[o[some]], 2 * rank + 1, offset[o[some]] + p[some] - lat.start[word[o[some]]]))
             with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
@@ -372,16 +468,13 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int)
             if _sure(path, np.unique(owner[path.before < cut]), k):
                 break
         filled = np.flatnonzero(path.head[1:] > path.head[:-1])
-        tops = np.maximum.reduceat(path.value, path.head[filled]) if len(filled) else np.zeros(0)
-        best[rank, filled] = tops
-        for d in filled.tolist():
-            where[rank, d] = path.head[d] + int(path.value[path.head[d]:path.head[d + 1]].argmax())
+        best[rank], where[rank] = _greatest(path, best[rank], where[rank])
         log_prob[rank, filled] = run[path.head[filled + 1] - 1] - base[filled] + start_before[filled]
         paths.append(path)
     return _collect(lat, paths, value, log_prob, threshold, counts)
 
 
-def _collect(lat: Lattices, paths: list[_Path], value: np.ndarray, log_prob: np.ndarray, threshold: np.ndarray, counts: np.ndarray) -> list:
+def _collect(lat: WordStore, paths: list[_Path], value: np.ndarray, log_prob: np.ndarray, threshold: np.ndarray, counts: np.ndarray) -> list:
     """The samples of each text: a path's own steps behind those that it shares with its parents."""
     out: list[list] = [[] if c else [(0.0, 0.0, 1.0, np.zeros(0, np.int32))] for c in counts.tolist()]
     ids_of: list[tuple[np.ndarray, np.ndarray]] = []
@@ -405,9 +498,11 @@ def _collect(lat: Lattices, paths: list[_Path], value: np.ndarray, log_prob: np.
     return out
 
 
-def sample(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Up to ``k`` rows per row of ``docs``: ``doc_id, rank, log_prob, perturbed, inclusion, pieces``.
 
+    ``decoded``: also ``text``, the pieces decoded where they are made, which spares them a second way to Python.
+
     Ranks count from 1 in falling order of the perturbed values. Null and empty texts have one segmentation, without
     pieces. A row's samples depend on its id, ``seed`` and its text only; repeated rows repeat them; a null id is a key like
     any other. An empty table gives an empty result.
@@ -415,18 +510,20 @@ def sample(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED,
     source = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("key"), "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_file)
+        lat = store(model_file)
         for part in slices(batches, "text", SLICE_BYTES):
             keys = part.column(1).to_numpy().view(np.uint64)
-            found = sample_slice([t or "" for t in part.column(2).to_pylist()], keys, vocab, k)
+            found = sample_slice([t or "" for t in part.column(2).to_pylist()], keys, lat, k)
             flat = [(i, r + 1, *s) for i, samples in enumerate(found) for r, s in enumerate(samples)]
             ids = part.column(0).take(pa.array([f[0] for f in flat], pa.int64()))
             cuts = np.concatenate([[0], np.cumsum([len(f[5]) for f in flat])])
             pieces = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([f[5] for f in flat]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in flat], pa.int32()), *(pa.array([f[j] for f in flat], pa.float64()) for j in (2, 3, 4)), pieces],
-                                             ["doc_id", "rank", "log_prob", "perturbed", "inclusion", "pieces"])
+            texts = [pa.array([lat.vocab.decode(f[5]) for f in flat], pa.binary()).cast(pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in flat], pa.int32()), *(pa.array([f[j] for f in flat], pa.float64()) for j in (2, 3, 4)), pieces, *texts],
+                                             ["doc_id", "rank", "log_prob", "perturbed", "inclusion", "pieces", *["text"][:len(texts)]])
 
-    return source.mapInArrow(rows, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, rank int, log_prob double, perturbed double, inclusion double, pieces array<int>")
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, rank int, log_prob double, perturbed double, inclusion double, pieces array<int>"
+    return source.mapInArrow(rows, schema + (", text string" if decoded else ""))
 
 
 def decode(pieces: DataFrame, model_file: str, column: str = "pieces", into: str = "text") -> DataFrame:

@@ -110,7 +110,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 @query("op8_piece_sampling")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = piece_sampling.decode(piece_sampling.sample(table(spark, sf_dir, "documents"), MODEL_FILE), MODEL_FILE)
+    found = piece_sampling.sample(table(spark, sf_dir, "documents"), MODEL_FILE, decoded=True)
     return found.select("doc_id", "rank", F.size("pieces").cast("long").alias("n_pieces"), "log_prob", "perturbed", "inclusion", F.xxhash64("pieces").alias("pieces_hash"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
