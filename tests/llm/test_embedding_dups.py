@@ -63,8 +63,8 @@ def test_recall_with_many_vectors(spark):
     near = 0.951 * base + np.sqrt(1 - 0.951**2) * other  # pairs just above the threshold, the hardest ones
     x = np.concatenate([base, near, rng.standard_normal((3000, 64))]).astype("float32")
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
-    got = {r.vec_id: r.component_id for r in E.near_duplicates(df, window=8).collect()}
-    assert sum(got[i + 1500] == i for i in range(1500)) / 1500 > 0.9
+    got = {r.vec_id: r.component_id for r in E.near_duplicates(df).collect()}
+    assert sum(got[i + 1500] == i for i in range(1500)) / 1500 > 0.95
     assert all(got[i] == i for i in range(3000, 6000))
 
 
@@ -72,9 +72,49 @@ def test_empty(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_passes_grow_with_the_table():
-    few, many = E.passes_for(10_000, 64)[0], E.passes_for(10_000_000_000, 64)[0]
-    assert 2 <= few < many
+def test_partners_lie_at_the_threshold_and_depend_on_the_class_only():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((50, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cls = rng.integers(-(1 << 62), 1 << 62, 50)
+    y = E.partners(x, cls, 7, 0.95)
+    assert np.allclose((x * y).sum(axis=1), 0.95) and np.allclose(np.linalg.norm(y, axis=1), 1)
+    assert np.allclose(E.partners(x[10:12], cls[10:12], 7, 0.95), y[10:12]) and not np.allclose(E.partners(x, cls, 8, 0.95), y)
+
+
+def test_long_runs_are_sorted_again():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40, 16))
+    key = np.array([b"a"] * 3 + [b"b"] * 30 + [b"c"] * 7)
+    order = E.order_of(key, x, 0, 8)
+    assert sorted(order.tolist()) == list(range(40)) and order[:3].tolist() == [0, 1, 2] and order[3:33].tolist() != list(range(3, 33))
+    assert E.order_of(key, x, 0, 30).tolist() == list(range(40)) and len(E.order_of(key[:0], x[:0], 0, 8)) == 0
+
+
+def test_windows_reach_over_ranges(spark, monkeypatch):
+    """Ranges of a few rows: what lies across their borders is found all the same."""
+    monkeypatch.setattr(E, "RANGE_ROWS", 40)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((150, 32))
+    x = np.concatenate([base, base + rng.standard_normal(base.shape) * 0.05])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df, window=5).collect()), key=repr)
+    assert got == brute(list(range(300)), [v.tolist() for v in x])
+
+
+def test_given_table_by_windows(spark):
+    """The whole given table of sf0.1, by windows far smaller than it."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df).collect()), key=repr)
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = E.unite(np.arange(len(x)), *np.nonzero(near))
+    ids = np.array([r.vec_id for r in rows])
+    low = {g: int(ids[label == g].min()) for g in set(label.tolist())}
+    assert got == sorted(((int(i), int(k), low[g], int(i) == low[g]) for i, k, g in zip(ids, near.sum(axis=1), label.tolist())), key=repr)
 
 
 def test_recall_in_a_dense_region(spark):
@@ -93,7 +133,7 @@ def test_recall_in_a_dense_region(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     links = x[:2000] @ x[:2000].T >= 0.95
     np.fill_diagonal(links, False)
-    got = {r.vec_id: r.component_id for r in E.near_duplicates(df, window=48).collect()}
+    got = {r.vec_id: r.component_id for r in E.near_duplicates(df).collect()}
     assert links[np.arange(pairs), np.arange(pairs) + 2000 - pairs].all()
     met = sum(got[i] == got[i + 2000 - pairs] for i in range(pairs))
     assert met / pairs > 0.95, met

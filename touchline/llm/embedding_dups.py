@@ -1,12 +1,14 @@
-"""Near-duplicate vectors by projection passes over runs of equal keys.
+"""Near-duplicate vectors by sorted projection passes.
 
 Equal vectors are one class. In each pass every class gets a key of concatenated random hashes (after a random rotation, the
-axis nearest to the vector, several times over). A run is what shares the first hashes of a key; runs are made longer or
-shorter where the data need it: a run of more than a window of classes is split by its next hash, unless that saves less than
-it loses, and the runs left are compared whole, in blocks across tasks where they are long. In each pass a class is tried with
-random partners at the threshold: how many of them fall into its run tells how likely its links were found. A class takes
-part in passes until that is likely enough, so classes in dense regions take part in more. At last, links are counted inside each component by blocks: all links of a vector lie in its component, so
-the counts are exact for it.
+axis nearest to the vector, several times over); the classes are sorted by it, and each is compared with a bounded window of
+neighbours. Runs of equal keys longer than the window are sorted again by further hashes. Tasks hold ranges of the order; the
+ends of neighbouring ranges are compared apart. Verified pairs of all passes are united.
+
+In each pass a class is tried with random partners at the threshold: whether their keys fall into its window tells how
+likely its links were found. A class takes part in passes until that is likely enough, so classes in dense regions take part
+in more, with wider windows. At last, links are counted inside each component by blocks: all links of a vector lie in its
+component, so the counts are exact for it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from touchline.llm.components import connected_components, unite
@@ -24,18 +27,21 @@ from touchline.llm.rows import pick
 from touchline.session import cut_lineage
 
 COSINE = 0.95
-#: Classes of a run that one task compares whole.
-WINDOW = 1024
-#: Chance to miss a pair at the threshold down to which a class takes part in passes.
-MISS = 0.02
-MOST_HASHES = 8
-#: Passes over the classes at a time.
-MOST_PASSES = 16
+#: Neighbours in the order that a class is compared with, at least.
+WINDOW = 256
+#: Random partners at the threshold that a class must have met, on average, before it needs no further pass.
+NEED = 4.5
+HASHES = 8
+#: Passes over the classes at a time; after each such round the window of those left is doubled.
+ROUND = 6
 #: Random partners of a class in each pass.
-TRIALS = 4
+TRIALS = 2
 SEED = 20_01
 BLOCK = 1024
 CHUNK = 8192
+#: Rows of a range of the order that a task holds, and windows in it at least.
+RANGE_ROWS = 1 << 16
+RANGE_WINDOWS = 8
 
 
 def _matrix(column: pa.Array, size: int, kind: str) -> np.ndarray:
@@ -64,206 +70,172 @@ def _usable(kind: str):
     return walk
 
 
-@lru_cache(maxsize=2)
-def rotations(size: int, hashes: int, pass_: int, seed: int = SEED) -> np.ndarray:
-    """Random rotation-like matrices of one pass, ``hashes`` of them side by side."""
-    rng = np.random.default_rng([seed, size, pass_])
-    return rng.standard_normal((size, hashes * size))
+@lru_cache(maxsize=4)
+def rotations(size: int, pass_: int, seed: int = SEED) -> np.ndarray:
+    """Random rotation-like matrices of one pass, ``HASHES`` of them side by side."""
+    return np.random.default_rng([seed, size, pass_]).standard_normal((size, HASHES * size)).astype(np.float32)
 
 
-def keys(vectors: np.ndarray, pass_: int, hashes: int, first: int | None = None) -> np.ndarray:
-    """Concatenated hashes of each row, or the ``first`` of them: two bytes each, axis and sign of the largest rotated coordinate."""
+def keys(vectors: np.ndarray, pass_: int) -> np.ndarray:
+    """Concatenated hashes of each row as one byte string: axis and sign of the largest rotated coordinate, two bytes each."""
     n, size = vectors.shape
-    first = hashes if first is None else first
-    turned = (vectors @ rotations(size, hashes, pass_)[:, :first * size]).reshape(n, first, size)
-    axis = np.abs(turned).argmax(axis=2)
-    sign = np.take_along_axis(turned, axis[:, :, None], axis=2)[:, :, 0] < 0
-    return (axis * 2 + sign).astype(">u2")
+    out = np.empty((n, HASHES), ">u2")
+    for i in range(0, n, step := max(1, (4 << 20) // (HASHES * size))):
+        turned = (vectors[i:i + step].astype(np.float32) @ rotations(size, pass_)).reshape(-1, HASHES, size)
+        axis = np.abs(turned).argmax(axis=2)
+        sign = np.take_along_axis(turned, axis[:, :, None], axis=2)[:, :, 0] < 0
+        out[i:i + step] = axis * 2 + sign + 1  # never zero, so that byte strings keep their length
+    return np.ascontiguousarray(out).view(f"S{2 * HASHES}").ravel()
 
 
-def _partners(x: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _normal(cls: np.ndarray, size: int, stream: int) -> np.ndarray:
+    """Normal numbers, a row for each class: hashes of class, stream and place."""
+    base = _mixed(cls.astype(np.int64).view(np.uint64) + np.uint64(stream * 0x9E3779B97F4A7C15 % 2**64))
+    places = np.arange(2 * size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 % 2**64)
+    u = ((_mixed(base[:, None] + places) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+    return np.sqrt(-2 * np.log(u[:, :size])) * np.cos(2 * math.pi * u[:, size:])
+
+
+def partners(x: np.ndarray, cls: np.ndarray, stream: int, cosine: float) -> np.ndarray:
     """A random unit vector for each row of ``x``, at ``cosine`` to it."""
-    y = rng.standard_normal(x.shape)
+    y = _normal(cls, x.shape[1], stream)
     y -= (x * y).sum(axis=1)[:, None] * x
     norm = np.linalg.norm(y, axis=1)[:, None]
     return cosine * x + math.sqrt(1 - cosine * cosine) * y / np.where(norm > 0, norm, 1)
 
 
-def agreement(size: int, cosine: float = COSINE, seed: int = SEED) -> float:
-    """How often two vectors at the threshold agree on one hash, measured on random pairs."""
-    rng = np.random.default_rng([seed, size])
-    a = rng.standard_normal((256, size))
-    a /= np.linalg.norm(a, axis=1)[:, None]
-    b = _partners(a, cosine, rng)
-    return min(max(float((keys(a, 0, 4) == keys(b, 0, 4)).mean()), 0.01), 1 - 1e-9)
+def order_of(key: np.ndarray, x: np.ndarray, pass_: int, window: int) -> np.ndarray:
+    """The order of rows sorted by ``key``: runs of equal keys beyond the window are sorted again by further hashes."""
+    order = np.arange(len(key))
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else order
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > window:
+            order[a:b] = a + np.argsort(keys(x[a:b], pass_ + 1_000_000), kind="stable")
+    return order
 
 
-def passes_for(n: int, size: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS, seed: int = SEED) -> tuple[int, int]:
-    """Number of passes, and of hashes to split by, for ``n`` vectors of ``size`` values that are spread evenly.
+def neighbours(x: np.ndarray, window: int, cosine: float) -> np.ndarray:
+    """Labels of rows in order: each is compared with the ``window`` rows behind it and more, by blocks."""
+    label = np.arange(len(x))
+    for i in range(0, len(x), window):
+        left, right = np.nonzero(x[i:i + window] @ x[i:i + 2 * window].T >= cosine)
+        later = right > left
+        unite(label, i + left[later], i + right[later])
+    return label
 
-    Only the first passes are planned so; more follow for the classes that need them.
-    """
-    depth = min(MOST_HASHES, max(0, math.ceil(math.log(max(n, 1) / window) / math.log(max(2, 2 * size)))))
-    found = min(max(agreement(size, cosine, seed) ** depth, 1e-4), 1 - 1e-9)
-    return max(2, math.ceil(-math.log(miss) / found)), depth
 
+def met(key: np.ndarray, x: np.ndarray, cls: np.ndarray, pass_: int, window: int, cosine: float) -> np.ndarray:
+    """Share of a class's random partners at the threshold whose keys would stand within the window of it."""
+    found, at = np.zeros(len(key)), np.arange(len(key))
+    for t in range(TRIALS):
+        other = keys(partners(x, cls, TRIALS * pass_ + t, cosine), pass_)
+        # a partner with the same key stands somewhere in that run, at a random place
+        low, high = np.searchsorted(key, other, "left"), np.searchsorted(key, other, "right")
+        near = (np.minimum(at + window, np.maximum(high, low + 1)) - np.maximum(at - window, low)).clip(0)
+        found += near / np.maximum(high - low, 1)
+    return found.clip(0, TRIALS) / TRIALS
 
-def _keyed(classes: DataFrame, size: int, kind: str, passes: range) -> DataFrame:
-    """``cls, vec, found`` and ``keys``: the keys of all ``passes``, one after the other."""
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = max(1, min(CHUNK, (4 << 20) // (MOST_HASHES * size)))
-        for batch in batches:
-            for part in (batch.slice(i, CHUNK) for i in range(0, batch.num_rows, CHUNK)):
-                x = _matrix(part.column(1), size, kind)
-                found = [np.concatenate([keys(x[i:i + most], p, MOST_HASHES) for i in range(0, len(x), most)]) for p in passes]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k.tobytes() for k in np.concatenate(found, axis=1).astype(">u2")], pa.binary())], ["cls", "vec", "found", "keys"])
+_FOUND = "what int, pass int, seam long, side int, a long, b long, vec binary, met double"
+_ARROW_FOUND = pa.schema([("what", pa.int32()), ("pass", pa.int32()), ("seam", pa.int64()), ("side", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("vec", pa.binary()), ("met", pa.float64())])
+EDGE, SEAM, MET = 0, 1, 2
 
-    return cut_lineage(classes.select("cls", "vec", "found").mapInArrow(walk, "cls long, vec binary, found double, keys binary"), "keyed")
 
+def _records(what: int, n: int, **columns) -> pa.RecordBatch:
+    filled = {"what": pa.array(np.full(n, what, np.int32)), **{k: v if isinstance(v, pa.Array) else pa.array(np.broadcast_to(v, n)) for k, v in columns.items()}}
+    return pa.RecordBatch.from_arrays([(filled[f.name] if f.name in filled else pa.nulls(n, f.type)).cast(f.type) for f in _ARROW_FOUND], schema=_ARROW_FOUND)
 
-def _split(keyed: DataFrame, passes: int, window: int, same: float) -> tuple[set[tuple[int, bytes]], dict[tuple[int, bytes], int]]:
-    """The runs ``(pass, first hashes)`` to split by their next hash, and the size of the longer ones that stay whole.
 
-    A run of ``m`` classes costs ``m * m`` products. Split, it costs what its parts do, but a pair stays together only as
-    often as vectors ``same``, so the parts have to come again the more often. The cheaper of both holds. The driver sees
-    runs of more than ``window`` classes only, at most ``n / window`` for each hash and pass.
-    """
+def _ranges(size: int, kind: str, window: int, cosine: float):
+    """A range of the order: forest edges of the links in its windows, its first and last rows, and how the trials went."""
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[tuple[int, bytes], int] = {}
-            for k in batch.column(0).to_pylist():
-                for p in range(passes):
-                    at = 2 * MOST_HASHES * p
-                    for h in range(MOST_HASHES + 1):
-                        run = (p, k[at:at + 2 * h])
-                        seen[run] = seen.get(run, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.int32()), pa.array([r for _, r in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["pass", "run", "m"])
-
-    runs = keyed.select("keys").mapInArrow(prefixes, "pass int, run binary, m long").groupBy("pass", "run").agg(F.sum("m").alias("m"))
-    long_ = F.col("m") > window
-    above = F.expr("substring(run, 1, length(run) - 2)")
-    told = runs.select("pass", F.when(long_, F.col("run")).otherwise(above).alias("run"), F.when(long_, F.col("m")).otherwise(0).alias("m"), F.when(long_, 0.0).otherwise(F.col("m").cast("double") * F.col("m")).alias("rest"))
-    rows = told.groupBy("pass", "run").agg(F.sum("m").alias("m"), F.sum("rest").alias("rest")).filter("m > 0").collect()
-    rest = {(r["pass"], bytes(r["run"])): r["rest"] for r in rows}
-    split, whole = set(), {}
-    for r in sorted(rows, key=lambda r: -len(r["run"])):
-        run = (r["pass"], bytes(r["run"]))
-        cost = float(r["m"]) ** 2
-        if len(run[1]) < 2 * MOST_HASHES and rest[run] / same < cost:
-            split.add(run)
-            cost = rest[run] / same
-        else:
-            whole[run] = r["m"]
-        if run[1]:
-            rest[run[0], run[1][:-2]] += cost
-    return split, whole
-
-
-def _run_of(key: bytes, p: int, split: set[tuple[int, bytes]]) -> bytes:
-    at, h = 2 * MOST_HASHES * p, 0
-    while (p, key[at:at + 2 * h]) in split:
-        h += 1
-    return key[at:at + 2 * h]
-
-
-def _compare(size: int, kind: str, cosine: float):
-    """Forest edges of the links in a run, or between two parts of it."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]  # a range holds a bounded number of rows
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).combine_chunks()
+        passes, part = table.column("pass").to_numpy(), TaskContext.get().partitionId()
+        cuts = np.flatnonzero(np.r_[True, passes[1:] != passes[:-1], True])
+        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            piece, p = table.slice(start, stop - start), int(passes[start])
+            cls, vec = piece.column("cls").to_numpy(), piece.column("vec").combine_chunks()
+            x = _matrix(vec, size, kind)
+            key = np.array(piece.column("key").to_pylist(), f"S{2 * HASHES}")
+            share = met(key, x, cls, p, window, cosine)
+            order = order_of(key, x, p, window)
+            label = neighbours(x[order], window, cosine)
+            hung = np.flatnonzero(label != np.arange(len(cls)))
+            yield _records(EDGE, len(hung), a=cls[order][hung], b=cls[order][label[hung]])
+            yield _records(MET, len(cls), a=cls, met=share)
+            for side, seam, rows in ((1, part - 1, np.arange(min(window, len(cls)))), (0, part, np.arange(max(0, len(cls) - window), len(cls)))):
+                yield _records(SEAM, len(rows), **{"pass": np.int32(p), "seam": np.int64(seam), "side": np.int32(side), "a": cls[rows], "vec": vec.take(pa.array(rows))})
+
+    return walk
+
+
+def _seams(size: int, kind: str, cosine: float):
+    """Forest edges between the last rows of one range and the first of the next."""
 
     def product(group: pa.Table) -> pa.Table:
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        cls, part = group.column("cls").to_numpy(), group.column("part").to_numpy()
-        x = _matrix(group.column("vec"), size, kind)
-        a = np.flatnonzero(part == low)
-        b = a if low == high else np.flatnonzero(part == high)
-        label = np.arange(len(cls))
-        for i in range(0, len(a), BLOCK):
-            for j in range(i if low == high else 0, len(b), BLOCK):
-                left, right = np.nonzero(x[a[i:i + BLOCK]] @ x[b[j:j + BLOCK]].T >= cosine)
-                unite(label, a[i:i + BLOCK][left], b[j:j + BLOCK][right])
+        cls, side = group.column("a").to_numpy(), group.column("side").to_numpy()
+        x = _matrix(group.column("vec").combine_chunks(), size, kind)
+        before, after = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        left, right = np.nonzero(x[before] @ x[after].T >= cosine)
+        label = unite(np.arange(len(cls)), before[left], after[right])
         hung = np.flatnonzero(label != np.arange(len(cls)))
         return pa.table({"a": cls[hung], "b": cls[label[hung]]})
 
     return product
 
 
-def _passes(classes: DataFrame, size: int, kind: str, passes: range, window: int, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """Edges found in ``passes`` over ``classes`` (``cls, vec, found``), and the classes with ``found`` raised by the passes
-    in which a partner at the threshold is expected to have met them."""
-    same = agreement(size, cosine)
-    keyed = _keyed(classes, size, kind, passes)
-    n = len(passes)
-    split, whole = _split(keyed, n, window, same)
-    held = classes.sparkSession.sparkContext.broadcast((split, {run: -(-m // window) for run, m in whole.items()}))
+def _round(classes: DataFrame, n: int, size: int, kind: str, passes: range, window: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """Edges found by ``passes`` over ``classes`` (``cls, vec``), and ``cls, met``: the sum of what the trials met."""
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, parts = held.value
-        for batch in batches:
-            for piece in (batch.slice(i, CHUNK) for i in range(0, batch.num_rows, CHUNK)):
-                ids = piece.column(0).to_pylist()
-                all_keys = piece.column(2).to_pylist()
-                for p in range(n):
-                    rows = []
-                    for i, key in enumerate(all_keys):
-                        run = _run_of(key, p, split)
-                        many = parts.get((p, run), 1)
-                        part = (ids[i] * 0x9E3779B97F4A7C15 >> 20) % many
-                        rows += [(i, run, min(part, o), max(part, o), part) for o in range(many)]
-                        if len(rows) >= CHUNK:
-                            yield sent(piece, p, rows)
-                            rows = []
-                    if rows:
-                        yield sent(piece, p, rows)
-
-    def sent(piece: pa.RecordBatch, p: int, rows: list) -> pa.RecordBatch:
-        at, run, low, high, part = zip(*rows, strict=True)
-        at = pa.array(at, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.int32()), pa.array(run, pa.binary()), *(pa.array(c, pa.int64()) for c in (low, high, part)), piece.column(0).take(at), piece.column(1).take(at)], ["pass", "run", "low", "high", "part", "cls", "vec"])
-
-    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, _ = held.value
-        most = max(1, min(CHUNK, (4 << 20) // (MOST_HASHES * size)))
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in (batch.slice(i, most) for i in range(0, batch.num_rows, most)):
-                x, all_keys = _matrix(piece.column(1), size, kind), piece.column(3).to_pylist()
-                own = np.frombuffer(b"".join(all_keys), ">u2").reshape(len(x), n, MOST_HASHES)
-                met = piece.column(2).to_numpy().copy()
-                for p in range(n):
-                    depth = np.array([len(_run_of(key, p, split)) // 2 for key in all_keys])
-                    met[depth == 0] = np.inf
-                    rng = np.random.default_rng([SEED, passes[p], abs(piece.column(0)[0].as_py())])
-                    for d in np.unique(depth[depth > 0]).tolist():
-                        at = np.flatnonzero(depth == d)
-                        for _ in range(TRIALS):
-                            y = _partners(x[at], cosine, rng)
-                            met[at] += (keys(y, passes[p], MOST_HASHES, d) == own[at, p, :d]).all(axis=1) / TRIALS
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(met)], ["cls", "vec", "found"])
-
-    rows = keyed.select("cls", "vec", "keys").mapInArrow(dealt, "pass int, run binary, low long, high long, part long, cls long, vec binary")
-    edges = cut_lineage(rows.groupBy("pass", "run", "low", "high").applyInArrow(_compare(size, kind, cosine), "a long, b long"), "pass")
-    return edges, keyed.mapInArrow(tried, "cls long, vec binary, found double")
+            for part in (batch.slice(i, CHUNK) for i in range(0, batch.num_rows, CHUNK)):
+                x = _matrix(part.column(1), size, kind)
+                found = np.stack([keys(x, p) for p in passes], axis=1)
+                flat = pa.array(found.ravel().tolist(), pa.binary())
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(passes))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, flat)], ["cls", "vec", "keys"])
+
+    held = cut_lineage(classes.select("cls", "vec").mapInArrow(keyed, "cls long, vec binary, keys array<binary>"), "keys")
+    rows = held.select(F.posexplode("keys").alias("at", "key"), "cls", "vec").select((F.col("at") + passes.start).cast("int").alias("pass"), "key", F.xxhash64("cls", "at").alias("tie"), "cls", "vec")
+    # equal keys are told apart by a hash, so that no run is too long for a range
+    parts = max(1, n * len(passes) // max(RANGE_ROWS, RANGE_WINDOWS * window))
+    order = ["pass", "key", "tie"]
+    found = cut_lineage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_ranges(size, kind, window, cosine), _FOUND), "pass")
+    between = found.filter(f"what = {SEAM}").groupBy("pass", "seam").applyInArrow(_seams(size, kind, cosine), "a long, b long")
+    edges = cut_lineage(found.filter(f"what = {EDGE}").select("a", "b").unionByName(between), "edges")
+    return edges, found.filter(f"what = {MET}").select(F.col("a").alias("cls"), "met").groupBy("cls").agg(F.sum("met").alias("met"))
 
 
 def _edges(classes: DataFrame, n: int, size: int, kind: str, passes: int | None, window: int, cosine: float) -> DataFrame:
-    """Edges of passes over ``classes`` until the chance to miss a pair at the threshold is about ``MISS`` for each class.
+    """Edges of passes over ``classes`` until each has met ``NEED`` random partners at the threshold, or of ``passes``.
 
-    A class that met its partners in ``t`` passes on average has missed one of them in all with a chance of ``exp(-t)`` at most.
+    A class that met its partners in ``t`` passes on average has missed a link of its own with a chance of about ``exp(-t)``.
+    Rounds go on until no class is left; windows grow from round to round, so the last ones are compared with all that are left.
     """
-    todo, need = classes.select("cls", "vec", F.lit(0.0).alias("found")), -math.log(MISS)
-    edges, done = None, 0
-    more = passes or (1 if n <= window else passes_for(n, size, cosine, window)[0])
-    while more:
-        now = min(more, MOST_PASSES)
-        found, after = _passes(todo, size, kind, range(done, done + now), window, cosine)
+    todo, left, edges, done = classes.select("cls", "vec"), n, None, 0
+    so_far = None
+    while left:
+        now = min(ROUND, passes - done) if passes else ROUND
+        found, seen = _round(todo, left, size, kind, range(done, done + now), window, cosine)
         edges = found if edges is None else edges.unionByName(found)
-        done += now
-        if passes or n <= window:
-            more -= now
-            continue
-        todo = cut_lineage(after.filter(F.col("found") < need), "left")
-        worst = todo.agg(F.min("found")).first()[0]
-        more = 0 if worst is None else max(1, math.ceil(done * need / max(worst, 0.1)) - done)
+        done, window = done + now, 2 * window
+        if passes and done >= passes:
+            break
+        so_far = seen if so_far is None else seen.unionByName(so_far).groupBy("cls").agg(F.sum("met").alias("met"))
+        so_far = cut_lineage(so_far.filter(F.col("met") < NEED), "met")
+        todo = cut_lineage(todo.join(so_far.select("cls"), "cls", "left_semi"), "left")
+        left = todo.count()
     return edges
 
 
