@@ -28,7 +28,7 @@ SEED = 7
 #: Text bytes whose lattices are held at once.
 SLICE_BYTES = 1 << 19
 #: Characters of the words whose lattices a task keeps from slice to slice.
-MOST_PLACES = 1 << 20
+MOST_PLACES = 3 << 20
 BLANK = "▁"
 RANK_SHIFT = 10.0
 NONE = -np.inf
@@ -192,15 +192,14 @@ class Lattices:
 
 
 class WordStore:
-    """Lattices of words, end to end: those that came again stay from slice to slice, those met once are laid out anew.
+    """Lattices of words, end to end: those met first stay from slice to slice, up to ``MOST_PLACES`` characters; later ones are laid out for one slice.
 
-    At most ``MOST_PLACES`` characters of words stay; what a word's lattice is does not depend on it.
+    What a word's lattice is does not depend on it.
     """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.index: dict[str, int] = {}
-        self.met: set[str] = set()  # words seen once
         self.passing: list[str] = []  # words of the last slice that do not stay
         self.size = self.stay = (0, 0, 0, 0)  # words, places, edges, spelled bytes: in all, and of what stays
         self._held: dict[str, np.ndarray] = {}
@@ -215,17 +214,11 @@ class WordStore:
         if lacking:
             unknown = [words[i] for i in lacking]
             new = list(dict.fromkeys(unknown))
-            again = list(filter(self.met.__contains__, new)) if self.stay[1] < MOST_PLACES else []
-            if again:
-                self._append(again)
+            self._append(new)
+            if self.size[1] <= MOST_PLACES:
                 self.stay = self.size
-                self.met.difference_update(again)
-            self.passing = [w for w in new if w not in self.index] if again else new
-            if self.passing:
-                self._append(self.passing)
-                if len(self.met) > MOST_PLACES // 4:
-                    self.met.clear()
-                self.met.update(self.passing)
+            else:
+                self.passing = new
             found[lacking] = list(map(self.index.__getitem__, unknown))
         return found
 
