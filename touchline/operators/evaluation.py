@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -49,40 +51,81 @@ def overlaps(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> Data
 
 
 def frame_matches(pairs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One-to-one matches of each frame with the largest total IoU; the group is one frame.
+    """One-to-one matches of each frame with the largest total IoU.
 
     ``pairs`` are overlaps (``track_id, pred_track_id, iou``); of several boxes with one pair of ids the best one counts,
-    and gives the ``extra`` columns.
+    and gives the ``extra`` columns. A pair without a rival on either side is settled where it is; only the contested pairs of
+    a frame, packed into one row, go to Python.
     """
-    schema = pairs.select(*FRAME, "track_id", "pred_track_id", "iou", *extra).schema
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(pdf["track_id"]), np.unique(pdf["pred_track_id"])
-        at = np.full((len(rows), len(cols)), -1)
-        at[np.searchsorted(rows, pdf["track_id"]), np.searchsorted(cols, pdf["pred_track_id"])] = np.arange(len(pdf))
-        gain = np.where(at >= 0, pdf["iou"].to_numpy()[at], 0.0)
-        return pdf.iloc[[at[i, j] for i, j in assign(-gain) if at[i, j] >= 0]]
-
     one = pairs.groupBy(*FRAME, "track_id", "pred_track_id").agg(F.max("iou").alias("iou"), *[F.max_by(c, "iou").alias(c) for c in extra])
-    return one.groupBy(*FRAME).applyInPandas(best, schema)
+    packed = one.groupBy(*FRAME).agg(F.collect_list(F.struct("track_id", "pred_track_id", "iou", *extra)).alias("p"))
+    rivals = lambda x: F.size(F.filter("p", lambda y: (y["track_id"] == x["track_id"]) | (y["pred_track_id"] == x["pred_track_id"])))
+    told = packed.select(*FRAME, F.filter("p", lambda x: rivals(x) == 1).alias("alone"), F.array_sort(F.filter("p", lambda x: rivals(x) > 1)).alias("open"))
+    schema = told.select(*FRAME, "open").schema
+
+    def settle(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            table["open"] = [_best_of([(p["track_id"], p["pred_track_id"], p["iou"]) for p in rows], list(rows)) for rows in table["open"]]
+            yield table
+
+    contested = told.filter(F.size("open") > 0).select(*FRAME, "open").mapInPandas(settle, schema)
+    each = told.select(*FRAME, F.explode("alone").alias("p")).unionByName(contested.select(*FRAME, F.explode("open").alias("p")))
+    return each.select(*FRAME, *[f"p.{c}" for c in ("track_id", "pred_track_id", "iou", *extra)])
+
+
+def _best_of(edges: list[tuple], rows: list) -> list:
+    """The rows whose edges (two ends and a gain) make up the best assignment, each connected part on its own."""
+    kept = []
+    for part in _parts(edges):
+        left, right = sorted({edges[i][0] for i in part}), sorted({edges[i][1] for i in part})
+        at = np.full((len(left), len(right)), -1)
+        row_of, column_of = {v: i for i, v in enumerate(left)}, {v: i for i, v in enumerate(right)}
+        for i in part:
+            at[row_of[edges[i][0]], column_of[edges[i][1]]] = i
+        gain = np.where(at >= 0, np.array([e[2] for e in edges], float)[at], 0.0)
+        kept += [int(at[i, j]) for i, j in assign(-gain) if at[i, j] >= 0]
+    return [rows[i] for i in sorted(kept)]
+
+
+def _parts(edges: list[tuple]) -> list[list[int]]:
+    """Edge numbers by connected part of a small two-sided graph."""
+    root: dict[tuple, tuple] = {}
+
+    def top(x: tuple) -> tuple:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b, _ in edges:
+        root[top((0, a))] = top((1, b))
+    out: dict[tuple, list[int]] = {}
+    for i, (a, _, _) in enumerate(edges):
+        out.setdefault(top((0, a)), []).append(i)
+    return list(out.values())
 
 
 def detection_hits(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
-    """Predictions of each frame in order of confidence, each taking its best free truth box."""
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Predictions of each frame in order of confidence, each taking its best free truth box; many frames for each batch."""
+    def take(rows) -> list[int]:
         used, hits = set(), {}
-        rows = sorted(zip(-pdf["conf"], pdf["event_id"], -pdf["iou"].fillna(0.0), pdf["track_id"].fillna(-1)))
-        for conf, event, overlap, truth_id in rows:
-            if event not in hits:
-                hits[event] = [event, -conf, 0]
-            if not hits[event][2] and truth_id not in used and -overlap >= least:
-                hits[event][2] = 1
-                used.add(truth_id)
-        return pd.DataFrame(list(hits.values()), columns=["event_id", "conf", "hit"])
+        for r in rows:  # by falling confidence, event and falling overlap
+            hits.setdefault(r["event_id"], 0)
+            if not hits[r["event_id"]] and r["low"] is not None and -r["low"] >= least and r["track_id"] not in used:
+                hits[r["event_id"]] = 1
+                used.add(r["track_id"])
+        return list(hits.items())
+
+    def settle(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            found = [x for rows in table["p"] for x in take(rows)]
+            yield pd.DataFrame(found, columns=["event_id", "hit"])
 
-    near = predicted.join(overlaps(truth, predicted.select(*FRAME, "event_id", "px1", "py1", "px2", "py2").withColumnRenamed("event_id", "_e"), 1e-9)
-                          .select(F.col("_e").alias("event_id"), "track_id", "iou"), "event_id", "left")
-    return near.select(*FRAME, "event_id", "conf", "track_id", "iou").groupBy(*FRAME).applyInPandas(take, "event_id bigint, conf double, hit int")
+    boxes = predicted.select(*FRAME, "event_id", "px1", "py1", "px2", "py2").withColumnRenamed("event_id", "_e")
+    near = overlaps(truth, boxes, least).select(*FRAME, F.col("_e").alias("event_id"), "track_id", "iou").join(predicted.select("event_id", "conf"), "event_id")
+    packed = near.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("order"), "event_id", (-F.col("iou")).alias("low"), "track_id"))).alias("p"))
+    found = packed.select("p").mapInPandas(settle, "event_id bigint, hit int")
+    return predicted.select("event_id", "conf").join(found, "event_id", "left").select("event_id", "conf", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
 def _ranked(rows: DataFrame, score: str, *counts: Column) -> DataFrame:
@@ -134,16 +177,40 @@ def hota_at(matches: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataF
         "hota", F.sqrt(F.col("det_a") * F.col("ass_a")))
 
 
+def overlap_parts(counts: DataFrame) -> DataFrame:
+    """Connected parts of the track overlaps of each sequence: ``counts`` with ``part``, the least truth track of the part.
+
+    A truth track passes its label to the predicted tracks it overlaps and takes the least label of those; rounds go on until
+    nothing changes, as many as half the longest way inside a part.
+    """
+    keys = ["sequence_id", "track_id"]
+    edges = cut_lineage(counts.withColumn("part", F.col("track_id")))
+    while True:
+        least = edges.groupBy("sequence_id", "pred_track_id").agg(F.min("part").alias("_p"))
+        own = edges.drop("part").join(least, ["sequence_id", "pred_track_id"]).groupBy(*keys).agg(F.min("_p").alias("part"))
+        new = cut_lineage(edges.withColumnRenamed("part", "_old").join(own, keys))
+        still = new.filter("part <> _old").isEmpty()
+        edges = new.drop("_old")
+        if still:
+            return edges
+
+
 def idf1(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
-    """IDF1 per sequence: one assignment on the small matrix of track overlaps."""
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(pdf["track_id"].unique()), sorted(pdf["pred_track_id"].unique())
-        gain = np.zeros((len(rows), len(cols)))
-        gain[[rows.index(v) for v in pdf["track_id"]], [cols.index(v) for v in pdf["pred_track_id"]]] = pdf["n"]
-        return pd.DataFrame([(pdf["sequence_id"].iloc[0], int(sum(gain[i, j] for i, j in assign(-gain))))], columns=["sequence_id", "idtp"])
+    """IDF1 per sequence: the best assignment of tracks, one connected part of the overlaps at a time.
 
+    Parts of one pair need no search; no group is larger than a part.
+    """
     counts = overlaps(truth, predicted, least).groupBy("sequence_id", "track_id", "pred_track_id").agg(F.count(F.lit(1)).alias("n"))
-    idtp = counts.groupBy("sequence_id").applyInPandas(best, "sequence_id string, idtp bigint")
+    packed = overlap_parts(counts).groupBy("sequence_id", "part").agg(F.sort_array(F.collect_list(F.struct("track_id", "pred_track_id", "n"))).alias("p"))
+
+    def best(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            hits = [sum(e[2] for e in _best_of(edges, edges)) for edges in ([(p["track_id"], p["pred_track_id"], p["n"]) for p in rows] for rows in table["p"])]
+            yield pd.DataFrame({"sequence_id": table["sequence_id"], "hits": pd.array(hits, dtype="int64")})
+
+    single = packed.filter(F.size("p") == 1).select("sequence_id", F.get("p", F.lit(0))["n"].alias("hits"))
+    found = single.unionByName(packed.filter(F.size("p") > 1).select("sequence_id", "p").mapInPandas(best, "sequence_id string, hits bigint"))
+    idtp = found.groupBy("sequence_id").agg(F.sum("hits").alias("idtp"))
     sizes = (truth.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n_t")).join(predicted.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n_p")), "sequence_id"))
     return sizes.join(idtp, "sequence_id", "left").select("sequence_id", (F.lit(2.0) * F.coalesce("idtp", F.lit(0)) / (F.col("n_t") + F.col("n_p"))).alias("idf1"))
 

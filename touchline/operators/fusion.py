@@ -413,6 +413,15 @@ def team_aggregates(frame_teams: DataFrame, possession: DataFrame, pressure: Dat
         even("conf_mean", 3).alias("conf_mean"), even("conf_p10", 3).alias("conf_p10"), "frames_high", "frames_medium", "frames_low", "frames_invalid")
 
 
+def block_rollup(frame_teams: DataFrame) -> DataFrame:
+    """Frames and line heights of every team of a sequence, of every sequence (``level`` 1) and of all (``level`` 3), by one rollup."""
+    is_ = lambda c: F.count_if(F.col("category") == c)
+    return frame_teams.rollup("sequence_id", "team_label").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("frames"), F.count_distinct("sequence_id").alias("sequences"),
+        (F.round(F.avg("line_height_m") + 1e-9, 4) + 0.0).alias("line_height_m"), F.round(F.min("line_height_m"), 6).alias("lowest_m"), F.round(F.max("line_height_m"), 6).alias("highest_m"),
+        is_("LOW_BLOCK").alias("low_frames"), is_("HIGH_BLOCK").alias("high_frames"))
+
+
 def top_structures(signs: DataFrame, limit: int = 3) -> DataFrame:
     """Most frequent line structures of each team; of equal ones, the one seen first."""
     keys = ["sequence_id", "team_label"]

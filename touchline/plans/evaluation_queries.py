@@ -51,7 +51,17 @@ def optimal_matches(spark, sf_dir):
     return tidy(best_pairs(spark, sf_dir).select(*geo.FRAME, "track_id", "pred_track_id", "iou"))
 
 
-@query("detection_ap", "V1 W18")
+@query("detection_ap", "V1 W18", """
+WITH RECURSIVE d AS (SELECT sequence_id, frame_index, event_id AS e, conf, px1, py1, px2, py2, row_number() OVER (PARTITION BY sequence_id, frame_index ORDER BY conf DESC, event_id) AS n FROM pred_boxes_v),
+o AS (SELECT d.sequence_id, d.frame_index, n, t.track_id, greatest(0.0, least(x2, px2) - greatest(x1, px1)) * greatest(0.0, least(y2, py2) - greatest(y1, py1)) AS i, (x2 - x1) * (y2 - y1) + (px2 - px1) * (py2 - py1) AS s FROM d JOIN boxes_v t ON t.sequence_id = d.sequence_id AND t.frame_index = d.frame_index),
+c AS (SELECT d.sequence_id, d.frame_index, d.n, d.e, d.conf, coalesce(list(o.track_id ORDER BY o.i / (o.s - o.i) DESC, o.track_id) FILTER (o.i / (o.s - o.i) >= 0.5), []) AS ts FROM d LEFT JOIN o ON o.sequence_id = d.sequence_id AND o.frame_index = d.frame_index AND o.n = d.n GROUP BY 1, 2, 3, 4, 5),
+w AS (SELECT sequence_id, frame_index, CAST(0 AS BIGINT) AS n, []::BIGINT[] AS used, 0.0::DOUBLE AS conf, 0 AS hit FROM (SELECT DISTINCT sequence_id, frame_index FROM c)
+  UNION ALL SELECT w.sequence_id, w.frame_index, c.n, CASE WHEN len(list_filter(c.ts, lambda t: NOT list_contains(w.used, t))) > 0 THEN list_append(w.used, list_filter(c.ts, lambda t: NOT list_contains(w.used, t))[1]) ELSE w.used END, c.conf, CASE WHEN len(list_filter(c.ts, lambda t: NOT list_contains(w.used, t))) > 0 THEN 1 ELSE 0 END
+    FROM w JOIN c ON c.sequence_id = w.sequence_id AND c.frame_index = w.frame_index AND c.n = w.n + 1),
+g AS (SELECT conf, sum(hit) AS tp, count(*) AS n FROM w WHERE n > 0 GROUP BY 1), q AS (SELECT conf, sum(tp) OVER (ORDER BY conf DESC) AS tp, sum(n) OVER (ORDER BY conf DESC) AS n FROM g),
+p AS (SELECT conf, tp / (SELECT count(*) FROM boxes_v) AS recall, tp / n AS prec FROM q),
+e AS (SELECT *, max(prec) OVER (ORDER BY conf DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env, lag(recall, 1, 0.0) OVER (ORDER BY conf DESC) AS b FROM p)
+SELECT round(sum((recall - b) * env), 6) AS ap, round(max(recall), 6) AS recall, round(arg_min(prec, conf), 6) AS precision FROM e""")
 def detection_ap(spark, sf_dir):
     truth = views.boxes(spark, sf_dir)
     hits = evl.detection_hits(truth, views.predicted_boxes(spark, sf_dir))
@@ -88,7 +98,23 @@ def hota(spark, sf_dir):
     return tidy(evl.hota_at(best_pairs(spark, sf_dir), views.boxes(spark, sf_dir), views.predicted_boxes(spark, sf_dir)))
 
 
-@query("idf1", "V3")
+@query("idf1", "V3", f"""
+WITH RECURSIVE {PAIRS_SQL}, cn AS (SELECT sequence_id, track_id, pred_track_id, count(*) AS c FROM pr GROUP BY 1, 2, 3),
+rv AS (SELECT *, count(*) OVER (PARTITION BY sequence_id, track_id) = 1 AND count(*) OVER (PARTITION BY sequence_id, pred_track_id) = 1 AS alone FROM cn),
+reach AS (SELECT DISTINCT sequence_id, track_id, track_id AS low FROM rv WHERE NOT alone UNION SELECT b.sequence_id, b.track_id, r.low FROM reach r JOIN rv a ON a.sequence_id = r.sequence_id AND a.track_id = r.track_id JOIN rv b ON b.sequence_id = a.sequence_id AND b.pred_track_id = a.pred_track_id),
+part AS (SELECT sequence_id, track_id, min(low) AS part FROM reach GROUP BY 1, 2),
+kn AS (SELECT rv.sequence_id, part, rv.track_id, rv.pred_track_id, c, dense_rank() OVER (PARTITION BY rv.sequence_id, part ORDER BY rv.track_id) AS n FROM rv JOIN part p ON p.sequence_id = rv.sequence_id AND p.track_id = rv.track_id),
+mx AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY sequence_id, part ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM (SELECT sequence_id, part, n, max(c) AS m FROM kn GROUP BY 1, 2, 3)),
+mb AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, part, track_id ORDER BY c DESC, pred_track_id) AS r1, row_number() OVER (PARTITION BY sequence_id, part, pred_track_id ORDER BY c DESC, track_id) AS r2 FROM kn),
+lb AS (SELECT sequence_id, part, coalesce(sum(c) FILTER (r1 = 1 AND r2 = 1), 0) AS least FROM mb GROUP BY 1, 2),
+op AS (SELECT k.sequence_id, k.part, k.n, pred_track_id, c, rest, least FROM (SELECT sequence_id, part, n, pred_track_id, c FROM kn UNION ALL SELECT DISTINCT sequence_id, part, n, NULL, 0 FROM kn) k
+  JOIN mx ON mx.sequence_id = k.sequence_id AND mx.part = k.part AND mx.n = k.n JOIN lb ON lb.sequence_id = k.sequence_id AND lb.part = k.part),
+wk AS (SELECT DISTINCT sequence_id, part, CAST(0 AS BIGINT) AS n, []::BIGINT[] AS ps, CAST(0 AS BIGINT) AS total FROM kn
+  UNION ALL SELECT sequence_id, part, n, ps, max(total)::BIGINT FROM (SELECT w.sequence_id, w.part, w.n + 1 AS n, CASE WHEN o.pred_track_id IS NULL THEN ps ELSE list_sort(list_append(ps, o.pred_track_id)) END AS ps, total + c AS total
+    FROM wk w JOIN op o ON o.sequence_id = w.sequence_id AND o.part = w.part AND o.n = w.n + 1 WHERE (o.pred_track_id IS NULL OR NOT list_contains(ps, o.pred_track_id)) AND total + c + rest >= least) GROUP BY 1, 2, 3, 4),
+bw AS (SELECT sequence_id, part, max(total) AS t FROM wk GROUP BY 1, 2), tp AS (SELECT sequence_id, sum(t) AS t FROM (SELECT sequence_id, t FROM bw UNION ALL SELECT sequence_id, c FROM rv WHERE alone) GROUP BY 1),
+a AS (SELECT sequence_id, count(*) AS nt FROM boxes_v GROUP BY 1), b AS (SELECT sequence_id, count(*) AS np FROM pred_boxes_v GROUP BY 1)
+SELECT a.sequence_id, round(2.0 * coalesce(t, 0) / (nt + np), 6) AS idf1 FROM a JOIN b ON b.sequence_id = a.sequence_id LEFT JOIN tp ON tp.sequence_id = a.sequence_id""")
 def idf1(spark, sf_dir):
     return tidy(evl.idf1(views.boxes(spark, sf_dir), views.predicted_boxes(spark, sf_dir).drop("event_id")))
 

@@ -366,6 +366,15 @@ def formation_consensus(spark, sf_dir):
     return fusion.formation_consensus(formation.stable_formation(formation.signatures(shifting_teams(spark, sf_dir))))
 
 
+@query("team_rollup", "A12", """
+SELECT sequence_id, team_label, CAST(grouping(sequence_id, team_label) AS BIGINT) AS level, count(*) AS frames, count(DISTINCT sequence_id) AS sequences, round(avg(h) + 1e-9, 4) AS line_height_m, round(min(h), 6) AS lowest_m, round(max(h), 6) AS highest_m,
+ count(*) FILTER (category = 'LOW_BLOCK') AS low_frames, count(*) FILTER (category = 'HIGH_BLOCK') AS high_frames FROM block_v GROUP BY ROLLUP (sequence_id, team_label)""")
+def team_rollup(spark, sf_dir):
+    """Block measures per sequence and team, per sequence and over all, in one pass."""
+    rows = block_table(spark, sf_dir)
+    return fusion.block_rollup(rows)
+
+
 @query("team_aggregates", "A12 A13", "SELECT * FROM team_aggregates_v")
 def team_aggregates(spark, sf_dir):
     held = quick(spark, sf_dir)
