@@ -227,3 +227,31 @@ def report_grounding(rows: DataFrame, events: DataFrame) -> DataFrame:
 def isolation_violations(results: DataFrame) -> DataFrame:
     """Answers that carry more than one session."""
     return results.groupBy("query_id").agg(F.count_distinct("sequence_id").alias("sessions")).filter("sessions > 1")
+
+
+# ---- bucketed tables ----------------------------------------------------------------------------------------
+
+SLOT_S = 2.0
+
+
+def store_by_id(events: DataFrame, name: str, path: str, buckets: int = 8) -> None:
+    """Keep events as a table in folders by sequence and buckets by ``event_id``: a look-up by id reads one bucket, a join by id moves nothing."""
+    events.write.mode("overwrite").format("parquet").partitionBy("sequence_id").bucketBy(buckets, "event_id").sortBy("event_id").option("path", path).saveAsTable(name)
+
+
+def by_id(spark, name: str, event_id: str, sequence: str | None = None) -> DataFrame:
+    found = spark.table(name).filter(F.col("event_id") == event_id)
+    return found.filter(F.col("sequence_id") == sequence) if sequence else found
+
+
+def store_by_slot(rows: DataFrame, name: str, path: str, start: str, end: str, buckets: int = 8, slot_s: float = SLOT_S) -> None:
+    """Keep intervals as a table bucketed by sequence and time slot; an interval stands in every slot that it touches."""
+    slots = F.explode(F.sequence(F.floor(F.col(start) / slot_s), F.floor(F.col(end) / slot_s)))
+    rows.withColumn("slot", slots).write.mode("overwrite").format("parquet").bucketBy(buckets, "sequence_id", "slot").sortBy("sequence_id", "slot").option("path", path).saveAsTable(name)
+
+
+def overlapping(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], slot_s: float = SLOT_S) -> DataFrame:
+    """Pairs of two tables kept by ``store_by_slot`` whose closed ranges intersect, each pair once, without an exchange."""
+    (l0, l1), (r0, r1) = left_range, right_range
+    first = F.greatest(F.floor(F.col(l0) / slot_s), F.floor(F.col(r0) / slot_s))
+    return left.join(right, ["sequence_id", "slot"]).filter((F.col(l0) <= F.col(r1)) & (F.col(r0) <= F.col(l1)) & (F.col("slot") == first)).drop("slot")

@@ -72,3 +72,45 @@ def roles(teams: DataFrame, positions: DataFrame, image_width: float = 1920.0, m
     df = teams.join(positions, TRACK, "left")
     role = F.when(F.col("team_label") == "UNKNOWN", "UNKNOWN").when(F.col("outlier") & side, "GOALKEEPER").when(F.col("outlier"), "REFEREE").otherwise("OUTFIELD_PLAYER")
     return df.withColumn("role", role).withColumn("team_label", F.when(F.col("role") == "REFEREE", "UNKNOWN").otherwise(F.col("team_label")))
+
+
+# ---- mixture ------------------------------------------------------------------------------------------------
+
+MOST_ROUNDS, STILL, LEAST_VARIANCE = 25, 1e-4, 1e-9
+
+
+def _moments(points: DataFrame) -> DataFrame:
+    """Per sequence, from points with ``r`` (the share of side 1): both means, the share of side 1 and the common variance of a coordinate."""
+    long = points.select("sequence_id", "r", F.posexplode("feature").alias("dim", "v"))
+    sums = long.groupBy("sequence_id", "dim").agg((F.sum(F.col("v") * (1 - F.col("r"))) / F.sum(1 - F.col("r"))).alias("m0"), (F.sum(F.col("v") * F.col("r")) / F.sum("r")).alias("m1"))
+    packed = sums.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("dim", "m0", "m1"))).alias("_d"))
+    means = packed.select("sequence_id", F.transform("_d", lambda d: d["m0"]).alias("c0"), F.transform("_d", lambda d: d["m1"]).alias("c1"))
+    df = points.join(means, "sequence_id").withColumn("d0", _gap(F.col("feature"), F.col("c0"))).withColumn("d1", _gap(F.col("feature"), F.col("c1")))
+    spread = df.groupBy("sequence_id").agg(F.avg("r").alias("w1"), (F.sum((1 - F.col("r")) * F.col("d0") * F.col("d0") + F.col("r") * F.col("d1") * F.col("d1")) / F.sum(F.size("feature"))).alias("_s"))
+    return means.join(spread.select("sequence_id", "w1", F.greatest("_s", F.lit(LEAST_VARIANCE)).alias("s2")), "sequence_id")
+
+
+def mixture_teams(features: DataFrame, start: DataFrame) -> DataFrame:
+    """Split by two round components with one variance: ``sequence_id, track_id, team_label, share``.
+
+    Expectation maximisation from the two-means split ``start``, all sequences advancing together until no share of a track
+    changes by more than a ten-thousandth, or 25 rounds. ``share`` is the probability of TEAM_1. Tracks that ``start`` leaves
+    UNKNOWN stay so; a sequence whose split has an empty side keeps it.
+    """
+    sides = start.filter("team_label <> 'UNKNOWN'").select(*TRACK, (F.col("team_label") == "TEAM_1").cast("double").alias("r"))
+    both = sides.groupBy("sequence_id").agg(F.min("r").alias("_a"), F.max("r").alias("_b")).filter("_a < _b").select("sequence_id")
+    points = cut_lineage(features.select(*TRACK, "feature").join(sides, TRACK).join(both, "sequence_id", "left_semi"))
+    for _ in range(MOST_ROUNDS):
+        df = points.join(_moments(points), "sequence_id")
+        d0, d1 = _gap(F.col("feature"), F.col("c0")), _gap(F.col("feature"), F.col("c1"))
+        odds = F.ln(F.col("w1")) - F.ln(1 - F.col("w1")) + (d0 * d0 - d1 * d1) / (2 * F.col("s2"))
+        # shares stay off the ends, so that neither side ever empties
+        share = F.least(F.greatest(1 / (1 + F.exp(-odds)), F.lit(1e-6)), F.lit(1 - 1e-6))
+        new = cut_lineage(df.select(*TRACK, "feature", F.col("r").alias("_old"), share.alias("r")))
+        still = new.filter(F.abs(F.col("r") - F.col("_old")) > STILL).isEmpty()
+        points = new.drop("_old")
+        if still:
+            break
+    named = points.select(*TRACK, F.when(F.col("r") >= 0.5, "TEAM_1").otherwise("TEAM_0").alias("team_label"), F.col("r").alias("share"))
+    kept = start.select(*TRACK, F.col("team_label").alias("_t"))
+    return kept.join(named, TRACK, "left").select(*TRACK, F.coalesce("team_label", "_t").alias("team_label"), F.when(F.col("_t") != "UNKNOWN", F.coalesce("share", (F.col("_t") == "TEAM_1").cast("double"))).alias("share"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("geometry_queries", "stats_queries", "tactics_queries", "motion_queries", "events_queries", "text_queries", "evidence_queries", "evaluation_queries", "streaming_queries", "source_queries")
+FAMILIES = ("geometry_queries", "stats_queries", "tactics_queries", "motion_queries", "events_queries", "text_queries", "evidence_queries", "evaluation_queries", "streaming_queries", "source_queries", "sql_queries")
 
 
 def all_queries():

@@ -494,3 +494,22 @@ def track_features(spark, sf_dir):
 @query("team_split", "E23")
 def team_split(spark, sf_dir):
     return tidy(tm.split_teams(tm.track_features(appearance(spark, sf_dir))))
+
+
+@query("team_mixture", "E23")
+def team_mixture(spark, sf_dir):
+    """Split of the tracks by a two-component mixture, from the two-means split."""
+    features = tm.track_features(appearance(spark, sf_dir))
+    return tidy(tm.mixture_teams(features, tm.split_teams(features)), 4)
+
+
+@query("team_roles", "E23", """
+WITH t AS (SELECT sequence_id, track_id, CASE WHEN (track_id + len(sequence_id)) % 7 = 6 THEN 'UNKNOWN' ELSE any_value(team_label) END AS team, track_id % 4 = 0 AS outlier, avg((x1 + x2) / 2.0) AS u FROM boxes_v GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN team = 'UNKNOWN' THEN 'UNKNOWN' WHEN outlier AND (u <= 384.0 OR u >= 1536.0) THEN 'GOALKEEPER' WHEN outlier THEN 'REFEREE' ELSE 'OUTFIELD_PLAYER' END AS role FROM t)
+SELECT sequence_id, track_id, CASE WHEN role = 'REFEREE' THEN 'UNKNOWN' ELSE team END AS team_label, role FROM r""")
+def team_roles(spark, sf_dir):
+    """Roles of the tracks of every sequence from their place in the image; some tracks stand out, some have no team."""
+    boxes = views.boxes(spark, sf_dir)
+    tracks = boxes.groupBy("sequence_id", "track_id").agg(F.first("team_label").alias("team"), F.avg((F.col("x1") + F.col("x2")) / 2.0).alias("mean_u"))
+    teams = tracks.select("sequence_id", "track_id", F.when((F.col("track_id") + F.length("sequence_id")) % 7 == 6, "UNKNOWN").otherwise(F.col("team")).alias("team_label"), (F.col("track_id") % 4 == 0).alias("outlier"))
+    return tm.roles(teams, tracks.select("sequence_id", "track_id", "mean_u")).select("sequence_id", "track_id", "team_label", "role")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from touchline.operators import evidence as ev, fusion, text as txt
 from touchline.plans import views
 from touchline.plans.events_queries import evidence, frame_pressure
-from touchline.plans.registry import query
+from touchline.plans.registry import ORACLE, query
 from touchline.plans.stats_queries import tidy
+from touchline.session import new_path
 
 
 def links(spark, sf_dir):
@@ -55,6 +58,33 @@ def evidence_load_check(spark, sf_dir):
     return ev.quarantine(spoiled).select("sequence_id", "event_id", "problem")
 
 
+def table_name(prefix):
+    return f"{prefix}_{uuid.uuid4().hex}"
+
+
+def evidence_tables(spark, sf_dir):
+    """Names of the evidence and of the citations (every event at an even frame), both kept by id."""
+    names = table_name("evidence"), table_name("cited")
+    ev.store_by_id(evidence(spark, sf_dir), names[0], new_path(spark, "evidence_by_id"))
+    ev.store_by_id(evidence(spark, sf_dir).filter("start_frame % 2 = 0").select("sequence_id", "event_id", (F.col("confidence") / 2).alias("weight")), names[1], new_path(spark, "cited_by_id"))
+    return names
+
+
+@query("cited_events_by_bucket", "G3 J18", """
+SELECT sequence_id, event_id, family, round(confidence / 2, 6) AS weight FROM evidence_v WHERE start_frame % 2 = 0""")
+def cited_events_by_bucket(spark, sf_dir):
+    events, cited = evidence_tables(spark, sf_dir)
+    return tidy(spark.table(events).join(spark.table(cited), ["event_id", "sequence_id"]).select("sequence_id", "event_id", "family", "weight"))
+
+
+@query("events_in_range_by_slot", "J9 G4", "SELECT * FROM (" + ORACLE["events_in_range"] + ")")
+def events_in_range_by_slot(spark, sf_dir):
+    events, windows = table_name("events_by_slot"), table_name("windows_by_slot")
+    ev.store_by_slot(evidence(spark, sf_dir).select("sequence_id", "event_id", "start_ts", "end_ts"), events, new_path(spark, "events_by_slot"), "start_ts", "end_ts")
+    ev.store_by_slot(sequence_windows(spark, sf_dir), windows, new_path(spark, "windows_by_slot"), "from_s", "to_s")
+    return ev.overlapping(spark.table(events), spark.table(windows), ("start_ts", "end_ts"), ("from_s", "to_s")).select("sequence_id", "window_id", "event_id")
+
+
 @query("related_events", "G1", """
 WITH b AS (SELECT sequence_id, source_id AS event_id, target_id AS o FROM links_v UNION SELECT sequence_id, target_id, source_id FROM links_v)
 SELECT sequence_id, event_id, string_agg(DISTINCT o, ',' ORDER BY o) AS related FROM b GROUP BY 1, 2""")

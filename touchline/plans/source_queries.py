@@ -201,6 +201,24 @@ def season_csv_files(spark, sf_dir):
     return tidy(readers.read_season_csv(spark, folder, "season_2025_2026_summary").select("match_id", "player_name", "minutes_played", "goals", "expected_goals", "key_passes"))
 
 
+@query("season_csv_generations", "S7 S8", """
+SELECT c_name AS player_name, CAST(c_custkey % 3000 AS INTEGER) AS minutes_played, CAST(c_custkey % 20 AS INTEGER) AS goals, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE round((c_custkey % 90) / 10.0, 6) END::DOUBLE AS expected_goals,
+ CASE WHEN c_custkey % 3 = 2 THEN round((c_custkey % 70) / 10.0, 6) ELSE 0.0 END::DOUBLE AS expected_assists, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE CAST(c_custkey % 50 AS INTEGER) END AS key_passes, CASE WHEN c_custkey % 3 = 2 THEN CAST(c_custkey % 11 AS INTEGER) ELSE 0 END AS progressive_dribbles,
+ CASE WHEN c_custkey % 3 = 1 THEN 'Inconnu' ELSE 'Squad, ' || c_nationkey END AS team_name FROM customer""")
+def season_csv_generations(spark, sf_dir):
+    """Three generations of season files in one folder: more columns, other names and another order each time."""
+    k, folder = F.col("c_custkey"), new_path(spark, "generations")
+    rows = views.table(spark, sf_dir, "customer")
+    base = [F.col("c_name").alias("Player"), (k % 3000).alias("Min"), (k % 20).alias("Gls")]
+    squad = F.concat(F.lit("Squad, "), F.col("c_nationkey").cast("string")).alias("Squad")
+    files = {0: [*base, squad], 1: [(k % 50).alias("key_passes"), *base, F.lit("9").alias("npxG"), (k % 90 / F.lit(10.0)).alias("xG")],
+             2: [squad, *base, (k % 90 / F.lit(10.0)).alias("xG"), (k % 70 / F.lit(10.0)).alias("xAG"), (k % 50).alias("KP"), (k % 11).alias("PrgC")]}
+    for kind, columns in files.items():
+        rows.filter(k % 3 == kind).select(*columns).write.mode("append").option("header", "true").csv(folder)
+    return tidy(readers.read_season_files(spark, folder, "season_2025_2026_summary").select(
+        "player_name", "minutes_played", "goals", "expected_goals", "expected_assists", "key_passes", "progressive_dribbles", "team_name"))
+
+
 @query("match_files", "S10", """
 SELECT 'm' || s_suppkey AS match_id, 'Team ' || s_suppkey % 20 AS home_team, CAST(s_suppkey % 5 AS INTEGER) AS score_home, CAST(s_suppkey % 100 AS INTEGER) AS possession_pct, CAST(s_suppkey % 90 AS INTEGER) AS minute FROM supplier""")
 def match_files(spark, sf_dir):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from touchline.functions import vocabulary as words
-from touchline.operators import retrieval as ret, text as txt
+from touchline.operators import retrieval as ret, text as txt, vector_index
 from touchline.plans import views
 from touchline.plans.registry import query, rounded
 from touchline.plans.stats_queries import tidy
-from touchline.session import cut_lineage
+from touchline.session import cut_lineage, new_path
 
 
 def docs(spark, sf_dir):
@@ -152,6 +154,15 @@ def match_reports(spark, sf_dir):
                          F.size("events").alias("events"), F.get("events", F.lit(0))["type"].alias("first_event"))
 
 
+@query("vector_top_k_index", "O4")
+def vector_top_k_index(spark, sf_dir):
+    """Ten best of every fiftieth vector by the inverted file; payload ``label`` is kept with the vectors."""
+    e = views.table(spark, sf_dir, "embeddings")
+    index = vector_index.build(e, f"cells_{uuid.uuid4().hex}", new_path(spark, "cells"), "vec_id", "embedding", ["label"])
+    found = vector_index.search(index, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), rounded(F.col("score")).alias("score"), "rank")
+
+
 @query("match_markdown", "T12")
 def match_markdown(spark, sf_dir):
     return txt.render_match(txt.parse_match_report(views.match_reports(spark, sf_dir))).select("report_id", "match_id", F.md5("markdown").alias("digest"), F.length("markdown").alias("n"))

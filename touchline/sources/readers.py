@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from touchline import schemas
@@ -122,6 +124,31 @@ def read_season_csv(spark: SparkSession, path: str, match_id: str) -> DataFrame:
     return season_rows(spark.read.option("header", "true").csv(path), match_id)
 
 
+def schema_names(names: list[str]) -> list[str]:
+    """Column names as given; empty and repeated ones get their place as a name."""
+    return [n if n and n not in names[:i] else f"_{i}" for i, n in enumerate(names)]
+
+
+def read_season_files(spark: SparkSession, path: str, match_id: str) -> DataFrame:
+    """Season CSV files of one folder whose headers differ: later files have columns that earlier ones lack, or other names for them.
+
+    The first line of every file is its header. Lines are parsed by the header of their own file, and each header is resolved
+    on its own; a column that a file lacks counts 0. What comes to the driver is the list of distinct headers. Fields may be
+    quoted but may not hold line breaks.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    kinds = [r.header for r in heads.select("header").distinct().orderBy("header").collect()]
+    told = lines.join(heads, "file").filter("value <> header AND value <> ''")
+    out = None
+    for header in kinds:
+        names = next(csv.reader([header]))
+        rows = told.filter(F.col("header") == header).select(F.from_csv("value", ", ".join(f"`{n}` string" for n in schema_names(names))).alias("r")).select("r.*")
+        part = season_rows(rows, match_id)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else season_rows(spark.createDataFrame([], "Player string"), match_id)
+
+
 def season_code(code: Column) -> Column:
     """Stored match id of a season code; other seasons are left out by the caller."""
     return F.when(code == "2425", "season_2024_2025_cl").when(code == "2526", "season_2025_2026_cl")
