@@ -244,6 +244,16 @@ def by_id(spark, name: str, event_id: str, sequence: str | None = None) -> DataF
     return found.filter(F.col("sequence_id") == sequence) if sequence else found
 
 
+def join_by_id(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join two tables kept by ``store_by_id`` on sequence and ``event_id`` without an exchange.
+
+    Equal sequences are asked for by two bounds: as one more key they would not fit the buckets, which are by id alone.
+    """
+    a, b = left.alias("a"), right.withColumnRenamed("sequence_id", "_sequence").alias("b")
+    same = (F.col("a.sequence_id") >= F.col("b._sequence")) & (F.col("a.sequence_id") <= F.col("b._sequence"))
+    return a.join(b, (F.col("a.event_id") == F.col("b.event_id")) & same).drop(F.col("b.event_id"), F.col("_sequence"))
+
+
 def store_by_slot(rows: DataFrame, name: str, path: str, start: str, end: str, buckets: int = 8, slot_s: float = SLOT_S) -> None:
     """Keep intervals as a table bucketed by sequence and time slot; an interval stands in every slot that it touches."""
     slots = F.explode(F.sequence(F.floor(F.col(start) / slot_s), F.floor(F.col(end) / slot_s)))

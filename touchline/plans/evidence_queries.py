@@ -74,7 +74,7 @@ def evidence_tables(spark, sf_dir):
 SELECT sequence_id, event_id, family, round(confidence / 2, 6) AS weight FROM evidence_v WHERE start_frame % 2 = 0""")
 def cited_events_by_bucket(spark, sf_dir):
     events, cited = evidence_tables(spark, sf_dir)
-    return tidy(spark.table(events).join(spark.table(cited), ["event_id", "sequence_id"]).select("sequence_id", "event_id", "family", "weight"))
+    return tidy(ev.join_by_id(spark.table(events), spark.table(cited)).select("sequence_id", "event_id", "family", "weight"))
 
 
 @query("events_in_range_by_slot", "J9 G4", "SELECT * FROM (" + ORACLE["events_in_range"] + ")")
