@@ -79,3 +79,20 @@ def test_counterpress_score_rises_with_pressure(spark):
     df = spark.range(11).select((F.col("id") / 10.0).alias("pressure_post"), *[F.lit(v).alias(k) for k, v in base.items()])
     got = [r.counterpress_score for r in transitions.scores(df).orderBy("pressure_post").collect()]
     assert all(b >= a for a, b in zip(got, got[1:]))
+
+
+def test_control_state_forgets_tracks_that_left():
+    """Two starts of the same frames end in one state, though one of them has seen tracks that are gone."""
+    import pandas as pd
+
+    from touchline.operators import possession as poss
+
+    man = lambda t, metric, until: {"track_id": t, "team_label": "TEAM_0" if t < 5 else "TEAM_1", "metric_m": metric, "raw_norm_foot": 9.0 if t == 7 else 0.2, "features": [0.5] * len(poss.STATELESS), "until": until}
+    frame = lambda f: {"sequence_id": "s", "frame_index": f, "timestamp_s": f / 25, "ball_seen": True,
+                       "men": [man(1 + f // 60 % 2, 1.0 + f % 3, 10**6)] + ([man(7, 30.0, 100), man(8, 2.0, 100)] if f <= 100 else [])}
+    rows = pd.DataFrame([frame(f) for f in range(1, 401)])
+    _, early = poss._control_step({}, rows.iloc[:200])
+    out, whole = poss._control_step(early, rows.iloc[200:].reset_index(drop=True))
+    again, late = poss._control_step({}, rows.iloc[200:].reset_index(drop=True))
+    assert "7" in poss._control_step({}, rows.iloc[:99])[1]["memory"]["dist"] and whole["memory"] == late["memory"]
+    assert out["possession_team"].tolist()[60:] == again["possession_team"].tolist()[60:]

@@ -271,6 +271,8 @@ def _control_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
                     if tid in mem["dist"]:
                         closing = (mem["dist"][tid] - metric) / 0.04
                     mem["dist"][tid] = float(metric)
+                if int(r.frame_index) >= c["until"]:
+                    mem["dist"].pop(tid, None)  # the track does not come again, so nothing can ask for it
                 if c["raw_norm_foot"] > MAX_NORM_DISTANCE and (metric is None or metric > MAX_METRIC_M):
                     continue
                 mem["persist"][tid] = min(PERSIST_FRAMES, mem["persist"].get(tid, 0) + 1)
@@ -307,8 +309,10 @@ def _control_step(state: dict, pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
 
 def possession_v2(frames_df: DataFrame, features: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Full control estimator and possession machine; ``frames_df`` has one row per frame with ``ball_seen``."""
-    men = features.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(
-        "track_id", "team_label", "metric_m", "raw_norm_foot", F.array(*[F.col(f).cast("double") for f in STATELESS]).alias("features")))).alias("men"))
+    # a track's last frame goes with it, so that the state can forget it there and chunks agree soon
+    until = features.groupBy("sequence_id", "track_id").agg(F.max("frame_index").alias("until"))
+    men = features.join(until, ["sequence_id", "track_id"]).groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(
+        "track_id", "team_label", "metric_m", "raw_norm_foot", F.array(*[F.col(f).cast("double") for f in STATELESS]).alias("features"), "until"))).alias("men"))
     rows = frames_df.select(*FRAME, "timestamp_s", "ball_seen").join(men, FRAME, "left")
     return scan(rows, ["sequence_id"], "frame_index", _control_step, POSSESSION_SCHEMA, chunk)
 
