@@ -364,7 +364,9 @@ def split_leakage(spark, sf_dir):
     return dq.split_leakage(e)
 
 
-@query("split_fingerprint", "V17")
+@query("split_fingerprint", "V17", """
+WITH h AS (SELECT CASE WHEN event_id % 10 < 8 THEN 'train' ELSE 'valid' END AS split, sha256('{"event_id":' || event_id || coalesce(',"user_id":' || user_id, '') || '}') AS d FROM events)
+SELECT split, count(*) AS rows, CAST(sum(('0x' || substr(d, 1, 12))::BIGINT)::HUGEINT % 2305843009213693951 AS BIGINT) AS fingerprint FROM h GROUP BY 1""")
 def split_fingerprint(spark, sf_dir):
     e = views.table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 10 < 8, "train").otherwise("valid").alias("split"))
     return dq.split_fingerprint(e, ["event_id", "user_id"])
@@ -456,7 +458,18 @@ def ball_coverage(spark, sf_dir):
     return tidy(trk.coverage(track, b))
 
 
-@query("ambiguous_boxes", "J22")
+def _iou_sql(a: str, b: str) -> str:
+    shared = f"(greatest(0.0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0.0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)))"
+    return f"({shared} / (({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - {shared}))"
+
+
+@query("ambiguous_boxes", "J22", f"""
+WITH d AS (SELECT sequence_id AS sq, frame_index AS fr, event_id AS e, track_id AS tr, x1, y1, x2, y2, position_valid AS ok FROM boxes_v), t AS (SELECT sq, fr + 1 AS fr, tr, x1, y1, x2, y2, ok FROM d),
+o AS (SELECT DISTINCT a.e FROM d a JOIN d b ON b.sq = a.sq AND b.fr = a.fr AND b.e <> a.e WHERE {_iou_sql('a', 'b')} >= 0.15),
+m AS (SELECT d.e, d.sq, d.fr, t.tr FROM d JOIN t ON t.sq = d.sq AND t.fr = d.fr WHERE t.ok AND {_iou_sql('d', 't')} >= 0.20),
+c AS (SELECT e FROM m GROUP BY e HAVING count(*) > 1 UNION SELECT a.e FROM m a JOIN m b ON b.sq = a.sq AND b.fr = a.fr AND b.tr = a.tr AND b.e <> a.e),
+l AS (SELECT DISTINCT d.e FROM d JOIN t ON t.sq = d.sq AND t.fr = d.fr WHERE NOT t.ok AND ({_iou_sql('d', 't')} >= 0.10 OR sqrt(pow((d.x1 + d.x2 - t.x1 - t.x2) / 2.0, 2) + pow((d.y1 + d.y2 - t.y1 - t.y2) / 2.0, 2)) <= 150.0))
+SELECT e AS det_id, CASE WHEN fr <= 3 THEN 'seed_initial' WHEN e IN (SELECT e FROM o) THEN 'detection_overlap' WHEN e IN (SELECT e FROM c) THEN 'track_competition' WHEN e IN (SELECT e FROM l) THEN 'lost_reacquisition' END AS reason FROM d""")
 def ambiguous_boxes(spark, sf_dir):
     b = views.boxes(spark, sf_dir)
     dets = b.select(*geo.FRAME, F.col("event_id").alias("det_id"), "x1", "y1", "x2", "y2")

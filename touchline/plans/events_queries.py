@@ -152,9 +152,32 @@ def possession_machine(spark, sf_dir):
     return tidy(out.select(*geo.FRAME, "control_state", "possession_team", "status", "possession_conf", "carrier_id", "from_team", "to_team"))
 
 
-@query("possession_machine_v1", "E6")
+@query("possession_machine_v1", "E6", f"""
+WITH RECURSIVE {CONTROL_SQL},
+c AS (SELECT ctl.*, coalesce(team_confidence, 0.0) >= 0.45 AND pt IN ('TEAM_0', 'TEAM_1') AS strong, CASE WHEN s2v IS NOT NULL THEN (s1 + s2v) / 2.0 ELSE s1 END AS both_ FROM ctl LEFT JOIN gated_v g ON g.sequence_id = sq AND g.frame_index = fr AND g.track_id = pid),
+m AS (SELECT sq, CAST(0 AS BIGINT) AS fr, NULL::DOUBLE AS ts, '' AS st, 'UNKNOWN' AS team, 'UNKNOWN' AS status, 0.0::DOUBLE AS conf, '' AS show_team, '' AS show_status, 0.0::DOUBLE AS show_conf, NULL::BIGINT AS carrier, NULL::VARCHAR AS carrier_team,
+   CAST(0 AS BIGINT) AS free, CAST(0 AS BIGINT) AS show_free, CAST(0 AS BIGINT) AS hid, NULL::BIGINT AS active, NULL::VARCHAR AS ateam, CAST(0 AS BIGINT) AS run, NULL::VARCHAR AS lt, NULL::BIGINT AS lp, NULL::VARCHAR AS rival, CAST(0 AS BIGINT) AS rrun,
+   NULL::VARCHAR AS from_team, NULL::VARCHAR AS to_team, NULL::BIGINT AS from_player, NULL::BIGINT AS to_player, NULL::DOUBLE AS tconf FROM (SELECT DISTINCT sq FROM ctl)
+ UNION ALL
+ SELECT sq, fr, ts, st, CASE WHEN k = 'weak' THEN team ELSE nteam END, CASE WHEN k = 'weak' THEN status ELSE nstatus END, nconf, nteam, nstatus, nshow, ncar, nct, nfree, CASE WHEN k = 'CONTESTED' THEN 0 ELSE nfree END, nhid,
+   CASE WHEN strong_ THEN pid ELSE active END, CASE WHEN strong_ THEN pt ELSE ateam END, nrun, CASE WHEN k IN ('first', 'turn') THEN pt ELSE lt END, CASE WHEN k IN ('first', 'turn', 'same') THEN pid ELSE lp END,
+   CASE WHEN k = 'rival' THEN pt WHEN k IN ('weak', 'wait', 'UNKNOWN', 'first') THEN rival END, CASE WHEN k = 'rival' THEN nrr WHEN k IN ('weak', 'wait', 'UNKNOWN', 'first') THEN rrun ELSE 0 END,
+   CASE WHEN k = 'turn' THEN lt END, CASE WHEN k = 'turn' THEN pt END, CASE WHEN k = 'turn' THEN lp END, CASE WHEN k = 'turn' THEN pid END, CASE WHEN k = 'turn' THEN s1 * 0.90 END
+ FROM (SELECT *,
+     CASE k WHEN 'weak' THEN 'UNKNOWN' WHEN 'UNKNOWN' THEN CASE WHEN held THEN lt ELSE 'UNKNOWN' END WHEN 'CONTESTED' THEN 'CONTESTED' WHEN 'FREE_BALL' THEN CASE WHEN held THEN lt ELSE 'NEUTRAL' END WHEN 'wait' THEN team WHEN 'rival' THEN lt ELSE pt END AS nteam,
+     CASE k WHEN 'weak' THEN 'UNKNOWN' WHEN 'UNKNOWN' THEN CASE WHEN held THEN 'PROVISIONAL_TRANSIT' ELSE 'UNKNOWN' END WHEN 'CONTESTED' THEN 'CONTESTED' WHEN 'FREE_BALL' THEN CASE WHEN held THEN 'PROVISIONAL_TRANSIT' ELSE 'NEUTRAL' END WHEN 'wait' THEN status WHEN 'rival' THEN 'PROVISIONAL_TRANSIT' ELSE 'SECURE' END AS nstatus,
+     CASE k WHEN 'weak' THEN conf WHEN 'UNKNOWN' THEN CASE WHEN held THEN conf ELSE 0.0 END WHEN 'CONTESTED' THEN both_ WHEN 'FREE_BALL' THEN CASE WHEN held THEN conf * greatest(0.3, 1.0 - nfree / 15.0 * 0.6) ELSE 0.0 END WHEN 'wait' THEN conf WHEN 'rival' THEN conf * 0.70 ELSE s1 END AS nconf,
+     CASE k WHEN 'weak' THEN 0.30 WHEN 'UNKNOWN' THEN CASE WHEN held THEN conf * greatest(0.2, 1.0 - nhid / 12.0 * 0.7) ELSE 0.0 END WHEN 'CONTESTED' THEN both_ WHEN 'FREE_BALL' THEN CASE WHEN held THEN conf * greatest(0.3, 1.0 - nfree / 15.0 * 0.6) ELSE 0.0 END WHEN 'wait' THEN conf WHEN 'rival' THEN conf * 0.70 ELSE s1 END AS nshow,
+     CASE WHEN k IN ('weak', 'CONTESTED') THEN pid WHEN strong_ AND nrun >= 3 THEN pid END AS ncar, CASE WHEN k = 'weak' THEN 'UNKNOWN' WHEN k = 'CONTESTED' THEN 'CONTESTED' WHEN k = 'UNKNOWN' AND held THEN lt WHEN strong_ AND nrun >= 3 THEN pt END AS nct
+   FROM (SELECT *, CASE WHEN st <> 'CONTROLLED' THEN st WHEN NOT strong THEN 'weak' WHEN lt IS NULL THEN CASE WHEN nrun >= 3 THEN 'first' ELSE 'wait' END WHEN pt = lt THEN 'same' WHEN nrr >= 5 AND nrun >= 3 THEN 'turn' ELSE 'rival' END AS k,
+       lt IS NOT NULL AND CASE WHEN st = 'UNKNOWN' THEN nhid <= 12 ELSE nfree <= 15 END AS held, st = 'CONTROLLED' AND strong AS strong_
+     FROM (SELECT c.sq, c.fr, c.ts, c.st, c.pid, c.pt, c.s1, c.both_, c.strong, m.team, m.status, m.conf, m.active, m.ateam, m.lt, m.lp, m.rival, m.rrun,
+         CASE WHEN c.st = 'UNKNOWN' THEN m.hid + 1 ELSE 0 END AS nhid, CASE c.st WHEN 'FREE_BALL' THEN m.free + 1 WHEN 'CONTROLLED' THEN 0 ELSE m.free END AS nfree, CASE WHEN m.rival = c.pt THEN m.rrun + 1 ELSE 1 END AS nrr,
+         CASE WHEN c.st <> 'CONTROLLED' OR NOT c.strong THEN m.run WHEN c.pid = m.active THEN m.run + 1 WHEN c.pt = m.ateam THEN least(m.run + 1, 3) ELSE 1 END AS nrun
+       FROM m JOIN c ON c.sq = m.sq AND c.fr = m.fr + 1))))
+SELECT sq AS sequence_id, fr AS frame_index, ts AS timestamp_s, st AS control_state, show_team AS possession_team, show_status AS status, round(show_conf, 6) AS possession_conf, carrier AS carrier_id, carrier_team, show_free AS free_age, hid AS hidden_age, from_team, to_team, from_player, to_player, round(tconf, 6) AS turnover_conf FROM m WHERE fr > 0""")
 def possession_machine_v1(spark, sf_dir):
-    return poss.possession_machine_v1(control_v1(spark, sf_dir))
+    return tidy(poss.possession_machine_v1(control_v1(spark, sf_dir)))
 
 
 @query("possession_v2", "E4 E5 P29")

@@ -163,7 +163,22 @@ def vector_top_k_index(spark, sf_dir):
     return found.select("query_id", F.col("id").alias("vec_id"), rounded(F.col("score")).alias("score"), "rank")
 
 
-@query("match_markdown", "T12")
+def _interval_sql(m: str) -> str:
+    return f"CASE WHEN {m} <= 15 THEN '0-15' WHEN {m} <= 30 THEN '15-30' WHEN {m} <= 45 THEN '30-45' WHEN {m} <= 60 THEN '45-60' WHEN {m} <= 75 THEN '60-75' WHEN {m} <= 90 THEN '75-90' ELSE '90+' END"
+
+
+def _event_sql(m: str, text: str) -> str:
+    return f"'### Événement : ' || ({m}) || 'ème minute' || chr(10) || '{text} <!-- @time: periode=' || CASE WHEN {m} <= 45 THEN '1MT' ELSE '2MT' END || ', intervalle=' || {_interval_sql(m)} || ' -->'"
+
+
+@query("match_markdown", "T12", f"""
+WITH r AS (SELECT o_orderkey AS k, o_orderdate AS d, 'Team' || (o_orderkey * 7) % 20 AS h, 'Side' || (o_orderkey * 3) % 20 AS a, chr(10) || chr(10) AS gap FROM orders),
+t AS (SELECT k, CASE WHEN k % 4 <> 0 THEN strftime(d, '%Y_%m_%d') ELSE '2026_06_09' END || '_' || lower(h) || '_' || lower(a) || '_01' AS match_id,
+ '# Match: ' || h || ' vs ' || a || ' (' || k % 5 || ' - ' || k % 3 || ')' || gap || '## Construction & Sortie' || chr(10) || 'Le ' || h || ' a complété ' || k % 700 || ' passes dont 30 progressives; l' || chr(39) || a || ' 400 dont 30.' || gap
+ || '## Organisation Offensive' || chr(10) || 'Le ' || h || ': ' || k % 20 || ' tirs, 4 cadrés, ' || k % 4 || '.' || k % 10 || '0 xG; l' || chr(39) || a || ': 10 tirs, 4 cadrés, 1.00 xG.' || gap
+ || '## Organisation Défensive' || chr(10) || 'Le ' || h || ' en low-block (PPDA 10.0); l' || chr(39) || a || ' en medium-block (PPDA 10.0).' || gap || '## Analyse Chronologique des Événements' || gap
+ || {_event_sql('k % 95 + 1', 'But de la tete')} || CASE WHEN k % 2 = 0 THEN gap || {_event_sql('k % 60 + 1', 'Transition rapide')} ELSE '' END AS md FROM r)
+SELECT k AS report_id, match_id, md5(md) AS digest, CAST(length(md) AS INTEGER) AS n FROM t""")
 def match_markdown(spark, sf_dir):
     return txt.render_match(txt.parse_match_report(views.match_reports(spark, sf_dir))).select("report_id", "match_id", F.md5("markdown").alias("digest"), F.length("markdown").alias("n"))
 
