@@ -27,6 +27,7 @@ BUCKET_BYTES = 32 << 20
 #: Bytes of text whose minimisers a task counts before it tells them.
 COUNT_BYTES = 64 << 20
 MIN_BUCKETS = 256
+BUCKETS_OF_TASK = 4
 #: Windows from which a minimiser is hot: a small part of what a bucket is sized for.
 HOT_WINDOWS = 1 << 18
 LEVEL = 6
@@ -364,7 +365,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = hot_minimisers(source, k, total) if total >= 2 * HOT_WINDOWS else np.zeros(0, np.uint64)
     known = source.sparkSession.sparkContext.broadcast(hot) if len(hot) else None
     sent = source.mapInArrow(_send(k, buckets, known), _SENT_SQL)
-    return sent.groupBy("bucket").applyInArrow(_sort_bucket(k), "ord long, key long, start long, stop long")
+    # a task takes few buckets whatever the session's number of partitions, so its share does not grow with the corpus
+    dealt = sent.repartition(max(MIN_BUCKETS, buckets) // BUCKETS_OF_TASK, "bucket")
+    return dealt.groupBy("bucket").applyInArrow(_sort_bucket(k), "ord long, key long, start long, stop long")
 
 
 def _cut(text: bytes | None, spans: list | None) -> tuple[int, int, list[bytes]]:
