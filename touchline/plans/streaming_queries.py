@@ -151,6 +151,17 @@ def stream_pressure_episodes(spark, sf_dir):
 ORACLE["stream_pressure_episodes"] = ORACLE["pressure_episodes"]
 
 
+@query("stream_pressure_marks", "R4 E14", """
+SELECT sequence_id, frame_index, defending_team FROM press_marks_v WHERE member""")
+def stream_pressure_marks(spark, sf_dir):
+    """The frames that belong to an episode, marked as they come."""
+    rows = frame_pressure(spark, sf_dir).filter("defending_team IN ('TEAM_0', 'TEAM_1')").select(
+        "sequence_id", "defending_team", "frame_index", "timestamp_s", "pressure_index", "target_team", "d1", "max_closing", jobs.frame_time(F.col("frame_index")).alias("ts"))
+    out = in_time(jobs.run_to_the_end(pieces_of(rows), lambda s: ordered_scan(
+        s, ["sequence_id", "defending_team"], "frame_index", fusion._pressure_step, "sequence_id string, defending_team string, frame_index bigint, start_frame bigint, closes boolean", HOLD_MS)))
+    return out.filter("start_frame IS NOT NULL").select("sequence_id", "frame_index", "defending_team")
+
+
 @query("stream_admissions", "E25", """
 WITH RECURSIVE rq AS (SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) / 1000000.0::DOUBLE AS tm FROM events),
 wk AS (SELECT key, event_id, n, tm, [tm] AS recent, true AS ok FROM rq WHERE n = 1
