@@ -39,7 +39,6 @@ def model(spark):
     return X.train(docs, labels, where=~X.held_out())
 
 
-@pytest.mark.xfail(reason="known shortfall: recall 0.889 with the 2,600 labels of this table (1.0 with those of 0.1 GB); the bound stays", strict=False)
 def test_held_out_accuracy(spark, model):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = X.score(docs, model).join(labels, "doc_id").filter(X.held_out()).select("toxic", "predicted", "score").collect()
@@ -87,3 +86,23 @@ def test_places_hold_where_lower_case_is_longer(spark, model):
     text = "\u0130" * 5 + f" and {word} {word} {word} here"
     one = X.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
     assert text[one.passages[0].start:one.passages[0].end] == f"{word} {word} {word}"
+
+
+def cross_validated(spark, folds=3):
+    """Recall and share of clean documents marked, over folds of the training rows alone."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))), F.lit(folds))
+    known = labels.filter(~X.held_out()).select("doc_id", "toxic")
+    rows = []
+    for f in range(folds):
+        part = known.filter(fold == f)
+        fitted = X.train(docs, labels, where=~X.held_out() & (fold != f))
+        rows += X.score(docs.join(part.select("doc_id"), "doc_id", "left_semi"), fitted).join(part, "doc_id").select("toxic", "predicted").collect()
+    hit, clean = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
+    return sum(hit) / len(hit), sum(clean) / len(clean)
+
+
+def test_setting_holds_inside_the_training_rows(spark):
+    """What ``ERRORS`` was chosen by; 2.5 finds 0.846 here, 2.0 finds 0.882."""
+    recall, wrong = cross_validated(spark)
+    assert recall > 0.89 and wrong < 0.005
