@@ -19,7 +19,7 @@ def weighted(rows: DataFrame, label: str = "y") -> DataFrame:
 def fit_control(rows: DataFrame, features: list[str], kind: str = "logistic", label: str = "y") -> PipelineModel:
     """Logistic regression, or boosted trees of depth 3 in 60 rounds at most."""
     model = (LogisticRegression(labelCol=label, weightCol="weight", maxIter=200, regParam=0.001) if kind == "logistic"
-             else GBTClassifier(labelCol=label, weightCol="weight", maxDepth=3, maxIter=20, minInstancesPerNode=15, seed=42))
+             else GBTClassifier(labelCol=label, weightCol="weight", maxDepth=3, maxIter=60, minInstancesPerNode=15, seed=42))
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), model]).fit(weighted(rows, label))
 
 

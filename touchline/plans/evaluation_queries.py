@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from touchline.functions import frames
 from touchline.operators import evaluation as evl, formation, geometry as geo, quality as dq, teams as tm, tracking as trk
 from touchline.plans import views
 from touchline.plans.events_queries import full_possession, turnovers
@@ -402,12 +403,10 @@ wk AS (SELECT key, n, tm, [tm] AS recent, true AS ok FROM rq WHERE n = 1
   UNION ALL SELECT key, n, tm, CASE WHEN len(k) < 5 THEN list_append(k, tm) ELSE k END, len(k) < 5 FROM (SELECT r.key, r.n, r.tm, list_filter(w.recent, lambda t: t > r.tm - 600.0) AS k FROM wk w JOIN rq r ON r.key = w.key AND r.n = w.n + 1))
 SELECT key, n AS request_no, tm AS at_s, ok AS admitted FROM wk""")
 def admission_limit(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    reqs = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.row_number().over(w).cast("long").alias("request_no"),
-                                                       (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)).alias("at_s"))
-    return trk.admissions(reqs)
+    ts = F.col("ts").cast("timestamp")
+    reqs = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", (F.unix_micros(ts) / F.lit(1000000.0)).alias("at_s"), F.unix_seconds(ts).alias("second"))
+    # numbered in spans of time, so that one user's requests are not one task
+    return trk.admissions(frames.numbered(reqs, ["key"], ["at_s", "event_id"], "second", "request_no"))
 
 
 @query("box_association", "E21")

@@ -145,12 +145,19 @@ def ball_pixels(ball_rows: DataFrame) -> DataFrame:
             .withColumn("ball_v", (F.col("ball_y") + 34.0) / 68.0 * 1080.0))
 
 
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of what lies in a folder of tables."""
+    every = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/*")
+    found = every.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(every)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found or ()))
 
 
 def shared(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """A frame table several queries read, computed once per session and kept as files in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A frame table several queries read, computed once per session and version of the tables, and kept as files in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _version(spark, sf_dir))
     if key not in _SHARED:
         _SHARED[key] = cut_lineage(build(spark, sf_dir))
     return _SHARED[key]
@@ -194,8 +201,3 @@ def match_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
                        line(team(7), ": Possession ", n(k % 100), "%, Passes ", n(k % 700), ", Tirs ", n(k % 20), ", xG ", n(k % 4), ".", n(k % 10), ", Bloc style low-block"),
                        line("- ", n(k % 95 + 1), "e minute: (Home) But de la tete"), F.when(k % 2 == 0, line("- ", n(k % 60 + 1), "e minute: (Away) Transition rapide")))
     return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("report_id"), text.alias("text"))
-
-
-def written(df: DataFrame) -> str:
-    """Write ``df`` to the shared folder and give the path, as the input of a file stream."""
-    return cut_lineage(df).inputFiles()[0].rsplit("/", 1)[0]
