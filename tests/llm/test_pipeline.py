@@ -62,5 +62,5 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run and set(QUERIES) == set(names) and set(ORACLE) <= set(QUERIES)
