@@ -34,6 +34,18 @@ def test_parts_give_the_best_assignment():
         assert len({a for a, _, _ in chosen}) == len({b for _, b, _ in chosen}) == len(chosen) and sum(g for *_, g in chosen) == best_total(edges)
 
 
+def test_tied_assignments_are_told_by_the_sum_of_the_frame():
+    tie = [(0, 0, 0.5), (21, 0, 0.5)]
+    assert [e[:2] for e in evaluation._best_of(tie, tie)] == [(0, 0)]
+    between = [(1, 1, 0.2), (1, 2, 0.01), (2, 3, 0.1), (2, 4, 0.01)]
+    assert 0.7 + 0.2 + 0.1 < 0.2 + 0.1 + 0.7 and 0.1 + 0.2 + 0.1 == 0.2 + 0.1 + 0.1
+    for gain, told in ((0.7, 21), (0.1, 0)):
+        edges = [(0, 0, gain), *between, (21, 0, gain)]
+        assert {e[:2] for e in evaluation._best_of(edges, edges)} == {(told, 0), (1, 1), (2, 3)}
+    same = [(a, b, 1.0) for a in range(14) for b in range(14)]  # too many ways to tell apart: any best one
+    assert len(evaluation._best_of(same, same)) == 14
+
+
 def test_overlap_parts(spark):
     rows = [("s", 1, 10, 1), ("s", 2, 10, 1), ("s", 2, 11, 1), ("s", 3, 11, 1), ("s", 7, 12, 1), ("t", 1, 10, 1)]
     got = evaluation.overlap_parts(spark.createDataFrame(rows, "sequence_id string, track_id long, pred_track_id long, n long"))

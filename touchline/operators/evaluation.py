@@ -73,20 +73,77 @@ def frame_matches(pairs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return each.select(*FRAME, *[f"p.{c}" for c in ("track_id", "pred_track_id", "iou", *extra)])
 
 
-def _best_of(edges: list[tuple], rows: list) -> list:
-    """The rows whose edges (two ends and a gain) make up the best assignment, each connected part on its own."""
-    kept = []
+#: Totals closer than this are a tie, and how many ends of one part a tie may leave open to be told by the order of adding.
+TIE, OPEN_ENDS = 1e-9, 10
+
+
+def _best_of(edges: list[tuple], rows: list, tell: bool = True) -> list:
+    """The rows whose edges (two ends and a gain) make up the best assignment, each connected part on its own.
+
+    Of assignments with equal totals the one stands whose gains, added in the order of their left ends over all parts of two
+    edges and more, give the larger sum; if that is the same too, the one whose first left ends take the first partners.
+    A part in which a tie leaves more than ``OPEN_ENDS`` left ends open keeps any of its best assignments; so do all without ``tell``.
+    """
+    kept, certain, open_edges = [], [], []
     for part in _parts(edges):
-        left, right = sorted({edges[i][0] for i in part}), sorted({edges[i][1] for i in part})
-        at = np.full((len(left), len(right)), -1)
-        row_of, column_of = {v: i for i, v in enumerate(left)}, {v: i for i, v in enumerate(right)}
-        for i in part:
-            at[row_of[edges[i][0]], column_of[edges[i][1]]] = i
-        gain = np.where(at >= 0, np.array([e[2] for e in edges], float)[at], 0.0)
-        kept += [int(at[i, j]) for i, j in assign(-gain) if at[i, j] >= 0]
+        if len(part) == 1:
+            kept += part
+            continue
+        held = _assigned(edges, part)
+        if not tell:
+            kept += held
+            continue
+        total = sum(edges[i][2] for i in held)
+        shaky = {i for i in held if sum(edges[j][2] for j in _assigned(edges, [j for j in part if j != i])) >= total - TIE}
+        fixed = [i for i in held if i not in shaky]
+        lefts, rights = {edges[i][0] for i in fixed}, {edges[i][1] for i in fixed}
+        free = [i for i in part if shaky and edges[i][0] not in lefts and edges[i][1] not in rights]
+        if len({edges[i][0] for i in free}) > OPEN_ENDS:
+            fixed, free = held, []
+        certain, open_edges = certain + fixed, open_edges + free
+    kept += _told(edges, certain, open_edges) if open_edges else certain
     return [rows[i] for i in sorted(kept)]
 
 
+def _assigned(edges: list[tuple], part: list[int]) -> list[int]:
+    """Numbers of the edges of ``part`` that make up one best assignment."""
+    if not part:
+        return []
+    left, right = sorted({edges[i][0] for i in part}), sorted({edges[i][1] for i in part})
+    at = np.full((len(left), len(right)), -1)
+    row_of, column_of = {v: i for i, v in enumerate(left)}, {v: i for i, v in enumerate(right)}
+    for i in part:
+        at[row_of[edges[i][0]], column_of[edges[i][1]]] = i
+    gain = np.where(at >= 0, np.array([e[2] for e in edges], float)[at], 0.0)
+    return [int(at[i, j]) for i, j in assign(-gain) if at[i, j] >= 0]
+
+
+def _told(edges: list[tuple], certain: list[int], open_edges: list[int]) -> list[int]:
+    """``certain`` and those of ``open_edges`` that give the largest sum, added left end by left end.
+
+    Ways that block the same later partners go on together: of equal sums the first, and none that lies below a tie with the best.
+    """
+    by_left: dict = {}
+    for i in sorted([*certain, *open_edges], key=lambda i: edges[i][:2]):
+        by_left.setdefault(edges[i][0], []).append(i)
+    sure, last = set(certain), {}
+    for left in by_left:
+        last.update({edges[i][1]: left for i in by_left[left]})
+    ways: dict[tuple, tuple] = {(frozenset(), 0.0): ()}
+    for left, choices in by_left.items():
+        grown: dict[tuple, tuple] = {}
+        for (used, total), way in ways.items():
+            for i in [*choices, *([] if choices[0] in sure else [None])]:
+                if i is None or edges[i][1] not in used:
+                    taken = used if i is None else used | {edges[i][1]}
+                    grown.setdefault((frozenset(p for p in taken if last[p] > left), total + (0.0 if i is None else edges[i][2])), way if i is None else (*way, i))
+        best: dict[frozenset, float] = {}
+        for used, total in grown:
+            best[used] = max(total, best.get(used, total))
+        ways = {(used, total): way for (used, total), way in grown.items() if total >= best[used] - TIE}
+    return list(ways[max(ways, key=lambda k: k[1])])
+
+
 def _parts(edges: list[tuple]) -> list[list[int]]:
     """Edge numbers by connected part of a small two-sided graph."""
     root: dict[tuple, tuple] = {}
@@ -205,7 +262,7 @@ def idf1(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFram
 
     def best(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for table in tables:
-            hits = [sum(e[2] for e in _best_of(edges, edges)) for edges in ([(p["track_id"], p["pred_track_id"], p["n"]) for p in rows] for rows in table["p"])]
+            hits = [sum(e[2] for e in _best_of(edges, edges, tell=False)) for edges in ([(p["track_id"], p["pred_track_id"], p["n"]) for p in rows] for rows in table["p"])]
             yield pd.DataFrame({"sequence_id": table["sequence_id"], "hits": pd.array(hits, dtype="int64")})
 
     single = packed.filter(F.size("p") == 1).select("sequence_id", F.get("p", F.lit(0))["n"].alias("hits"))
