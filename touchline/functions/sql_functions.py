@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from touchline.functions.hull import hull_of
-from touchline.operators.evaluation import assign
+from touchline.operators.evaluation import _best_of
 from touchline.operators.formation import MAX_DISTANCE, PROTOTYPES
 
 
@@ -55,11 +55,8 @@ class AssignPairs:
             self.pairs[key] = max(self.pairs.get(key, float("-inf")), float(pair["gain"]))
 
     def terminate(self) -> Iterator[tuple[int, int, float]]:
-        left, right = sorted({a for a, _ in self.pairs}), sorted({b for _, b in self.pairs})
-        gain = np.array([[self.pairs.get((a, b), 0.0) for b in right] for a in left]).reshape(len(left), len(right))
-        for i, j in assign(-gain) if self.pairs else ():
-            if (left[i], right[j]) in self.pairs:
-                yield left[i], right[j], self.pairs[left[i], right[j]]
+        edges = [(a, b, gain) for (a, b), gain in sorted(self.pairs.items())]
+        yield from _best_of(edges, edges)
 
 
 class Assigned:
