@@ -10,7 +10,8 @@ from touchline.operators import fusion, transitions
 from touchline.plans import all_queries
 from touchline.plans.streaming_queries import pieces_of
 from touchline.streaming import jobs
-from touchline.streaming.stateful import expired, ordered_scan
+from touchline.session import new_path
+from touchline.streaming.stateful import SHARES, expired, ordered_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,6 +71,21 @@ def test_retention(spark):
     assert sorted(r.id for r in jobs.run_available(expired(stream, "key", "id", 30000)).collect()) == list(range(1, 29))
 
 
+def test_retention_has_one_timer_for_rows_that_fall_due_together(spark):
+    """Timers follow moments, not keys."""
+    table = spark.range(600).select(F.col("id").alias("key"), "id", F.timestamp_seconds(F.lit(1704067200) + F.when(F.col("id") == 599, 500).otherwise(0)).alias("ts"))
+    stream = jobs.file_stream(spark, jobs.in_pieces(table.withColumn("n", F.lit(0)), "n", 1), table.schema, 1)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS)
+    try:
+        job = expired(stream, "key", "id", 30000).writeStream.format("memory").queryName("given_up").option("checkpointLocation", new_path(spark, "retention")).trigger(availableNow=True).start()
+        job.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    timers = sum(p["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) for p in job.recentProgress if p["stateOperators"])
+    assert 0 < timers <= 2 * SHARES and spark.table("given_up").count() == 599
+
+
 def test_passes_equal_the_batch(spark):
     queries = all_queries()[0]
     stream, batch = queries["stream_pass_events"](spark, SF), queries["pass_events"](spark, SF)

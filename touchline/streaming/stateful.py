@@ -13,7 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from touchline.functions.scan import Step
@@ -122,35 +122,39 @@ def ordered_scan(stream: DataFrame, keys: Sequence[str], order: str | Sequence[s
 
 
 class Retention(StatefulProcessor):
-    """Keeps the ids of a key for ``keep_ms`` of event time; a timer per moment gives up those that are older, for good."""
+    """Keeps the rows of one moment and share of the keys until ``keep_ms`` of event time have passed; then one timer gives them all up, for good."""
 
     def __init__(self, key: str, name: str, keep_ms: int):
         self.key, self.name, self.keep_ms = key, name, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getListState("kept", "ms bigint, id bigint")
+        self.kept = handle.getListState("kept", "keys array<bigint>, ids array<bigint>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        ms = (new["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
-        self.kept.appendList([(int(m), int(i)) for m, i in zip(ms, new[self.name])])
-        for m in sorted(set(ms)):
-            self.handle.registerTimer(int(m) + self.keep_ms)
+        for new in rows:
+            self.kept.appendValue(tuple([None if pd.isna(v) else int(v) for v in new[c]] for c in (self.key, self.name)))
+        self.handle.registerTimer(int(key[0]) + self.keep_ms)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        kept = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
-        gone, rest = [r for r in kept if r[0] + self.keep_ms <= now], [r for r in kept if r[0] + self.keep_ms > now]
-        self.kept.put(rest) if rest else self.kept.clear()
-        if gone:
-            yield pd.DataFrame({self.key: [key[0]] * len(gone), self.name: [i for _, i in gone]})
+        for keys, ids in self.kept.get():
+            yield pd.DataFrame({c: pd.array(list(v), dtype="Int64") for c, v in ((self.key, keys), (self.name, ids))})
+        self.kept.clear()
 
     def close(self) -> None:
         pass
 
 
+#: Shares into which the rows of one moment are dealt by key.
+SHARES = 16
+
+
 def expired(stream: DataFrame, key: str, name: str, keep_ms: int, delay: str = "1 second") -> DataFrame:
-    """``key, name`` of the rows (both whole numbers) that the watermark has left behind by ``keep_ms``; only younger ones stay in state."""
-    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(Retention(key, name, keep_ms), f"{key} bigint, {name} bigint", "append", "EventTime")
+    """``key, name`` of the rows (both whole numbers) that the watermark has left behind by ``keep_ms``; only younger ones stay in state.
+
+    State is kept by moment (milliseconds) and share of the keys, not by key: rows that fall due together have one timer, and no state is rewritten. Rows
+    without a time never fall due and are not kept.
+    """
+    dealt = stream.filter("ts IS NOT NULL").withWatermark("ts", delay).withColumn("_ms", F.unix_millis("ts")).withColumn("_share", F.pmod(F.xxhash64(key), F.lit(SHARES)))
+    return dealt.groupBy("_ms", "_share").transformWithStateInPandas(Retention(key, name, keep_ms), f"{key} bigint, {name} bigint", "append", "EventTime")
