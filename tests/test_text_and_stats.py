@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import evidence, quality, retrieval, stats, text
+from touchline.operators import evidence, fusion, quality, retrieval, stats, text
 from touchline.sources import readers
 
 
@@ -87,3 +87,12 @@ def test_rule_violations(spark):
     rows = spark.createDataFrame([("a", 1), ("b", -1), ("c", None)], "k string, v int")
     got = sorted(tuple(r) for r in quality.violations(rows, F.col("k"), {"positive": F.col("v") > 0}).collect())
     assert got == [("b", "positive"), ("c", "positive")]
+
+
+def test_values_that_round_to_zero_have_no_minus_sign(spark):
+    rows = [(line, ball, "DEFENSIVE_RECOVERY", "TEAM_0", "TEAM_1", 1.0, 2.0, 25, 0.5, "HIGH") for line, ball in (("-0.04", "-0.04"), ("0.0", "0.0"), ("-0.05", "1.25"))]
+    events = spark.createDataFrame(rows, "a string, b string, family string, subject_team string, opponent_team string, start_ts double, end_ts double, start_frame long, confidence double, quality string")
+    events = events.withColumn("metrics", F.create_map(F.lit("defensive_line_velocity"), "a", F.lit("centroid_ball_distance_delta"), "b"))
+    texts = [r.summary_text for r in fusion.summaries(events).orderBy("b").collect()]
+    assert ["0.0m/s" in t and "-0.0" not in t for t in texts] == [True, True, False]
+    assert [t.split("shifted by ")[1].split("m")[0] for t in texts] == ["0.0", "+0.0", "+1.3"]
