@@ -85,6 +85,17 @@ def test_vector_index_filters_and_odd_rows(spark):
     assert spark.table(index.table).count() == 41 and len(got) == 3 and all(r.id % 2 for r in got)
 
 
+def test_vector_index_with_one_crowded_cell(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "PART", 7)
+    monkeypatch.setattr(vector_index, "ASKED", 3)
+    df = spark.createDataFrame([(i, [1.0, 0.001 * (i % 9), 0.0]) for i in range(60)], "vec_id long, v array<double>")
+    index = vector_index.build(df, f"t_{uuid.uuid4().hex}", new_path(spark, "cells"), "vec_id", "v", cells=1)
+    top = vector_index.search(index, df.filter("vec_id < 8"), "vec_id", "v", 6)
+    got = {(r.query_id, r["rank"]): r.id for r in top.collect()}
+    assert all([got[(q, k)] for k in range(1, 7)] == [q + 9 * j for j in range(6)] for q in range(6)) and len(got) == 48
+    assert "SortMergeJoin" not in top._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bucketed_look_ups_read_one_bucket_and_join_without_exchange(spark):
     rows = spark.range(400).selectExpr("concat('s', id % 3) as sequence_id", "concat('e', id) as event_id", "id * 0.5D as a", "id * 0.5D + 1 as b")
     names = [f"t_{uuid.uuid4().hex}" for _ in range(4)]

@@ -6,12 +6,15 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Vectors that the cells are fitted on, and rounds of the fit. Every vector is filed, whatever was sampled.
 SAMPLE, ROUNDS = 20_000, 8
 PROBES = 0.5
+#: Vectors of a cell and queries that one task compares at a time; scores it holds at a time.
+PART, ASKED, SCORES = 20_000, 2_000, 2_000_000
 
 
 class VectorIndex(NamedTuple):
@@ -56,6 +59,18 @@ def unit(vectors: DataFrame, vector: str) -> DataFrame:
     return df.filter(finite).withColumn("unit", F.transform("_v", lambda x: x / F.col("_n"))).drop("_v", "_n")
 
 
+def best_of(asked: np.ndarray, held: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Place, places of the ``k`` best rows of ``held`` and their scores for each row of ``asked``, by score rounded to twelve places, then id; the product is made in slices."""
+    rows = max(1, SCORES // max(1, len(held)))
+    ids = np.where(np.isnan(ids), -np.inf, ids) if ids.dtype.kind == "f" else ids
+    for start in range(0, len(asked), rows):
+        for i, score in enumerate(np.round(asked[start:start + rows] @ held.T, 12), start):
+            sure = np.where(np.isnan(score), -np.inf, score)
+            fit = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(sure >= np.partition(sure, len(ids) - k)[len(ids) - k])
+            order = fit[np.lexsort((ids[fit], -sure[fit]))][:k]
+            yield i, order, score[order]
+
+
 def build(vectors: DataFrame, name: str, path: str, id_col: str, vector: str, payload: list[str] = (), cells: int | None = None, buckets: int = 8, seed: int = 5) -> VectorIndex:
     """File every vector under its nearest cell, in a table bucketed by cell, so that a search reads and joins without moving it.
 
@@ -75,6 +90,7 @@ def search(index: VectorIndex, queries: DataFrame, id_col: str, vector: str, k:
     """``query_id, id, score, rank``: the ``k`` best of the cells nearest to each query, by exact cosine.
 
     ``probes`` is the share of cells read for a query, ``where`` a condition on the payload, applied before scoring.
+    A task compares a part of one cell with a block of queries and returns its ``k`` best: no pair table is written.
     """
     spark: SparkSession = queries.sparkSession
     asked = unit(queries, vector).select(F.col(id_col).alias("query_id"), "unit")
@@ -82,8 +98,22 @@ def search(index: VectorIndex, queries: DataFrame, id_col: str, vector: str, k:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields) + ", cells array<int>"
     aims = asked.mapInArrow(_filed(index.centres, most, asked.columns), schema).select("query_id", F.col("unit").alias("asked"), F.explode("cells").alias("cell"))
     held = spark.table(index.table)
-    held = held.filter(where) if where else held
-    dot = F.aggregate(F.zip_with("asked", "unit", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = aims.join(held, "cell").select("query_id", "id", dot.alias("score"))
+    held = (held.filter(where) if where else held).select("cell", "id", "unit")
+    sizes = F.broadcast(held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
+    blocks = max(1, -(-asked.count() // ASKED))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    keys = ["cell", "part", "block"]
+    held = held.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts").withColumn("block", every(F.lit(blocks)))
+    aims = aims.join(sizes, "cell").withColumn("part", every(F.col("parts"))).drop("parts").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+
+    def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left["query_id"].iloc[:0], "id": right["id"].iloc[:0], "score": np.zeros(0)})
+        names, ids = left["query_id"].to_numpy(), right["id"].to_numpy()
+        at, order, scores = zip(*best_of(np.stack(left["asked"].to_numpy()), np.stack(right["unit"].to_numpy()), ids, k), strict=True)
+        return pd.DataFrame({"query_id": np.repeat(names[list(at)], [len(o) for o in order]), "id": ids[np.concatenate(order)], "score": np.concatenate(scores)})
+
+    kinds = [queries.schema[id_col].dataType.simpleString(), spark.table(index.table).schema["id"].dataType.simpleString()]
+    scored = aims.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(local, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
