@@ -31,6 +31,68 @@ def test_bm25_fills_with_unscored_documents(spark):
     assert got == {1: [3, 0, 1], 2: [0, 1, 2]}
 
 
+TEXTS = ["alpha beta 4-3-3", "alpha", None, "gamma gamma beta", "", "alpha beta 4-3-3", "433 delta", "x", "beta epsilon"]
+
+
+def corpus_and_questions(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
+    return docs, spark.createDataFrame([(1, "alpha 4-3-3"), (2, "nothing"), (3, "beta gamma beta"), (4, ""), (5, "433")], "query_id long, query string")
+
+
+def test_bm25_top_scores_in_tasks_without_a_join(spark, monkeypatch):
+    docs, q = corpus_and_questions(spark)
+    plain = retrieval.top_per_query(retrieval.bm25_scores(docs, q).withColumn("score", F.round("score", 9)), docs, q, 4)
+    want = sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in plain.collect())
+    for block in (256, 2):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        top = retrieval.bm25_top(docs, q, 4)
+        assert "Join" not in top._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in top.collect()) == want and len(want) == 20
+
+
+@pytest.mark.parametrize("common", [100_000, 2, 0])
+def test_tfidf_weights_and_top_with_rare_words_apart(spark, monkeypatch, common):
+    import math
+
+    monkeypatch.setattr(retrieval, "COMMON", common)
+    docs, q = corpus_and_questions(spark)
+    other = {"4-3-3": ["433"], "433": ["4-3-3"]}
+    bag = lambda t: [w for v in (t or "").split() if len(v) > 1 for w in [v, *other.get(v, [])]]
+    bags = [bag(t) for t in TEXTS]
+    idf = {w: math.log(1 + len(bags) / (sum(w in b for b in bags) + 1)) + 1 for b in bags for w in b}
+
+    def unit(words):
+        raw = {w: words.count(w) / len(words) * idf[w] for w in words if w in idf}
+        return {w: v / math.sqrt(sum(x * x for x in raw.values())) for w, v in raw.items()}
+
+    rows = [unit(b) for b in bags]
+    got = {(r.doc_id, r.token): round(r.weight, 9) for r in retrieval.tfidf_weights(docs).collect()}
+    assert got == {(i, w): round(v, 9) for i, row in enumerate(rows) for w, v in row.items()}
+    want = []
+    for r in q.collect():
+        asked = unit(bag(r.query))
+        best = sorted((-round(sum(v * row.get(w, 0) for w, v in asked.items()), 9), i) for i, row in enumerate(rows))[:5]
+        want += [(r.query_id, k, i, round(-s, 9) + 0.0) for k, (s, i) in enumerate(best, 1)]
+    assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in retrieval.tfidf_top(docs, q, 5).collect()) == sorted(want)
+
+
+def test_vector_products_are_made_in_slices():
+    import tracemalloc
+
+    import numpy as np
+
+    from touchline.operators.vector_index import best_of
+
+    rng = np.random.default_rng(1)
+    asked, held = rng.standard_normal((2000, 4)), rng.standard_normal((20000, 4))
+    tracemalloc.start()
+    for i, order, scores in best_of(asked, held, np.arange(20000)[::-1], 3):
+        if i % 500 == 0:
+            assert np.allclose(scores, np.sort(held @ asked[i])[:-4:-1]) and len(order) == 3
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_vector_top_k_is_exact_across_blocks(spark):
     import numpy as np
 

@@ -241,8 +241,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50""")
 def bm25_top50(spark, sf_dir):
     d, q = docs(spark, sf_dir), views.search_queries(spark, sf_dir)
-    scores = ret.bm25_scores(d, q).withColumn("score", F.round("score", 9))
-    return tidy(ret.top_per_query(scores, d, q, 50))
+    return tidy(ret.bm25_top(d, q, 50))
 
 
 @query("tfidf_weights", "T18", "SELECT doc_id, token, round(weight, 6) AS weight FROM tfidf_v")
@@ -254,7 +253,7 @@ def tfidf_weights(spark, sf_dir):
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 300""")
 def tfidf_top300(spark, sf_dir):
     d, q = docs(spark, sf_dir), views.search_queries(spark, sf_dir)
-    return tidy(ret.top_per_query(ret.tfidf_scores(d, q).withColumn("score", F.round("score", 9)), d, q, 300))
+    return tidy(ret.tfidf_top(d, q, 300))
 
 
 HYBRID_SQL = """
@@ -269,9 +268,7 @@ h AS (SELECT coalesce(sn.query_id, lnm.query_id) AS query_id, coalesce(sn.doc_id
 def _hybrid(spark, sf_dir):
     def build(s, d):
         corpus, q = docs(s, d), views.search_queries(s, d)
-        semantic = ret.top_per_query(ret.tfidf_scores(corpus, q).withColumn("score", F.round("score", 9)), corpus, q, ret.SEMANTIC_POOL)
-        lexical = ret.top_per_query(ret.bm25_scores(corpus, q).withColumn("score", F.round("score", 9)), corpus, q, ret.LEXICAL_POOL)
-        return ret.hybrid(semantic, lexical)
+        return ret.hybrid(ret.tfidf_top(corpus, q, ret.SEMANTIC_POOL), ret.bm25_top(corpus, q, ret.LEXICAL_POOL))
     return views.shared("hybrid", spark, sf_dir, build)
 
 
@@ -365,7 +362,7 @@ SELECT * FROM want UNION ALL SELECT * FROM wide UNION ALL SELECT * FROM loose"""
 def query_relaxation(spark, sf_dir):
     """The target filter over the 150 best hits of a question, else over the whole corpus, else all 150 hits."""
     d, q = docs(spark, sf_dir), views.search_queries(spark, sf_dir)
-    pool = cut_lineage(ret.top_per_query(ret.tfidf_scores(d, q).withColumn("score", F.round("score", 9)), d, q, 150).select("query_id", "doc_id"))
+    pool = cut_lineage(ret.tfidf_top(d, q, 150).select("query_id", "doc_id"))
     target = d.select("doc_id", "lang", (F.col("doc_id") % 40).alias("slot"))
     near = pool.join(target, "doc_id").withColumn("wanted", (F.col("lang") == "fr") & (F.col("slot") == F.col("query_id") % 40))
     wide = q.select("query_id", (F.col("query_id") % 40).alias("slot")).join(target.filter("lang = 'fr'"), "slot").select("query_id", "doc_id")
