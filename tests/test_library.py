@@ -3,6 +3,7 @@
 import itertools
 import random
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -122,6 +123,27 @@ def test_bucketed_look_ups_read_one_bucket_and_join_without_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_join_by_id_with_an_id_in_every_sequence(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("concat('s', id div 2) as sequence_id", "concat('e', id % 2) as event_id", "id as a")
+    names = [f"t_{uuid.uuid4().hex}" for _ in range(2)]
+    folders = [new_path(spark, "by_id") for _ in names]
+    for name, folder in zip(names, folders):
+        evidence.store_by_id(rows, name, folder)
+    assert len([f for f in Path(folders[0]).rglob("*.parquet")]) <= 8 * evidence.SHARES
+    plans = []
+    keep = evidence.cut_lineage
+    monkeypatch.setattr(evidence, "cut_lineage", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, label))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get(evidence.ALL_KEYS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = evidence.join_by_id(spark.table(names[0]), spark.table(names[1]).selectExpr("event_id", "sequence_id", "a as b"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+    assert both.count() == 4000 and both.filter("a <> b").isEmpty() and spark.conf.get(evidence.ALL_KEYS) == before[1]
+    # no exchange, and no pair of two sequences is met: the sequence is a key of the join
+    assert "Exchange" not in plans[0] and ">=" not in plans[0] and "SortMergeJoin [event_id" in plans[0]
+
+
 def test_files_with_other_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Player,Min,Gls\n"Last, First",90,2\nB,x,\n')
     (tmp_path / "b.csv").write_text("KP,Player,npxG,xG,Squad,Player\n7,C,9,1.5,Team,no\n")
