@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from touchline.functions import frames
-from touchline.functions.boxes import iou
+from touchline.functions.boxes import iou, let
 from touchline.functions.scan import CHUNK, scan
 from touchline.operators.geometry import FRAME
 
@@ -142,20 +143,26 @@ def ambiguous(detections: DataFrame, active: DataFrame, lost: DataFrame) -> Data
     ``active`` and ``lost`` hold the boxes of the tracks of each frame.
     """
     box = ["x1", "y1", "x2", "y2"]
-    pack = lambda df, name: df.groupBy(*FRAME).agg(F.collect_list(F.struct(*box)).alias(name))
-    own = detections.groupBy(*FRAME).agg(F.collect_list(F.struct("det_id", *box)).alias("_dets"))
-    df = detections.join(own, FRAME).join(pack(active, "_active"), FRAME, "left").join(pack(lost, "_lost"), FRAME, "left")
-    none = F.array().cast("array<struct<x1: double, y1: double, x2: double, y2: double>>")
-    mine = [F.col(c) for c in box]
+    finite = reduce(and_, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in box]).alias("finite")
+    pack = lambda df, name: df.groupBy(*FRAME).agg(F.collect_list(F.struct(*box, finite)).alias(name))
+    rest = [c for c in detections.columns if c not in FRAME]
+    own = detections.dropna(subset=FRAME).groupBy(*FRAME).agg(F.collect_list(F.struct(*rest, finite)).alias("_dets"))
+    framed = own.join(pack(active, "_active"), FRAME, "left").join(pack(lost, "_lost"), FRAME, "left")
+    df = framed.select(*FRAME, F.explode("_dets").alias("_own"), "_dets", "_active", "_lost").select(*FRAME, "_own.*", "_dets", "_active", "_lost")
+    none = F.array().cast("array<struct<x1: double, y1: double, x2: double, y2: double, finite: boolean>>")
+    mine = {c: F.col(c) for c in [*box, "finite"]}
     of = lambda b: [b[c] for c in box]
+    # boxes that lie apart have nothing in common: most pairs end here, without their areas
+    apart = lambda a, b: a["finite"] & b["finite"] & ((a["x2"] <= b["x1"]) | (b["x2"] <= a["x1"]) | (a["y2"] <= b["y1"]) | (b["y2"] <= a["y1"]))
+    meets = lambda a, b, least: ~apart(a, b) & (iou(of(a), of(b)) >= least)
     active_, lost_ = F.coalesce("_active", none), F.coalesce("_lost", none)
-    overlap = F.exists("_dets", lambda d: (d["det_id"] != F.col("det_id")) & (iou(mine, of(d)) >= OVERLAP_IOU))
-    touching = F.filter(active_, lambda t: iou(mine, of(t)) >= COMPETITION_IOU)
-    shared = F.exists(touching, lambda t: F.exists("_dets", lambda d: (d["det_id"] != F.col("det_id")) & (iou(of(t), of(d)) >= COMPETITION_IOU)))
-    near = F.exists(lost_, lambda t: (iou(mine, of(t)) >= LOST_IOU) | (F.sqrt(
-        F.pow((mine[0] + mine[2] - t["x1"] - t["x2"]) / 2.0, 2) + F.pow((mine[1] + mine[3] - t["y1"] - t["y2"]) / 2.0, 2)) <= LOST_PX))
+    overlap = F.exists("_dets", lambda d: (d["det_id"] != F.col("det_id")) & meets(mine, d, OVERLAP_IOU))
+    shared = lambda touching: F.exists(touching, lambda t: F.exists("_dets", lambda d: (d["det_id"] != F.col("det_id")) & meets(t, d, COMPETITION_IOU)))
+    rivals = let(F.filter(active_, lambda t: meets(mine, t, COMPETITION_IOU)), lambda touching: (F.size(touching) > 1) | shared(touching))
+    near = F.exists(lost_, lambda t: meets(mine, t, LOST_IOU) | (F.sqrt(
+        F.pow((mine["x1"] + mine["x2"] - t["x1"] - t["x2"]) / 2.0, 2) + F.pow((mine["y1"] + mine["y2"] - t["y1"] - t["y2"]) / 2.0, 2)) <= LOST_PX))
     reason = (F.when(F.col("frame_index") <= SEED_FRAMES, "seed_initial").when(overlap, "detection_overlap")
-              .when((F.size(touching) > 1) | shared, "track_competition").when(near, "lost_reacquisition"))
+              .when(rivals, "track_competition").when(near, "lost_reacquisition"))
     return df.select(*detections.columns, reason.alias("reason"))
 
 
