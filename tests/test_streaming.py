@@ -65,6 +65,18 @@ def test_silent_keys_are_forgotten(spark):
     assert sorted((r.frame_index, r.folded) for r in out.filter("key = 'a'").collect()) == [(1, 1), (2, 32), (2000, 1)]
 
 
+def test_machines_of_many_keys_share_their_state(spark):
+    """Groups of the stream are shares of the keys, and every key still runs by itself."""
+    table = spark.range(3000).selectExpr("id % 1000 AS key", "id div 1000 + 1 AS frame_index", "id % 7 AS value").withColumn("ts", jobs.frame_time(F.col("frame_index")))
+    stream = jobs.file_stream(spark, jobs.in_pieces(table, "frame_index", 2), table.schema, 1)
+    out = jobs.run_to_the_end(stream, lambda s: ordered_scan(s, ["key"], "frame_index", folding, "key long, frame_index long, folded long", 40, shares=4))
+    assert out.count() == 3000 and out.filter("late").isEmpty()
+    want = {}
+    for r in table.orderBy("frame_index").collect():
+        want[r.key] = [*want.get(r.key, []), ((want.get(r.key) or [0])[-1] * 31 + r.value) % 1000003]
+    assert all(r.folded == want[r.key][r.frame_index - 1] for r in out.collect())
+
+
 def test_retention(spark):
     table = spark.createDataFrame([(i % 3, i) for i in range(1, 60)], "key long, id long").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("id")))
     stream = jobs.file_stream(spark, jobs.in_pieces(table, "id", 20), table.schema, 1)
