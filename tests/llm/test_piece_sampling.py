@@ -1,7 +1,9 @@
+import gc
 import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -106,3 +108,10 @@ def test_decoded_where_they_are_made(spark):
     texts = ["two words", "", None, " lead", "日本 ▁ x", "tab\tand\nline"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert all(r.text == (texts[r.doc_id] or "") for r in P.sample(df, MODEL, decoded=True).collect())
+
+
+def test_a_task_leaves_no_lattices_behind():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([7, 8]), pa.array(["pressing haut", None])], ["doc_id", "key", "text"])
+    out = pa.Table.from_batches(P.sampled(iter([batch]), MODEL, 3))
+    gc.collect()
+    assert out["doc_id"].to_pylist() == [1, 1, 1, 2] and not any(isinstance(x, P.WordStore) for x in gc.get_objects())

@@ -27,8 +27,8 @@ SAMPLES = 3
 SEED = 7
 #: Text bytes whose lattices are held at once.
 SLICE_BYTES = 1 << 19
-#: Characters of the words whose lattices a task keeps from slice to slice.
-MOST_PLACES = 3 << 20
+#: Characters of the words whose lattices a task keeps from slice to slice (about 100 bytes each).
+MOST_PLACES = 1 << 20
 BLANK = "▁"
 RANK_SHIFT = 10.0
 NONE = -np.inf
@@ -275,11 +275,6 @@ class WordStore:
         return e
 
 
-@lru_cache(maxsize=1)
-def store(model_file: str) -> WordStore:
-    return WordStore(vocabulary(model_file))
-
-
 class _Path:
     """Sampled steps of all texts of a slice for one rank, by text: from the step where a path leaves its parent."""
 
@@ -491,6 +486,21 @@ def _collect(lat: WordStore, paths: list[_Path], value: np.ndarray, log_prob: np
     return out
 
 
+def sampled(batches: Iterator[pa.RecordBatch], model_file: str, k: int, decoded: bool = False) -> Iterator[pa.RecordBatch]:
+    """The samples of batches of ``doc_id, key, text``. The lattices are one task's: a worker that waits for its next task holds none."""
+    lat = WordStore(vocabulary(model_file))
+    for part in slices(batches, "text", SLICE_BYTES):
+        keys = part.column(1).to_numpy().view(np.uint64)
+        found = sample_slice([t or "" for t in part.column(2).to_pylist()], keys, lat, k)
+        flat = [(i, r + 1, *s) for i, samples in enumerate(found) for r, s in enumerate(samples)]
+        ids = part.column(0).take(pa.array([f[0] for f in flat], pa.int64()))
+        cuts = np.concatenate([[0], np.cumsum([len(f[5]) for f in flat])])
+        pieces = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([f[5] for f in flat]).astype(np.int32)))
+        texts = [pa.array([lat.vocab.decode(f[5]) for f in flat], pa.binary()).cast(pa.string())] if decoded else []
+        yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in flat], pa.int32()), *(pa.array([f[j] for f in flat], pa.float64()) for j in (2, 3, 4)), pieces, *texts],
+                                         ["doc_id", "rank", "log_prob", "perturbed", "inclusion", "pieces", *["text"][:len(texts)]])
+
+
 def sample(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Up to ``k`` rows per row of ``docs``: ``doc_id, rank, log_prob, perturbed, inclusion, pieces``.
 
@@ -502,21 +512,8 @@ def sample(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED,
     """
     source = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("key"), "text")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = store(model_file)
-        for part in slices(batches, "text", SLICE_BYTES):
-            keys = part.column(1).to_numpy().view(np.uint64)
-            found = sample_slice([t or "" for t in part.column(2).to_pylist()], keys, lat, k)
-            flat = [(i, r + 1, *s) for i, samples in enumerate(found) for r, s in enumerate(samples)]
-            ids = part.column(0).take(pa.array([f[0] for f in flat], pa.int64()))
-            cuts = np.concatenate([[0], np.cumsum([len(f[5]) for f in flat])])
-            pieces = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([f[5] for f in flat]).astype(np.int32)))
-            texts = [pa.array([lat.vocab.decode(f[5]) for f in flat], pa.binary()).cast(pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in flat], pa.int32()), *(pa.array([f[j] for f in flat], pa.float64()) for j in (2, 3, 4)), pieces, *texts],
-                                             ["doc_id", "rank", "log_prob", "perturbed", "inclusion", "pieces", *["text"][:len(texts)]])
-
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, rank int, log_prob double, perturbed double, inclusion double, pieces array<int>"
-    return source.mapInArrow(rows, schema + (", text string" if decoded else ""))
+    return source.mapInArrow(lambda batches: sampled(batches, model_file, k, decoded), schema + (", text string" if decoded else ""))
 
 
 def decode(pieces: DataFrame, model_file: str, column: str = "pieces", into: str = "text") -> DataFrame:
