@@ -158,3 +158,17 @@ def test_values_that_round_to_zero_have_no_minus_sign(spark):
     texts = [r.summary_text for r in fusion.summaries(events).orderBy("b").collect()]
     assert ["0.0m/s" in t and "-0.0" not in t for t in texts] == [True, True, False]
     assert [t.split("shifted by ")[1].split("m")[0] for t in texts] == ["0.0", "+0.0", "+1.3"]
+
+
+def test_documents_are_listed_and_read_in_tasks(spark, tmp_path):
+    for name, value in {"a.md": "---\nt: 1\n---\nA", "sub/deep/b.md": "É\r\n", "sub/c.html": "", "sub/d.bin": "no", "sub/.hidden.md": "no", "_draft/e.md": "no", "sub/f g%.txt": "F"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(value.encode())
+    rows = lambda *a, **k: sorted(tuple(r) for r in readers.read_documents(spark, str(tmp_path), *a, **k).collect())
+    assert rows() == [("a.md", "---\nt: 1\n---\nA")]
+    assert rows("*.md", recursive=True) == [("a.md", "\nA"), ("b.md", "É\r\n")]
+    assert [n for n, _ in rows(recursive=True, keep_front_matter=True)] == ["a.md", "b.md", "c.html", "f g%.txt"]
+    files = readers.list_files(spark, str(tmp_path), "*.md", recursive=True)
+    assert sorted((r.path.rsplit("/", 1)[1], r.size) for r in files.collect()) == [("a.md", 14), ("b.md", 4)]
+    # no list of the files on the driver
+    assert not any("/a.md" in f for f in readers.read_documents(spark, str(tmp_path)).inputFiles())

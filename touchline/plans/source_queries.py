@@ -178,12 +178,14 @@ def chunk_files(spark, sf_dir):
 
 @query("document_files", "S5", "SELECT 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '.html' END AS source, md5(text) AS digest FROM documents WHERE doc_id % 4 <> 3")
 def document_files(spark, sf_dir):
-    """A flat folder; files of other kinds are passed over."""
+    """Flat folders of about 10,000 files; files of other kinds are passed over."""
     k = F.col("doc_id")
     kind = F.when(k % 4 == 3, ".bin").when(k % 3 == 0, ".md").when(k % 3 == 1, ".txt").otherwise(".html")
     folder = new_path(spark, "documents")
-    sinks.write_texts(views.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), k.cast("string"), kind).alias("name"), "text"), folder)
-    return readers.read_documents(spark, folder).select("source", F.md5("text").alias("digest"))
+    docs = views.table(spark, sf_dir, "documents")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(docs.count() // 10_000 + 1)).cast("string")
+    sinks.write_texts(docs.select(F.concat(share, F.lit("/d"), k.cast("string"), kind).alias("name"), "text"), folder)
+    return readers.read_documents(spark, folder, recursive=True, keep_front_matter=True).select("source", F.md5("text").alias("digest"))
 
 
 @query("corpus_files", "S6", "SELECT 'd' || doc_id || '.md' AS source, md5(CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END || text) AS digest FROM documents")

@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from touchline import schemas
 from touchline.operators.text import drop_front_matter
 from touchline.session import cut_lineage
+from touchline.sources.sinks import file_store
+
+#: Paths or files in a batch at most, and bytes after which a batch of texts is full.
+LISTED, HELD_BYTES = 1024, 4 << 20
+#: Tasks that list folders at most; files and bytes of a task that reads them.
+MOST_LISTERS, TASK_FILES, TASK_BYTES = 1000, 5_000, 64 << 20
 
 
 # ---- boxes --------------------------------------------------------------------------------------------------
@@ -88,11 +98,87 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CHUNK).json(path).filter("text IS NOT NULL")
 
 
-def read_documents(spark: SparkSession, path: str, pattern: str = "*.{md,txt,html}", recursive: bool = False) -> DataFrame:
-    """One row per text file with its name; front matter is cut when reading a corpus recursively."""
-    raw = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", "true").text(path, wholetext=True))
-    text = drop_front_matter(F.col("value")) if recursive else F.col("value")
-    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"), text.alias("text"))
+def globs(pattern: str) -> list[str]:
+    """The patterns that a pattern with alternatives in braces stands for."""
+    head, brace, rest = pattern.partition("{")
+    if not brace:
+        return [pattern]
+    inner, _, tail = rest.partition("}")
+    return [p for x in inner.split(",") for p in globs(f"{head}{x}{tail}")]
+
+
+def _list_folders(pattern: str):
+    """From folders to what lies in them: files that fit the pattern with their sizes, and folders; hidden names are passed over."""
+    kinds = globs(pattern)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            store, base = file_store(folder)
+            found = [x for x in store.get_file_info(fs.FileSelector(base)) if not x.base_name.startswith((".", "_"))]
+            found = [x for x in found if x.type == fs.FileType.Directory or any(fnmatchcase(x.base_name, k) for k in kinds)]
+            names = [f"{folder.rstrip('/')}/{x.base_name}" for x in found]
+            for i in range(0, len(found), LISTED):
+                part = found[i:i + LISTED]
+                yield pa.RecordBatch.from_arrays([pa.array(names[i:i + LISTED], pa.string()), pa.array([x.type == fs.FileType.Directory for x in part], pa.bool_()), pa.array([x.size or 0 for x in part], pa.int64())], ["path", "folder", "size"])
+
+    return rows
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str, recursive: bool = False) -> DataFrame:
+    """``path, size`` of the files in ``folder`` whose names fit ``pattern``, a job for each level of folders.
+
+    A task lists whole folders; no list of files comes to the driver.
+    """
+    level = spark.createDataFrame([(folder,)], "path string").coalesce(1)
+    out = None
+    while True:
+        found = cut_lineage(level.mapInArrow(_list_folders(pattern), "path string, folder boolean, size long"), "listed")
+        files = found.filter("NOT folder").select("path", "size")
+        out = files if out is None else out.unionByName(files)
+        below = found.filter("folder").select("path")
+        deeper = below.count() if recursive else 0
+        if not deeper:
+            return out
+        level = below.repartition(min(deeper, MOST_LISTERS))
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``path, value`` of each file; files that cannot be read are left out, those that have gone meanwhile are an error."""
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.binary())], ["path", "value"])
+
+    paths, values, held = [], [], 0
+    for path in (f for batch in batches for f in batch.column(0).to_pylist()):
+        store, at = file_store(path)
+        try:
+            with store.open_input_stream(at) as f:
+                value = f.read()
+        except FileNotFoundError:
+            raise
+        except OSError:
+            continue
+        paths.append(path)
+        values.append(value)
+        held += len(value)
+        if held >= HELD_BYTES or len(paths) >= LISTED:
+            yield packed()
+            paths, values, held = [], [], 0
+    if paths:
+        yield packed()
+
+
+def read_documents(spark: SparkSession, path: str, pattern: str = "*.{md,txt,html}", recursive: bool = False, keep_front_matter: bool = False) -> DataFrame:
+    """One row per text file with its name; front matter is cut when reading a corpus recursively, unless it is to be kept.
+
+    Files are listed and read by the tasks, a few thousand in each: Spark's own file index holds a list of all files on the
+    driver, and its readers take milliseconds for each small file. One task lists one folder, so a large corpus needs folders.
+    """
+    files = list_files(spark, path, pattern, recursive)
+    total = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, total.n // TASK_FILES, total.size // TASK_BYTES)
+    raw = files.select("path").repartition(int(tasks)).mapInArrow(_read_files, "path string, value binary").withColumn("value", F.col("value").cast("string"))
+    text = drop_front_matter(F.col("value")) if recursive and not keep_front_matter else F.col("value")
+    return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), text.alias("text"))
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
+LOCAL = fs.LocalFileSystem()
+
 
 def frame_records(tracking: DataFrame, ball: DataFrame) -> DataFrame:
     """One record per frame with its players as an array and its ball."""
@@ -40,18 +42,28 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(path)
 
 
+def file_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; one without a scheme is local."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LOCAL, path)
+
+
 def write_texts(texts: DataFrame, folder: str) -> int:
     """One file per row of ``name, text`` under ``folder`` (names may hold subfolders); returns how many.
 
     Each file is written under a name of its own and then renamed, so a task that runs twice leaves whole files only.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, base = file_store(folder)
+        store.create_dir(base, recursive=True)
+        made = {base}
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 path = f"{base}/{name}"
-                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                draft = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                parent = path.rsplit("/", 1)[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                draft = f"{parent}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(draft) as f:
                     f.write((text or "").encode())
                 store.move(draft, path)
