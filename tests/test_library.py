@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import uuid
 from pathlib import Path
 
@@ -171,3 +172,20 @@ def test_mixture_equals_plain_maximisation(spark):
             break
     assert all(abs(got[1, i][1] - share[i]) < 1e-6 and got[1, i][0] == f"TEAM_{int(share[i] >= 0.5)}" for i in range(len(x)))
     assert got[1, 99] == ("UNKNOWN", None) and got[2, 0] == ("TEAM_0", 0.0)
+
+
+def test_rounds_of_the_split_broadcast_no_tracks(spark, tmp_path, monkeypatch):
+    rows = [("s", t, 5, [float(t % 2), 0.1 * t, 1.0]) for t in range(12)]
+    spark.createDataFrame(rows, "sequence_id string, track_id long, crops long, feature array<double>").write.parquet(str(tmp_path / "features"))
+    features = spark.read.parquet(str(tmp_path / "features"))
+    plans, cut = [], teams.cut_lineage
+
+    def recorded(df, label="step"):
+        if {"c0", "_old"} & set(df.columns):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, label)
+
+    monkeypatch.setattr(teams, "cut_lineage", recorded)
+    teams.mixture_teams(features, teams.split_teams(features)).collect()
+    # the tracks are the left side of the last join of each round
+    assert len(plans) > 2 and all(re.search("Build(Left|Right)", p)[1] == "Right" for p in plans)

@@ -33,7 +33,7 @@ def _means(assigned: DataFrame) -> DataFrame:
 
 
 def _assign(features: DataFrame, centres: DataFrame) -> DataFrame:
-    df = features.join(centres, "sequence_id")
+    df = features.join(F.broadcast(centres), "sequence_id")  # one row per sequence travels, never the tracks
     df = df.withColumn("d0", _gap(F.col("feature"), F.col("c0"))).withColumn("d1", _gap(F.col("feature"), F.col("c1")))
     return df.withColumn("side", F.when(F.col("d0") <= F.col("d1"), 0).otherwise(1)).drop("c0", "c1")
 
@@ -46,9 +46,9 @@ def split_teams(features: DataFrame) -> DataFrame:
     """
     usable = features.filter(F.col("crops") >= MIN_CROPS)
     enough = usable.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= MIN_TRACKS).select("sequence_id")
-    points = cut_lineage(usable.join(enough, "sequence_id", "left_semi"))
+    points = cut_lineage(usable.join(F.broadcast(enough), "sequence_id", "left_semi"))
     first = points.groupBy("sequence_id").agg(F.min_by("feature", "track_id").alias("c0"))
-    away = points.join(first, "sequence_id").withColumn("_d", _gap(F.col("feature"), F.col("c0")))
+    away = points.join(F.broadcast(first), "sequence_id").withColumn("_d", _gap(F.col("feature"), F.col("c0")))
     centres = away.groupBy("sequence_id").agg(F.first("c0").alias("c0"), F.max_by("feature", F.struct("_d", (-F.col("track_id")).alias("t"))).alias("c1"))
     while True:  # each round lowers the sum of distances or changes nothing
         new = cut_lineage(_means(_assign(points, centres)))
@@ -85,7 +85,7 @@ def _moments(points: DataFrame) -> DataFrame:
     sums = long.groupBy("sequence_id", "dim").agg((F.sum(F.col("v") * (1 - F.col("r"))) / F.sum(1 - F.col("r"))).alias("m0"), (F.sum(F.col("v") * F.col("r")) / F.sum("r")).alias("m1"))
     packed = sums.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("dim", "m0", "m1"))).alias("_d"))
     means = packed.select("sequence_id", F.transform("_d", lambda d: d["m0"]).alias("c0"), F.transform("_d", lambda d: d["m1"]).alias("c1"))
-    df = points.join(means, "sequence_id").withColumn("d0", _gap(F.col("feature"), F.col("c0"))).withColumn("d1", _gap(F.col("feature"), F.col("c1")))
+    df = points.join(F.broadcast(means), "sequence_id").withColumn("d0", _gap(F.col("feature"), F.col("c0"))).withColumn("d1", _gap(F.col("feature"), F.col("c1")))
     spread = df.groupBy("sequence_id").agg(F.avg("r").alias("w1"), (F.sum((1 - F.col("r")) * F.col("d0") * F.col("d0") + F.col("r") * F.col("d1") * F.col("d1")) / F.sum(F.size("feature"))).alias("_s"))
     return means.join(spread.select("sequence_id", "w1", F.greatest("_s", F.lit(LEAST_VARIANCE)).alias("s2")), "sequence_id")
 
@@ -99,9 +99,9 @@ def mixture_teams(features: DataFrame, start: DataFrame) -> DataFrame:
     """
     sides = start.filter("team_label <> 'UNKNOWN'").select(*TRACK, (F.col("team_label") == "TEAM_1").cast("double").alias("r"))
     both = sides.groupBy("sequence_id").agg(F.min("r").alias("_a"), F.max("r").alias("_b")).filter("_a < _b").select("sequence_id")
-    points = cut_lineage(features.select(*TRACK, "feature").join(sides, TRACK).join(both, "sequence_id", "left_semi"))
+    points = cut_lineage(features.select(*TRACK, "feature").join(sides, TRACK).join(F.broadcast(both), "sequence_id", "left_semi"))
     for _ in range(MOST_ROUNDS):
-        df = points.join(_moments(points), "sequence_id")
+        df = points.join(F.broadcast(_moments(points)), "sequence_id")
         d0, d1 = _gap(F.col("feature"), F.col("c0")), _gap(F.col("feature"), F.col("c1"))
         odds = F.ln(F.col("w1")) - F.ln(1 - F.col("w1")) + (d0 * d0 - d1 * d1) / (2 * F.col("s2"))
         # shares stay off the ends, so that neither side ever empties

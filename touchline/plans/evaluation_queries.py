@@ -12,6 +12,7 @@ from touchline.plans.motion_queries import frame_pressure
 from touchline.plans.registry import query, rounded
 from touchline.plans.stats_queries import tidy
 from touchline.plans.tactics_queries import block_table, oriented, players
+from touchline.session import cut_lineage
 
 PAIRS_SQL = """
 pr AS (SELECT t.sequence_id, t.frame_index, t.track_id, p.pred_track_id, p.pred_team, t.team_label, p.event_id AS pe, p.conf, i / u AS iou FROM boxes_v t JOIN pred_boxes_v p ON t.sequence_id = p.sequence_id AND t.frame_index = p.frame_index,
@@ -511,8 +512,8 @@ def team_split(spark, sf_dir):
 @query("team_mixture", "E23")
 def team_mixture(spark, sf_dir):
     """Split of the tracks by a two-component mixture, from the two-means split."""
-    features = tm.track_features(appearance(spark, sf_dir))
-    return tidy(tm.mixture_teams(features, tm.split_teams(features)), 4)
+    features = cut_lineage(tm.track_features(appearance(spark, sf_dir)), "features")
+    return tidy(tm.mixture_teams(features, cut_lineage(tm.split_teams(features), "split")), 4)
 
 
 @query("team_roles", "E23", """
