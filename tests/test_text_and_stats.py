@@ -160,6 +160,30 @@ def test_values_that_round_to_zero_have_no_minus_sign(spark):
     assert [t.split("shifted by ")[1].split("m")[0] for t in texts] == ["0.0", "+0.0", "+1.3"]
 
 
+def transitions_of(spark, velocities):
+    """Retreats that differ in the velocity of the line only."""
+    rows = [("S", n, n / 25.0, "TEAM_0", "TEAM_1", 0.82, n + 25, "DEFENSIVE_RECOVERY_CANDIDATE", 0.1, 0.7, 0.0, 0.0, 9.0, 9.0, 4.0, v, 0.0) for n, v in enumerate(velocities)]
+    return spark.createDataFrame(rows, "sequence_id string, loss_frame long, loss_ts double, losing_team string, gaining_team string, change_conf double, confirm_frame long, candidate_label string, "
+                                 "counterpress_score double, recovery_score double, pressure_pre double, pressure_post double, nearest_pre double, nearest_post double, centroid_delta double, line_velocity double, ball_progress double")
+
+
+TIES = [-4.645, -4.105000000000004, 2.675, 1.005, 2.7349999999999994, -7.375, -0.005, -0.004, 0.285]
+
+
+def test_metrics_round_as_the_sql_does(spark):
+    import duckdb
+
+    got = fusion.transition_evidence(transitions_of(spark, TIES)).select("start_frame", F.col("metrics")["defensive_line_velocity"].cast("double").alias("v"))
+    wanted = [duckdb.execute("SELECT round(?::DOUBLE, 2) + 0.0::DOUBLE", [v]).fetchone()[0] for v in TIES]
+    assert [r.v for r in got.orderBy("start_frame").collect()] == wanted and wanted[0] == -4.64
+
+
+def test_report_sentence_of_a_velocity_on_a_tie(spark):
+    moments = evidence.report_rows(fusion.summaries(fusion.transition_evidence(transitions_of(spark, TIES[:1]))), spark.createDataFrame(
+        [], "sequence_id string, team_label string, possession_pct double, possession_s double, possession_changes long, line_height_m double, pressure_mean double"))
+    assert "Backline retreated at -4.6m/s" in moments.filter("section = 4").first().sentence
+
+
 def test_documents_are_listed_and_read_in_tasks(spark, tmp_path):
     for name, value in {"a.md": "---\nt: 1\n---\nA", "sub/deep/b.md": "É\r\n", "sub/c.html": "", "sub/d.bin": "no", "sub/.hidden.md": "no", "_draft/e.md": "no", "sub/f g%.txt": "F"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
