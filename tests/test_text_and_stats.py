@@ -184,6 +184,19 @@ def test_report_sentence_of_a_velocity_on_a_tie(spark):
     assert "Backline retreated at -4.6m/s" in moments.filter("section = 4").first().sentence
 
 
+def test_answers_round_as_the_sql_does(spark):
+    import duckdb
+
+    means = [0.5005, 0.5115, 0.7675, 0.2855]
+    events = fusion.summaries(fusion.transition_evidence(transitions_of(spark, [-4.645] * len(means))))
+    events = events.withColumn("confidence", F.element_at(F.array(*[F.lit(m) for m in means]), F.col("start_frame").cast("int") + 1))
+    asked = spark.range(len(means)).select(F.col("id").alias("query_id"), F.lit("S").alias("sequence_id"), F.lit("MATCH_FACT").alias("scope"))
+    plan = events.select(F.col("start_frame").alias("query_id"), "sequence_id", F.lit("MATCH_FACT").alias("scope"), "event_id", F.lit(1).alias("rank"))
+    got = evidence.answers(asked, plan, events).orderBy("query_id").collect()
+    assert [r.confidence for r in got] == [duckdb.execute("SELECT round(?::DOUBLE, 3)", [m]).fetchone()[0] for m in means] and got[0].confidence == 0.5
+    assert all("Backline retreated at -4.6m/s" in r.answer for r in got)
+
+
 def test_documents_are_listed_and_read_in_tasks(spark, tmp_path):
     for name, value in {"a.md": "---\nt: 1\n---\nA", "sub/deep/b.md": "É\r\n", "sub/c.html": "", "sub/d.bin": "no", "sub/.hidden.md": "no", "_draft/e.md": "no", "sub/f g%.txt": "F"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
