@@ -197,6 +197,13 @@ def test_answers_round_as_the_sql_does(spark):
     assert all("Backline retreated at -4.6m/s" in r.answer for r in got)
 
 
+def test_questions_are_classified_once(spark):
+    from touchline.plans import evidence_queries
+
+    first, again = [evidence_queries.asked(spark, "/root/testdata/sf0.001").inputFiles() for _ in range(2)]
+    assert set(first) == set(again) and not any("conversations" in f for f in first)
+
+
 def test_documents_are_listed_and_read_in_tasks(spark, tmp_path):
     for name, value in {"a.md": "---\nt: 1\n---\nA", "sub/deep/b.md": "É\r\n", "sub/c.html": "", "sub/d.bin": "no", "sub/.hidden.md": "no", "_draft/e.md": "no", "sub/f g%.txt": "F"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
